@@ -11,15 +11,16 @@ least P - D parts of a linking pair agree (pigeonhole). A part is stored as the
   same for everyone, so of the P - D agreeing parts the best one stays on both sides: no link is lost.
 * Part keys travel as packed blocks, a few bytes a key; a reducer names, for each key, its smallest class as
   the leader. A linking pair therefore meets under at least one common leader.
-* The followers of a leader are compared in blocks of bounded size: Hamming distance of dense parity sketches
-  first, exact intersection next, and only pairs that are not connected yet. What leaves a block is a
-  spanning set of links, never all pairs.
+* The followers of a leader are compared in blocks of bounded size. A first pass has only dense parity sketches
+  and drops the followers whose Hamming distance to every other is above D; the second has the sets and takes
+  the exact intersection of pairs that are not connected yet. What leaves a block is a spanning set of links,
+  never all pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ BAND = 1.35
 SLACK = 0.12
 BLOCK = 1024
 KEYS_PER_BUCKET = 1_000_000
-DENSE_BITS = 2048
+LEAST_BITS, MOST_BITS = 512, 1 << 16
 
 
 def band_edges(largest: int) -> np.ndarray:
@@ -76,6 +77,33 @@ def _digest(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
+def dense_sketch(h: np.ndarray) -> bytes:
+    """Parity of the shingles in each of about 4 bits a shingle, packed; its halves XOR to the sketch of half as many bits."""
+    bits = LEAST_BITS
+    while bits < min(4 * len(h), MOST_BITS):
+        bits *= 2
+    return np.packbits(np.bincount((h >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def close_pairs(size: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, Hamming distance), x < y, of all pairs whose sizes and sketches allow a link."""
+    width = np.array([len(s) for s in sketches])
+    xs, ys, ds = [], [], []
+    for w in np.unique(width):
+        at = np.flatnonzero((width == w) | (width == 2 * w))
+        raw = [np.frombuffer(sketches[k], np.uint8) for k in at]
+        bits = np.unpackbits(np.stack([r if len(r) == w else r[:w] ^ r[w:] for r in raw]), axis=1).astype(np.float32)
+        ones = bits.sum(1)
+        far = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
+        n, own = size[at], width[at] == w
+        near = (far <= (n[:, None] + n[None, :]) // 9) & (5 * np.minimum(n[:, None], n[None, :]) >= 4 * np.maximum(n[:, None], n[None, :])) & (own[:, None] | own[None, :])
+        x, y = np.nonzero(np.triu(near, 1))
+        xs.append(at[x])
+        ys.append(at[y])
+        ds.append(far[x, y])
+    return np.concatenate(xs), np.concatenate(ys), np.concatenate(ds)
+
+
 def _short(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
@@ -85,9 +113,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             sets = [shingles(t) for t in b["text"]]
             names = [_digest(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "cls": names, "m": pd.array([None if x is None else _short(x) for x in names], "Int64")})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "cls": names, "m": pd.array([None if x is None else _short(x) for x in names], "Int64"), "sketch": [dense_sketch(s) if len(s) else None for s in sets]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, n_shingles long, cls binary, m long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, n_shingles long, cls binary, m long, sketch binary")
 
 
 def _blocks(docs: DataFrame, text_col: str, buckets: int, largest: int) -> DataFrame:
@@ -167,18 +195,9 @@ def spanning_links(names: list, sets: list[np.ndarray], side: np.ndarray, cross:
         return x
 
     size = np.array([len(s) for s in sets], np.int64)
-    if n <= 3:
-        pairs = [(x, y) for x in range(n) for y in range(x + 1, n)]
-    else:
-        bits = np.zeros((n, DENSE_BITS), np.float32)
-        for k, s in enumerate(sets):
-            bits[k] = np.bincount((s >> np.uint64(11)).astype(np.int64) & (DENSE_BITS - 1), minlength=DENSE_BITS) & 1
-        ones = bits.sum(1)
-        far = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
-        low, high = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
-        x, y = np.nonzero(np.triu((far <= (size[:, None] + size[None, :]) // 9) & (5 * low >= 4 * high), 1))
-        order = np.argsort(far[x, y], kind="stable")
-        pairs = zip(x[order].tolist(), y[order].tolist(), strict=True)
+    x, y, far = close_pairs(size, [dense_sketch(s) for s in sets])
+    order = np.argsort(far, kind="stable")
+    pairs = zip(x[order].tolist(), y[order].tolist(), strict=True)
     out = []
     for x, y in pairs:
         if cross and side[x] == side[y]:
@@ -190,14 +209,9 @@ def spanning_links(names: list, sets: list[np.ndarray], side: np.ndarray, cross:
     return out
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _by_group(batches: Iterator[pd.DataFrame], work: Callable[[pd.DataFrame], list[tuple]], columns: list[str]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by (r, i, j); a group may go on in the next batch."""
     held: pd.DataFrame | None = None
-
-    def links(g: pd.DataFrame) -> list[tuple]:
-        side = g["blk"].to_numpy()
-        return spanning_links(list(g["cls"]), [np.frombuffer(x, np.uint64) for x in g["hashes"]], side, bool(g["i"].iloc[0] != g["j"].iloc[0]))
-
     for b in batches:
         b = b if held is None else pd.concat([held, b], ignore_index=True)
         if b.empty:
@@ -205,11 +219,32 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = b[["r", "i", "j"]].to_numpy()
         change = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
         cuts = [0, *change.tolist()]
-        out = [x for s, e in zip(cuts, cuts[1:], strict=False) for x in links(b.iloc[s:e])]
+        out = [x for s, e in zip(cuts, cuts[1:], strict=False) for x in work(b.iloc[s:e])]
         held = b.iloc[cuts[-1] :]
-        yield pd.DataFrame(out, columns=["a", "b"])
+        yield pd.DataFrame(out, columns=columns)
     if held is not None:
-        yield pd.DataFrame(links(held), columns=["a", "b"])
+        yield pd.DataFrame(work(held), columns=columns)
+
+
+def _sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The followers that some other follower of the group may link with, by their sketches."""
+
+    def work(g: pd.DataFrame) -> list[tuple]:
+        side, cross = g["blk"].to_numpy(), g["i"].iloc[0] != g["j"].iloc[0]
+        x, y, _ = close_pairs(g["n"].to_numpy(), list(g["sketch"]))
+        if cross:
+            x, y = x[side[x] != side[y]], y[side[x] != side[y]]
+        cls, head = list(g["cls"]), (g["r"].iloc[0], g["i"].iloc[0], g["j"].iloc[0])
+        return [(*head, side[k], cls[k]) for k in np.unique(np.concatenate([x, y])).tolist()]
+
+    return _by_group(batches, work, ["r", "i", "j", "blk", "cls"])
+
+
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(g: pd.DataFrame) -> list[tuple]:
+        return spanning_links(list(g["cls"]), [np.frombuffer(x, np.uint64) for x in g["hashes"]], g["blk"].to_numpy(), bool(g["i"].iloc[0] != g["j"].iloc[0]))
+
+    return _by_group(batches, work, ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,12 +252,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents link when the Jaccard similarity of their shingle sets is 0.8 or more. A null or empty
     text has no shingles and links with nothing (its component is its own id). Repeated rows stay, each with
-    its class; a null doc_id takes part but never names a component unless a component has no other id
-    (then component_id is null). Other columns are ignored, whatever their names.
+    its class; a null doc_id never names a component, and a text that only rows without an id have links with
+    nothing (its component_id is null). Other columns are ignored, whatever their names.
     """
     rows = materialize(_classes(docs, id_col, text_col), "shingled")
     total, largest = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.max("n_shingles"), F.lit(1))).first()
-    classes = rows.where("cls is not null").groupBy("cls", "m").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_class"))
+    classes = rows.where("cls is not null").groupBy("cls", "m").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_class"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes, "classes")
     buckets = max(32, -(-int(total) * 6 // 10 // KEYS_PER_BUCKET))
     pairs = _blocks(docs, text_col, buckets, int(largest)).groupBy("bucket").applyInPandas(_leaders, "m long, r long").distinct()
     pairs = materialize(pairs, "leaders")
@@ -231,20 +267,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             sets = [shingles(t) for t in b["text"]]
             names = [_digest(s) for s in sets]
-            yield pd.DataFrame({"cls": names, "m": [_short(x) for x in names], "hashes": [s.tobytes() for s in sets]}).drop_duplicates("cls")
+            yield pd.DataFrame({"cls": names, "hashes": [s.tobytes() for s in sets]}).drop_duplicates("cls")
 
     follow = pairs.union(pairs.select("r", "r").distinct())
     sizes = follow.groupBy("r").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = follow.join(sizes, "r").withColumn("blk", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("r", "m", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-    wanted = classes.join(pairs.select("m").union(pairs.select("r")).distinct(), "m", "left_semi").select(F.col("first_id").alias("doc_id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(wanted.where("doc_id is not null"), "doc_id", "left_semi")
-    sets = texts.mapInPandas(features, "cls binary, m long, hashes binary")
-    ready = placed.join(sets, "m").select("r", "i", "j", "blk", "cls", "hashes")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    links = ready.repartition(n, "r", "i", "j").sortWithinPartitions("r", "i", "j").mapInPandas(_compare, "a binary, b binary")
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    grouped = lambda d: d.repartition(spread, "r", "i", "j").sortWithinPartitions("r", "i", "j")
+    light = placed.join(classes.select("m", "cls", "n", "sketch"), "m").select("r", "i", "j", "blk", "cls", "n", "sketch")
+    left = materialize(grouped(light).mapInPandas(_sift, "r long, i int, j int, blk int, cls binary"), "sifted")
+    wanted = classes.join(left.select("cls").distinct(), "cls", "left_semi").select(F.col("first_id").alias("doc_id")).where("doc_id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(wanted, "doc_id", "left_semi")
+    sets = texts.mapInPandas(features, "cls binary, hashes binary")
+    links = grouped(left.join(sets, "cls").select("r", "i", "j", "blk", "cls", "hashes")).mapInPandas(_compare, "a binary, b binary")
     joined = components(links.select(F.hex("a").alias("a"), F.hex("b").alias("b")))
-    found = classes.withColumn("node", F.hex("cls")).join(joined, "node", "left").select("cls", "first_id", "n_class", F.coalesce("label", "node").alias("label"))
+    found = classes.select("cls", "first_id", "n_class").withColumn("node", F.hex("cls")).join(joined, "node", "left").select("cls", "first_id", "n_class", F.coalesce("label", "node").alias("label"))
     lowest = found.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = found.join(lowest, "label").select("cls", "component_id", "n_class")
     known = rows.where("cls is not null").join(named, "cls").select("doc_id", "n_shingles", "component_id", "n_class")
