@@ -62,14 +62,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item_text")).where("item_id is not null and item_text is not null").distinct()
     items = items.withColumn("it", template_tokens(F.col("item_text")))
-    wins = items.select("item_id", F.explode(F.array_distinct(windows(F.col("it")))).alias("h")).distinct()
+    wins = items.select("item_id", F.explode_outer(F.array_distinct(windows(F.col("it")))).alias("h")).where("h is not null").distinct()
     sizes = wins.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     few = wins.count() <= SMALL
     near = (lambda d: F.broadcast(d)) if few else (lambda d: d)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     tokens = rows.select("doc_id", template_tokens(F.col("text")).alias("tokens"))
-    held = tokens.select("doc_id", F.explode(F.array_distinct(windows(F.col("tokens")))).alias("h"))
+    # explode_outer: for a plain explode the optimizer would test the array for emptiness first, below, and there it
+    # would put the tokens' expression into the lambda and tokenise once for each window
+    held = tokens.select("doc_id", F.explode_outer(F.array_distinct(windows(F.col("tokens")))).alias("h"))
     hits = held.join(near(wins), "h").groupBy("doc_id", "item_id").agg(F.size(F.collect_set("h")).cast("long").alias("hits"))
     found = hits.join(near(sizes), "item_id").where(F.col("hits") >= contained * F.col("n_windows"))
 
@@ -80,8 +82,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pair = with_slots.join(texts, "doc_id").select("doc_id", "item_id", raw_tokens(F.col("item_text")).alias("ir"), raw_tokens(F.col("text")).alias("dr"))
     plain = lambda c: F.transform(c, lambda x: F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(F.lower(x)))
     pair = pair.withColumns({"iw": windows(plain(F.col("ir"))), "dw": windows(plain(F.col("dr")))})
-    each = pair.select("doc_id", "item_id", "ir", "dr", "dw", F.posexplode("iw").alias("p", "h")).withColumn("q", F.array_position("dw", F.col("h")) - 1).where("q >= 0")
-    slots = each.select("doc_id", "item_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(F.get(F.col("ir"), F.col("p") + k).alias("a"), F.get(F.col("dr"), (F.col("q") + k).cast("int")).alias("b")))).alias("s"))
+    each = pair.select("doc_id", "item_id", "ir", "dr", "dw", F.posexplode_outer("iw").alias("p", "h")).withColumn("q", F.array_position("dw", F.col("h")) - 1).where("q >= 0")
+    slots = each.select("doc_id", "item_id", F.explode_outer(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(F.get(F.col("ir"), F.col("p") + k).alias("a"), F.get(F.col("dr"), (F.col("q") + k).cast("int")).alias("b")))).alias("s"))
     slots = slots.where(F.col("s.a").isNotNull() & F.col("s.b").isNotNull() & _is_slot(F.col("s.a"))).select("doc_id", "item_id", "s.a", "s.b").distinct()
     by_value = slots.groupBy("doc_id", "item_id", "a").agg(F.count("*").alias("values"), F.max((F.col("a") != F.col("b")).cast("int")).alias("other"))
     checked = by_value.groupBy("doc_id", "item_id").agg(F.avg((F.col("values") == 1).cast("double")).alias("consistent"), (F.max("other") > 0).alias("reparameterised"))
