@@ -16,11 +16,15 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return words.where("term is not null").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
+def _equals(word: str):
+    return lambda x: x == word
+
+
 def bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of documents with a term; only the terms' postings are kept, lengths come from the token count."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), tokens.alias("_t"))
-    hits = rows.select("id", F.size("_t").alias("len"), *[F.size(F.filter("_t", lambda x, w=w: x == w)).alias(f"t{i}") for i, w in enumerate(terms)])
+    hits = rows.select("id", F.size("_t").alias("len"), *[F.size(F.filter("_t", _equals(w))).alias(f"t{i}") for i, w in enumerate(terms)])
     stats = hits.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -38,19 +42,20 @@ def diversify(hits: DataFrame, kind: str, limit: int) -> DataFrame:
     return round_robin(best, kind, [F.desc("score"), F.col("id")], [F.desc("best"), F.col(kind)]).limit(limit)
 
 
-def trigrams(text: Column) -> Column:
-    up = F.upper(text)
-    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(up, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+def trigram_index(files: DataFrame, path: str, text: Column) -> DataFrame:
+    """(path, trigram): the distinct three-character windows of each upper-cased text."""
+    chars = files.select(path, F.split(F.upper(text), "").alias("c"))
+    grams = F.transform(F.slice("c", 1, F.greatest(F.size("c") - 2, F.lit(0))), lambda x, i: F.concat(x, F.get("c", i + 1), F.get("c", i + 2)))
+    # explode_outer keeps the optimizer from testing the array below, where the split would run once a character
+    return chars.select(path, F.explode_outer(F.array_distinct(grams)).alias("trigram")).where("trigram is not null")
 
 
 def trigram_candidates(files: DataFrame, path: str, text: Column, query: str) -> DataFrame:
     """Paths whose text has every trigram of the query; all paths for a query of under three characters."""
-    q = query.upper()
-    wanted = sorted({q[i : i + 3] for i in range(len(q) - 2)})
-    if not wanted:
-        return files.select(path)
-    grams = files.select(path, F.explode_outer(trigrams(text)).alias("g")).where(F.col("g").isin(wanted))
-    return grams.groupBy(path).agg(F.count_distinct("g").alias("n")).where(F.col("n") == len(wanted)).select(path)
+    q, held = query.upper(), F.lit(True)
+    for g in sorted({q[i : i + 3] for i in range(len(q) - 2)}):
+        held = held & F.contains(F.col("_up"), F.lit(g))
+    return files.select(path, F.upper(text).alias("_up")).where(held).select(path)
 
 
 def search_lines(files: DataFrame, path: str, text: Column, query: str, limit: int, preview: int = 500) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import graph_queries, table_queries, text_queries
+
+QUERIES = graph_queries.QUERIES | text_queries.QUERIES | table_queries.QUERIES
+ORACLE: dict[str, str] = graph_queries.ORACLE | text_queries.ORACLE | table_queries.ORACLE
