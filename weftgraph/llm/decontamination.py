@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WINDOW = 5
 CONTAINED = 0.8
 AGREE = 0.8
@@ -79,9 +81,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     slotted = items.where(F.exists("it", _is_slot)).select("item_id", "item_text")
     with_slots = found.join(near(slotted), "item_id").select("doc_id", "item_id", "item_text")
     texts = rows.join(with_slots.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
-    pair = with_slots.join(texts, "doc_id").select("doc_id", "item_id", raw_tokens(F.col("item_text")).alias("ir"), raw_tokens(F.col("text")).alias("dr"))
     plain = lambda c: F.transform(c, lambda x: F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(F.lower(x)))
-    pair = pair.withColumns({"iw": windows(plain(F.col("ir"))), "dw": windows(plain(F.col("dr")))})
+    pair = with_slots.join(texts, "doc_id").select("doc_id", "item_id", raw_tokens(F.col("item_text")).alias("ir"), raw_tokens(F.col("text")).alias("dr"))
+    # written, because pushed-down filters would put the tokens' expressions into the windows' lambdas
+    pair = materialize(pair.withColumns({"ip": plain(F.col("ir")), "dp": plain(F.col("dr"))}), "slots")
+    pair = pair.withColumns({"iw": windows(F.col("ip")), "dw": windows(F.col("dp"))})
     each = pair.select("doc_id", "item_id", "ir", "dr", "dw", F.posexplode_outer("iw").alias("p", "h")).withColumn("q", F.array_position("dw", F.col("h")) - 1).where("q >= 0")
     slots = each.select("doc_id", "item_id", F.explode_outer(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(F.get(F.col("ir"), F.col("p") + k).alias("a"), F.get(F.col("dr"), (F.col("q") + k).cast("int")).alias("b")))).alias("s"))
     slots = slots.where(F.col("s.a").isNotNull() & F.col("s.b").isNotNull() & _is_slot(F.col("s.a"))).select("doc_id", "item_id", "s.a", "s.b").distinct()
