@@ -6,35 +6,41 @@ the bucket is the tuple of their values. A query visits its own bucket and PROBE
 estimated success: the sum over the changed functions of the squared distance to the bucket's edge, smallest
 first. Each bucket's exact best K by inner product on the original vectors are merged over buckets and tables.
 
-The width w, and the number of probes that reach RECALL on it, are fitted on a bounded sample (SAMPLE vectors);
-every vector is indexed. Buckets split into blocks of BLOCK members and BLOCK queries, so a hot bucket is many
-tasks; a block's product is one small matrix product.
+The width w, the number of functions a table has (one of HASHES) and the number of probes that reach RECALL are
+fitted on a bounded sample (SAMPLE vectors), for the least work at the size of the whole table: rows compared, and
+SHIP times the query vectors sent to buckets. Vectors without structure need few, large buckets; clustered ones
+many. Every vector is indexed. Buckets split into blocks of members and of queries, so a hot bucket is many tasks;
+a block's product is one small matrix product.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.window import Window as W
 
 from .common import materialize
 
 K = 20
 TABLES = 2
-HASHES = 4
+HASHES = (2, 4, 6)
 SAMPLE = 3000
 RECALL = 0.97
-BLOCK = 2048
-PROBE_STEPS = (8, 16, 24, 32, 48, 64, 96, 128, 192, 256)
+SHIP = 2000
+BLOCK_VALUES = 1 << 19
+PROBE_STEPS = (1, 2, 4, 6, 9, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 
 
-def _functions(dim: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def _functions(dim: int, hashes: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.normal(size=(TABLES, HASHES, dim)), rng.random((TABLES, HASHES))
+    return rng.normal(size=(TABLES, hashes, dim)), rng.random((TABLES, hashes))
 
 
 def _augment(x: np.ndarray, most: float) -> np.ndarray:
@@ -42,8 +48,12 @@ def _augment(x: np.ndarray, most: float) -> np.ndarray:
 
 
 def _buckets(x: np.ndarray, a: np.ndarray, b: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """(rows, tables, hashes) integer slots, and the place within the slot."""
-    return np.einsum("nd,thd->nth", x, a) / width + b
+    """(rows, tables, hashes) places on the functions' lines; the slot is the integer part."""
+    return (x @ a.reshape(-1, a.shape[2]).T).reshape(len(x), *a.shape[:2]) / width + b
+
+
+def _matrix(vectors: Iterable) -> np.ndarray:
+    return np.array([np.asarray(v, float) for v in vectors])
 
 
 def probes(place: np.ndarray, count: int) -> list[tuple[int, ...]]:
@@ -70,27 +80,47 @@ def probes(place: np.ndarray, count: int) -> list[tuple[int, ...]]:
     return out
 
 
-def _fit(sample: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, int]:
-    """Widths of the functions (about three slots over the sample's spread), and the probes that reach RECALL on the sample."""
-    spread = np.einsum("nd,thd->nth", sample, a).std(0)
-    width = np.maximum(spread * 1.6, 1e-12)
-    place = _buckets(sample, a, b, width)
-    slot = np.floor(place).astype(int)
+@dataclass
+class Index:
+    """Functions, their offsets and widths, and the probes a query makes in each table."""
+
+    a: np.ndarray
+    b: np.ndarray
+    width: np.ndarray
+    count: int
+
+
+def _ranks(place: np.ndarray, slot: np.ndarray, q: int) -> np.ndarray:
+    """(tables, rows): the probe at which query row q meets each row in each table, past all probes if none does."""
+    out = np.empty(slot.shape[1::-1], int)
+    for t in range(slot.shape[1]):
+        order = {p: i for i, p in enumerate(probes(place[q, t] - slot[q, t], PROBE_STEPS[-1]))}
+        moves, at = np.unique(slot[:, t] - slot[q, t], axis=0, return_inverse=True)
+        out[t] = np.array([order.get(tuple(m), PROBE_STEPS[-1]) for m in moves.tolist()])[at.ravel()]
+    return out
+
+
+def fit_index(sample: np.ndarray, rows: int, k: int) -> Index:
+    """The cheapest index for `rows` rows that reaches RECALL on the sample, or the one that finds most if none does."""
     asked = np.arange(0, len(sample), max(1, len(sample) // 150))
     near = np.argsort(-(sample[asked] @ sample.T), axis=1)[:, : k + 1]
-    for count in PROBE_STEPS:
-        got = total = 0
-        for q, row in zip(asked, near, strict=True):
-            found = np.zeros(len(sample), bool)
-            for t in range(len(a)):
-                keys = {tuple(slot[q, t] + np.array(p)) for p in probes(place[q, t] - slot[q, t], count)}
-                row_slots = slot[row, t]
-                found[row] |= [tuple(s) in keys for s in row_slots]
-            got += found[row].sum()
-            total += len(row)
-        if got >= RECALL * total:
-            break
-    return width, count
+    fitted = []
+    for hashes in HASHES:
+        a, b = _functions(sample.shape[1], hashes)
+        width = np.maximum((sample @ a.reshape(-1, a.shape[2]).T).std(0).reshape(a.shape[:2]) * 1.6, 1e-12)
+        place = _buckets(sample, a, b, width)
+        slot = np.floor(place).astype(int)
+        found, met = np.zeros((len(asked), len(PROBE_STEPS))), np.zeros((len(asked), len(PROBE_STEPS)))
+        for i, q in enumerate(asked):
+            ranks = _ranks(place, slot, q)
+            first = ranks.min(0)
+            for j, count in enumerate(PROBE_STEPS):
+                found[i, j], met[i, j] = (first[near[i]] < count).mean(), (ranks < count).mean() * TABLES
+        recall = found.mean(0)
+        j = int(np.argmax(recall >= min(RECALL, recall[-1])))
+        work = met.mean(0)[j] * rows + SHIP * TABLES * PROBE_STEPS[j]
+        fitted.append((-min(recall[j], RECALL), work, hashes, Index(a, b, width, PROBE_STEPS[j])))
+    return min(fitted, key=lambda f: f[:3])[3]
 
 
 def nearest(vectors: DataFrame, is_query: object, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -101,22 +131,26 @@ def nearest(vectors: DataFrame, is_query: object, k: int = K, id_col: str = "vec
     go to the smaller id, repeated rows (same id and vector) count once. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("vec_id is not null and v is not null")
+    kind = "array<float>" if vectors.schema[vector_col].dataType == ArrayType(FloatType(), True) else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("vec_id is not null and v is not null")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id", "v"])
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm")).orderBy(F.desc("n"), "dim").first()
+    rows = materialize(rows, "vectors")
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("norm")).orderBy(F.desc("n"), "dim").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, most = sizes["dim"], float(np.sqrt(sizes["norm"]))
     rows = rows.where(F.size("v") == dim)
     got = rows.withColumn("at", F.xxhash64("vec_id")).orderBy("at", "vec_id").limit(SAMPLE).select("v").collect()
-    a, b = _functions(dim + 1)
-    width, count = _fit(_augment(np.array([r["v"] for r in got]), most), a, b, k)
+    fitted = fit_index(_augment(_matrix([r["v"] for r in got]), most), sizes["n"], k)
+    a, b, width, count = fitted.a, fitted.b, fitted.width, fitted.count
+    # a block's vectors as doubles: 4 MB, whatever their length
+    block = max(64, BLOCK_VALUES // dim)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if p.empty:
                 continue
-            x = np.stack(p["v"].to_list())
+            x = _matrix(p["v"])
             slot = np.floor(_buckets(_augment(x, most), a, b, width)).astype(int)
             for t in range(TABLES):
                 yield pd.DataFrame({"bucket": [f"{t}:" + ",".join(map(str, s)) for s in slot[:, t]], "vec_id": p["vec_id"], "v": p["v"]})
@@ -125,16 +159,16 @@ def nearest(vectors: DataFrame, is_query: object, k: int = K, id_col: str = "vec
         for p in batches:
             if p.empty:
                 continue
-            place = _buckets(_augment(np.stack(p["v"].to_list()), most), a, b, width)
+            place = _buckets(_augment(_matrix(p["v"]), most), a, b, width)
             slot = np.floor(place).astype(int)
             for i, (vec_id, v) in enumerate(zip(p["vec_id"], p["v"], strict=True)):
                 names = [f"{t}:" + ",".join(map(str, slot[i, t] + np.array(m))) for t in range(TABLES) for m in probes(place[i, t] - slot[i, t], count)]
                 yield pd.DataFrame({"bucket": names, "query_id": vec_id, "v": [v] * len(names)})
 
-    members = rows.select("vec_id", "v").mapInPandas(index, "bucket string, vec_id long, v array<double>")
-    counts = materialize(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m")), "buckets")
-    asked = rows.where("q").select("vec_id", "v").mapInPandas(visit, "bucket string, query_id long, v array<double>").join(counts, "bucket")
-    asked_counts = asked.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    members = rows.select("vec_id", "v").mapInPandas(index, f"bucket string, vec_id long, v {kind}")
+    counts = materialize(members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("m")), "buckets")
+    asked = rows.where("q").select("vec_id", "v").mapInPandas(visit, f"bucket string, query_id long, v {kind}").join(counts, "bucket")
+    asked_counts = asked.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
     left = members.join(counts, "bucket").join(asked_counts, "bucket").withColumn("i", F.pmod(F.xxhash64("vec_id"), F.col("m")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("bucket", "i", "j", "vec_id", "v")
     right = asked.join(asked_counts, "bucket").withColumn("j", F.pmod(F.xxhash64("query_id"), F.col("n")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("bucket", "i", "j", "query_id", "v")
 
@@ -142,7 +176,7 @@ def nearest(vectors: DataFrame, is_query: object, k: int = K, id_col: str = "vec
         if c.empty or q.empty:
             return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
         c = c.sort_values("vec_id", kind="stable")
-        ids, x, y = c["vec_id"].to_numpy(), np.stack(c["v"].to_list()), np.stack(q["v"].to_list())
+        ids, x, y = c["vec_id"].to_numpy(), _matrix(c["v"]), _matrix(q["v"])
         out = []
         for s in range(0, len(q), 256):
             dots = y[s : s + 256] @ x.T
@@ -159,6 +193,5 @@ def nearest(vectors: DataFrame, is_query: object, k: int = K, id_col: str = "vec
     found = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(best, "query_id long, ids array<long>, scores array<double>")
     each = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
     one = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("low"), F.col("vec_id"))))
-    top = one.groupBy("query_id").agg(F.slice(order, 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.low")).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
