@@ -160,3 +160,25 @@ def communities(edges: DataFrame) -> DataFrame:
         return pd.DataFrame([(n, name[c]) for n, c in of.items()], columns=["id", "community"])
 
     return grouped.groupBy("label").applyInPandas(run, "id string, community string")
+
+
+def expand(edges: DataFrame, seeds: DataFrame, depth: int = 3, budget: int = 80, per_node: int = 20, decay: float = 0.85, types: list[str] | None = None) -> DataFrame:
+    """(id, depth, score): nodes around scored seeds (id, score), best first, at most `budget` of them.
+
+    Layer by layer, each node offers its per_node strongest neighbours its own score times decay. New nodes are
+    taken by the best center's score, then that center's id and the neighbour's rank, while the budget lasts. A
+    seed keeps its score. With types given, only such edges are walked (the backbone chase).
+    """
+    best = seeds.where("id is not null").groupBy("id").agg(F.max("score").cast("double").alias("score"))
+    seen = materialize(best.orderBy(F.desc("score"), "id").limit(budget).select("id", F.lit(0).alias("depth"), "score"), "expand")
+    layer = seen
+    for step in range(1, depth + 1):
+        left = budget - seen.count()
+        if left <= 0:
+            break
+        offers = neighbors(edges, layer, per_node, types).join(F.broadcast(layer.select(F.col("id").alias("center"), "score")), "center")
+        place = F.struct((-F.col("score")).alias("low"), F.col("center"), F.col("rank"))
+        new = offers.groupBy(F.col("neighbor").alias("id")).agg(F.min(place).alias("at")).join(F.broadcast(seen.select("id")), "id", "left_anti")
+        layer = materialize(new.orderBy("at", "id").limit(left).select("id", F.lit(step).alias("depth"), (-F.col("at.low") * decay).alias("score")), "expand")
+        seen = seen.unionByName(layer)
+    return seen
