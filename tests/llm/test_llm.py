@@ -149,6 +149,22 @@ def test_toxicity_rows(spark, docs):
     assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs.limit(0), labels.limit(0))).where("toxic").count() == 0
 
 
+def test_toxicity_of_rare_forms(spark):
+    """Toxic words of the smaller language are forms of one stem, each in a few rows only; held-out rows are flagged."""
+    rnd = random.Random(5)
+    ends = ["".join(x) for x in itertools.product("aeiou", "lmnrst", "aeiou")]
+    rows = []
+    for i in range(2400):
+        toxic, small = i % 10 == 0, i % 4 == 0
+        text = [("z" if small else "q") + rnd.choice(ends) + rnd.choice(ends) for _ in range(30)]
+        rows.append((i, " ".join([*text, *(["vilestem" + rnd.choice(ends) for _ in range(3)] if small else ["scum"]) * toxic]), int(toxic), small))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int, small boolean")
+    model = toxicity.fit_toxicity(table.select("doc_id", "text"), table.where("doc_id < 1800").select("doc_id", "toxic"))
+    got = toxicity.score_toxicity(table.where("doc_id >= 1800"), model).select("doc_id", F.col("toxic").alias("flag")).join(table, "doc_id")
+    said = {(r["small"], r["toxic"]): (r["n"], r["flagged"]) for r in got.groupBy("small", "toxic").agg(F.count("*").alias("n"), F.count_if("flag").alias("flagged")).collect()}
+    assert all(said[small, 1][1] >= 0.95 * said[small, 1][0] and said[small, 0][1] <= 0.02 * said[small, 0][0] for small in (True, False)), said
+
+
 def test_pii_rules_and_crf(spark, docs):
     t = "mail a.b@x.example.com, ip 10.0.0.1 and 300.1.1.1, card 4111 1111 1111 1111, call +1 (578) 555-6437."
     kinds = [(k, t[s:e]) for s, e, k in pii.base_spans(t)]

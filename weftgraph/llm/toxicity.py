@@ -2,9 +2,10 @@
 
 P(grade >= j) = sigmoid(w.x - theta_j): one weight vector for all thresholds, thresholds in order, so a document
 has one latent severity and grade probabilities that never cross. Features are the distinct lower-cased words of
-the whole text, hashed to FEATURES places. The fit is full-batch gradient descent (Adam) with weight decay on a
-bounded sample: SAMPLE labelled rows, those with the smallest hash of their id. Words in fewer than LEAST_ROWS
-sampled rows (in small samples, one in a hundred), or with a score test under SCREEN, get no weight. The output is the grade probabilities' expected severity, the likeliest grade, and a
+the whole text and their beginnings (PREFIXES letters), hashed to FEATURES places: a stem's many forms share weight.
+The fit is full-batch gradient descent (Adam) with weight decay on a bounded sample: SAMPLE labelled rows, those with
+the smallest hash of their id. No feature is left out for being rare; each is scaled by its score test z, to
+z^2 / (z^2 + DOUBT^2), which makes the decay strong where the grades speak little for it. The output is the grade probabilities' expected severity, the likeliest grade, and a
 flag: the severity is above that of all but CLEAN_LOSS of the lowest-grade rows in a quarter of the sample, which
 the fit does not see.
 """
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 FEATURES = 1 << 18
 SAMPLE = 12_000
-LEAST_ROWS = 20
-SCREEN = 6.0
+PREFIXES = (3, 4, 5, 6)
+DOUBT = 4.0
 STEPS = 150
 RATE = 0.1
 DECAY = 1e-3
@@ -40,6 +41,11 @@ def place(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % FEATURES
 
 
+def word_places(word: str) -> tuple[int, ...]:
+    """The features of a word: itself and its beginnings; the star tells a beginning from a word."""
+    return (place(word), *[place(word[:n] + "*") for n in PREFIXES if len(word) > n])
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -70,16 +76,13 @@ def fit_ordinal(features: list[np.ndarray], grades: list[int]) -> OrdinalModel:
         return OrdinalModel(levels, np.zeros(FEATURES), np.zeros(0))
     y = np.searchsorted(levels, grades)
     n, cuts = len(y), len(levels) - 1
-    row, col = np.repeat(np.arange(n), [len(f) for f in features]), np.concatenate(features)
-    often = np.bincount(col, minlength=FEATURES) >= max(4, min(LEAST_ROWS, n // 100))
-    # score test at zero weights: words whose rows' grades are no further from the mean than chance would have it get no weight
-    off = y - y.mean()
+    row, col = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features]), np.concatenate(features)
     rows_of = np.bincount(col, minlength=FEATURES)
-    z = np.abs(np.bincount(col, off[row], FEATURES)) / np.sqrt(np.maximum(rows_of, 1) * max(y.var(), 1e-12))
-    often &= z >= SCREEN if (often & (z >= SCREEN)).any() else z >= np.sort(z[often])[-100:].min(initial=np.inf)
-    keep = often[col]
-    row, col = row[keep], col[keep]
-    used, col = np.unique(col, return_inverse=True)
+    used = np.flatnonzero(rows_of)
+    col = (np.cumsum(rows_of > 0) - 1)[col].astype(np.int32)
+    # score test at zero weights: how far the grades of a feature's rows are from the mean, in chance's own deviations
+    z2 = np.bincount(col, (y - y.mean())[row], len(used)) ** 2 / (rows_of[used] * max(y.var(), 1e-12))
+    scale = z2 / (z2 + DOUBT**2)
     target = (y[:, None] > np.arange(cuts)[None, :]).astype(float)
     share = np.clip(target.mean(0), 1e-3, 1 - 1e-3)
     first, gaps = -np.log(share[0] / (1 - share[0])), np.full(max(0, cuts - 1), 0.5)
@@ -87,7 +90,7 @@ def fit_ordinal(features: list[np.ndarray], grades: list[int]) -> OrdinalModel:
     m, v = np.zeros(len(x)), np.zeros(len(x))
     for t in range(1, STEPS + 1):
         w, theta = x[: len(used)], x[len(used)] + np.concatenate([[0], np.cumsum(np.exp(x[len(used) + 1 :]))])
-        latent = np.bincount(row, w[col], n)
+        latent = np.bincount(row, (w * scale)[col], n)
         above = _sigmoid(latent[:, None] - theta[None, :])
         # likelihood of the grade's cell: the difference of two neighbouring curves
         edge = np.hstack([np.ones((n, 1)), above, np.zeros((n, 1))])
@@ -99,11 +102,11 @@ def fit_ordinal(features: list[np.ndarray], grades: list[int]) -> OrdinalModel:
         np.add.at(g_theta, y[y > 0] - 1, (slope[at, y] / cell)[y > 0])
         np.add.at(g_theta, y[y < cuts], -(slope[at, y + 1] / cell)[y < cuts])
         tail = np.cumsum(g_theta[::-1])[::-1]
-        g = np.concatenate([np.bincount(col, g_latent[row], len(used)) + DECAY * n * w, [tail[0]], tail[1:] * np.exp(x[len(used) + 1 :])]) / n
+        g = np.concatenate([np.bincount(col, g_latent[row], len(used)) * scale + DECAY * n * w, [tail[0]], tail[1:] * np.exp(x[len(used) + 1 :])]) / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x = x - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * (1 if t < STEPS * 2 // 3 else 0.3)
     weights = np.zeros(FEATURES)
-    weights[used] = x[: len(used)]
+    weights[used] = x[: len(used)] * scale
     return OrdinalModel(levels, weights, x[len(used)] + np.concatenate([[0], np.cumsum(np.exp(x[len(used) + 1 :]))]))
 
 
@@ -115,7 +118,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [np.unique(np.array([place(w) for w in words(t)], np.int32)).tobytes() for t in b["text"]]
+            sets = [np.unique(np.array([p for w in words(t) for p in word_places(w)], np.int32)).tobytes() for t in b["text"]]
             yield pd.DataFrame({"at": b["at"], "grade": b["grade"], "f": sets})
 
     got = sorted(rows.select("at", "grade", "text").mapInPandas(features, "at long, grade int, f binary").collect(), key=lambda r: (r["at"], r["grade"], bytes(r["f"])))
@@ -135,30 +138,24 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     severity is the expected grade. A null or empty text has no features and keeps the thresholds' prior.
     Repeated rows repeat; other columns are ignored, whatever their names.
     """
-    used = np.flatnonzero(model.weights)
-    table = dict(zip(used.tolist(), model.weights[used].tolist(), strict=True))
-    shared = docs.sparkSession.sparkContext.broadcast((table, model.grades, model.thresholds, model.flag))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.grades, model.thresholds, model.flag))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight, grades, thresholds, flag = shared.value
         small = OrdinalModel(grades, np.zeros(0), thresholds)
-        memo: dict[str, float] = {}
+        memo: dict[str, tuple[int, ...]] = {}
         for b in batches:
             latent = np.zeros(len(b))
             for i, t in enumerate(b["text"]):
-                total = 0.0
                 seen: set[int] = set()
                 for w in words(t):
                     x = memo.get(w)
                     if x is None:
-                        x = memo[w] = weight.get(place(w), 0.0)
-                    if x:
-                        p = place(w)
-                        if p not in seen:
-                            seen.add(p)
-                            total += x
-                latent[i] = total
-                if len(memo) > 300_000:
+                        x = memo[w] = word_places(w)
+                    seen.update(x)
+                # summed in the places' order, as in the fit
+                latent[i] = weight[np.sort(np.fromiter(seen, np.int64, len(seen)))].sum()
+                if len(memo) > 200_000:
                     memo.clear()
             severity, grade = small.severity(latent)
             yield pd.DataFrame({"doc_id": b["doc_id"], "severity": np.round(severity, 6), "grade": grade, "toxic": severity > flag})
