@@ -213,6 +213,18 @@ def test_decontamination_slots(spark):
     assert got == {(1, 1): True, (2, 1): False}
 
 
+def test_decontamination_repeated_windows(spark):
+    """Items whose windows occur more than once, and a whole item behind a part of a like one."""
+    run = "please continue the sequence 2, 4, 6, 8, 10, 12, 14, 16 and why does it go on so"
+    prime = "Which is prime: 12, 15, 17, 21, 25, 27 or 33?"
+    shop = "in the shop we saw 12 red apples and then 5 green pears while 7 old men sold 9 eggs"
+    b = spark.createDataFrame([(1, run), (2, prime), (3, shop)], "item_id long, text string")
+    part = "in the shop we saw 80 red apples and then 60 green pears while nobody came. "
+    d = spark.createDataFrame([(1, "look: " + run), (2, prime), (3, part + shop), (4, run.replace("2, 4", "3, 5"))], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontamination.contaminated(d, b).collect()}
+    assert got == {(1, 1): False, (2, 2): False, (3, 3): False, (4, 1): True}
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = queries.op10_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").toPandas()

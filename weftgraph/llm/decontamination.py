@@ -4,7 +4,9 @@ A text becomes a template: numbers, units behind a number and capitalised names
 placeholders, everything else is lower-cased words. Benchmark items and documents meet by a hash join on their
 windows of WINDOW template tokens; a document that holds CONTAINED of an item's distinct windows is a candidate.
 Where the shared windows have slots, their values are checked: the same value in the item must go with the same
-value in the document, so a re-parameterised question counts and a chance likeness of templates does not.
+value in the document, so a re-parameterised question counts and a chance likeness of templates does not. A window
+is paired with its first place in the document; where that pairing fails or finds other values, every place counts:
+each offset between item and document is tried as the item's place, and one that holds the item is enough.
 """
 
 from __future__ import annotations
@@ -55,6 +57,41 @@ def windows(tokens: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(tokens) >= width, full).when(F.size(tokens) > 0, F.array(F.xxhash64(F.array_join(tokens, " "), F.lit(-1)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _slot_pairs(ir: Column, dr: Column, p: Column, q: Column) -> Column:
+    """(a, b) of each slot of the item's window at p and what stands there in the document's window at q."""
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(F.get(ir, (p + k).cast("int")).alias("a"), F.get(dr, (q + k).cast("int")).alias("b")))
+    return F.filter(pairs, lambda s: s["a"].isNotNull() & s["b"].isNotNull() & _is_slot(s["a"]))
+
+
+def _consistency(slots: DataFrame, *by: str) -> DataFrame:
+    """The share of the item's values that go with one value, and whether any goes with another than itself."""
+    by_value = slots.groupBy(*by, "a").agg(F.count("*").alias("values"), F.max((F.col("a") != F.col("b")).cast("int")).alias("other"))
+    return by_value.groupBy(*by).agg(F.avg((F.col("values") == 1).cast("double")).alias("consistent"), (F.max("other") > 0).alias("reparameterised"))
+
+
+def _aligned(pair: DataFrame, sizes: DataFrame, contained: float, agree: float) -> DataFrame:
+    """(doc_id, item_id, verbatim): pairs of which some place in the document holds the item with consistent slots.
+
+    Each offset at which a window of both meets is a place; a window counts there by its nearest occurrence, not
+    further off than the item is long, so that added or missing words do not end it. Offsets meet in bands of the
+    item's length, which keeps the work in proportion to the places found.
+    """
+    key = ["doc_id", "item_id", "t"]
+    own = pair.select(*key, F.posexplode("iw").alias("p", "h"))
+    there = pair.select(*key, F.posexplode("dw").alias("q", "h"))
+    met = own.join(there, [*key, "h"]).join(sizes, "item_id").withColumn("off", F.col("q") - F.col("p"))
+    met = materialize(met.withColumn("band", F.floor(F.col("off") / F.col("n_windows"))), "meetings")
+    places = met.select(*key, "band", F.col("off").alias("place")).distinct()
+    around = met.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    far = F.abs(F.col("off") - F.col("place"))
+    best = around.join(places, [*key, "band"]).where(far <= F.col("n_windows")).groupBy(*key, "place", "n_windows", "p", "h").agg(F.min_by("q", F.struct(far, "off")).alias("q"))
+    enough = best.groupBy(*key, "place", "n_windows").agg(F.collect_set("h").alias("hs"), F.collect_list(F.struct("p", "q")).alias("at")).where(F.size("hs") >= contained * F.col("n_windows"))
+    slots = enough.select(*key, "place", "at").join(pair.select(*key, "ir", "dr"), key)
+    slots = slots.select(*key, "place", F.explode(F.array_distinct(F.flatten(F.transform("at", lambda x: _slot_pairs(F.col("ir"), F.col("dr"), x["p"], x["q"]))))).alias("s")).select(*key, "place", "s.a", "s.b")
+    held = _consistency(slots, *key, "place").where(F.col("consistent") >= agree)
+    return held.groupBy("doc_id", "item_id").agg(F.max(~F.col("reparameterised")).alias("verbatim"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", contained: float = CONTAINED, agree: float = AGREE) -> DataFrame:
     """(doc_id, item_id, hits, n_windows, reparameterised): a row for each document that holds a benchmark item.
 
@@ -82,14 +119,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     with_slots = found.join(near(slotted), "item_id").select("doc_id", "item_id", "item_text")
     texts = rows.join(with_slots.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
     plain = lambda c: F.transform(c, lambda x: F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(F.lower(x)))
-    pair = with_slots.join(texts, "doc_id").select("doc_id", "item_id", raw_tokens(F.col("item_text")).alias("ir"), raw_tokens(F.col("text")).alias("dr"))
+    pair = with_slots.join(texts, "doc_id").select("doc_id", "item_id", F.xxhash64("item_text", "text").alias("t"), raw_tokens(F.col("item_text")).alias("ir"), raw_tokens(F.col("text")).alias("dr"))
     # written, because pushed-down filters would put the tokens' expressions into the windows' lambdas
     pair = materialize(pair.withColumns({"ip": plain(F.col("ir")), "dp": plain(F.col("dr"))}), "slots")
     pair = pair.withColumns({"iw": windows(F.col("ip")), "dw": windows(F.col("dp"))})
     each = pair.select("doc_id", "item_id", "ir", "dr", "dw", F.posexplode_outer("iw").alias("p", "h")).withColumn("q", F.array_position("dw", F.col("h")) - 1).where("q >= 0")
-    slots = each.select("doc_id", "item_id", F.explode_outer(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(F.get(F.col("ir"), F.col("p") + k).alias("a"), F.get(F.col("dr"), (F.col("q") + k).cast("int")).alias("b")))).alias("s"))
-    slots = slots.where(F.col("s.a").isNotNull() & F.col("s.b").isNotNull() & _is_slot(F.col("s.a"))).select("doc_id", "item_id", "s.a", "s.b").distinct()
-    by_value = slots.groupBy("doc_id", "item_id", "a").agg(F.count("*").alias("values"), F.max((F.col("a") != F.col("b")).cast("int")).alias("other"))
-    checked = by_value.groupBy("doc_id", "item_id").agg(F.avg((F.col("values") == 1).cast("double")).alias("consistent"), (F.max("other") > 0).alias("reparameterised"))
-    out = found.join(checked, ["doc_id", "item_id"], "left").where(F.coalesce("consistent", F.lit(1.0)) >= agree)
-    return out.select("doc_id", "item_id", "hits", "n_windows", F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"))
+    slots = each.select("doc_id", "item_id", F.explode_outer(_slot_pairs(F.col("ir"), F.col("dr"), F.col("p"), F.col("q"))).alias("s"))
+    slots = slots.where(F.col("s").isNotNull()).select("doc_id", "item_id", "s.a", "s.b").distinct()
+    checked = materialize(_consistency(slots, "doc_id", "item_id"), "checked")
+    unsure = checked.where((F.col("consistent") < agree) | F.col("reparameterised")).select("doc_id", "item_id")
+    places = _aligned(materialize(pair.join(unsure, ["doc_id", "item_id"], "left_semi"), "unsure"), near(sizes), contained, agree)
+    out = found.join(checked, ["doc_id", "item_id"], "left").join(places, ["doc_id", "item_id"], "left").where((F.coalesce("consistent", F.lit(1.0)) >= agree) | F.col("verbatim").isNotNull())
+    return out.select("doc_id", "item_id", "hits", "n_windows", F.coalesce(~F.col("verbatim"), "reparameterised", F.lit(False)).alias("reparameterised"))
