@@ -206,6 +206,21 @@ def test_licenses(spark, docs):
     assert license_scan.scan_licenses(docs).count() == 0
 
 
+def test_licenses_inside_lines_and_over_lines():
+    """Exact notices at the end of a line of prose, behind a copyright line, wrapped over comment lines, and beside others."""
+    prose = "This folder has the tables of the river survey and the notes which our group took down on the boats. "
+    mit = dict(license_scan.TEMPLATES[3:4])["MIT"].split()
+    wrapped = "\n".join("# " + " ".join(mit[i : i + 11]) for i in range(0, len(mit), 11))
+    s = license_scan.Scanner()
+    held = lambda t: [(t[a:b].strip(), m[0], m[2]) for _, a, b, m in s.notices(t)]
+    assert held(prose + "Released under the MIT License.") == [("Released under the MIT License.", "MIT", 0)]
+    assert [h[1:] for h in held("Copyright 2019-2024 The River Survey Group and the many people who helped it, all rights reserved")] == [("Proprietary", 0)]
+    assert held(prose + "Licensed under the Apache License, Version 2.0. Thanks!") == [("Licensed under the Apache License, Version 2.0.", "Apache-2.0", 0)]
+    assert held("x = 1\n" + wrapped + "\ny = 2") == [(wrapped, "MIT", 0)]
+    assert [h[1] for h in held("All rights reserved.\nReleased under the MIT License.")] == ["Proprietary", "MIT"]
+    assert held(prose) == held("") == []
+
+
 def test_decontamination_slots(spark):
     b = spark.createDataFrame([(1, "In the shop Anna has 12 apples and gives 5 apples to Bert then how many of the 12 remain"), (2, None), (3, "")], "item_id long, text string")
     d = spark.createDataFrame([(1, "x y. In the shop Carl has 70 apples and gives 3 apples to Dora then how many of the 70 remain okay", 1), (2, "In the shop Anna has 12 apples and gives 5 apples to Bert then how many of the 12 remain", 1), (3, "nothing of the kind is in this text at all", 1), (4, None, 1), (5, "", 1), (None, "x", 1)], "doc_id long, text string, item_id int")

@@ -1,15 +1,19 @@
 """License scan by conditional compression.
 
-Lines that speak of licences (a cue word) are candidate blocks; a long line is cut at sentence ends. Each is compressed with zstandard
-alone and with each template as a raw-content dictionary; the relative size reduction says how much of the block
-the template already holds. The BEST templates by reduction are confirmed by exact wording: the words that have to
+A text is cut at line and sentence ends. Runs of adjoining pieces that speak of licences (a cue word) and have enough of
+a template's words to differ from it in DIFFERENT of them are candidate blocks, so a notice may stand inside a line of
+prose or be wrapped over lines. Each is compressed with zstandard alone and with each template as a raw-content
+dictionary; the size reduction says how much of the block the template already holds, and must reach LEAST_REDUCTION
+of what the template saves on its own text. The BEST templates by reduction are confirmed by exact wording: the words that have to
 be changed, added or left out for the block to hold the template, DIFFERENT of its words at most.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +23,6 @@ from pyspark.sql import functions as F
 BEST = 3
 DIFFERENT = 0.15
 LEAST_REDUCTION = 0.2
-LONG = 400
 # fixed values: licence notices and the licences they stand for
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -38,22 +41,19 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 # fixed values: stems of which a licence notice has one
 CUES = "licen[sc]|copyright|copyleft|rights reserved|redistribut|permission is hereby|creative commons|cc by|public domain|waived"
-_CUE = re.compile(CUES, re.I)
+_CUE = re.compile(CUES.replace(" ", r"\W+"), re.I)
 _TOKEN = re.compile(r"\w+(?:[.-]\w+)*")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 
 
-def candidates(text: str | None) -> Iterator[tuple[int, int, int, str]]:
-    """(line number, start, end, block) of each line or sentence with a cue; offsets in code points."""
-    if not text or not _CUE.search(text):
-        return
+def pieces(text: str) -> Iterator[tuple[int, int, int]]:
+    """(line number, start, end) of each sentence of each line; offsets in code points."""
     at = 0
     for n, line in enumerate(text.split("\n")):
-        if _CUE.search(line):
-            cuts = [0, *(m.end() for m in _SENTENCE.finditer(line)), len(line)] if len(line) > LONG else [0, len(line)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if _CUE.search(line[s:e]):
-                    yield n, at + s, at + e, line[s:e]
+        cuts = [0, *(m.end() for m in _SENTENCE.finditer(line)), len(line)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s < e:
+                yield n, at + s, at + e
         at += len(line) + 1
 
 
@@ -62,8 +62,18 @@ class Scanner:
         import zstandard
 
         self.templates = [(name, t, _TOKEN.findall(t.lower())) for name, t in templates]
+        # a confirmed window is no longer than this in words, so no run needs more between its first and last piece
+        self.longest = max((len(w) for _, _, w in self.templates), default=0) * (1 + DIFFERENT)
+        self.counts = [Counter(w) for _, _, w in self.templates]
+        self.holders: dict[str, list[int]] = {}
+        for i, c in enumerate(self.counts):
+            for w in c:
+                self.holders.setdefault(w, []).append(i)
+        self.memo: dict[str, tuple | None] = {}
         self.plain = zstandard.ZstdCompressor(level=9)
         self.given = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
+        sizes = [(len(self.plain.compress(t.encode())), len(c.compress(t.encode()))) for c, (_, t) in zip(self.given, templates, strict=True)]
+        self.saves = [max(1, alone - given) for alone, given in sizes]
 
     def differences(self, block: list[str], template: list[str]) -> int:
         """Words to change for the best window of the block to read as the template."""
@@ -75,19 +85,62 @@ class Scanner:
         same = sum(m.size for m in pieces)
         return max(len(template), inside) - same
 
-    def match(self, block: str) -> tuple[str, float, int] | None:
-        """(licence, reduction, differing words) of the confirmed template with fewest differences for its length."""
+    def match(self, block: str) -> tuple[str, float, int, int] | None:
+        """(licence, reduction, differing words, words of the template) of the confirmed template with fewest differences for its length."""
         raw = block.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
-        ranked = sorted(((1 - len(c.compress(raw)) / alone, -i) for i, c in enumerate(self.given)), reverse=True)[:BEST]
+        ranked = sorted((((alone - len(c.compress(raw))) / alone, -i) for i, c in enumerate(self.given)), reverse=True)[:BEST]
         words, found = _TOKEN.findall(block.lower()), []
         for reduction, i in ranked:
             name, _, template = self.templates[-i]
             wrong = self.differences(words, template)
-            if reduction >= LEAST_REDUCTION and wrong <= DIFFERENT * len(template):
-                found.append((wrong / len(template), -len(template), name, round(reduction, 6), wrong))
+            if reduction * alone >= LEAST_REDUCTION * self.saves[-i] and wrong <= DIFFERENT * len(template):
+                found.append((wrong / len(template), -len(template), name, round(reduction, 6), wrong, len(template)))
         return min(found)[2:] if found else None
 
+    def blocks(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """(line, start, end, words) of the runs of pieces that have a cue and may be within DIFFERENT of a template."""
+        cues = [m.start() for m in _CUE.finditer(text)]
+        if not cues:
+            return
+        cut = list(pieces(text))
+        words = [_TOKEN.findall(text[s:e].lower()) for _, s, e in cut]
+        has = [{i for w in set(ws) for i in self.holders.get(w, ())} for ws in words]
+        for i, (n, s, _) in enumerate(cut):
+            have = [0] * len(self.templates)
+            count, inside = Counter(), 0
+            for j in range(i, len(cut)):
+                if j > i + 1:
+                    inside += len(words[j - 1])
+                if inside > self.longest or not has[i]:
+                    break
+                for w in words[j]:
+                    count[w] += 1
+                    for t in self.holders.get(w, ()):
+                        have[t] += count[w] <= self.counts[t][w]
+                e = cut[j][2]
+                # both end pieces must have words of the template, else a shorter run serves as well
+                if any(have[t] >= (1 - DIFFERENT) * len(self.templates[t][2]) for t in has[i] & has[j]) and (k := bisect.bisect_left(cues, s)) < len(cues) and cues[k] < e:
+                    yield n, s, e, sum(map(len, words[i : j + 1]))
+
+    def notices(self, text: str | None) -> list[tuple[int, int, int, tuple[str, float, int]]]:
+        """(line, start, end, match) of the confirmed notices in order; of blocks that overlap the closest, then the shortest, stays."""
+        found = []
+        for n, s, e, size in self.blocks(text) if text else ():
+            block = text[s:e]
+            if block not in self.memo:
+                if len(self.memo) > 20_000:
+                    self.memo.clear()
+                self.memo[block] = self.match(block)
+            if self.memo[block]:
+                *match, length = self.memo[block]
+                found.append((match[2] / length, -length, size, s, e, n, tuple(match)))
+        taken: list[tuple[int, int, int, tuple[str, float, int]]] = []
+        for *_, s, e, n, match in sorted(found, key=lambda f: f[:5]):
+            if all(e <= a or s >= b for _, a, b, _ in taken):
+                taken.append((n, s, e, match))
+        return sorted(taken, key=lambda t: t[1])
+
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(doc_id, line, start, end, license, reduction, differing_words, exact): a row for each confirmed notice.
@@ -98,17 +151,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(templates)
-        memo: dict[str, tuple | None] = {}
         for b in batches:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                for n, s, e, block in candidates(text):
-                    if block not in memo:
-                        if len(memo) > 20_000:
-                            memo.clear()
-                        memo[block] = scanner.match(block)
-                    if memo[block]:
-                        out.append((doc_id, n, s, e, *memo[block], memo[block][2] == 0))
+                out += [(doc_id, n, s, e, *match, match[2] == 0) for n, s, e, match in scanner.notices(text)]
             frame = pd.DataFrame(out, columns=["doc_id", "line", "start", "end", "license", "reduction", "differing_words", "exact"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
