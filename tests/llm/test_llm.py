@@ -129,6 +129,20 @@ def test_ann(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_ann_fills_every_query(spark):
+    """Every query gets k neighbours or all candidates: small tables, and outliers whose buckets are empty."""
+    rng = np.random.default_rng(11)
+    for x in (rng.normal(size=(10, 16)), rng.normal(size=(20, 16)), np.vstack([rng.normal(size=(1, 16)) + 4 + rng.normal(size=(1500, 16)) * 0.05, -40 * rng.normal(size=(4, 16))])):
+        d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        asked = [0, 1, 2, 3, *range(len(x) - 4, len(x))]
+        got = ann.nearest(d, F.col("vec_id").isin(asked)).toPandas()
+        assert got.groupby("query_id").size().to_dict() == {q: min(20, len(x) - 1) for q in asked}
+        if len(x) <= 21:
+            for q in asked:
+                best = sorted((i for i in range(len(x)) if i != q), key=lambda i: -(x[i] @ x[q]))
+                assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == best
+
+
 def test_ordinal_four_grades():
     rng = np.random.default_rng(0)
     feats, grades = [], []

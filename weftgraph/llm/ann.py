@@ -10,7 +10,8 @@ The width w, the number of functions a table has (one of HASHES) and the number
 fitted on a bounded sample (SAMPLE vectors), for the least work at the size of the whole table: rows compared, and
 SHIP times the query vectors sent to buckets. Vectors without structure need few, large buckets; clustered ones
 many. Every vector is indexed. Buckets split into blocks of members and of queries, so a hot bucket is many tasks;
-a block's product is one small matrix product.
+a block's product is one small matrix product. Queries whose buckets held fewer than K candidates (or than all there are)
+are compared exactly with all rows, in such blocks.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def fit_index(sample: np.ndarray, rows: int, k: int) -> Index:
 
 
 def nearest(vectors: DataFrame, is_query: object, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k candidates with the largest inner product found for each query.
+    """(query_id, rank, vec_id, score): the k candidates with the largest inner product found for each query; all candidates if there are fewer.
 
     Candidates are all rows but the query's own id. Vectors that are null, empty, all zero or hold null or
     non-finite components take no part, nor do null ids; vectors of another length than most take no part. Ties
@@ -165,13 +166,6 @@ def nearest(vectors: DataFrame, is_query: object, k: int = K, id_col: str = "vec
                 names = [f"{t}:" + ",".join(map(str, slot[i, t] + np.array(m))) for t in range(TABLES) for m in probes(place[i, t] - slot[i, t], count)]
                 yield pd.DataFrame({"bucket": names, "query_id": vec_id, "v": [v] * len(names)})
 
-    members = rows.select("vec_id", "v").mapInPandas(index, f"bucket string, vec_id long, v {kind}")
-    counts = materialize(members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("m")), "buckets")
-    asked = rows.where("q").select("vec_id", "v").mapInPandas(visit, f"bucket string, query_id long, v {kind}").join(counts, "bucket")
-    asked_counts = asked.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    left = members.join(counts, "bucket").join(asked_counts, "bucket").withColumn("i", F.pmod(F.xxhash64("vec_id"), F.col("m")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("bucket", "i", "j", "vec_id", "v")
-    right = asked.join(asked_counts, "bucket").withColumn("j", F.pmod(F.xxhash64("query_id"), F.col("n")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("bucket", "i", "j", "query_id", "v")
-
     def best(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if c.empty or q.empty:
             return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
@@ -190,8 +184,26 @@ def nearest(vectors: DataFrame, is_query: object, k: int = K, id_col: str = "vec
                 out.append((query, ids[ok][first].tolist(), score[first].tolist()))
         return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
-    found = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(best, "query_id long, ids array<long>, scores array<double>")
-    each = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
-    one = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def compared(members: DataFrame, asked: DataFrame) -> DataFrame:
+        """The k best of each query's buckets, ranked."""
+        counts = materialize(members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("m")), "buckets")
+        asked = asked.join(counts, "bucket")
+        asked_counts = asked.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+        left = members.join(counts, "bucket").join(asked_counts, "bucket").withColumn("i", F.pmod(F.xxhash64("vec_id"), F.col("m")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("bucket", "i", "j", "vec_id", "v")
+        right = asked.join(asked_counts, "bucket").withColumn("j", F.pmod(F.xxhash64("query_id"), F.col("n")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("bucket", "i", "j", "query_id", "v")
+        found = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(best, "query_id long, ids array<long>, scores array<double>")
+        each = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+        one = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    queries = rows.where("q").select("vec_id", "v")
+    probed = materialize(compared(rows.select("vec_id", "v").mapInPandas(index, f"bucket string, vec_id long, v {kind}"), queries.mapInPandas(visit, f"bucket string, query_id long, v {kind}")), "probed")
+    # queries that met fewer rows than they are due are held against all rows
+    due = min(k, rows.select("vec_id").distinct().count() - 1)
+    met = probed.groupBy("query_id").agg(F.count("*").alias("met"))
+    short = materialize(queries.select(F.col("vec_id").alias("query_id")).distinct().join(met, "query_id", "left").where(F.coalesce("met", F.lit(0)) < due).select("query_id"), "short")
+    if not short.limit(1).count():
+        return probed
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("v")).join(short, "query_id").select(F.lit("all").alias("bucket"), "query_id", "v")
+    return probed.join(short, "query_id", "left_anti").unionByName(compared(rows.select(F.lit("all").alias("bucket"), "vec_id", "v"), asked))
