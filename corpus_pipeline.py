@@ -23,10 +23,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that link, directly or by others, the one with the smallest id stays."""
-    found = ngram_join.near_duplicates(docs)
-    lead = found.where("doc_id = component_id").select(F.col("doc_id").alias("lead")).distinct()
-    return docs.join(lead, docs.doc_id == lead.lead, "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of documents that link, directly or by others, the one with the smallest id stays.
+
+    Rows are told apart by all their columns, so a null or repeated id takes no row out; null ids come last, rows
+    of one id in the order of their texts' hashes. Rows equal in all columns count once.
+    """
+    # a null passes a hash on unchanged, so where the nulls are is hashed too
+    key = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    keyed = docs.withColumn("_key", key)
+    found = ngram_join.near_duplicates(keyed, id_col="_key").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
+    order = keyed.select(F.col("_key").alias("_row"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("text"), F.col("_key").alias("row")).alias("_place"))
+    lead = order.join(found, "_row").groupBy("_group").agg(F.min("_place").alias("first")).select(F.col("first.row").alias("_key"))
+    return keyed.join(lead, "_key", "left_semi").select(docs.columns).dropDuplicates()
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

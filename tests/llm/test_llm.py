@@ -274,6 +274,17 @@ def test_against_sql(spark, name):
     assert key(a) == key(b)
 
 
+def test_pipeline_null_and_repeated_ids(spark):
+    """Near-duplicate removal keeps clean rows whose id is null or repeated, and one row of each group."""
+    import corpus_pipeline
+
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (5, text("c")), (5, text("d")), (7, text("e")), (3, text("e")), (None, text("e")), (9, text("f")), (9, text("f"))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
+    got = sorted(((r["doc_id"] or 0, r["text"][0]) for r in corpus_pipeline.remove_near_duplicates(spark, d, SF).collect()))
+    assert got == [(0, "a"), (0, "b"), (3, "e"), (5, "c"), (5, "d"), (9, "f")]
+
+
 def test_pipeline_against_stages(spark):
     import corpus_pipeline as c
 
