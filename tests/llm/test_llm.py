@@ -212,6 +212,17 @@ def test_html():
     assert html_text.main_text("<div>" + "plain text of some length here. " * 5 + "</div>").startswith("plain text")
 
 
+def test_html_open_heads_and_marks_inside():
+    """A head without an end tag, self-closed skipped elements, headings and sections whose names only look like menus."""
+    body = "Plain words of an article that go on for a while. " * 3
+    want = body.strip()
+    assert html_text.main_text(f"<html><head><title>t</title><body><article><p>{body}</p></article></body></html>") == want
+    assert html_text.main_text(f"<head><meta charset=x><article><p>{body}</p></article>") == want
+    assert html_text.main_text(f"<body><article><svg/><iframe src=x /><p>{body}</p></article>") == want
+    page = f"<article><div class='entry-header'><h1>One</h1></div><h2 id='search'>Two</h2><section id='related-work'><p>{body}</p></section><div class='share'>x</div></article>"
+    assert html_text.main_text(page) == f"One\n\nTwo\n\n{want}"
+
+
 def test_licenses(spark, docs):
     s = license_scan.Scanner()
     assert s.match("Licensed under the Apache License, Version 2.0.")[0] == "Apache-2.0"

@@ -32,6 +32,10 @@ CLOSES_P = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "t
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "alertdialog", "form"}
 MARKS = r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|menu|navbar|nav|navigation|breadcrumbs?|sidebar|side-bar|footer|header|masthead|toolbar|share|sharing|social|related|recommended|comments?|disqus|respond|reply|replies|pagination|pager|login|signup|search)(?:$|[\s_-])"
 _MARK = re.compile(MARKS, re.I)
+# inside an article a header is the article's own
+_INNER_MARK = re.compile(MARKS.replace("|header|masthead", ""), re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+IN_HEAD = {"html", "head", "title", "meta", "link", "base", "style", "script", "noscript", "template"}
 _SPACE = re.compile(r"\s+")
 
 
@@ -61,10 +65,15 @@ class _Blocks(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
             return True
+        if self.core:
+            return tag not in HEADINGS | {"article", "main"} and bool(_INNER_MARK.search(a.get("class", "")) or (tag != "section" and _INNER_MARK.search(a.get("id", ""))))
         return tag not in ("html", "body", "article", "main") and bool(_MARK.search(a.get("class", "")) or _MARK.search(a.get("id", "")))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        # a head without its end tag ends at the first element that can't be in one
+        if tag == "body" or (self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD):
+            self._close("head")
         if tag in CLOSES_P and any(t == "p" for t, _ in self.stack):
             self._close("p")
         if tag == "li" and any(t == "li" for t, _ in self.stack):
@@ -90,6 +99,8 @@ class _Blocks(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
+        if tag in SKIP:
+            self._close(tag)
 
     def _close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
