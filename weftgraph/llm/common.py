@@ -2,57 +2,56 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..operators.components import components
+from ..storage import materialize
+
+__all__ = ["WORD", "components", "documents", "hashed_sample", "map_batches", "materialize", "mix", "shingles", "small_side", "word_hashes"]
 
 #: The contract's word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A machine-local one is used only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
+def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+    """rows through `run`, which takes Arrow batches and gives columns by name (lists, numpy or Arrow arrays).
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Nothing passes through pandas, where a whole number beside a null would become a float and lose digits.
+    """
+    kind = to_arrow_schema(StructType.fromDDL(schema))
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in run(batches):
+            yield pa.RecordBatch.from_arrays([c[f.name] if isinstance(c[f.name], pa.Array) else pa.array(c[f.name], f.type) for f in kind], schema=kind)
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return rows.mapInArrow(each, schema)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b): one row per linked node, (node, label), label the smallest node reachable.
+def hashed_sample(rows: DataFrame, key: Column, size: int, count: int) -> DataFrame:
+    """At most `size` of `count` rows: of each key (a hash) one row, the keys smallest modulo 2^40.
 
-    Each round takes the smallest label around every node and then follows that label's own label, so
-    long chains halve; a round's table is written to the shared folder. Null ends and self links are ignored.
+    A threshold first leaves about size rows in all, so that no partition brings size rows of its own to the driver,
+    however often a row is repeated.
     """
-    ends = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = materialize(ends.union(ends.select("b", "a")).distinct(), "links")
-    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label"))
-    label = materialize(label, "labels")
-    while True:
-        near = both.join(label, both.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        jump = label.select(F.col("node").alias("at"), F.col("label").alias("up"))
-        best = label.join(near, "node").select("node", "label", F.least("label", "seen").alias("low"))
-        new = materialize(best.join(jump, best.low == jump["at"], "left").select("node", F.least("low", F.coalesce("up", "low")).alias("label"), (F.least("low", F.coalesce("up", "low")) != F.col("label")).alias("moved")), "labels")
-        moved = new.where("moved").limit(1).count()
-        label = new.select("node", "label")
-        if not moved:
-            return label
+    ring, at = 1 << 40, F.pmod(key, F.lit(1 << 40))
+    share = min(1.0, (1.1 * size + 300) / max(1, count))
+    return rows.withColumn("_at", at).where(F.col("_at") <= int(share * ring)).dropDuplicates(["_at"]).orderBy("_at").limit(size).drop("_at")
+
+
+def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """For a join: broadcast if the table has `most` rows at most, else left to a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 # --- 64-bit hashes of words and shingles, in numpy -------------------------------------------------

@@ -17,16 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import map_batches
+
 BUCKETS = 1 << 16
 DIM = 16
 EPOCHS = 6
 RATE = 0.5
 PER_LANGUAGE = 600
-MOST_LANGUAGES = 256
 REJECT = 0.001
 MOST_REJECT = 0.5
 SEGMENT = 1 << 20
@@ -126,10 +128,13 @@ def _train(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str],
 
 
 def fit_language_model(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Fit on at most per_language rows of each language among the trainable rows with a text and a language."""
+    """Fit on at most per_language rows of each language among the trainable rows with a text and a language.
+
+    Every language counts, however rare; the driver holds one number and BUCKETS logits for each.
+    """
     rows = docs.where(trainable) if trainable is not None else docs
     rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), 0.0)
@@ -164,13 +169,12 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], te
     repeat; other columns are left out, whatever their names.
     """
     fields = [docs.schema[c] for c in keep]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            got = [model.predict(t) for t in b["_text"]]
-            out = b.drop(columns=["_text"])
-            out["lang_pred"], out["score"], out["rejected"] = [x[0] for x in got], [x[1] for x in got], [x[2] for x in got]
-            yield out
+            got = [shared.value.predict(t) for t in b.column("_text").to_pylist()]
+            yield {f.name: b.column(f.name) for f in fields} | {"lang_pred": [x[0] for x in got], "score": [x[1] for x in got], "rejected": [x[2] for x in got]}
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double", "rejected boolean"])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInPandas(run, schema)
+    return map_batches(docs.select(*keep, F.col(text_col).cast("string").alias("_text")), run, schema)
