@@ -5,8 +5,8 @@ has one latent severity and grade probabilities that never cross. Features are t
 the whole text and their beginnings (PREFIXES letters), hashed to FEATURES places: a stem's many forms share weight.
 The fit is full-batch gradient descent (Adam) with weight decay on a bounded sample: SAMPLE labelled rows, those with
 the smallest hash of their id. No feature is left out for being rare; each is scaled by its score test z, to
-z^2 / (z^2 + DOUBT^2), which makes the decay strong where the grades speak little for it. The output is the grade probabilities' expected severity, the likeliest grade, and a
-flag: the severity is above that of all but CLEAN_LOSS of the lowest-grade rows in a quarter of the sample, which
+z^2 / (z^2 + DOUBT^2), which makes the decay strong where the grades speak little for it. The output is the grade
+probabilities' expected severity, the likeliest grade, and a flag: the severity is above that of all but CLEAN_LOSS of the lowest-grade rows in a quarter of the sample, which
 the fit does not see.
 """
 
@@ -19,9 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample, map_batches
+
 FEATURES = 1 << 18
 SAMPLE = 12_000
 PREFIXES = (3, 4, 5, 6)
@@ -111,9 +114,12 @@ def fit_ordinal(features: list[np.ndarray], grades: list[int]) -> OrdinalModel:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", sample: int = SAMPLE) -> OrdinalModel:
-    """Fit on at most `sample` labelled rows; null grades and texts take no part."""
+    """Fit on at most `sample` labelled rows; null grades and texts take no part.
+
+    The sampled ids, of which there are `sample` at most, are broadcast; no text is shuffled.
+    """
     graded = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(grade_col).cast("int").alias("grade")).where("doc_id is not null and grade is not null")
-    few = graded.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id", "grade").limit(sample)
+    few = F.broadcast(hashed_sample(graded.withColumn("at", F.xxhash64("doc_id", "grade")), F.col("at"), sample, graded.count()))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(few, "doc_id")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,13 +146,13 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.grades, model.thresholds, model.flag))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         weight, grades, thresholds, flag = shared.value
         small = OrdinalModel(grades, np.zeros(0), thresholds)
         memo: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            latent = np.zeros(len(b))
-            for i, t in enumerate(b["text"]):
+            latent = np.zeros(b.num_rows)
+            for i, t in enumerate(b.column("text").to_pylist()):
                 seen: set[int] = set()
                 for w in words(t):
                     x = memo.get(w)
@@ -158,7 +164,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
                 if len(memo) > 200_000:
                     memo.clear()
             severity, grade = small.severity(latent)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "severity": np.round(severity, 6), "grade": grade, "toxic": severity > flag})
+            yield {"doc_id": b.column("doc_id"), "severity": np.round(severity, 6), "grade": grade.astype(np.int32), "toxic": severity > flag}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, severity double, grade int, toxic boolean")
+    return map_batches(rows, run, "doc_id long, severity double, grade int, toxic boolean")
