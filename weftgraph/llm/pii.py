@@ -8,7 +8,8 @@ from loopy message passing, with the rules' words clamped. Words that reach ADD
 spans stay.
 
 The CRF is trained by pseudo-likelihood in numpy on SAMPLE documents (smallest hash of the text), labelled by the
-rules. All documents of an Arrow batch are one graph of disjoint parts, so a pass is a few array operations.
+rules; each labelled word also stands for a mention that the rules would miss, which is how skip links learn to carry
+a label to another spelling of the same number or address. All documents of an Arrow batch are one graph of disjoint parts, so a pass is a few array operations.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample, map_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 ADD = 0.9
@@ -35,10 +38,12 @@ _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_CANDIDATE = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_EDGE = re.compile(r"^[^\w@+(]+|[^\w)]+$")
+_FIRST = re.compile(r"[\w@+(]")
+_LAST = re.compile(r"[\w)]")
 
 
 def luhn(digits: str) -> bool:
@@ -68,7 +73,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
         at = text.find("@", max(at + 1, last if m else 0))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
                 out.append((m.start(), m.end(), "ip"))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
@@ -100,9 +105,14 @@ def _features(word: str) -> list[int]:
     return out
 
 
+def _bare(span: str) -> str:
+    """Another spelling of what a rule found: an address without its domain, else the digits alone."""
+    return span.partition("@")[0] + "@" if "@" in span else _NOT_DIGIT.sub("", span)
+
+
 @dataclass
 class Graph:
-    """Candidate words of documents: features, rule labels, chain and skip links (pairs of word numbers)."""
+    """Candidate words of documents: features, rule labels, chain and skip links (pairs of word numbers); the features of the bare spelling."""
 
     doc: list[int]
     start: list[int]
@@ -111,6 +121,19 @@ class Graph:
     label: list[int]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    bare: list[list[int]] = field(default_factory=list)
+
+
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """The word without punctuation at its ends; a + or ( stays in front, a ) behind."""
+    first = _FIRST.search(text, start, end)
+    if not first:
+        return end, end
+    while not _LAST.match(text, end - 1):
+        end -= 1
+        if end <= first.start():
+            return end, end
+    return first.start(), end
 
 
 def build_graph(texts: list[str | None], bases: list[list[tuple[int, int, str]]]) -> Graph:
@@ -120,26 +143,27 @@ def build_graph(texts: list[str | None], bases: list[list[tuple[int, int, str]]]
             continue
         before, seen, k = -1, {}, 0
         for m in _WORD.finditer(text):
-            s, e = m.span()
-            word = _EDGE.sub("", m[0])
-            if not word:
+            s, e = trimmed(text, *m.span()) if _CANDIDATE.search(m[0]) else (0, 0)
+            if s >= e:
                 continue
-            off = m[0].find(word)
-            s, e = s + off, s + off + len(word)
+            word = text[s:e]
             while k < len(spans) and spans[k][1] <= s:
                 k += 1
-            label = next((LABELS.index(x[2]) for x in spans[k : k + 4] if x[0] < e and s < x[1]), 0)
+            own = next((x for x in spans[k : k + 4] if x[0] < e and s < x[1]), None)
+            label = LABELS.index(own[2]) if own else 0
             n = len(g.doc)
             g.doc.append(d)
             g.start.append(s)
             g.end.append(e)
             g.features.append(_features(word))
             g.label.append(label)
+            g.bare.append(_features(_bare(text[own[0] : own[1]])) if own else [])
             if before >= 0 and s - g.end[before] <= 3:
                 g.chain.append((before, n))
             before = n
             digits = _NOT_DIGIT.sub("", word)
-            key = word.lower() if "@" in word else digits if len(digits) >= 7 else ""
+            name = word.partition("@")[0].lower()
+            key = (name if len(name) >= 5 else word.lower()) if "@" in word else digits[-7:] if len(digits) >= 7 else ""
             if key:
                 if key in seen:
                     g.skip.append((seen[key], n))
@@ -163,7 +187,12 @@ def _scores(g: Graph, crf: Crf) -> np.ndarray:
 
 
 def train_crf(g: Graph, steps: int = 200, rate: float = 0.1, decay: float = 1e-4) -> Crf:
-    """Pseudo-likelihood: each word's label given its neighbours' labels, by full-batch Adam."""
+    """Pseudo-likelihood: each word's label given its neighbours' labels, by full-batch Adam.
+
+    The rules label only what they can read, so a word without a label that a skip link ties to a labelled one is
+    unknown and has no term; in its place each labelled word has a second term as a mention that the rules miss:
+    the bare spelling of its span, one skip link to a mention of its own label.
+    """
     n, k = len(g.doc), len(LABELS)
     x = np.zeros((n, N_FEATURES + 3 * k))
     for i, f in enumerate(g.features):
@@ -175,6 +204,17 @@ def train_crf(g: Graph, steps: int = 200, rate: float = 0.1, decay: float = 1e-4
     for a, b in g.skip:
         x[a, N_FEATURES + 2 * k + label[b]] += 1
         x[b, N_FEATURES + 2 * k + label[a]] += 1
+    unknown = np.zeros(n, bool)
+    for a, b in g.skip:
+        unknown[a] |= label[a] == 0 and label[b] > 0
+        unknown[b] |= label[b] == 0 and label[a] > 0
+    known = np.flatnonzero(label) if g.bare else np.zeros(0, int)
+    missed = np.zeros((len(known), x.shape[1]))
+    for i, word in enumerate(known):
+        missed[i, g.bare[word]] = 1
+        missed[i, N_FEATURES + 2 * k + label[word]] = 1
+    x, label = np.vstack([x[~unknown], missed]), np.concatenate([label[~unknown], label[known]])
+    n = len(label)
     w = np.zeros((x.shape[1], k))
     m, v = np.zeros_like(w), np.zeros_like(w)
     y = np.eye(k)[label]
@@ -241,8 +281,8 @@ def find_spans(texts: list[str | None], crf: Crf) -> tuple[list[list[tuple[int,
 def fit_pii(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Crf:
     """Train on at most `sample` texts with a digit or an `@`."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("at", F.xxhash64("text"))
-    texts = [r["text"] for r in rows.orderBy("at").limit(sample).collect()]
+    rows = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]"))
+    texts = [r["text"] for r in hashed_sample(rows, F.xxhash64("text"), sample, rows.count()).collect()]
     return train_crf(build_graph(texts, [base_spans(t) for t in texts]))
 
 
@@ -253,14 +293,14 @@ def detect_pii(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str
     points. Repeated rows repeat; other columns are ignored, whatever their names.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            bases, spans = find_spans(b["text"].tolist(), crf)
+            bases, spans = find_spans(b.column("text").to_pylist(), crf)
             counts = {f"n_{k}": [sum(s[2] == k for s in x) for x in bases] for k in KINDS}
-            yield pd.DataFrame({"doc_id": b["doc_id"], **counts, "base_sha256": [hashlib.sha256(joined(x).encode()).hexdigest() for x in bases], "spans": [joined(x) for x in spans]})
+            yield {"doc_id": b.column("doc_id"), **counts, "base_sha256": [hashlib.sha256(joined(x).encode()).hexdigest() for x in bases], "spans": [joined(x) for x in spans]}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_batches(rows, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
@@ -276,13 +316,14 @@ def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 
 
 def redact_pii(docs: DataFrame, crf: Crf, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """docs with every found span replaced in the text (and its length renewed); all columns and rows stay."""
+    """docs with every found span replaced in the text (and its length renewed); all columns and rows stay as they are."""
+    names = docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            _, spans = find_spans(b[text_col].tolist(), crf)
-            b[text_col] = [redact(t, s) for t, s in zip(b[text_col], spans, strict=True)]
-            yield b
+            texts = b.column(text_col).to_pylist()
+            _, spans = find_spans(texts, crf)
+            yield {c: b.column(c) for c in names} | {text_col: [redact(t, s) for t, s in zip(texts, spans, strict=True)]}
 
-    out = docs.mapInPandas(run, docs.schema)
+    out = map_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
