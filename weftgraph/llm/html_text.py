@@ -12,14 +12,17 @@ over neighbouring lines that are not link lists.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 SIGMA = 1.0
 LEAST_RATIO = 10.0
 LINKED = 0.5
@@ -37,6 +40,7 @@ _INNER_MARK = re.compile(MARKS.replace("|header|masthead", ""), re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 IN_HEAD = {"html", "head", "title", "meta", "link", "base", "style", "script", "noscript", "template"}
 _SPACE = re.compile(r"\s+")
+_TAG = re.compile(r"<[A-Za-z/!?]")
 
 
 class _Blocks(HTMLParser):
@@ -45,6 +49,8 @@ class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool]] = []
+        self.open: Counter[str] = Counter()
+        self.items = [0]  # open list items by list, the innermost list last
         self.dead = self.core = self.links = 0
         self.blocks: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
@@ -74,15 +80,10 @@ class _Blocks(HTMLParser):
         # a head without its end tag ends at the first element that can't be in one
         if tag == "body" or (self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD):
             self._close("head")
-        if tag in CLOSES_P and any(t == "p" for t, _ in self.stack):
+        if tag in CLOSES_P and self.open["p"]:
             self._close("p")
-        if tag == "li" and any(t == "li" for t, _ in self.stack):
-            for t, _ in reversed(self.stack):
-                if t in ("ul", "ol"):
-                    break
-                if t == "li":
-                    self._close("li")
-                    break
+        if tag == "li" and self.items[-1]:
+            self._close("li")
         if tag in BLOCKS:
             self.flush()
         if tag == "br":
@@ -94,6 +95,10 @@ class _Blocks(HTMLParser):
             self.flush()
             self.dead += 1
         self.stack.append((tag, bad))
+        self.open[tag] += 1
+        if tag in ("ul", "ol"):
+            self.items.append(0)
+        self.items[-1] += tag == "li"
         self.core += tag in ("article", "main")
         self.links += tag == "a"
 
@@ -103,18 +108,18 @@ class _Blocks(HTMLParser):
             self._close(tag)
 
     def _close(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                break
-        else:
-            return
-        for t, bad in reversed(self.stack[k:]):
+        t = ""
+        while self.open[tag] and t != tag:
+            t, bad = self.stack.pop()
             if t in BLOCKS or bad:
                 self.flush()
             self.dead -= bad
             self.core -= t in ("article", "main")
             self.links -= t == "a"
-        del self.stack[k:]
+            self.open[t] -= 1
+            if t in ("ul", "ol"):
+                self.items.pop()
+            self.items[-1] -= t == "li"
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -122,6 +127,26 @@ class _Blocks(HTMLParser):
             self.flush()
         self._close(tag)
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """A comment without its end goes on to the end of the page."""
+        end = self.rawdata.find("-->", i + 2)
+        return end + 3 if end >= 0 else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Comments, the document type with its internal subset, marked sections and anything else behind <! are markup."""
+        page = self.rawdata
+        if page.startswith("<!--", i):
+            return self.parse_comment(i)
+        if page.startswith("<![CDATA[", i):
+            end = page.find("]]>", i)
+            return end + 3 if end >= 0 else len(page)
+        end = page.find(">", i)
+        inner = page.find("[", i, end) if page[i + 2 : i + 9].lower() == "doctype" else -1
+        if inner >= 0:
+            subset = re.compile(r"\]\s*>").search(page, inner)
+            end = subset.end() - 1 if subset else end
+        return end + 1 if end >= 0 else len(page)
+
     def handle_data(self, data: str) -> None:
         if not self.dead:
             self.text.append(data)
@@ -140,8 +165,10 @@ def main_text(html: str | None) -> str:
     """The page's content blocks, joined in page order by a blank line; empty if there is none."""
     if not html:
         return ""
+    # a tag that the page ends in is none; the parser would look for its end again from each of its characters
+    cut = _TAG.search(html, html.rfind(">") + 1)
     parser = _Blocks()
-    parser.feed(html)
+    parser.feed(html[: cut.start()] if cut else html)
     parser.close()
     parser.flush()
     blocks = parser.blocks
@@ -173,12 +200,10 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str,
     """
     fields = [pages.schema[c] for c in keep]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            text = [main_text(h) for h in b["_html"]]
-            out = b.drop(columns=["_html"])
-            out["text"], out["n_chars"] = text, [len(t) for t in text]
-            yield out
+            text = [main_text(h) for h in b.column("_html").to_pylist()]
+            yield {f.name: b.column(f.name) for f in fields} | {"text": text, "n_chars": [len(t) for t in text]}
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["text string", "n_chars long"])
-    return pages.select(*keep, F.col(html_col).cast("string").alias("_html")).mapInPandas(run, schema)
+    return map_batches(pages.select(*keep, F.col(html_col).cast("string").alias("_html")), run, schema)
