@@ -1,8 +1,9 @@
 """License scan by conditional compression.
 
-A text is cut at line and sentence ends. Runs of adjoining pieces that speak of licences (a cue word) and have enough of
-a template's words to differ from it in DIFFERENT of them are candidate blocks, so a notice may stand inside a line of
-prose or be wrapped over lines. Each is compressed with zstandard alone and with each template as a raw-content
+A text is cut at line and sentence ends. Runs of adjoining pieces that have enough of a template's words to differ from
+it in DIFFERENT of them are candidate blocks, so a notice may stand inside a line of prose or be wrapped over lines. A
+text goes to this step if it has a key word of some template: one more of its longest words than it may differ in, so
+that no text within DIFFERENT of the template is without one. Each is compressed with zstandard alone and with each template as a raw-content
 dictionary; the size reduction says how much of the block the template already holds, and must reach LEAST_REDUCTION
 of what the template saves on its own text. The BEST templates by reduction are confirmed by exact wording: the words that have to
 be changed, added or left out for the block to hold the template, DIFFERENT of its words at most.
@@ -16,10 +17,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 BEST = 3
 DIFFERENT = 0.15
 LEAST_REDUCTION = 0.2
@@ -39,9 +42,6 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 )
-# fixed values: stems of which a licence notice has one
-CUES = "licen[sc]|copyright|copyleft|rights reserved|redistribut|permission is hereby|creative commons|cc by|public domain|waived"
-_CUE = re.compile(CUES.replace(" ", r"\W+"), re.I)
 _TOKEN = re.compile(r"\w+(?:[.-]\w+)*")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 
@@ -69,6 +69,9 @@ class Scanner:
         for i, c in enumerate(self.counts):
             for w in c:
                 self.holders.setdefault(w, []).append(i)
+        # words that differ cost one each at least, so these can't all be absent
+        keys = {w for c, (_, _, ws) in zip(self.counts, self.templates, strict=True) for w in sorted(c, key=lambda w: (-len(w), w))[: int(DIFFERENT * len(ws)) + 1]}
+        self.key = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(keys))) + r")(?!\w)", re.I)
         self.memo: dict[str, tuple | None] = {}
         self.plain = zstandard.ZstdCompressor(level=9)
         self.given = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
@@ -99,9 +102,9 @@ class Scanner:
         return min(found)[2:] if found else None
 
     def blocks(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(line, start, end, words) of the runs of pieces that have a cue and may be within DIFFERENT of a template."""
-        cues = [m.start() for m in _CUE.finditer(text)]
-        if not cues:
+        """(line, start, end, words) of the runs of pieces that may be within DIFFERENT of a template."""
+        keys = [m.start() for m in self.key.finditer(text)]
+        if not keys:
             return
         cut = list(pieces(text))
         words = [_TOKEN.findall(text[s:e].lower()) for _, s, e in cut]
@@ -120,7 +123,7 @@ class Scanner:
                         have[t] += count[w] <= self.counts[t][w]
                 e = cut[j][2]
                 # both end pieces must have words of the template, else a shorter run serves as well
-                if any(have[t] >= (1 - DIFFERENT) * len(self.templates[t][2]) for t in has[i] & has[j]) and (k := bisect.bisect_left(cues, s)) < len(cues) and cues[k] < e:
+                if any(have[t] >= (1 - DIFFERENT) * len(self.templates[t][2]) for t in has[i] & has[j]) and (k := bisect.bisect_left(keys, s)) < len(keys) and keys[k] < e:
                     yield n, s, e, sum(map(len, words[i : j + 1]))
 
     def notices(self, text: str | None) -> list[tuple[int, int, int, tuple[str, float, int]]]:
@@ -149,15 +152,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names. Offsets are code points of the block.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("doc_id", "line", "start", "end", "license", "reduction", "differing_words", "exact")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         scanner = Scanner(templates)
         for b in batches:
             out = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 out += [(doc_id, n, s, e, *match, match[2] == 0) for n, s, e, match in scanner.notices(text)]
-            frame = pd.DataFrame(out, columns=["doc_id", "line", "start", "end", "license", "reduction", "differing_words", "exact"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield {c: [r[i] for r in out] for i, c in enumerate(names)}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, line int, start long, end long, license string, reduction double, differing_words int, exact boolean")
+    return map_batches(rows, run, "doc_id long, line int, start long, end long, license string, reduction double, differing_words int, exact boolean")
