@@ -6,7 +6,9 @@ windows of WINDOW template tokens; a document that holds CONTAINED of an item's
 Where the shared windows have slots, their values are checked: the same value in the item must go with the same
 value in the document, so a re-parameterised question counts and a chance likeness of templates does not. A window
 is paired with its first place in the document; where that pairing fails or finds other values, every place counts:
-each offset between item and document is tried as the item's place, and one that holds the item is enough.
+each offset between item and document is tried as the item's place, and one that holds the item is enough. An item
+of fewer template tokens than a window has no slots: its plain words must stand in the document in their order, at least
+LEAST_WORDS of them; a shorter item counts only as the whole text.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_side
 
 WINDOW = 5
 CONTAINED = 0.8
 AGREE = 0.8
+LEAST_WORDS = 3
 SMALL = 200_000
 NUMBER, UNIT, NAME, END = "\x02", "\x04", "\x05", "\x03"
 # fixed values: units of measure and money that may follow a number
@@ -92,6 +95,25 @@ def _aligned(pair: DataFrame, sizes: DataFrame, contained: float, agree: float)
     return held.groupBy("doc_id", "item_id").agg(F.max(~F.col("reparameterised")).alias("verbatim"))
 
 
+def plain_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def _run_of(n: int):
+    return lambda x, i: F.concat_ws(" ", F.slice(F.col("w"), i + 1, n))
+
+
+def _short(rows: DataFrame, short: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of items (item_id, item_text) too short for a window; `short` has few, their widths are at most WINDOW and what slots hold."""
+    items = short.select("item_id", plain_words(F.col("item_text")).alias("w")).select("item_id", F.size("w").alias("width"), F.array_join("w", " ").alias("words"))
+    widths = [r["width"] for r in items.where(F.col("width") >= LEAST_WORDS).select("width").distinct().collect()]
+    words = rows.select("doc_id", plain_words(F.col("text")).alias("w"))
+    runs = F.array(F.array_join("w", " "))
+    for n in sorted(widths):
+        runs = F.concat(runs, F.transform(F.slice("w", 1, F.greatest(F.size("w") - (n - 1), F.lit(0))), _run_of(n)))
+    return words.select("doc_id", F.explode_outer(F.array_distinct(runs)).alias("words")).join(small_side(items.where("width > 0")), "words").select("doc_id", "item_id").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", contained: float = CONTAINED, agree: float = AGREE) -> DataFrame:
     """(doc_id, item_id, hits, n_windows, reparameterised): a row for each document that holds a benchmark item.
 
@@ -101,6 +123,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item_text")).where("item_id is not null and item_text is not null").distinct()
     items = items.withColumn("it", template_tokens(F.col("item_text")))
+    short = materialize(items.where(F.size("it") < WINDOW).select("item_id", "item_text"), "short")
+    items = items.where(F.size("it") >= WINDOW)
     wins = items.select("item_id", F.explode_outer(F.array_distinct(windows(F.col("it")))).alias("h")).where("h is not null").distinct()
     sizes = wins.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     few = wins.count() <= SMALL
@@ -112,12 +136,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # would put the tokens' expression into the lambda and tokenise once for each window
     held = tokens.select("doc_id", F.explode_outer(F.array_distinct(windows(F.col("tokens")))).alias("h"))
     hits = held.join(near(wins), "h").groupBy("doc_id", "item_id").agg(F.size(F.collect_set("h")).cast("long").alias("hits"))
-    found = hits.join(near(sizes), "item_id").where(F.col("hits") >= contained * F.col("n_windows"))
+    found = materialize(hits.join(near(sizes), "item_id").where(F.col("hits") >= contained * F.col("n_windows")), "found")
 
     # slots: only candidates whose item has one
     slotted = items.where(F.exists("it", _is_slot)).select("item_id", "item_text")
     with_slots = found.join(near(slotted), "item_id").select("doc_id", "item_id", "item_text")
-    texts = rows.join(with_slots.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    texts = rows.join(small_side(with_slots.select("doc_id").distinct()), "doc_id", "left_semi").distinct()
     plain = lambda c: F.transform(c, lambda x: F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(F.lower(x)))
     pair = with_slots.join(texts, "doc_id").select("doc_id", "item_id", F.xxhash64("item_text", "text").alias("t"), raw_tokens(F.col("item_text")).alias("ir"), raw_tokens(F.col("text")).alias("dr"))
     # written, because pushed-down filters would put the tokens' expressions into the windows' lambdas
@@ -130,4 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     unsure = checked.where((F.col("consistent") < agree) | F.col("reparameterised")).select("doc_id", "item_id")
     places = _aligned(materialize(pair.join(unsure, ["doc_id", "item_id"], "left_semi"), "unsure"), near(sizes), contained, agree)
     out = found.join(checked, ["doc_id", "item_id"], "left").join(places, ["doc_id", "item_id"], "left").where((F.coalesce("consistent", F.lit(1.0)) >= agree) | F.col("verbatim").isNotNull())
-    return out.select("doc_id", "item_id", "hits", "n_windows", F.coalesce(~F.col("verbatim"), "reparameterised", F.lit(False)).alias("reparameterised"))
+    out = out.select("doc_id", "item_id", "hits", "n_windows", F.coalesce(~F.col("verbatim"), "reparameterised", F.lit(False)).alias("reparameterised"))
+    if not short.limit(1).count():
+        return out
+    return out.unionByName(_short(rows, short).select("doc_id", "item_id", F.lit(1).cast("long").alias("hits"), F.lit(1).cast("long").alias("n_windows"), F.lit(False).alias("reparameterised")))

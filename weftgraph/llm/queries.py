@@ -16,7 +16,7 @@ def _remainder(modulus: int) -> Column:
 
 
 def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.lattice_scores(documents(spark, sf_dir), _remainder(7) == 2)
+    return lm_scoring.lattice_scores(documents(spark, sf_dir), _remainder(7) == 2, class_col="lang")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,14 @@ _SLOT = "substr({x}, 1, 1) IN (chr(2), chr(4), chr(5))"
 DECONTAMINATION_SQL = rf"""
 WITH items AS (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-it AS (SELECT item_id, text, list_filter(string_split_regex(lower({_tagged_sql("text", False)}), '[^\p{{L}}\p{{N}}\x02\x04\x05]+'), lambda x: x <> '') AS t FROM items),
+it0 AS (SELECT item_id, text, list_filter(string_split_regex(lower({_tagged_sql("text", False)}), '[^\p{{L}}\p{{N}}\x02\x04\x05]+'), lambda x: x <> '') AS t FROM items),
+it AS (SELECT * FROM it0 WHERE len(t) >= 5),
+brief AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM it0 WHERE len(t) < 5),
+plain_docs AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM docs WHERE EXISTS (SELECT * FROM brief)),
+brief_found AS (
+  SELECT DISTINCT doc_id, item_id FROM plain_docs d, brief b
+  WHERE len(b.w) > 0 AND (array_to_string(d.w, ' ') = array_to_string(b.w, ' ') OR (len(b.w) >= {decontamination.LEAST_WORDS} AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')))
+),
 dt AS (SELECT doc_id, list_filter(string_split_regex(lower({_tagged_sql("text", False)}), '[^\p{{L}}\p{{N}}\x02\x04\x05]+'), lambda x: x <> '') AS t FROM docs),
 iw AS (SELECT DISTINCT item_id, unnest({_WINDOWS.format(t="t")}) AS h FROM it),
 dw AS (SELECT DISTINCT doc_id, unnest({_WINDOWS.format(t="t")}) AS h FROM dt),
@@ -148,7 +155,7 @@ found AS (
   SELECT doc_id, item_id, count(*) AS hits, any_value(n_windows) AS n_windows FROM dw JOIN iw USING (h) JOIN n USING (item_id)
   GROUP BY doc_id, item_id HAVING count(*) >= {decontamination.CONTAINED} * any_value(n_windows)
 ), pair AS (
-  SELECT f.doc_id, f.item_id, regexp_extract_all({_tagged_sql("it.text", True)}, '[\x02\x04\x05][^\x03]*\x03|[\p{{L}}\p{{N}}]+') AS ir,
+  SELECT f.doc_id, f.item_id, f.n_windows, md5(it.text || chr(0) || docs.text) AS t, regexp_extract_all({_tagged_sql("it.text", True)}, '[\x02\x04\x05][^\x03]*\x03|[\p{{L}}\p{{N}}]+') AS ir,
          regexp_extract_all({_tagged_sql("docs.text", True)}, '[\x02\x04\x05][^\x03]*\x03|[\p{{L}}\p{{N}}]+') AS dr
   FROM found f JOIN it USING (item_id) JOIN docs ON docs.doc_id = f.doc_id WHERE len(list_filter(it.t, lambda x: {_SLOT.format(x="x")})) > 0
 ), plain AS (
@@ -160,9 +167,26 @@ slots AS (
   SELECT DISTINCT doc_id, item_id, ir[p + k] AS a, dr[q + k] AS b FROM each_window, range(5) t(k)
   WHERE q IS NOT NULL AND q > 0 AND ir[p + k] IS NOT NULL AND dr[q + k] IS NOT NULL AND {_SLOT.format(x="ir[p + k]")}
 ), by_value AS (SELECT doc_id, item_id, a, count(*) AS vals, max(CASE WHEN a <> b THEN 1 ELSE 0 END) AS other FROM slots GROUP BY ALL),
-checked AS (SELECT doc_id, item_id, avg(CASE WHEN vals = 1 THEN 1.0 ELSE 0.0 END) AS consistent, max(other) > 0 AS reparameterised FROM by_value GROUP BY doc_id, item_id)
-SELECT f.doc_id, f.item_id, f.hits::BIGINT AS hits, f.n_windows::BIGINT AS n_windows, coalesce(c.reparameterised, false) AS reparameterised
-FROM found f LEFT JOIN checked c USING (doc_id, item_id) WHERE coalesce(c.consistent, 1.0) >= {decontamination.AGREE}
+checked AS (SELECT doc_id, item_id, avg(CASE WHEN vals = 1 THEN 1.0 ELSE 0.0 END) AS consistent, max(other) > 0 AS reparameterised FROM by_value GROUP BY doc_id, item_id),
+unsure AS (SELECT w.*, row_number() OVER () AS u FROM wins w JOIN checked c USING (doc_id, item_id) WHERE c.consistent < {decontamination.AGREE} OR c.reparameterised),
+own_places AS (SELECT u, p, iws[p] AS h FROM (SELECT u, iws, unnest(range(1, len(iws) + 1)) AS p FROM unsure)),
+doc_places AS (SELECT u, q, dws[q] AS h FROM (SELECT u, dws, unnest(range(1, len(dws) + 1)) AS q FROM unsure)),
+met AS (SELECT u, p, q, h, q - p AS off FROM own_places JOIN doc_places USING (u, h)),
+near AS (
+  SELECT m.u, pl.place, m.p, m.h, arg_min(m.q, (abs(m.off - pl.place), m.off)) AS q
+  FROM met m JOIN (SELECT DISTINCT u, off AS place FROM met) pl ON m.u = pl.u JOIN unsure s ON s.u = m.u
+  WHERE abs(m.off - pl.place) <= s.n_windows GROUP BY ALL
+), enough AS (SELECT n.u, n.place FROM near n JOIN unsure s ON s.u = n.u GROUP BY n.u, n.place, s.n_windows HAVING count(DISTINCT n.h) >= {decontamination.CONTAINED} * s.n_windows),
+place_slots AS (
+  SELECT DISTINCT n.u, n.place, s.ir[n.p + k] AS a, s.dr[n.q + k] AS b FROM near n JOIN enough USING (u, place) JOIN unsure s ON s.u = n.u, range(5) t(k)
+  WHERE s.ir[n.p + k] IS NOT NULL AND s.dr[n.q + k] IS NOT NULL AND {_SLOT.format(x="s.ir[n.p + k]")}
+), place_values AS (SELECT u, place, a, count(*) AS vals, max(CASE WHEN a <> b THEN 1 ELSE 0 END) AS other FROM place_slots GROUP BY ALL),
+place_checked AS (SELECT u, place, max(other) > 0 AS rep FROM place_values GROUP BY u, place HAVING avg(CASE WHEN vals = 1 THEN 1.0 ELSE 0.0 END) >= {decontamination.AGREE}),
+held AS (SELECT doc_id, item_id, bool_or(NOT rep) AS verbatim FROM place_checked JOIN unsure USING (u) GROUP BY doc_id, item_id)
+SELECT f.doc_id, f.item_id, f.hits::BIGINT AS hits, f.n_windows::BIGINT AS n_windows, coalesce(NOT h.verbatim, c.reparameterised, false) AS reparameterised
+FROM found f LEFT JOIN checked c USING (doc_id, item_id) LEFT JOIN held h USING (doc_id, item_id)
+WHERE coalesce(c.consistent, 1.0) >= {decontamination.AGREE} OR h.verbatim IS NOT NULL
+UNION ALL SELECT doc_id, item_id, 1, 1, false FROM brief_found
 """
 
 ORACLE: dict[str, str] = {
