@@ -10,11 +10,16 @@ least P - D parts of a linking pair agree (pigeonhole). A part is stored as the
 * A class drops its q = P - D - 1 least selective parts (fewest toggled bits, then by hash). The order is the
   same for everyone, so of the P - D agreeing parts the best one stays on both sides: no link is lost.
 * Part keys travel as packed blocks, a few bytes a key; a reducer names, for each key, its smallest class as
-  the leader. A linking pair therefore meets under at least one common leader.
-* The followers of a leader are compared in blocks of bounded size. A first pass has only dense parity sketches
-  and drops the followers whose Hamming distance to every other is above D; the second has the sets and takes
-  the exact intersection of pairs that are not connected yet. What leaves a block is a spanning set of links,
-  never all pairs.
+  the leader. A linking pair therefore meets under at least one common leader. A key that HOT_RUN classes of one
+  block share goes to its reducer once for the block, as its smallest class; the block's classes learn the leader
+  from that class afterwards, so a key of a third of all classes is no reducer's load.
+* The followers of a leader are compared in blocks of bounded size, with the leader in each. A first pass has only
+  dense parity sketches and drops the followers whose Hamming distance to every other is above D; the second has the
+  sets and takes the exact intersection of pairs that are not connected yet. What leaves a block is a spanning set of
+  links, never all pairs.
+* Where a leader has more than one block, only the followers outside its largest connected part go on: they are
+  compared with each other and with that part, block by block. A group of near copies that all reach the leader ends
+  after the first round, in proportion to its size; g followers of which u are left make about 2 u g / BLOCK rows more.
 """
 
 from __future__ import annotations
@@ -24,15 +29,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix, shingles
+from .common import components, map_batches, materialize, mix, shingles, small_side
 
 BAND = 1.35
 SLACK = 0.12
 BLOCK = 1024
 KEYS_PER_BUCKET = 1_000_000
+HOT_RUN = 128
+SLAB = 1024
 LEAST_BITS, MOST_BITS = 512, 1 << 16
 
 
@@ -92,9 +100,13 @@ def close_pairs(size: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np
     for w in np.unique(width):
         at = np.flatnonzero((width == w) | (width == 2 * w))
         raw = [np.frombuffer(sketches[k], np.uint8) for k in at]
-        bits = np.unpackbits(np.stack([r if len(r) == w else r[:w] ^ r[w:] for r in raw]), axis=1).astype(np.float32)
-        ones = bits.sum(1)
-        far = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
+        packed = np.stack([r if len(r) == w else r[:w] ^ r[w:] for r in raw])
+        ones, both = np.zeros(len(at), np.float32), np.zeros((len(at), len(at)), np.float32)
+        for k in range(0, w, SLAB):  # wide sketches by slabs, so that the unpacked bits stay small
+            bits = np.unpackbits(packed[:, k : k + SLAB], axis=1).astype(np.float32)
+            ones += bits.sum(1)
+            both += bits @ bits.T
+        far = ones[:, None] + ones[None, :] - 2 * both
         n, own = size[at], width[at] == w
         near = (far <= (n[:, None] + n[None, :]) // 9) & (5 * np.minimum(n[:, None], n[None, :]) >= 4 * np.maximum(n[:, None], n[None, :])) & (own[:, None] | own[None, :])
         x, y = np.nonzero(np.triu(near, 1))
@@ -109,18 +121,23 @@ def _short(digest: bytes) -> int:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            sets = [shingles(t) for t in b["text"]]
+            sets = [shingles(t) for t in b.column("text").to_pylist()]
             names = [_digest(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "cls": names, "m": pd.array([None if x is None else _short(x) for x in names], "Int64"), "sketch": [dense_sketch(s) if len(s) else None for s in sets]})
+            yield {"doc_id": b.column("doc_id"), "n_shingles": [len(s) for s in sets], "cls": names, "m": [None if x is None else _short(x) for x in names], "sketch": [dense_sketch(s) if len(s) else None for s in sets]}
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, n_shingles long, cls binary, m long, sketch binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(rows, run, "doc_id long, n_shingles long, cls binary, m long, sketch binary")
 
 
 def _blocks(docs: DataFrame, text_col: str, buckets: int, largest: int) -> DataFrame:
-    """Packed part keys by bucket: classes, and for each key its 40 bits and its class."""
+    """Packed part keys by bucket: classes, for each key its 40 bits and its class, and the places of shared runs' smallest classes.
+
+    Buckets below 0 hold the runs: the classes of a block that share a key; low has the key, high their smallest.
+    """
     edges = band_edges(largest)
+    columns = ["bucket", "ids", "low", "high", "local", "heads"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: dict[int, int] = {}
@@ -130,17 +147,26 @@ def _blocks(docs: DataFrame, text_col: str, buckets: int, largest: int) -> DataF
         def flush() -> pd.DataFrame:
             names = np.fromiter(ids, np.int64, len(ids))
             key, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
+            whole = ((key % np.uint64(buckets)) << np.uint64(40)) | ((key // np.uint64(buckets)) & np.uint64((1 << 40) - 1))
+            order = np.argsort(whole)
+            whole, owner = whole[order], owner[order]
+            start = np.concatenate(([0], np.flatnonzero(whole[1:] != whole[:-1]) + 1))
+            stop = np.append(start[1:], len(whole))
+            keep, head, rows = np.ones(len(whole), bool), np.zeros(len(whole), bool), []
+            for s, e in zip(start[stop - start >= HOT_RUN].tolist(), stop[stop - start >= HOT_RUN].tolist(), strict=True):
+                members = names[owner[s:e]]
+                least, keep[s:e] = s + int(members.argmin()), False
+                keep[least] = head[least] = True
+                rows.append((-1 - int((int(whole[s]) ^ int(members.min())) % (1 << 30)), members.tobytes(), whole[s : s + 1].tobytes(), members.min().tobytes(), None, None))
+            whole, owner, head = whole[keep], owner[keep], head[keep]
+            cut = np.searchsorted(whole >> np.uint64(40), np.arange(buckets + 1))
             for k in range(buckets):
                 if cut[k] < cut[k + 1]:
-                    at = order[cut[k] : cut[k + 1]]
+                    at = slice(cut[k], cut[k + 1])
                     used, local = np.unique(owner[at], return_inverse=True)
-                    rest = key[at] // np.uint64(buckets)
-                    rows.append((k, names[used].tobytes(), (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((rest >> np.uint64(32)) & np.uint64(255)).astype(np.uint8).tobytes(), local.astype(np.uint16).tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "ids", "low", "high", "local"])
+                    low, high = (whole[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((whole[at] >> np.uint64(32)) & np.uint64(255)).astype(np.uint8)
+                    rows.append((k, names[used].tobytes(), low.tobytes(), high.tobytes(), local.astype(np.uint16).tobytes(), np.flatnonzero(head[at]).astype(np.uint32).tobytes()))
+            return pd.DataFrame(rows, columns=columns)
 
         for b in batches:
             for t in b["text"]:
@@ -162,20 +188,34 @@ def _blocks(docs: DataFrame, text_col: str, buckets: int, largest: int) -> DataF
         if keys:
             yield flush()
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(run, "bucket int, ids binary, low binary, high binary, local binary")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(run, "bucket int, ids binary, low binary, high binary, local binary, heads binary")
 
 
 def _leaders(g: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: each class with the smallest class that shares a key with it, once for each such leader."""
-    name = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(x, np.uint16)] for i, x in zip(g["ids"], g["local"], strict=True)])
-    key = np.concatenate([np.frombuffer(x, np.uint32) for x in g["low"]]).astype(np.uint64) | (np.concatenate([np.frombuffer(x, np.uint8) for x in g["high"]]).astype(np.uint64) << np.uint64(32))
-    order = np.lexsort((name, key))
-    key, name = key[order], name[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    leader = name[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-    apart = leader != name
-    return pd.DataFrame({"m": name[apart], "r": leader[apart]}).drop_duplicates()
+    """(m, r, run, kind) of one bucket: each class with the smallest class that shares a key with it (kind 0).
+
+    Of a run: its classes with their smallest (kind 1), and that one with the key's leader (kind 2).
+    """
+    out = []
+    if g["bucket"].iloc[0] < 0:
+        out = [pd.DataFrame({"m": np.frombuffer(i, np.int64), "r": np.frombuffer(h, np.int64)[0], "run": np.frombuffer(k, np.int64)[0], "kind": 1}) for i, k, h in zip(g["ids"], g["low"], g["high"], strict=True)]
+    else:
+        name = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(x, np.uint16)] for i, x in zip(g["ids"], g["local"], strict=True)])
+        key = np.concatenate([np.frombuffer(x, np.uint32) for x in g["low"]]).astype(np.uint64) | (np.concatenate([np.frombuffer(x, np.uint8) for x in g["high"]]).astype(np.uint64) << np.uint64(32))
+        sizes = np.array([len(x) // 4 for x in g["low"]])
+        heads = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + at for x, at in zip(g["heads"], np.cumsum(sizes) - sizes, strict=True)])
+        is_head = np.zeros(len(key), bool)
+        is_head[heads] = True
+        order = np.lexsort((name, key))
+        key, name, is_head = key[order], name[order], is_head[order]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        leader = name[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+        apart = leader != name
+        out.append(pd.DataFrame({"m": name[apart], "r": leader[apart], "run": 0, "kind": 0}).drop_duplicates())
+        run = key[is_head].astype(np.int64) | (np.int64(g["bucket"].iloc[0]) << np.int64(40))
+        out.append(pd.DataFrame({"m": name[is_head], "r": leader[is_head], "run": run, "kind": 2}).drop_duplicates())
+    return pd.concat(out)
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -247,6 +287,26 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     return _by_group(batches, work, ["a", "b"])
 
 
+def _remaining(pairs: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(r, m, blk, i, j): what is left to compare of the large groups after their blocks' own links.
+
+    The largest connected part of a group is its core. Blocks 0 to u - 1 are of the rest, u and on of the core; a rest
+    block meets itself, every other rest block and every core block, and core blocks don't meet.
+    """
+    label = components(links)
+    members = pairs.union(pairs.select("r", "r").distinct()).join(classes.select("m", F.hex("cls").alias("node")), "m").join(label, "node", "left")
+    members = materialize(members.select("r", "m", F.coalesce("label", "node").alias("label")), "members")
+    parts = members.groupBy("r", "label").agg(F.count("*").alias("part"))
+    core = parts.groupBy("r").agg(F.max_by("label", F.struct("part", "label")).alias("core"), F.sum("part").alias("all"), F.max("part").alias("most"))
+    core = core.where(F.col("all") > F.col("most")).select("r", "core", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("u"), F.ceil(F.col("most") / BLOCK).cast("int").alias("c"))
+    rows = members.join(small_side(materialize(core, "cores")), "r")
+    key, u, c = F.xxhash64("m"), F.col("u"), F.col("c")
+    rest = rows.where(F.col("label") != F.col("core")).withColumn("blk", F.pmod(key, u).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), u + c - 1)))
+    rest = rest.select("r", "m", "blk", F.when(F.col("o") < u, F.least("blk", "o")).otherwise(F.col("blk")).alias("i"), F.when(F.col("o") < u, F.greatest("blk", "o")).otherwise(F.col("o")).alias("j"))
+    held = rows.where(F.col("label") == F.col("core")).withColumn("blk", (u + F.pmod(key, c)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), u - 1)))
+    return rest.union(held.select("r", "m", "blk", "i", F.col("blk").alias("j")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_class): the component is the smallest doc_id reachable by links.
 
@@ -260,8 +320,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.where("cls is not null").groupBy("cls", "m").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_class"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
     buckets = max(32, -(-int(total) * 6 // 10 // KEYS_PER_BUCKET))
-    pairs = _blocks(docs, text_col, buckets, int(largest)).groupBy("bucket").applyInPandas(_leaders, "m long, r long").distinct()
-    pairs = materialize(pairs, "leaders")
+    met = materialize(_blocks(docs, text_col, buckets, int(largest)).groupBy("bucket").applyInPandas(_leaders, "m long, r long, run long, kind int"), "leaders")
+    heads = small_side(met.where("kind = 2").select("run", F.col("m").alias("head"), F.col("r").alias("top")).distinct())
+    in_runs = met.where("kind = 1").withColumnRenamed("r", "head").join(heads, ["run", "head"]).select("m", F.col("top").alias("r")).where("m <> r")
+    pairs = materialize(met.where("kind = 0").select("m", "r").union(in_runs).distinct(), "pairs")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -269,19 +331,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             names = [_digest(s) for s in sets]
             yield pd.DataFrame({"cls": names, "hashes": [s.tobytes() for s in sets]}).drop_duplicates("cls")
 
-    follow = pairs.union(pairs.select("r", "r").distinct())
-    sizes = follow.groupBy("r").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = follow.join(sizes, "r").withColumn("blk", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("r", "m", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     grouped = lambda d: d.repartition(spread, "r", "i", "j").sortWithinPartitions("r", "i", "j")
-    light = placed.join(classes.select("m", "cls", "n", "sketch"), "m").select("r", "i", "j", "blk", "cls", "n", "sketch")
-    left = materialize(grouped(light).mapInPandas(_sift, "r long, i int, j int, blk int, cls binary"), "sifted")
-    wanted = classes.join(left.select("cls").distinct(), "cls", "left_semi").select(F.col("first_id").alias("doc_id")).where("doc_id is not null")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(wanted, "doc_id", "left_semi")
-    sets = texts.mapInPandas(features, "cls binary, hashes binary")
-    links = grouped(left.join(sets, "cls").select("r", "i", "j", "blk", "cls", "hashes")).mapInPandas(_compare, "a binary, b binary")
-    joined = components(links.select(F.hex("a").alias("a"), F.hex("b").alias("b")))
+    bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+
+    def compared(placed: DataFrame) -> DataFrame:
+        """Links (a, b) that span those within each group (r, i, j) of rows (r, i, j, blk, m), blk telling the sides where i <> j."""
+        light = placed.join(classes.select("m", "cls", "n", "sketch"), "m").select("r", "i", "j", "blk", "cls", "n", "sketch")
+        left = materialize(grouped(light).mapInPandas(_sift, "r long, i int, j int, blk int, cls binary"), "sifted")
+        wanted = materialize(classes.join(left.select("cls").distinct(), "cls", "left_semi").select(F.col("first_id").alias("doc_id")).where("doc_id is not null"), "wanted")
+        sets = bodies.join(small_side(wanted), "doc_id", "left_semi").mapInPandas(features, "cls binary, hashes binary").dropDuplicates(["cls"])
+        return materialize(grouped(left.join(sets, "cls").select("r", "i", "j", "blk", "cls", "hashes")).mapInPandas(_compare, "a binary, b binary").select(F.hex("a").alias("a"), F.hex("b").alias("b")), "near")
+
+    large = materialize(pairs.groupBy("r").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "large")
+    several = small_side(large)
+    blk = F.pmod(F.xxhash64("m"), F.coalesce("blocks", F.lit(1))).cast("int")
+    each = pairs.join(several, "r", "left").select("r", "m", blk.alias("blk"))
+    tops = pairs.select("r").distinct().join(several, "r", "left").select("r", F.col("r").alias("m"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("blk"))
+    links = compared(each.union(tops).select("r", "m", "blk", F.col("blk").alias("i"), F.col("blk").alias("j")))
+    if large.limit(1).count():
+        links = links.union(compared(_remaining(pairs.join(several.drop("blocks"), "r", "left_semi"), classes, links)))
+    joined = components(links)
     found = classes.select("cls", "first_id", "n_class").withColumn("node", F.hex("cls")).join(joined, "node", "left").select("cls", "first_id", "n_class", F.coalesce("label", "node").alias("label"))
     lowest = found.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = found.join(lowest, "label").select("cls", "component_id", "n_class")
