@@ -71,19 +71,21 @@ def test_part_keys_lose_no_link():
 def test_lattice_sums_all_segmentations():
     pieces = [b" a", b"a", b"b", b" ab", b"ba", b" "]
     w = np.log(np.array([0.2, 0.2, 0.2, 0.1, 0.1, 0.2]))
-    into = np.zeros(6)
-    got = lm_scoring.Lattice(pieces, w).score([b"aba", b"a"], np.array([1.0, 1.0]), into)
+    into = np.zeros((2, 6))
+    got = lm_scoring.Lattice(pieces, np.stack([w, w - 1])).score([b"aba", b"a"], np.array([[1.0, 1.0], [0.0, 1.0]]), into)
 
     def total(s):
         return 1.0 if not s else sum(np.exp(w[i]) * total(s[len(p) :]) for i, p in enumerate(pieces) if s.startswith(p))
 
-    assert np.allclose(np.exp(got), [total(b" aba"), total(b" a")])
-    assert into.sum() > 2
+    assert np.allclose(np.exp(got[0]), [total(b" aba"), total(b" a")])
+    # " a" is one piece, or a space and an a
+    whole = 0.2 / (0.2 + 0.2 * 0.2)
+    assert np.allclose(into[1], [whole, 1 - whole, 0, 0, 0, 1 - whole]) and into[0].sum() > 2
 
 
 def test_lattice_scores(spark, docs):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    got = lm_scoring.lattice_scores(docs, held, hot=5).collect()
+    got = lm_scoring.lattice_scores(docs, held, class_col="lang", hot=5).collect()
     rows = docs.select("doc_id", "text").collect()
     learn = [r["text"] or "" for r in rows if r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2]
     c = collections.Counter(w for t in learn for w in t.encode().lower().split())
@@ -94,7 +96,7 @@ def test_lattice_scores(spark, docs):
         w = (text[r["doc_id"]] or "").encode().lower().split()
         assert r["train_tokens"] == n and r["n_tokens"] == len(w) + 1 and r["n_known"] == sum(c[x] > 0 for x in w) + 1
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(learn) + 1) / (n + v + 1))
-        assert abs(r["base_score"] - base) < 1e-4 * max(1, abs(base)) and r["score"] < 0
+        assert abs(r["base_score"] - base) < 1e-4 * max(1, abs(base)) and r["vocabulary_score"] < r["score"] < 0
     assert lm_scoring.lattice_scores(docs.limit(0), held).count() == 0
 
 

@@ -11,7 +11,8 @@ fitted on a bounded sample (SAMPLE vectors), for the least work at the size of t
 SHIP times the query vectors sent to buckets. Vectors without structure need few, large buckets; clustered ones
 many. Every vector is indexed. Buckets split into blocks of members and of queries, so a hot bucket is many tasks;
 a block's product is one small matrix product. Queries whose buckets held fewer than K candidates (or than all there are)
-are compared exactly with all rows, in such blocks.
+are compared exactly with all rows, in such blocks; so are all queries where no shape reaches LEAST_RECALL on the sample
+within the last of PROBE_STEPS.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window as W
 
-from .common import materialize
+from .common import hashed_sample, materialize
 
 K = 20
 TABLES = 2
 HASHES = (2, 4, 6)
 SAMPLE = 3000
 RECALL = 0.97
+LEAST_RECALL = 0.93
 SHIP = 2000
 BLOCK_VALUES = 1 << 19
 PROBE_STEPS = (1, 2, 4, 6, 9, 16, 24, 32, 48, 64, 96, 128, 192, 256)
@@ -83,12 +85,14 @@ def probes(place: np.ndarray, count: int) -> list[tuple[int, ...]]:
 
 @dataclass
 class Index:
-    """Functions, their offsets and widths, and the probes a query makes in each table."""
+    """Functions, their offsets and widths, the probes a query makes in each table; recall and share of all rows met on the sample."""
 
     a: np.ndarray
     b: np.ndarray
     width: np.ndarray
     count: int
+    recall: float = 1.0
+    met: float = 1.0
 
 
 def _ranks(place: np.ndarray, slot: np.ndarray, q: int) -> np.ndarray:
@@ -120,7 +124,7 @@ def fit_index(sample: np.ndarray, rows: int, k: int) -> Index:
         recall = found.mean(0)
         j = int(np.argmax(recall >= min(RECALL, recall[-1])))
         work = met.mean(0)[j] * rows + SHIP * TABLES * PROBE_STEPS[j]
-        fitted.append((-min(recall[j], RECALL), work, hashes, Index(a, b, width, PROBE_STEPS[j])))
+        fitted.append((-min(recall[j], RECALL), work, hashes, Index(a, b, width, PROBE_STEPS[j], float(recall[j]), float(met.mean(0)[j]))))
     return min(fitted, key=lambda f: f[:3])[3]
 
 
@@ -141,7 +145,7 @@ def nearest(vectors: DataFrame, is_query: object, k: int = K, id_col: str = "vec
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, most = sizes["dim"], float(np.sqrt(sizes["norm"]))
     rows = rows.where(F.size("v") == dim)
-    got = rows.withColumn("at", F.xxhash64("vec_id")).orderBy("at", "vec_id").limit(SAMPLE).select("v").collect()
+    got = hashed_sample(rows.select("vec_id", "v"), F.xxhash64("vec_id", "v"), SAMPLE, sizes["n"]).collect()
     fitted = fit_index(_augment(_matrix([r["v"] for r in got]), most), sizes["n"], k)
     a, b, width, count = fitted.a, fitted.b, fitted.width, fitted.count
     # a block's vectors as doubles: 4 MB, whatever their length
@@ -171,13 +175,15 @@ def nearest(vectors: DataFrame, is_query: object, k: int = K, id_col: str = "vec
             return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
         c = c.sort_values("vec_id", kind="stable")
         ids, x, y = c["vec_id"].to_numpy(), _matrix(c["v"]), _matrix(q["v"])
+        # more than the rounding of a product, so that no tie is cut before it is summed again
+        slack = 1e-12 * x.shape[1] * np.sqrt((y * y).sum(1)) * np.sqrt((x * x).sum(1)).max()
         out = []
         for s in range(0, len(q), 256):
             dots = y[s : s + 256] @ x.T
-            for query, vector, row in zip(q["query_id"].iloc[s : s + 256], y[s : s + 256], dots, strict=True):
+            for query, vector, row, off in zip(q["query_id"].iloc[s : s + 256], y[s : s + 256], dots, slack[s : s + 256], strict=True):
                 ok = np.flatnonzero(ids != query)
                 if len(ok) > k:
-                    ok = ok[row[ok] >= np.partition(row[ok], len(ok) - k)[len(ok) - k] - 1e-9]
+                    ok = ok[row[ok] >= np.partition(row[ok], len(ok) - k)[len(ok) - k] - off]
                 # the kept ones again, all summed in one order, so that equal vectors tie exactly
                 score = (x[ok] * vector).sum(1)
                 first = np.lexsort((ids[ok], -score))[:k]
@@ -198,6 +204,9 @@ def nearest(vectors: DataFrame, is_query: object, k: int = K, id_col: str = "vec
         return one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     queries = rows.where("q").select("vec_id", "v")
+    every = rows.select(F.lit("all").alias("bucket"), "vec_id", "v")
+    if fitted.recall < LEAST_RECALL:
+        return compared(every, queries.select(F.lit("all").alias("bucket"), F.col("vec_id").alias("query_id"), F.col("v").alias("v")))
     probed = materialize(compared(rows.select("vec_id", "v").mapInPandas(index, f"bucket string, vec_id long, v {kind}"), queries.mapInPandas(visit, f"bucket string, query_id long, v {kind}")), "probed")
     # queries that met fewer rows than they are due are held against all rows
     due = min(k, rows.select("vec_id").distinct().count() - 1)
@@ -206,4 +215,4 @@ def nearest(vectors: DataFrame, is_query: object, k: int = K, id_col: str = "vec
     if not short.limit(1).count():
         return probed
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("v")).join(short, "query_id").select(F.lit("all").alias("bucket"), "query_id", "v")
-    return probed.join(short, "query_id", "left_anti").unionByName(compared(rows.select(F.lit("all").alias("bucket"), "vec_id", "v"), asked))
+    return probed.join(short, "query_id", "left_anti").unionByName(compared(every, asked))
