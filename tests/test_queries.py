@@ -65,8 +65,54 @@ def test_store(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "File", "x")], "id string, kind string, name string")
     edges = spark.createDataFrame([("CALLS", "a", "a", 1, "e")], "type string, src string, dst string, occurrence_count int, edge_id string")
     assert store.current("p") is None
-    store.stage("p", 1, nodes, edges)
-    store.promote("p", 1)
-    assert store.current("p") == 1
     with pytest.raises(ValueError):
-        store.stage("p", 2, nodes, edges.selectExpr("type", "src", "'zz' as dst", "occurrence_count", "edge_id"))
+        store.promote("p", 1)
+    for v in (1, 2, 3):
+        store.stage("p", v, nodes, edges, (1, 1))
+        store.promote("p", v)
+    with pytest.raises(ValueError):
+        store.stage("p", 3, nodes, edges)
+    assert store.current("p") == 3 and store.snapshot("p")[1].first()["edge_id"] == "e"
+    with pytest.raises(ValueError):
+        store.stage("p", 4, nodes, edges.selectExpr("type", "src", "'zz' as dst", "occurrence_count", "edge_id"))
+    with pytest.raises(ValueError):
+        store.stage("p", 4, nodes, edges, (2, 1))
+    assert store.rollback("p") == 2 and store.current("p") == 2
+    with pytest.raises(ValueError):
+        store.delete("p", 2)
+    assert store.prune("p") == [1] and sorted(store.versions("p")) == [2, 3]
+    assert len(list((tmp_path / "data").iterdir())) == 2
+    store.delete_project("p")
+    assert store.versions("p") == {} and store.current("p") is None
+
+
+def test_communities_are_split_and_bounded(spark):
+    """Two dense groups with one weak link stay apart; a star's leaves end with their centre."""
+    import itertools
+
+    dense = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "xy" for i, j in itertools.combinations(range(5), 2)]
+    star = [("s0", f"s{i}", 1.0) for i in range(1, 6)]
+    e = spark.createDataFrame([*dense, ("x0", "y0", 1.0), *star], "a string, b string, w double")
+    got = {r["id"]: r["community"] for r in graph.communities(e).collect()}
+    assert {got[f"x{i}"] for i in range(5)} == {"x0"} and {got[f"y{i}"] for i in range(5)} == {"y0"}
+    assert {got[f"s{i}"] for i in range(6)} == {"s0"}
+
+
+def test_edge_core_is_greedy(spark):
+    """As a scan in order of priority that takes both ends of an edge or none."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    rows = [("T", f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}", f"{i:04d}", rnd.randrange(3)) for i in range(200)]
+    e = spark.createDataFrame(rows, "type string, src string, dst string, edge_id string, p int")
+    for wanted in (1, 7, 20, 59, 100):
+        taken: set = set()
+        for r in sorted(rows, key=lambda r: (r[4], r[3])):
+            new = {r[1], r[2]} - taken
+            if len(taken) + len(new) <= wanted:
+                taken |= new
+            if len(taken) == wanted:
+                break
+        assert {r["id"] for r in graph.edge_core(e, F.col("p"), wanted).collect()} == taken

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -91,75 +90,83 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def edge_core(edges: DataFrame, priority: Column, nodes_wanted: int, sample: int = 20000) -> DataFrame:
     """Ids of the first edges' ends by priority until nodes_wanted: both ends of an edge or none.
 
-    Greedy by nature, over at most `sample` edges (the operator's own bound).
+    Over the first `sample` edges (the operator's own bound). Each end counts once, at its first edge, and an edge adds
+    two at most; so the first edge that doesn't fit finds room for one end alone, and what can still be taken is
+    the new end of the first later edge that brings just one.
     """
-    rows = edges.orderBy(priority, "edge_id").limit(sample).select("src", "dst").collect()
-    chosen: dict[str, None] = {}
-    for r in rows:
-        new = {r["src"], r["dst"]} - chosen.keys()
-        if len(chosen) + len(new) <= nodes_wanted:
-            chosen.update(dict.fromkeys(sorted(new)))
-        if len(chosen) == nodes_wanted:
-            break
-    return edges.sparkSession.createDataFrame([(k,) for k in chosen], "id string")
-
-
-def local_moves(nodes: list[str], weights: dict[tuple[str, str], float], total: float, passes: int = 100) -> dict[str, str]:
-    """Deterministic modularity moves in node order; a tie within 1e-12 goes to the smaller community."""
-    near: dict[str, dict[str, float]] = {n: {} for n in nodes}
-    for (a, b), w in weights.items():
-        near[a][b] = near[a].get(b, 0) + w
-        if a != b:
-            near[b][a] = near[b].get(a, 0) + w
-    degree = {n: sum(x.values()) for n, x in near.items()}
-    of, mass = {n: n for n in nodes}, dict(degree)
-    for _ in range(passes):
-        moved = False
-        for n in nodes:
-            mass[of[n]] -= degree[n]
-            to: dict[str, float] = {of[n]: 0.0}
-            for m, w in near[n].items():
-                if m != n:
-                    to[of[m]] = to.get(of[m], 0) + w
-            best, gain = of[n], to[of[n]] - degree[n] * mass[of[n]] / (2 * total)
-            for c in sorted(to):
-                g = to[c] - degree[n] * mass[c] / (2 * total)
-                if g > gain + 1e-12 or (abs(g - gain) <= 1e-12 and c < best):
-                    best, gain = c, max(g, gain)
-            moved |= best != of[n]
-            of[n] = best
-            mass[best] += degree[n]
-        if not moved:
+    first = edges.withColumn("_p", priority).orderBy("_p", "edge_id").limit(sample)
+    placed = materialize(first.withColumn("at", F.row_number().over(W.orderBy("_p", "edge_id"))).select("at", "src", "dst"), "core")
+    new = placed.select("at", F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.min("at").alias("at"))
+    steps = new.groupBy("at").agg(F.count("*").alias("n")).withColumn("sum", F.sum("n").over(W.orderBy("at")))
+    over = steps.where(F.col("sum") > nodes_wanted).agg(F.min("at").alias("at")).first()["at"]
+    if over is None:
+        return new.select("id")
+    taken = materialize(new.where(F.col("at") < over).select("id"), "core")
+    if taken.count() == nodes_wanted:
+        return taken
+    ends = placed.where(F.col("at") >= over).select("at", F.explode(F.array_distinct(F.array("src", "dst"))).alias("id")).join(F.broadcast(taken), "id", "left_anti")
+    single = ends.groupBy("at").agg(F.count("*").alias("n"), F.first("id").alias("id")).where("n = 1")
+    return taken.unionByName(single.orderBy("at").limit(1).select("id"))
+
+
+def communities(edges: DataFrame, passes: int = 10) -> DataFrame:
+    """(id, community) over weighted undirected edges (a, b, w); nodes without an edge have none.
+
+    Modularity moves in passes: one half of the nodes, then the other (by hash), move to the neighbouring community of the best
+    gain w(node, C) - degree * total(C) / 2m, the node itself taken out of its own; gains within 1e-12 go to the smaller
+    name. A round is two joins and two groupings, its table written to the shared folder, so no component is one task.
+    It ends after a pass without a move, or after `passes`. Moves within a half are made at once rather than
+    one after the other in the order of names, so results may differ from a sequential pass. Communities that the
+    moves have left disconnected are split; each bears the name of its smallest member.
+    """
+    from .components import components
+
+    e = edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("w").cast("double").alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    both = materialize(e.select(F.col("a").alias("n"), F.col("b").alias("o"), "w").union(e.where("a <> b").select("b", "a", "w")), "weights")
+    degree = both.groupBy("n").agg(F.sum("w").alias("deg"))
+    state = materialize(degree.select("n", "deg", F.col("n").alias("c")), "moves")
+    total = float(e.agg(F.coalesce(F.sum("w"), F.lit(1.0))).first()[0])
+    moves = 0
+    for step in range(2 * passes):
+        half = F.pmod(F.xxhash64(F.lit(step // 2), "n"), F.lit(2))  # dealt anew each pass, so that no two keep changing places
+        own = state.groupBy("c").agg(F.sum("deg").alias("tot"))
+        movers = state.where(half == step % 2).select("n", "deg", F.col("c").alias("old"))
+        links = both.join(movers, "n").join(state.select(F.col("n").alias("o"), "c"), "o")
+        near = links.groupBy("n", "deg", "old", "c").agg(F.sum(F.when(F.col("n") != F.col("o"), F.col("w")).otherwise(0.0)).alias("to"))
+        near = near.unionByName(movers.select("n", "deg", "old", F.col("old").alias("c"), F.lit(0.0).alias("to"))).groupBy("n", "deg", "old", "c").agg(F.max("to").alias("to"))
+        rest = F.col("tot") - F.when(F.col("c") == F.col("old"), F.col("deg")).otherwise(0.0)
+        gains = near.join(own, "c").withColumn("gain", F.col("to") - F.col("deg") * rest / (2 * total))
+        best = gains.groupBy("n").agg(F.min_by("c", F.struct(-F.round("gain", 11), "c")).alias("to_c"), F.max("gain").alias("best"), F.max(F.when(F.col("c") == F.col("old"), F.col("gain"))).alias("stay"))
+        moved = state.join(best, "n", "left").withColumn("new", F.when((F.col("best") > F.col("stay") + 1e-12) | ((F.col("best") >= F.col("stay") - 1e-12) & (F.col("to_c") < F.col("c"))), F.col("to_c")).otherwise(F.col("c")))
+        moved = materialize(moved.select("n", "deg", F.col("new").alias("c"), (F.col("new") != F.col("c")).alias("moved")), "moves")
+        moves = (moves if step % 2 else 0) + moved.where("moved").limit(1).count()
+        state = moved.drop("moved")
+        if step % 2 and not moves:
             break
-    return of
+    a, b = state.select(F.col("n").alias("a"), F.col("c").alias("ca")), state.select(F.col("n").alias("b"), F.col("c").alias("cb"))
+    inside = e.join(a, "a").join(b, "b").where("ca = cb and a <> b").select("a", "b")
+    label = components(inside)
+    return state.join(label, state.n == label.node, "left").select(F.col("n").alias("id"), F.coalesce("label", "n").alias("community"))
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    """(id, community) over weighted undirected edges(a, b, w); nodes without an edge have none.
+def community_reports(members: DataFrame, nodes: DataFrame, entry_kinds: list[str], table_kinds: list[str], most: int = 20) -> DataFrame:
+    """(community, community_id, members, kinds, title, tables, entries): a row for each community of (id, community).
 
-    Moves run within each connected component with the whole graph's weight, which gives the whole graph's result;
-    a component is one group.
+    kinds: its kinds with their counts, most frequent first; title: the first name by member that isn't blank; tables
+    and entries: the first `most` names of such kinds.
     """
-    from .components import components
+    m = members.join(nodes, "id").select("community", "id", "kind", "name")
+    by_kind = m.groupBy("community", "kind").agg(F.count("*").alias("n")).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "kind", "n"))), lambda x: F.concat(x["kind"], F.lit(":"), x["n"].cast("string"))), ",").alias("kinds"))
+    whole = m.groupBy("community").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.count("*").alias("members"), F.min_by("name", F.when(F.trim("name") != "", F.col("id"))).alias("title"))
 
-    ends = edges.select("a", "b")
-    label = components(ends)
-    total = edges.agg(F.sum("w")).first()[0] or 1.0
-    grouped = edges.join(label.withColumnRenamed("node", "a"), "a")
+    def some(kinds: list[str], name: str) -> DataFrame:
+        ranked = m.where(F.col("kind").isin(kinds)).withColumn("k", F.row_number().over(W.partitionBy("community").orderBy("name", "id"))).where(F.col("k") <= most)
+        return ranked.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), ",").alias(name))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        w: dict[tuple[str, str], float] = {}
-        for a, b, x in zip(g["a"], g["b"], g["w"], strict=True):
-            k = (min(a, b), max(a, b))
-            w[k] = w.get(k, 0) + x
-        of = local_moves(sorted({x for k in w for x in k}), w, total)
-        members: dict[str, list[str]] = {}
-        for n, c in of.items():
-            members.setdefault(c, []).append(n)
-        name = {c: min(m) for c, m in members.items()}
-        return pd.DataFrame([(n, name[c]) for n, c in of.items()], columns=["id", "community"])
+    from ..functions.ids import community_id
 
-    return grouped.groupBy("label").applyInPandas(run, "id string, community string")
+    out = whole.join(by_kind, "community").join(some(table_kinds, "tables"), "community", "left").join(some(entry_kinds, "entries"), "community", "left")
+    return out.select("community", community_id(F.col("ids")).alias("community_id"), "members", "kinds", "title", F.coalesce("tables", F.lit("")).alias("tables"), F.coalesce("entries", F.lit("")).alias("entries"))
 
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 3, budget: int = 80, per_node: int = 20, decay: float = 0.85, types: list[str] | None = None) -> DataFrame:
@@ -182,3 +189,75 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 3, budget: int = 80,
         layer = materialize(new.orderBy("at", "id").limit(left).select("id", F.lit(step).alias("depth"), (-F.col("at.low") * decay).alias("score")), "expand")
         seen = seen.unionByName(layer)
     return seen
+
+
+def visual_neighbors(nodes: DataFrame, edges: DataFrame, seeds: Iterable[str], depth: int, limit: int, mode: str = "all", kinds: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
+    """(id, depth): what lies within 1 to 4 steps of the seeds, `limit` nodes at most, nearest first and then by id.
+
+    mode: all, in, out, callers (in, CALLS alone) or callees (out, CALLS alone). kinds and types restrict the nodes
+    that are reached and the edges that are walked.
+    """
+    e = edges.where(F.col("type").isin(types)) if types else edges
+    if mode in ("callers", "callees"):
+        e = e.where("type = 'CALLS'")
+    near = incident(e)
+    if mode != "all":
+        near = near.where(F.col("direction") == ("incoming" if mode in ("in", "callers") else "outgoing"))
+    if kinds:
+        near = near.join(nodes.where(F.col("kind").isin(kinds)).select(F.col("id").alias("neighbor")), "neighbor", "left_semi")
+    spark = edges.sparkSession
+    seen = layer = spark.createDataFrame([(s, 0) for s in sorted(set(seeds))], "id string, depth int")
+    for step in range(1, min(4, max(1, depth)) + 1):
+        reached = near.join(layer.select(F.col("id").alias("center")), "center").select(F.col("neighbor").alias("id")).distinct()
+        layer = materialize(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(step)), "visual")
+        seen = seen.unionByName(layer)
+        if seen.limit(limit + 1).count() > limit:
+            break
+    return seen.orderBy("depth", "id").limit(limit)
+
+
+def visual_graph(nodes: DataFrame, edges: DataFrame, limit: int, priority: Column) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a bounded view: the ends of the first edges by priority, filled up by degree, and the edges among them."""
+    core = edge_core(edges, priority, limit, min(4 * limit, 20000))
+    ranked = degrees(nodes, edges).join(core.withColumn("core", F.lit(0)), "id", "left")
+    shown = materialize(ranked.orderBy(F.coalesce("core", F.lit(1)), F.desc("degree"), "id").limit(limit).select("id", "kind", "name", "degree"), "view")
+    return shown, induced(edges, shown).orderBy("edge_id").limit(4 * limit)
+
+
+def complete_endpoints(shown: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+    """ids of shown(id), and the missing ends of edges(src, dst) in order of id until there are `limit` in all."""
+    missing = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(shown.select("id"), "id", "left_anti")
+    return shown.select("id", F.lit(0).alias("_o")).unionByName(missing.select("id", F.lit(1).alias("_o"))).orderBy("_o", "id").limit(limit).select("id")
+
+
+def highlight(edges: DataFrame, node: str) -> DataFrame:
+    """The node and its neighbours."""
+    return incident(edges.where((F.col("src") == node) | (F.col("dst") == node))).where(F.col("center") == node).select(F.col("neighbor").alias("id")).union(edges.sparkSession.createDataFrame([(node,)], "id string")).distinct()
+
+
+def touching(edges: DataFrame, ids: DataFrame, types: list[str]) -> DataFrame:
+    """Both ends, distinct, of the edges of the given types that touch any of ids(id)."""
+    i = ids.select("id").distinct()
+    e = edges.where(F.col("type").isin(types))
+    hit = e.join(i.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst").union(e.join(i.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    return hit.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
+def node_by_id(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """The node with its degree; only edges that touch it are read."""
+    return degrees(nodes.where(F.col("id") == node), edges.where((F.col("src") == node) | (F.col("dst") == node)))
+
+
+def edge_between(edges: DataFrame, src: str, dst: str, type_: str) -> DataFrame:
+    return edges.where((F.col("type") == type_) & (F.col("src") == src) & (F.col("dst") == dst))
+
+
+def one_hop(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """The node's edges in both directions; the node alone, without a neighbour, where it has none."""
+    near = incident(edges.where((F.col("src") == node) | (F.col("dst") == node))).where(F.col("center") == node)
+    return nodes.where(F.col("id") == node).select(F.col("id").alias("center")).join(near, "center", "left")
+
+
+def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: how many nodes and edges there are."""
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each

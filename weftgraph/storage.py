@@ -31,47 +31,121 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+NODES = "id string, kind string, name string"
+EDGES = "type string, src string, dst string, occurrence_count long, edge_id string"
+LOG = "project_id string, graph_version long, action string, path string, seq long"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class GraphStore:
-    """Immutable (project, version) snapshots below a root; a manifest table names the current version.
+    """Immutable (project, version) snapshots below a root, and a log of what happened to them.
 
-    stage() writes and validates a version, promote() makes it current; current plus previous are kept by prune().
+    stage() writes a version to a folder of its own and validates it; what isn't valid leaves nothing behind. promote()
+    makes a staged version current, rollback() the one that was current before. prune() deletes all but these two,
+    delete() one version, which must not be current. A version number is used once. Nodes lie by kind, edges by type,
+    so that filters on them read only those folders.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _read(self, what: str, schema: str) -> DataFrame:
+    def log(self) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{what}")
+            return self.spark.read.schema(LOG).parquet(f"{self.root}/log")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], schema)
+                return self.spark.createDataFrame([], LOG)
             raise
 
-    def stage(self, project: str, version: int, nodes: DataFrame, edges: DataFrame) -> dict:
+    def _note(self, project: str, version: int, action: str, path: str | None = None) -> None:
+        seq = self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+        self.spark.createDataFrame([(project, version, action, path, seq)], LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+
+    def versions(self, project: str) -> dict[int, str]:
+        """The versions that are there, and their folders."""
+        there: dict[int, str] = {}
+        for r in self.log().where(F.col("project_id") == project).orderBy("seq", "action").collect():
+            if r["action"] == "staged":
+                there[r["graph_version"]] = r["path"]
+            elif r["action"] == "deleted":
+                there.pop(r["graph_version"], None)
+        return there
+
+    def _promoted(self, project: str) -> list[int]:
+        """Versions in the order in which they became current, the last one current; deleted ones are left out."""
+        there = self.versions(project)
+        order: list[int] = []
+        for r in self.log().where((F.col("project_id") == project) & (F.col("action") == "promoted")).orderBy("seq").collect():
+            if r["graph_version"] in there:
+                order = [v for v in order if v != r["graph_version"]] + [r["graph_version"]]
+        return order
+
+    def current(self, project: str) -> int | None:
+        return (self._promoted(project) or [None])[-1]
+
+    def stage(self, project: str, version: int, nodes: DataFrame, edges: DataFrame, expected: tuple[int, int] | None = None) -> dict:
+        """Write and validate a version; expected: the counts of nodes and edges that it must have."""
         from .operators.graph import validate
 
-        for name, df in (("nodes", nodes), ("edges", edges)):
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/project_id={project}/graph_version={version}")
-        found = validate(self.nodes(project, version), self.edges(project, version)).first().asDict()
-        if found["repeated_nodes"] or found["dangling_edges"]:
+        if self.log().where((F.col("project_id") == project) & (F.col("graph_version") == version)).limit(1).count():
+            raise ValueError(f"version {version} of {project} exists")
+        path = f"{self.root}/data/{project}-{version}-{uuid.uuid4().hex}"
+        nodes.selectExpr("id", "kind", "name").repartition("kind").write.partitionBy("kind").parquet(f"{path}/nodes")
+        edges.selectExpr("type", "src", "dst", "cast(occurrence_count as bigint) as occurrence_count", "edge_id").repartition("type", "src").sortWithinPartitions("type", "src").write.partitionBy("type").parquet(f"{path}/edges")
+        found = validate(*self._at(path)).first().asDict()
+        if found["repeated_nodes"] or found["dangling_edges"] or (expected and expected != (found["nodes"], found["edges"])):
+            remove(self.spark, path)
             raise ValueError(f"snapshot {project}/{version} is not valid: {found}")
+        self._note(project, version, "staged", path)
         return found
 
-    def nodes(self, project: str, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/nodes/project_id={project}/graph_version={version}")
+    def _at(self, path: str) -> tuple[DataFrame, DataFrame]:
+        read = lambda what, schema: self.spark.read.schema(schema).parquet(f"{path}/{what}")
+        return read("nodes", NODES), read("edges", EDGES)
 
-    def edges(self, project: str, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/edges/project_id={project}/graph_version={version}")
+    def snapshot(self, project: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) of a version, the current one if none is named."""
+        wanted = self.current(project) if version is None else version
+        path = self.versions(project).get(wanted)
+        if path is None:
+            raise ValueError(f"no version {wanted} of {project}")
+        return self._at(path)
 
     def promote(self, project: str, version: int) -> None:
-        """Append to the manifest log; the last row of a project is its current version."""
-        seq = self.manifest().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
-        self.spark.createDataFrame([(project, version, seq)], "project_id string, graph_version long, seq long").write.mode("append").parquet(f"{self.root}/manifest")
-
-    def manifest(self) -> DataFrame:
-        return self._read("manifest", "project_id string, graph_version long, seq long")
-
-    def current(self, project: str) -> int | None:
-        row = self.manifest().where(F.col("project_id") == project).orderBy(F.desc("seq")).first()
-        return row["graph_version"] if row else None
+        if version not in self.versions(project):
+            raise ValueError(f"version {version} of {project} isn't staged")
+        self._note(project, version, "promoted")
+
+    def rollback(self, project: str) -> int:
+        """Make the version current that was so before; the failed one stays until it is pruned."""
+        order = self._promoted(project)
+        if len(order) < 2:
+            raise ValueError(f"{project} has no earlier version")
+        self._note(project, order[-2], "promoted")
+        return order[-2]
+
+    def delete(self, project: str, version: int) -> None:
+        if version == self.current(project):
+            raise ValueError(f"version {version} of {project} is current")
+        path = self.versions(project).get(version)
+        if path is not None:
+            self._note(project, version, "deleted")
+            remove(self.spark, path)
+
+    def prune(self, project: str) -> list[int]:
+        """Delete all versions but the current and the one before it; returns what went."""
+        keep = self._promoted(project)[-2:]
+        gone = sorted(v for v in self.versions(project) if v not in keep)
+        for v in gone:
+            self.delete(project, v)
+        return gone
+
+    def delete_project(self, project: str) -> None:
+        for v, path in self.versions(project).items():
+            self._note(project, v, "deleted")
+            remove(self.spark, path)
