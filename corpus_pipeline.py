@@ -61,7 +61,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix),
 ]
 
-#: Language ID and the CRF are trained models, which SQL can't express; the tests hold run() against brute force.
+#: Language ID and the CRF are trained models, which SQL can't express; tests/llm holds run() against plain Python.
 ORACLE_SQL = None
 
 
