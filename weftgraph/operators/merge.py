@@ -40,7 +40,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str], replace: l
 
 
 def round_robin(df: DataFrame, group: str, within: list[Column], groups_by: list[Column]) -> DataFrame:
-    """Adds turn (rank within the group) and place (final order: every group's first, then every second...)."""
+    """Adds turn, the rank within the group; in order of turn: every group's first, then every second, and so on."""
     ranked = df.withColumn("turn", F.row_number().over(W.partitionBy(group).orderBy(*within)))
     return ranked.orderBy("turn", *groups_by)
 

@@ -1,12 +1,16 @@
-"""Text search: BM25, trigram candidates, line search."""
+"""Text search: BM25 and trigrams with their indexes, line search, symbols, budgets."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .merge import round_robin
 
+# fixed value: a search token
 TOKEN = r"[\p{L}\p{N}_./:-]{2,}"
 
 
@@ -35,11 +39,92 @@ def bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str], k1: float
 
 
 def diversify(hits: DataFrame, kind: str, limit: int) -> DataFrame:
-    """Every kind's best hit first, kinds by their best score, then every kind's second, and so on."""
-    from pyspark.sql.window import Window as W
+    """Every kind's best hit first, kinds by their best score, then every kind's second, and so on.
+
+    A kind's first `limit` hits are all that can be shown, so no more of it is ranked (a bounded top-k by kind).
+    """
+    best = hits.join(F.broadcast(hits.groupBy(kind).agg(F.max("score").alias("best"))), kind)
+    return round_robin(first_group_rows(best, kind, [F.desc("score"), F.col("id")], limit), kind, [F.desc("score"), F.col("id")], [F.desc("best"), F.col(kind)]).limit(limit)
+
+
+def _bucket(word: Column, buckets: int) -> Column:
+    return (F.crc32(word.cast("binary")) % buckets).cast("int")
+
+
+class _Index:
+    """Postings below a folder, by a hash of the word: a search reads only the folders of its own words."""
+
+    buckets = 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _write(self, postings: DataFrame, word: str) -> None:
+        rows = postings.withColumn("bucket", _bucket(F.col(word), self.buckets))
+        rows.repartition("bucket", word).sortWithinPartitions("bucket", word).write.partitionBy("bucket").parquet(f"{self.path}/postings")
+
+    def _postings(self, word: str, words: list[str]) -> DataFrame:
+        places = sorted({zlib.crc32(w.encode()) % self.buckets for w in words})
+        return self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(places) & F.col(word).isin(words))
+
+
+class TextIndex(_Index):
+    """BM25 over stored postings (id, len, term, tf) and one row of statistics."""
+
+    def build(self, docs: DataFrame, id_col: str, text: Column) -> "TextIndex":
+        tokens = docs.select(F.col(id_col).alias("id"), F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>")).alias("t"))
+        sized = tokens.withColumn("len", F.size("t"))
+        self._write(sized.select("id", "len", F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf")), "term")
+        sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).write.parquet(f"{self.path}/stats")
+        return self
+
+    def search(self, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """(id, score) of the documents with a term; only the terms' postings are read."""
+        stats = self.spark.read.parquet(f"{self.path}/stats").first()
+        found = self._postings("term", terms)
+        df = F.broadcast(found.groupBy("term").agg(F.count("*").cast("double").alias("df")))
+        idf = F.log(1.0 + (F.lit(float(stats["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(stats["mean"] or 1))))
+        return found.join(df, "term").groupBy("id").agg(F.sum(part).alias("score"))
+
+
+class TrigramIndex(_Index):
+    """Which texts have which three characters in a row (upper-cased)."""
+
+    def build(self, files: DataFrame, path: str, text: Column) -> "TrigramIndex":
+        self._write(trigram_index(files.select(F.col(path).alias("path"), text.alias("text")), "path", F.col("text")), "trigram")
+        files.select(F.col(path).alias("path")).write.parquet(f"{self.path}/files")
+        return self
+
+    def candidates(self, query: str) -> DataFrame:
+        """(path) of the texts with all trigrams of the query; all of them for a query of under three characters."""
+        q = query.upper()
+        grams = sorted({q[i : i + 3] for i in range(len(q) - 2)})
+        if not grams:
+            return self.spark.read.parquet(f"{self.path}/files")
+        return self._postings("trigram", grams).groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("path")
+
+
+def symbols(files: DataFrame, path: str, text: Column) -> DataFrame:
+    """(identifier, path, line, column, container): each identifier of each line; the container is what stands before its last point."""
+    lines = files.select(path, F.posexplode(F.split(text, "\n")).alias("n", "row"))
+    words = F.regexp_extract_all("row", F.lit(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*"), F.lit(0))
+    each = lines.select(path, (F.col("n") + 1).alias("line"), "row", F.explode_outer(F.array_distinct(words)).alias("whole")).where("whole is not null")
+    return each.select(F.regexp_extract("whole", r"([^.]+)$", 1).alias("identifier"), path, "line", F.instr("row", F.col("whole")).alias("column"), F.regexp_extract("whole", r"^(.*)\.[^.]+$", 1).alias("container"))
+
+
+def search_symbols(index: DataFrame, symbol: str, limit: int) -> DataFrame:
+    """Occurrences of the symbol's last part, in containers that end in what stands before it; limit + 1 rows tell that there are more."""
+    space, _, name = symbol.rpartition(".")
+    hit = index.where(F.col("identifier") == name)
+    if space:
+        hit = hit.where((F.col("container") == space) | F.endswith("container", F.lit("." + space)))
+    return hit.limit(limit + 1) if limit else hit
+
 
-    best = hits.withColumn("best", F.max("score").over(W.partitionBy(kind)))
-    return round_robin(best, kind, [F.desc("score"), F.col("id")], [F.desc("best"), F.col(kind)]).limit(limit)
+def first_group_rows(df: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
+    """At most `most` rows of each group, the first in order."""
+    return df.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
 def trigram_index(files: DataFrame, path: str, text: Column) -> DataFrame:
@@ -66,8 +151,12 @@ def search_lines(files: DataFrame, path: str, text: Column, query: str, limit: i
 
 
 def budget_prefix(rows: DataFrame, group: list[str], order: list[Column], cost: Column, budget: int) -> DataFrame:
-    """Rows of each group until the running cost first passes the budget; the first row always stays."""
-    from pyspark.sql.window import Window as W
+    """Rows of each group until the running cost first passes the budget; the first row always stays.
 
+    Costs of 1 or more mean that no group keeps more than `budget` rows, so each is cut to its first budget + 1 before
+    the running sum, by a top-k that Spark pushes before the shuffle.
+    """
+    if budget < 1_000_000:
+        rows = first_group_rows(rows.withColumn("_g", F.struct(*group) if group else F.lit(0)), "_g", order, budget + 1).drop("_g")
     w = W.partitionBy(*group).orderBy(*order)
     return rows.withColumn("used", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w)).where((F.col("used") <= budget) | (F.col("_n") == 1)).drop("_n")

@@ -35,7 +35,8 @@ def json_flatten(spark, d):
 
 def page_filter(spark, d):
     p = table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("a")) & (F.col("p_size") > 10))
-    return p.withColumn("total", F.count("*").over(W.partitionBy())).orderBy(F.desc("p_retailprice"), "p_partkey").offset(20).limit(20).select("p_partkey", "p_retailprice", "total")
+    page = p.orderBy(F.desc("p_retailprice"), "p_partkey").offset(20).limit(20)
+    return page.crossJoin(p.agg(F.count("*").alias("total"))).select("p_partkey", "p_retailprice", "total")  # a page and one row
 
 
 def upsert_preserve(spark, d):
@@ -50,7 +51,7 @@ def miss_stale_prune(spark, d):
     seen = table(spark, d, "lineitem").where("l_quantity > 49").select("l_suppkey").distinct()
     m = s.join(seen, F.col("s_suppkey") == F.col("l_suppkey"), "left").withColumn("misses", F.when(F.col("l_suppkey").isNull(), F.col("misses") + 1).otherwise(0))
     m = m.withColumn("stale", F.col("misses") >= 3)
-    return m.withColumn("k", F.row_number().over(W.orderBy("stale", F.desc("s_acctbal"), "s_suppkey"))).where("k <= 5000").select("s_suppkey", "misses", "stale")
+    return m.orderBy("stale", F.desc("s_acctbal"), "s_suppkey").limit(5000).select("s_suppkey", "misses", "stale")
 
 
 def manifest_current(spark, d):

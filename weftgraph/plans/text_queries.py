@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import strings
 from ..operators import merge, text
+from ..storage import scratch_dir
 from .graph_queries import table
 
 TERMS = ["the", "erhe", "de"]
 
 
+_indexes: dict[tuple[str, str, str], text.TextIndex | text.TrigramIndex] = {}
+
+
+def _indexed(spark, d, kind):
+    """The application's index of the documents, built by its first query in the shared folder."""
+    key = (spark.sparkContext.applicationId, d, kind.__name__)
+    if key not in _indexes:
+        _indexes[key] = kind(spark, f"{scratch_dir(spark)}/{key[0]}/{key[2]}-{uuid.uuid4().hex}").build(table(spark, d, "documents"), "doc_id", F.col("text"))
+    return _indexes[key]
+
+
 def bm25_search(spark, d):
-    hits = text.bm25(table(spark, d, "documents"), "doc_id", F.col("text"), TERMS)
+    hits = _indexed(spark, d, text.TextIndex).search(TERMS)
     return hits.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def search_diversify(spark, d):
     docs = table(spark, d, "documents")
-    hits = text.bm25(docs, "doc_id", F.col("text"), TERMS).withColumn("score", F.round("score", 6)).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id")
+    hits = _indexed(spark, d, text.TextIndex).search(TERMS).withColumn("score", F.round("score", 6)).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id")
     return text.diversify(hits, "lang", 100).select(F.col("id").alias("doc_id"), "lang", "turn")
 
 
@@ -36,7 +50,7 @@ def query_plan_tokens(spark, d):
 
 
 def trigram_candidates(spark, d):
-    return text.trigram_candidates(table(spark, d, "documents"), "doc_id", F.col("text"), "License, Version")
+    return _indexed(spark, d, text.TrigramIndex).candidates("License, Version").select(F.col("path").alias("doc_id"))
 
 
 def text_line_search(spark, d):
@@ -49,7 +63,8 @@ def budget_prefix(spark, d):
 
 
 def evidence_roundrobin(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source").withColumn("first", F.min("doc_id").over(W.partitionBy("source")))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    rows = text.first_group_rows(docs.join(F.broadcast(docs.groupBy("source").agg(F.min("doc_id").alias("first"))), "source"), "source", [F.col("doc_id")], 200)
     return merge.round_robin(rows, "source", [F.col("doc_id")], [F.col("first")]).limit(200).select("doc_id", "source", "turn")
 
 
@@ -127,7 +142,7 @@ ORACLE = {
     "trigram_candidates": "SELECT doc_id FROM documents WHERE " + " AND ".join(f"contains(upper(text), '{g}')" for g in sorted({"LICENSE, VERSION"[i : i + 3] for i in range(14)})),
     "text_line_search": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT doc_id, line, instr(upper(row), 'LICENSED UNDER') AS \"column\", left(row, 500) AS preview FROM l WHERE instr(upper(row), 'LICENSED UNDER') > 0 ORDER BY doc_id, line LIMIT 1001",
     "budget_prefix": "WITH r AS (SELECT doc_id, source, sum(greatest(1, n_chars // 4)) OVER w AS used, row_number() OVER w AS k FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT doc_id, source, used::BIGINT AS used FROM r WHERE used <= 12000 OR k = 1",
-    "evidence_roundrobin": "WITH r AS (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY source) AS f, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) SELECT doc_id, source, turn FROM r ORDER BY turn, f LIMIT 200",
+    "evidence_roundrobin": "WITH r AS (SELECT doc_id, coalesce(source, '') AS source, min(doc_id) OVER (PARTITION BY source) AS f, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) SELECT doc_id, source, turn FROM r ORDER BY turn, f LIMIT 200",
     "longest_prefix_join": r"WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages), r AS (SELECT DISTINCT root FROM (SELECT regexp_extract(path, '^([^/]+)', 1) AS root FROM p UNION ALL SELECT regexp_extract(path, '^([^/]+/[^/]+)', 1) FROM p) WHERE root <> '') SELECT page_id, arg_max(root, length(root)) AS root FROM p JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY page_id",
     "suffix_lookup": r"WITH p AS (SELECT url, regexp_extract(url, '([^/]+)/?$', 1) AS last FROM pages) SELECT last, arg_min(url, (length(url), url)) AS url FROM p WHERE last <> '' GROUP BY last",
     "cross_contains": "SELECT p_partkey, r_regionkey FROM part, region WHERE contains(lower(p_name), lower(left(r_name, 1)))",
