@@ -37,7 +37,7 @@ from .common import components, map_batches, materialize, mix, shingles, small_s
 
 BAND = 1.35
 SLACK = 0.12
-BLOCK = 1024
+BLOCK = 512
 KEYS_PER_BUCKET = 1_000_000
 HOT_RUN = 128
 SLAB = 1024
