@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import strings
+from ..functions import paths, strings
 from ..operators import merge, text
 from ..storage import scratch_dir
 from .graph_queries import table
@@ -100,18 +100,16 @@ def link_classify(spark, d):
 
 
 def script_tag_scan(spark, d):
-    tags = F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))
-    return table(spark, d, "pages").select("page_id", F.size(tags).cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct(tags)), " ").alias("links"))
+    """SF12: the script tags of pages that have a source, and the normalised paths that they name."""
+    page = F.concat("html", F.lit("<script src='/js/a"), F.col("page_id").cast("string"), F.lit(".js?v=2'></script><SCRIPT async src = \"http://x.org/b.ts\">"))
+    tags = strings.script_tags(page)
+    return table(spark, d, "pages").select("page_id", F.size(tags).cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(tags, strings.script_paths)), paths.normalize_reference))), " ").alias("links"))
 
 
 def redact_secrets(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(strings.redact_secrets(F.col("text")), 256).alias("digest"))
 
 
-def wiki_to_markdown(spark, d):
-    return spark.createDataFrame([(1, "h2. Title\n* a\n** b\n[x|http://y] and *bold* {{code}}")], "id int, body string").select("id", strings.wiki_to_markdown(F.col("body")).alias("body"))
-
-
 def identifier_extract_merge(spark, d):
     codes = table(spark, d, "documents").select("doc_id", "source", F.explode(F.regexp_extract_all("text", F.lit(r"\b([0-9]{4})\b"), F.lit(1))).alias("code"))
     best = codes.groupBy("code").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
@@ -123,7 +121,7 @@ def category_classify(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(strings.categories(F.concat(text_, F.when(F.col("p_partkey") % 3 == 0, " sql api test").when(F.col("p_partkey") % 3 == 1, " agent chat").otherwise(""))), ",").alias("categories"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_search, search_diversify, exact_name_boost, query_plan_tokens, trigram_candidates, text_line_search, budget_prefix, evidence_roundrobin, longest_prefix_join, suffix_lookup, cross_contains, link_classify, script_tag_scan, redact_secrets, wiki_to_markdown, identifier_extract_merge, category_classify)}
+QUERIES = {f.__name__: f for f in (bm25_search, search_diversify, exact_name_boost, query_plan_tokens, trigram_candidates, text_line_search, budget_prefix, evidence_roundrobin, longest_prefix_join, suffix_lookup, cross_contains, link_classify, script_tag_scan, redact_secrets, identifier_extract_merge, category_classify)}
 
 _TOK = r"'[\p{L}\p{N}_./:-]{2,}'"
 _BM25 = f"""
@@ -150,8 +148,10 @@ ORACLE = {
 n AS (SELECT page_id, link, rtrim(regexp_replace(replace(trim(link), '\', '/'), '([^:/]|^)/{2,}', '\1/', 'g'), '/') AS s FROM u)
 SELECT page_id, CASE WHEN starts_with(s, '/') OR starts_with(s, '->') THEN s ELSE '/' || s END AS link,
 CASE WHEN starts_with(link, '->') THEN 'Redirect' WHEN starts_with(lower(link), '/pluginreport/menuindex/') THEN 'PluginReport' WHEN starts_with(lower(link), '/customreport/menuindex/') THEN 'CustomReport' WHEN starts_with(lower(link), 'http://') OR starts_with(lower(link), 'https://') THEN 'AbsoluteUrl' WHEN starts_with(lower(link), 'javascript:') THEN 'JavaScript' ELSE 'MVC' END AS kind FROM n""",
-    "script_tag_scan": "SELECT page_id, len(t)::BIGINT AS n, array_to_string(list_sort(list_distinct(t)), ' ') AS links FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS t FROM pages)",
-    "redact_secrets": r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(bearer\s+|token\s*[=:]\s*|api[-_]?key[=:]\s*|password[=:]\s*)"?[^\s,;"'']+', '\1[REDACTED]', 'g'), '(?i)("(?:secret|token|password|api_?key)"\s*:\s*")[^"]*(")', '\1[REDACTED]\2', 'g'), '(?i)(https?://[^:/@\s]+:)[^@\s]+@', '\1[REDACTED]@', 'g')) AS digest FROM documents""",
+    "script_tag_scan": r"""WITH t AS (SELECT page_id, regexp_extract_all(html || '<script src=''/js/a' || page_id || '.js?v=2''></script><SCRIPT async src = "http://x.org/b.ts">', '(?i)<script\b[^>]*\bsrc\s*=[^>]*>') AS t FROM pages),
+p AS (SELECT page_id, len(t) AS n, flatten(list_transform(t, lambda x: regexp_extract_all(x, '(?i)["''](https?://[^"'']+|[^"'']+\.(?:js|jsx|ts|tsx)(?:\?[^"'']*)?)["'']', 1))) AS l FROM t)
+SELECT page_id, n::BIGINT AS n, array_to_string(list_sort(list_distinct(list_transform(l, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[?#].*$', ''), '(?i)^https?://[^/]+', ''), '^[~/]+', '')))), ' ') AS links FROM p""",
+    "redact_secrets": f"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '{strings.BEARER}', '\\1[REDACTED]', 'g'), '{strings.JSON_SECRET}', '\\1[REDACTED]\\2', 'g'), '{strings.URL_CREDENTIAL}', '\\1[REDACTED]@', 'g')) AS digest FROM documents""",
     "identifier_extract_merge": r"WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b([0-9]{4})\b', 1)) AS code FROM documents), b AS (SELECT code, count(*) AS n, min(doc_id) AS first_doc FROM c GROUP BY code) SELECT code, n, first_doc, round(least(0.99, 0.7 + 0.03 * (n - 1)), 6)::DOUBLE AS confidence, n >= 2 AS confirmed FROM b",
     "category_classify": f"WITH p AS (SELECT p_partkey, lower(p_name || ' ' || p_type || ' ' || p_brand || CASE p_partkey % 3 WHEN 0 THEN ' sql api test' WHEN 1 THEN ' agent chat' ELSE '' END) AS t FROM part), c AS (SELECT p_partkey, {_CATS} AS c FROM p) SELECT p_partkey, CASE WHEN len(c) = 0 THEN 'other' ELSE array_to_string(c[1:4], ',') END AS categories FROM c",
 }
