@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attach_queries, catalog_queries, function_queries, graph_queries, issue_queries, report_queries, table_queries, text_queries, view_queries
+from . import attach_queries, catalog_queries, function_queries, graph_queries, issue_queries, record_queries, report_queries, table_queries, text_queries, view_queries
 
-QUERIES = graph_queries.QUERIES | text_queries.QUERIES | table_queries.QUERIES | attach_queries.QUERIES | function_queries.QUERIES | view_queries.QUERIES | catalog_queries.QUERIES | issue_queries.QUERIES | report_queries.QUERIES
-ORACLE: dict[str, str] = graph_queries.ORACLE | text_queries.ORACLE | table_queries.ORACLE | attach_queries.ORACLE | function_queries.ORACLE | view_queries.ORACLE | catalog_queries.ORACLE | issue_queries.ORACLE | report_queries.ORACLE
+QUERIES = graph_queries.QUERIES | text_queries.QUERIES | table_queries.QUERIES | attach_queries.QUERIES | function_queries.QUERIES | view_queries.QUERIES | catalog_queries.QUERIES | issue_queries.QUERIES | report_queries.QUERIES | record_queries.QUERIES
+ORACLE: dict[str, str] = graph_queries.ORACLE | text_queries.ORACLE | table_queries.ORACLE | attach_queries.ORACLE | function_queries.ORACLE | view_queries.ORACLE | catalog_queries.ORACLE | issue_queries.ORACLE | report_queries.ORACLE | record_queries.ORACLE
