@@ -37,7 +37,7 @@ from .common import components, map_batches, materialize, mix, shingles, small_s
 
 BAND = 1.35
 SLACK = 0.12
-BLOCK = 512
+BLOCK = 1024
 KEYS_PER_BUCKET = 1_000_000
 HOT_RUN = 128
 SLAB = 1024
@@ -287,13 +287,12 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     return _by_group(batches, work, ["a", "b"])
 
 
-def _remaining(pairs: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(r, m, blk, i, j): what is left to compare of the large groups after their blocks' own links.
+def _remaining(pairs: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
+    """(r, m, blk, i, j): what is left to compare of the large groups after their blocks' own links, whose parts are label(node, label).
 
     The largest connected part of a group is its core. Blocks 0 to u - 1 are of the rest, u and on of the core; a rest
     block meets itself, every other rest block and every core block, and core blocks don't meet.
     """
-    label = components(links)
     members = pairs.union(pairs.select("r", "r").distinct()).join(classes.select("m", F.hex("cls").alias("node")), "m").join(label, "node", "left")
     members = materialize(members.select("r", "m", F.coalesce("label", "node").alias("label")), "members")
     parts = members.groupBy("r", "label").agg(F.count("*").alias("part"))
@@ -348,10 +347,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blk = F.pmod(F.xxhash64("m"), F.coalesce("blocks", F.lit(1))).cast("int")
     each = pairs.join(several, "r", "left").select("r", "m", blk.alias("blk"))
     tops = pairs.select("r").distinct().join(several, "r", "left").select("r", F.col("r").alias("m"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("blk"))
-    links = compared(each.union(tops).select("r", "m", "blk", F.col("blk").alias("i"), F.col("blk").alias("j")))
+    joined = components(compared(each.union(tops).select("r", "m", "blk", F.col("blk").alias("i"), F.col("blk").alias("j"))))
     if large.limit(1).count():
-        links = links.union(compared(_remaining(pairs.join(several.drop("blocks"), "r", "left_semi"), classes, links)))
-    joined = components(links)
+        more = compared(_remaining(pairs.join(several.drop("blocks"), "r", "left_semi"), classes, joined))
+        # the parts found so far are the nodes of the second search
+        of = joined.select("node", "label")
+        ends = more.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+        wider = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("wide"))
+        nodes = of.union(wider.select("label", "label")).distinct()
+        joined = nodes.join(wider, "label", "left").groupBy("node").agg(F.min(F.coalesce("wide", "label")).alias("label"))
     found = classes.select("cls", "first_id", "n_class").withColumn("node", F.hex("cls")).join(joined, "node", "left").select("cls", "first_id", "n_class", F.coalesce("label", "node").alias("label"))
     lowest = found.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = found.join(lowest, "label").select("cls", "component_id", "n_class")
