@@ -165,3 +165,43 @@ def remote_branches(lines: DataFrame, prefix: str = "refs/heads/") -> DataFrame:
     """(branch): distinct names behind the prefix in lines of hash, tab and reference, in order."""
     ref = F.element_at(F.split("line", "\t"), -1)
     return lines.where(F.startswith(ref, F.lit(prefix))).select(F.substring(ref, F.lit(len(prefix) + 1), F.length(ref)).alias("branch")).distinct().orderBy("branch")
+
+
+# fixed values: a connection's tag, and a command or parameter made in code
+ADD_TAG = r"(?i)<add\b[^>]*>"
+COMMAND = r'(?i)new\s+SqlCommand\s*\(\s*(?:(?:"([^"]+)")|([A-Za-z_]\w*))'
+PARAMETER = r'(?i)new\s+SqlParameter\s*\(\s*"(@[^"]+)"\s*,\s*SqlDbType\.([A-Za-z_]\w*)'
+
+
+def connections(configs: DataFrame, projects: DataFrame, database: str) -> DataFrame:
+    """(profile, name, provider, project): connections of configs(path, text) to the database, and the project(project, root) whose root is the longest prefix of the file's path."""
+    from ..functions.paths import connection_part, normalize_path, tag_attributes
+
+    tags = configs.select("path", F.explode_outer(F.regexp_extract_all("text", F.lit(ADD_TAG), F.lit(0))).alias("tag")).where("tag is not null")
+    a = tags.withColumn("a", tag_attributes(F.col("tag"))).withColumn("c", F.try_element_at("a", F.lit("connectionstring")))
+    target = F.coalesce(connection_part(F.col("c"), "initial catalog"), connection_part(F.col("c"), "database"))
+    mine = a.where(F.lower(target) == database.lower()).select("path", F.try_element_at("a", F.lit("name")).alias("name"), F.try_element_at("a", F.lit("providername")).alias("provider"))
+    rows = mine.withColumn("_p", normalize_path(F.col("path"))).withColumn("profile", stable_id("connection-profile", F.col("_p"), F.col("name")))
+    parts = F.split("_p", "/")
+    roots = projects.select("project", normalize_path(F.col("root")).alias("_r"))
+    above = rows.select("profile", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_r")).join(roots, "_r")
+    own = above.groupBy("profile").agg(F.max_by("project", F.struct(F.length("_r"), "project")).alias("project"))
+    return rows.join(own, "profile", "left").select("profile", "name", "provider", "project")
+
+
+def command_calls(methods: DataFrame, constants: DataFrame) -> DataFrame:
+    """(method, procedure, how): procedures that methods(method, file, text) run by commands of the stored kind: LITERAL, CONSTANT of its file's constants(file, name, value), or DYNAMIC where the name isn't known."""
+    stored = methods.where(F.contains(F.lower("text"), F.lit("commandtype.storedprocedure")))
+    each = stored.select("method", "file", F.explode_outer(F.regexp_extract_all("text", F.lit(COMMAND), F.lit(0))).alias("c")).where("c is not null")
+    each = each.select("method", "file", F.nullif(F.regexp_extract("c", COMMAND, 1), F.lit("")).alias("literal"), F.nullif(F.regexp_extract("c", COMMAND, 2), F.lit("")).alias("word"))
+    first = constants.groupBy("file", F.lower("name").alias("_n")).agg(F.min("value").alias("value"))
+    rows = each.join(first.withColumnRenamed("file", "_f"), (F.col("file") == F.col("_f")) & (F.lower("word") == F.col("_n")), "left")
+    name = F.coalesce("literal", "value", "word")
+    rows = rows.where(~F.contains(name, F.lit(" ")))
+    return rows.select("method", name.alias("procedure"), F.when(F.col("literal").isNotNull(), "LITERAL").when(F.col("value").isNotNull(), "CONSTANT").otherwise("DYNAMIC").alias("how")).distinct()
+
+
+def code_parameters(methods: DataFrame) -> DataFrame:
+    """(method, parameter, type) of the parameters that methods(method, text) make."""
+    each = methods.select("method", F.explode_outer(F.regexp_extract_all("text", F.lit(PARAMETER), F.lit(0))).alias("p")).where("p is not null")
+    return each.select("method", F.regexp_extract("p", PARAMETER, 1).alias("parameter"), F.regexp_extract("p", PARAMETER, 2).alias("type")).distinct()

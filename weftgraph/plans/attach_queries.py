@@ -52,7 +52,24 @@ def stream_run_text(spark, d):
     return got.select("conv_id", "n", F.sha2("content", 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (first_lookup, resolve_or_create, first_existing, edge_endpoints, version_constraints, stream_window_counts, stream_last_event, stream_run_text)}
+def stream_spans(spark, d):
+    """SM2: activities (users) as spans, from their events."""
+    got = runs.run_updates(runs.activity_spans(runs.folder_stream(spark, f"{d}/events.parquet"), "user_id", "ts", "event_type", ("purchase", "error")), ["user_id"], "spans")
+    return got.select("user_id", ((F.unix_micros("ended") - F.unix_micros("started")) / 1000).cast("long").alias("elapsed_ms"), "n")
+
+
+def stream_turns(spark, d):
+    """SM5, SK25: each message once."""
+    got = runs.run_updates(runs.first_of_turn(runs.folder_stream(spark, f"{d}/conversations.parquet"), ["conv_id", "turn", "role"], ["text"]), ["conv_id", "turn", "role"], "turns")
+    return got.select("conv_id", "turn", "role", F.md5("text").alias("digest"), "n")
+
+
+def stream_jobs(spark, d):
+    """SM7: the states of jobs (users)."""
+    return runs.run_updates(runs.job_states(runs.folder_stream(spark, f"{d}/events.parquet"), "user_id", "event_id", "event_type", "error", 5), ["user_id"], "jobs")
+
+
+QUERIES = {f.__name__: f for f in (stream_spans, stream_turns, stream_jobs, first_lookup, resolve_or_create, first_existing, edge_endpoints, version_constraints, stream_window_counts, stream_last_event, stream_run_text)}
 
 ORACLE = {
     "first_lookup": "SELECT upper(b.p_brand) AS asked, (SELECT min(p_partkey) FROM part p WHERE lower(p.p_brand) = lower(b.p_brand)) AS first_part FROM (SELECT DISTINCT p_brand FROM part) b",
@@ -62,4 +79,7 @@ ORACLE = {
     "stream_window_counts": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_last_event": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
     "stream_run_text": "SELECT conv_id, count(*) AS n, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id",
+    "stream_spans": "SELECT user_id, ((epoch_us(max(ts) FILTER (event_type IN ('purchase', 'error'))) - epoch_us(min(ts))) // 1000)::BIGINT AS elapsed_ms, count(*) AS n FROM events GROUP BY user_id",
+    "stream_turns": "SELECT conv_id, turn, role, md5(min(text)) AS digest, count(*) AS n FROM conversations GROUP BY ALL",
+    "stream_jobs": "SELECT user_id, arg_max(event_type, event_id) AS last, count(*) FILTER (event_type = 'error') AS fails, count(*) FILTER (event_type = 'error') > 5 AS given_up FROM events GROUP BY user_id",
 }

@@ -128,7 +128,31 @@ def project_edges(spark, d):
     return reports.project_edges(projects, refs).unionByName(reports.remote_branches(lines).select(F.lit("BRANCH").alias("type"), F.col("branch").alias("src"), F.lit("").alias("dst")))
 
 
-QUERIES = {f.__name__: f for f in (report_documents, schedule_procedures, schedule_tasks, category_constants, menu_routes, entity_mappings, header_mappings, parameter_bindings, returned_views, included_scripts, call_owners, code_index, code_chunks, project_edges)}
+def connection_profiles(spark, d):
+    """EX16: connections of configuration files to one database, and the projects that hold them."""
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    tag = lambda name, db: F.concat(F.lit(f'<add name="{name}'), k.cast("string"), F.lit('" connectionString="Server=x;'), db, F.lit('" providerName="p"/>'))
+    text = F.concat(F.lit("<c>"), tag("a", F.when(k % 2 == 0, F.lit("Initial Catalog=Main")).otherwise(F.lit("Database = main;y=1"))), tag("b", F.lit("Initial Catalog=Other")), F.lit('<add key="z"/></c>'))
+    configs = s.select(F.concat(F.lit("c:/src/p"), (k % 4).cast("string"), F.lit("/sub/"), k.cast("string"), F.lit(".config")).alias("path"), text.alias("text"))
+    n = table(spark, d, "nation")
+    projects = n.where("n_nationkey < 3").select(F.col("n_name").alias("project"), F.concat(F.lit("C:\\src\\P"), F.col("n_nationkey").cast("string")).alias("root")).union(n.where("n_nationkey = 3").select("n_name", F.lit("c:/src/p1/sub")))
+    return reports.connections(configs, projects, "MAIN")
+
+
+def command_calls(spark, d):
+    """EX20, EX21, SF10: procedures and parameters in code."""
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    word = F.when(k % 3 == 0, F.concat(F.lit('"Proc'), (k % 7).cast("string"), F.lit('"'))).when(k % 3 == 1, F.concat(F.lit("Const"), (k % 5).cast("string"))).otherwise(F.lit('"select x from y"'))
+    text = F.concat(F.lit("var c = new SqlCommand( "), word, F.lit(', x); new SqlParameter("@p'), (k % 4).cast("string"), F.lit('", SqlDbType.Int);'), F.when(k % 2 == 0, F.lit(" c.CommandType = CommandType.StoredProcedure;")).otherwise(F.lit("")))
+    methods = p.select(k.cast("string").alias("method"), F.col("p_brand").alias("file"), text.alias("text"))
+    constants = p.where("p_partkey % 5 < 3").select(F.col("p_brand").alias("file"), F.concat(F.lit("CONST"), (k % 5).cast("string")).alias("name"), F.concat(F.lit("sp"), (k % 5).cast("string")).alias("value"))
+    calls = reports.command_calls(methods, constants)
+    return calls.unionByName(reports.code_parameters(methods).select("method", F.col("parameter").alias("procedure"), F.col("type").alias("how")))
+
+
+QUERIES = {f.__name__: f for f in (connection_profiles, command_calls, report_documents, schedule_procedures, schedule_tasks, category_constants, menu_routes, entity_mappings, header_mappings, parameter_bindings, returned_views, included_scripts, call_owners, code_index, code_chunks, project_edges)}
 
 
 def _sid(prefix: str, *parts: str) -> str:
@@ -159,4 +183,8 @@ SELECT o_orderkey AS method, coalesce(path, 'unresolved:V' || o_orderkey % 30) A
     "code_index": "SELECT 'method_by_place' AS lookup, count(DISTINCT (lower(p_brand), p_size)) AS n FROM part UNION ALL SELECT 'type_by_name', count(DISTINCT lower(p_name)) FROM part UNION ALL SELECT 'type_by_full_name', count(DISTINCT lower(p_brand || '.' || p_name)) FROM part UNION ALL SELECT 'type_by_file', count(DISTINCT lower(p_brand)) FROM part UNION ALL SELECT 'method_by_type', count(DISTINCT (lower(p_name), lower(p_type))) FROM part",
     "code_chunks": f"SELECT doc_id::VARCHAR AS id, {_sid('chunk', 'doc_id::VARCHAR')} AS chunk, least(500, length(text))::INTEGER AS length, sha256(text) AS hash, length(text) > 500 AS cut FROM documents WHERE text IS NOT NULL",
     "project_edges": "SELECT 'CONTAINS_PROJECT' AS type, 'r' || n_regionkey AS src, n_name AS dst FROM nation UNION ALL SELECT 'REFERENCES_PROJECT', a.n_name, b.n_name FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey * 3 UNION ALL SELECT DISTINCT 'BRANCH', b, '' FROM (SELECT r_name AS b FROM region UNION ALL SELECT 'main')",
+    "connection_profiles": f"""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 4 AS p FROM supplier) SELECT {_sid("connection-profile", "'C:/SRC/P' || p || '/SUB/' || k || '.CONFIG'", "'a' || k")} AS profile, 'a' || k AS name, 'p' AS provider, CASE p WHEN 0 THEN 'NATION_0' WHEN 1 THEN 'NATION_3' WHEN 2 THEN 'NATION_2' END AS project FROM s""",
+    "command_calls": """WITH c AS (SELECT p_brand AS file, 'Const' || p_partkey % 5 AS name, 'sp' || p_partkey % 5 AS value FROM part WHERE p_partkey % 5 < 3 GROUP BY ALL)
+SELECT p_partkey::VARCHAR AS method, CASE WHEN p_partkey % 3 = 0 THEN 'Proc' || p_partkey % 7 ELSE coalesce(value, 'Const' || p_partkey % 5) END AS procedure, CASE WHEN p_partkey % 3 = 0 THEN 'LITERAL' WHEN value IS NOT NULL THEN 'CONSTANT' ELSE 'DYNAMIC' END AS how
+FROM part LEFT JOIN c ON file = p_brand AND name = 'Const' || p_partkey % 5 WHERE p_partkey % 2 = 0 AND p_partkey % 3 < 2 UNION ALL SELECT p_partkey::VARCHAR, '@p' || p_partkey % 4, 'Int' FROM part""",
 }

@@ -87,7 +87,7 @@ def activity_elapsed(spark, d):
 
 def job_state_hist(spark, d):
     last = merge.last_row(table(spark, d, "events"), ["user_id"], F.desc("ts"), F.desc("event_id"))
-    return last.agg(F.count("*").alias("jobs"), *[F.count_if(F.col("event_type") == x).alias(x) for x in ("click", "error", "purchase")], F.round(100.0 * F.count_if(F.col("event_type") == "purchase") / F.count("*"), 6).alias("percent"))
+    return last.agg(F.count("*").alias("jobs"), *[F.count_if(F.col("event_type") == x).alias(x) for x in ("click", "error", "purchase")], F.when(F.count("*") == 0, 100.0).otherwise(F.round(100.0 * F.count_if(F.col("event_type") == "purchase") / F.greatest(F.count("*"), F.lit(1)), 6)).alias("percent"))
 
 
 def retrieval_p95(spark, d):

@@ -17,8 +17,8 @@ from ..storage import scratch_dir
 
 
 def folder_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table as a stream; the pattern lets a table be one file as well as a folder."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    """A Parquet table as a stream, be it one file or a folder; the pattern is the name itself, so that no sibling is read."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_updates(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -51,3 +51,20 @@ def run_text(tokens: DataFrame, run: str, order: list[str], text: str) -> DataFr
     """Streaming: a run's tokens in their order as one text; the state of a key is that run's own tokens."""
     got = F.sort_array(F.collect_list(F.struct(*order, text)))
     return tokens.groupBy(run).agg(F.array_join(F.transform(got, lambda x: x[text]), "").alias("content"), F.count("*").alias("n"))
+
+
+def activity_spans(events: DataFrame, key: str, time: str, kind: str, ends: tuple[str, ...]) -> DataFrame:
+    """Streaming: (key, started, ended, n): the first event of each activity, its last terminal one (null while it runs), and how many it had."""
+    at = F.col(time).cast("timestamp")
+    return events.groupBy(key).agg(F.min(at).alias("started"), F.max(F.when(F.col(kind).isin(*ends), at)).alias("ended"), F.count("*").alias("n"))
+
+
+def first_of_turn(messages: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Streaming: each turn once, whatever comes again: the least of its columns, and how often it came."""
+    return messages.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("r"), F.count("*").alias("n")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in columns], "n")
+
+
+def job_states(events: DataFrame, key: str, order: str, kind: str, failed: str, retries: int = 2) -> DataFrame:
+    """Streaming: (key, last, fails, given_up): the last step of each job, its failures, and whether they are more than its retries."""
+    fails = F.count_if(F.col(kind) == failed)
+    return events.groupBy(key).agg(F.max_by(kind, order).alias("last"), fails.alias("fails"), (fails > retries).alias("given_up"))
