@@ -23,7 +23,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    return sorted(tuple(None if x is None or x != x else f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in df.itertuples(index=False))
+    return sorted(tuple("null" if x is None or x is pd.NA or x != x else f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))

@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: extensions of searchable files and folders that a scan leaves out
-EXTENSIONS = ".cs .csproj .sln .js .jsx .ts .tsx .aspx .ascx .master .sql .json .xml .config .md .txt .yaml .yml".split()
-LEFT_OUT = ".git .svn .vs bin obj node_modules packages dist build out target vendor".split()
+EXTENSIONS = [
+    ".cs", ".csproj", ".sln", ".js", ".jsx", ".ts", ".tsx", ".aspx", ".ascx", ".master", ".sql", ".json", ".xml", ".config", ".md", ".txt", ".yaml",
+    ".yml",
+]
+LEFT_OUT = [
+    ".git", ".svn", ".vs", "bin", "obj", "node_modules", "packages", "dist", "build", "out", "target", "vendor",
+]
 
 
 def source_files(spark: SparkSession, root: str, extensions: list[str] = EXTENSIONS, left_out: list[str] = LEFT_OUT) -> DataFrame:
