@@ -29,3 +29,20 @@ def endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges with src_kind, src_name, dst_kind and dst_name; edges with an end that isn't a node go."""
     end = lambda e: nodes.select(F.col("id").alias(e), F.col("kind").alias(f"{e}_kind"), F.col("name").alias(f"{e}_name"))
     return edges.join(end("src"), "src").join(end("dst"), "dst")
+
+
+def _grams_of(text: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+
+
+def containing(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, word_id: str, word_col: str) -> DataFrame:
+    """(id, word id): the texts that hold each word, whatever the case; null and empty words are in none.
+
+    A text that holds a word has the word's first three characters (all of a shorter one) in a row, so both meet by an
+    equi-join on these and only such pairs are compared.
+    """
+    w = words.select(F.col(word_id), F.lower(word_col).alias("_w")).where("_w <> ''").withColumn("_g", F.left("_w", F.lit(3)))
+    low = texts.select(F.col(id_col), F.lower(text_col).alias("_t")).where("_t <> ''")
+    grams = F.array_distinct(F.concat(*[F.when(F.length("_t") >= n, _grams_of(F.col("_t"), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+    each = low.select(id_col, "_t", F.explode(grams).alias("_g"))
+    return each.join(w, "_g").where(F.contains("_t", F.col("_w"))).select(id_col, word_id)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import paths, strings
-from ..operators import merge, text
+from ..operators import joins, merge, text
 from ..storage import scratch_dir
 from .graph_queries import table
 
@@ -88,10 +88,9 @@ def suffix_lookup(spark, d):
 
 
 def cross_contains(spark, d):
-    """Small words against names that contain them: the region side is a fixed dimension of five rows."""
-    r = table(spark, d, "region").select("r_regionkey", F.lower(F.left("r_name", F.lit(1))).alias("w"))
-    p = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("n"))
-    return p.join(F.broadcast(r), F.contains("n", F.col("w"))).select("p_partkey", "r_regionkey")
+    """JN16: words and the names that contain them, by their first characters: no pair is made that doesn't share these."""
+    r = table(spark, d, "region").select("r_regionkey", F.left("r_name", F.lit(1)).alias("w")).unionByName(table(spark, d, "part").groupBy(F.substring_index("p_name", " ", -1).alias("w")).agg((-F.min("p_partkey")).cast("int").alias("r_regionkey")))
+    return joins.containing(table(spark, d, "part"), "p_partkey", "p_name", r, "r_regionkey", "w")
 
 
 def link_classify(spark, d):
@@ -143,7 +142,7 @@ ORACLE = {
     "evidence_roundrobin": "WITH r AS (SELECT doc_id, coalesce(source, '') AS source, min(doc_id) OVER (PARTITION BY source) AS f, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) SELECT doc_id, source, turn FROM r ORDER BY turn, f LIMIT 200",
     "longest_prefix_join": r"WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages), r AS (SELECT DISTINCT root FROM (SELECT regexp_extract(path, '^([^/]+)', 1) AS root FROM p UNION ALL SELECT regexp_extract(path, '^([^/]+/[^/]+)', 1) FROM p) WHERE root <> '') SELECT page_id, arg_max(root, length(root)) AS root FROM p JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY page_id",
     "suffix_lookup": r"WITH p AS (SELECT url, regexp_extract(url, '([^/]+)/?$', 1) AS last FROM pages) SELECT last, arg_min(url, (length(url), url)) AS url FROM p WHERE last <> '' GROUP BY last",
-    "cross_contains": "SELECT p_partkey, r_regionkey FROM part, region WHERE contains(lower(p_name), lower(left(r_name, 1)))",
+    "cross_contains": "WITH w AS (SELECT r_regionkey, lower(left(r_name, 1)) AS w FROM region UNION ALL SELECT -min(p_partkey), lower(string_split(p_name, ' ')[-1]) FROM part GROUP BY string_split(p_name, ' ')[-1]) SELECT p_partkey, r_regionkey FROM part, w WHERE contains(lower(p_name), w)",
     "link_classify": r"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_replace(url, '^https?:/', '') WHEN 1 THEN '/CustomReport/MenuIndex/' || page_id WHEN 2 THEN '->' || url ELSE url END AS link FROM pages),
 n AS (SELECT page_id, link, rtrim(regexp_replace(replace(trim(link), '\', '/'), '([^:/]|^)/{2,}', '\1/', 'g'), '/') AS s FROM u)
 SELECT page_id, CASE WHEN starts_with(s, '/') OR starts_with(s, '->') THEN s ELSE '/' || s END AS link,
