@@ -39,6 +39,7 @@ BAND = 1.35
 SLACK = 0.12
 BLOCK = 1024
 KEYS_PER_BUCKET = 1_000_000
+KEYS_HELD = 1_500_000
 HOT_RUN = 128
 SLAB = 1024
 LEAST_BITS, MOST_BITS = 512, 1 << 16
@@ -182,7 +183,7 @@ def _blocks(docs: DataFrame, text_col: str, buckets: int, largest: int) -> DataF
                 ids[name] = len(ids)
                 keys.append(k)
                 held += len(k)
-                if held > 3_000_000 or len(ids) >= 60_000:
+                if held > KEYS_HELD or len(ids) >= 60_000:
                     yield flush()
                     ids, keys, held = {}, [], 0
         if keys:
