@@ -48,7 +48,7 @@ class GraphStore:
     stage() writes a version to a folder of its own and validates it; what isn't valid leaves nothing behind. promote()
     makes a staged version current, rollback() the one that was current before. prune() deletes all but these two,
     delete() one version, which must not be current. A version number is used once. Nodes lie by kind, edges by type,
-    so that filters on them read only those folders.
+    so that filters on them read only those folders. The log is for one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -95,7 +95,8 @@ class GraphStore:
         if self.log().where((F.col("project_id") == project) & (F.col("graph_version") == version)).limit(1).count():
             raise ValueError(f"version {version} of {project} exists")
         path = f"{self.root}/data/{project}-{version}-{uuid.uuid4().hex}"
-        nodes.selectExpr("id", "kind", "name").repartition("kind").write.partitionBy("kind").parquet(f"{path}/nodes")
+        # rebalanced by kind: a kind with a third of all nodes is split, small ones share files
+        nodes.selectExpr("id", "kind", "name").hint("rebalance", "kind").write.partitionBy("kind").parquet(f"{path}/nodes")
         edges.selectExpr("type", "src", "dst", "cast(occurrence_count as bigint) as occurrence_count", "edge_id").repartition("type", "src").sortWithinPartitions("type", "src").write.partitionBy("type").parquet(f"{path}/edges")
         found = validate(*self._at(path)).first().asDict()
         if found["repeated_nodes"] or found["dangling_edges"] or (expected and expected != (found["nodes"], found["edges"])):
