@@ -261,3 +261,27 @@ def one_hop(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: how many nodes and edges there are."""
     return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+
+
+def trace_paths(edges: DataFrame, node: str, depth: int, per_node: int = 40, most: int = 80, types: list[str] | None = None) -> DataFrame:
+    """(id, depth, place, path): the path by which each node around the given one is first found, `most` of them.
+
+    Layer by layer (8 at most) along each node's per_node strongest edges, nodes of a layer in order of their finding.
+    A step of a path names the edge's type and direction. Nodes beyond `most` aren't walked on from.
+    """
+    spark = edges.sparkSession
+    seen = layer = spark.createDataFrame([(node, 0, 0, node)], "id string, depth int, place int, path string")
+    left = most
+    for step in range(1, min(8, max(1, depth)) + 1):
+        at = F.broadcast(layer.select(F.col("id").alias("center"), F.col("place").alias("up"), "path"))  # `most` rows at most
+        near = neighbors(edges, layer, per_node, types).join(at, "center")
+        said = F.concat("path", F.lit(" -["), "type", F.lit(" "), "direction", F.lit("]-> "), "neighbor")
+        first = near.groupBy(F.col("neighbor").alias("id")).agg(F.min(F.struct("up", "rank", said.alias("path"))).alias("m")).join(F.broadcast(seen.select("id")), "id", "left_anti")
+        top = first.orderBy("m.up", "m.rank", "id").limit(left)
+        order = W.orderBy("m.up", "m.rank", "id")  # of the few that are left
+        layer = materialize(top.select("id", F.lit(step).alias("depth"), F.row_number().over(order).alias("place"), F.col("m.path").alias("path")), "trace")
+        seen = seen.unionByName(layer)
+        left -= layer.count()
+        if left <= 0:
+            break
+    return seen.where("depth > 0")

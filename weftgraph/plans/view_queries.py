@@ -173,7 +173,13 @@ def symbol_search(spark, d):
     return index.where("identifier in ('Widget', 'The', 'b')").unionByName(text.search_symbols(index, "b.Widget", 0))
 
 
-QUERIES = {f.__name__: f for f in (search_plan, seed_union, local_search, backbone_chase, visual_search, agent_search, community_search, context_pack, visual_neighbors, visual_graph, node_details, edge_lookup, endpoint_completion, view_merge, hidden_kinds, export_graph, open_properties, select_graph, query_templates, community_reports, community_tiers, symbol_search)}
+def traced_paths(spark, d):
+    """GR8: the paths of two steps around a supplier, 60 of them."""
+    _, edges = derive(spark, d)
+    return graph.trace_paths(edges, "supplier:2", 2, 12, 60)
+
+
+QUERIES = {f.__name__: f for f in (traced_paths, search_plan, seed_union, local_search, backbone_chase, visual_search, agent_search, community_search, context_pack, visual_neighbors, visual_graph, node_details, edge_lookup, endpoint_completion, view_merge, hidden_kinds, export_graph, open_properties, select_graph, query_templates, community_reports, community_tiers, symbol_search)}
 
 _TOK = r"'[\p{L}\p{N}_./:-]{2,}'"
 
@@ -253,6 +259,12 @@ w AS (SELECT doc_id, line, row, unnest(list_distinct(regexp_extract_all(row, '[A
 s AS (SELECT regexp_extract(whole, '([^.]+)$', 1) AS identifier, doc_id, line, instr(row, whole) AS "column", regexp_extract(whole, '^(.*)\.[^.]+$', 1) AS container FROM w)
 SELECT * FROM s WHERE identifier IN ('Widget', 'The', 'b') UNION ALL SELECT * FROM s WHERE identifier = 'Widget' AND (container = 'b' OR ends_with(container, '.b'))""",
 }
+_STEP = "' -[' || type || ' ' || direction || ']-> ' || neighbor"
+ORACLE["traced_paths"] = f"""WITH {GRAPH}, n1 AS (SELECT *, row_number() OVER (ORDER BY {WEIGHT} DESC, neighbor, edge_id) AS rank FROM incident WHERE center = 'supplier:2'),
+f1 AS (SELECT neighbor AS id, min((rank, 'supplier:2' || {_STEP})) AS m FROM n1 WHERE rank <= 12 AND neighbor <> 'supplier:2' GROUP BY neighbor), l1 AS (SELECT id, 1 AS depth, (row_number() OVER (ORDER BY m, id))::INTEGER AS place, m[2] AS path FROM f1),
+n2 AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY {WEIGHT} DESC, neighbor, edge_id) AS rank FROM incident WHERE center IN (SELECT id FROM l1)),
+f2 AS (SELECT neighbor AS id, min((place, rank, path || {_STEP})) AS m FROM n2 JOIN l1 ON center = l1.id WHERE rank <= 12 AND neighbor <> 'supplier:2' AND neighbor NOT IN (SELECT id FROM l1) GROUP BY neighbor),
+l2 AS (SELECT id, 2 AS depth, (row_number() OVER (ORDER BY m, id))::INTEGER AS place, m[3] AS path FROM f2 ORDER BY m, id LIMIT (SELECT 60 - count(*) FROM l1)) SELECT * FROM l1 UNION ALL SELECT * FROM l2"""
 #: SQL for the greedy core of graph_queries.edge_sample_core, by the same reasoning as the operator's.
 ORACLE["edge_sample_core"] = f"WITH {GRAPH}, {_CORE.format(priority='CASE type WHEN ' + repr('CONTAINS_PROJECT') + ' THEN 0 WHEN ' + repr('DEFINED_IN_PROJECT') + ' THEN 1 ELSE 2 END', sample=20000, n=100)} SELECT id FROM core"
 ORACLE["edge_endpoints"] = f"WITH {GRAPH} SELECT e.type, a.kind AS src_kind, b.kind AS dst_kind, count(*) AS n FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id GROUP BY ALL"
