@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html_text, language_id, license_scan, lm_scoring, mixing, ngram_join, pii, toxicity
+from . import ann, byte_bpe, collocations, decontamination, html_text, language_id, license_scan, lm_scoring, mixing, ngram_join, pii, toxicity, whitening
 from .common import documents
 
 
@@ -61,9 +62,38 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(rows, model, ["doc_id", "held_out"])
 
 
+def op11_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = byte_bpe.encode_bpe(documents(spark, sf_dir).select("doc_id", "text"), vocabulary)
+    both = byte_bpe.decode_bpe(coded, vocabulary)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lattice_lm, op2_ngram_jaccard, op3_source_mixing, op4_multiprobe_ann, op5_ordinal_toxicity, op6_skip_chain_pii, op7_html_text, op8_license_compression, op9_template_decontamination, op10_language_id)
+    for f in (
+        op1_lattice_lm,
+        op2_ngram_jaccard,
+        op3_source_mixing,
+        op4_multiprobe_ann,
+        op5_ordinal_toxicity,
+        op6_skip_chain_pii,
+        op7_html_text,
+        op8_license_compression,
+        op9_template_decontamination,
+        op10_language_id,
+        op11_jacobi_whitening,
+        op12_collocations,
+        op13_byte_bpe,
+    )
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -189,7 +219,30 @@ WHERE coalesce(c.consistent, 1.0) >= {decontamination.AGREE} OR h.verbatim IS NO
 UNION ALL SELECT doc_id, item_id, 1, 1, false FROM brief_found
 """
 
+COLLOCATIONS_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(coalesce({_LOWER}, ''), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, range(1, 4) t(k) WHERE len(w) >= k
+), f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+cand AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+halves AS MATERIALIZED (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS one, array_to_string(w[cut + 1:k], ' ') AS two FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, ({collocations.SCALE}::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM halves c JOIN f x ON x.lang = c.lang AND x.phrase = c.one JOIN f y ON y.lang = c.lang AND y.phrase = c.two
+), lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM cuts),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM cand WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM cand WHERE k = 3) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM lowest c LEFT JOIN longer g ON g.lang = c.lang AND g.phrase = c.phrase WHERE c.o = 1 AND 100 * coalesce(g.a, 0) < {collocations.SUBSUMED} * c.a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
 ORACLE: dict[str, str] = {
+    "op12_collocations": COLLOCATIONS_SQL,
     "op2_ngram_jaccard": NEAR_DUPLICATES_SQL,
     "op3_source_mixing": MIXING_SQL,
     "op9_template_decontamination": DECONTAMINATION_SQL,
