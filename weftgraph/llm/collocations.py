@@ -117,6 +117,8 @@ class Shard:
         out = []
         for k in range(LONGEST):
             own = np.flatnonzero(longest[k])
+            if k:  # phrases with one prefix side by side, which a shuffle then packs well
+                own = own[np.argsort(at[k - 1][place[k][own] - 1], kind="stable")]
             parts = [names.take(pa.array(word[place[k][own] - j])) for j in range(k, -1, -1)]
             out.append((pc.binary_join_element_wise(*parts, b" ") if k else parts[0], count[k][own], least[k][own], k + 1))
         return out, int((inside & fresh).sum())
@@ -160,9 +162,15 @@ def _words(phrase: Column, many: Column) -> Column:
 def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, size, phrase, f): phrases of LONGEST words at most with at least `least` occurrences, and of each lang all its words as size 0."""
     states = phrase_states(docs, text_col, lang_col)
-    each = states.select("lang", "phrase", F.explode(F.sequence("least", "size")).alias("size"), "f")
-    whole = each.select("lang", "size", _words(F.col("phrase"), -F.col("size")).alias("phrase"), "f")
-    return whole.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where((F.col("size") == 0) | (F.col("f") >= least))
+    each = states.select("lang", "phrase", F.explode(F.sequence("least", "size")).alias("k"), "size", "f")
+    # one text is the key; a phrase has no line end, so the first one parts it from the lang
+    own = F.when(F.col("k") == F.col("size"), F.col("phrase")).otherwise(_words(F.col("phrase"), -F.col("k")))
+    keyed = each.select(F.concat(own, F.lit("\n"), "lang").alias("key"), "f")
+    # a shard has each key once, so nothing is to be gained by adding up before the shuffle
+    total = keyed.repartition("key").groupBy("key").agg(F.sum("f").alias("f"))
+    end = F.instr("key", F.lit("\n"))
+    kept = total.where((F.col("f") >= least) | F.startswith("key", F.lit("\n"))).select(F.substr("key", end + 1).alias("lang"), F.substr("key", F.lit(1), end - 1).alias("phrase"), "f")
+    return kept.select("lang", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("size"), "phrase", "f")
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, subsumed: int = SUBSUMED, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
