@@ -37,12 +37,13 @@ SEGMENT = 1 << 20
 CODED = 1 << 16
 GIVEN = 1 << 16
 SALTS = 16
+HEADS, SAMPLE = 1000, 1 << 12
 
 # fixed values: what ends a piece, and what parts words
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _END = b"."
 _MARKS = bytes.maketrans(_ENDS, _END * len(_ENDS))
-STATES = "lang string, phrase binary, least int, size int, f long"
+STATES = "lang string, head binary, tail binary, least int, size int, f long"
 
 
 def tokens(text: bytes) -> Iterator[list[bytes]]:
@@ -80,8 +81,8 @@ class Shard:
         """An empty shard that goes on inside the document where this one ends."""
         return Shard((getattr(self, "tail", []) + self.held)[-(LONGEST - 1) :])
 
-    def states(self) -> tuple[list[tuple[pa.Array, np.ndarray, np.ndarray, int]], int]:
-        """(for each number of words: the states whose longest phrase has so many, their counts and shortest phrases' words; all words)."""
+    def states(self) -> tuple[list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, int]], int]:
+        """(for each number of words: the states whose longest phrase has so many (all words but the last, the last), their counts and shortest phrases' words; all words)."""
         if self.held or not self.parts:
             self._code()
         coded = pa.chunked_array(self.parts).unify_dictionaries()
@@ -120,38 +121,41 @@ class Shard:
             if k:  # phrases with one prefix side by side, which a shuffle then packs well
                 own = own[np.argsort(at[k - 1][place[k][own] - 1], kind="stable")]
             parts = [names.take(pa.array(word[place[k][own] - j])) for j in range(k, -1, -1)]
-            out.append((pc.binary_join_element_wise(*parts, b" ") if k else parts[0], count[k][own], least[k][own], k + 1))
+            head = pc.binary_join_element_wise(*parts[:-1], b" ") if k > 1 else parts[0] if k else pa.array([b""] * len(own), pa.binary())
+            out.append((head, parts[-1], count[k][own], least[k][own], k + 1))
         return out, int((inside & fresh).sum())
 
 
+def _given_out(shards: dict[str, Shard]) -> Iterator[dict]:
+    for lang, shard in shards.items():
+        levels, words = shard.states()
+        yield {"lang": [lang], "head": [b""], "tail": [b""], "least": [0], "size": [0], "f": [words]}
+        for heads, tails, counts, least, size in levels:
+            for s in range(0, len(heads), GIVEN):
+                part, n = slice(s, s + GIVEN), len(heads[s : s + GIVEN])
+                yield {"lang": pa.array([lang] * n), "head": heads[part], "tail": tails[part], "least": pa.array(least[part], pa.int32()), "size": pa.array([size] * n, pa.int32()), "f": pa.array(counts[part])}
+
+
+def shard_states(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows (lang, x: a text's bytes) of one task to the states of its shards, a shard for each language at a time."""
+    shards: dict[str, Shard] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("x"), strict=True):
+            for words in tokens(text.as_py()):
+                shard = shards.setdefault(lang, Shard())
+                shard.add(words, sum(map(len, words)))
+                if sum(s.words for s in shards.values()) >= SHARD_WORDS or sum(s.bytes for s in shards.values()) >= SHARD_BYTES:
+                    yield from _given_out(shards)
+                    shards = {lang: shard.after()}
+            if lang in shards:
+                shards[lang].add([_END])
+    yield from _given_out(shards)
+
+
 def phrase_states(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, phrase, least, size, f): the states of all shards' automata, and of each shard a row of size 0 with its words."""
+    """(lang, head, tail, least, size, f): the states of all shards' automata (the longest phrase as its last word and those before it), and of each shard a row of size 0 with its words."""
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("x"))
-
-    def given_out(shards: dict[str, Shard]) -> Iterator[dict]:
-        for lang, shard in shards.items():
-            levels, words = shard.states()
-            yield {"lang": [lang], "phrase": [b""], "least": [0], "size": [0], "f": [words]}
-            for phrases, counts, least, size in levels:
-                for s in range(0, len(phrases), GIVEN):
-                    n = len(phrases[s : s + GIVEN])
-                    yield {"lang": pa.array([lang] * n), "phrase": phrases[s : s + GIVEN], "least": pa.array(least[s : s + GIVEN], pa.int32()), "size": pa.array([size] * n, pa.int32()), "f": pa.array(counts[s : s + GIVEN])}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        shards: dict[str, Shard] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("x"), strict=True):
-                for words in tokens(text.as_py()):
-                    shard = shards.setdefault(lang, Shard())
-                    shard.add(words, sum(map(len, words)))
-                    if sum(s.words for s in shards.values()) >= SHARD_WORDS or sum(s.bytes for s in shards.values()) >= SHARD_BYTES:
-                        yield from given_out(shards)
-                        shards = {lang: shard.after()}
-                if lang in shards:
-                    shards[lang].add([_END])
-        yield from given_out(shards)
-
-    return map_batches(rows, run, STATES).withColumn("phrase", F.col("phrase").cast("string"))
+    return map_batches(rows, shard_states, STATES).withColumns({c: F.col(c).cast("string") for c in ("head", "tail")})
 
 
 def _words(phrase: Column, many: Column) -> Column:
@@ -159,17 +163,42 @@ def _words(phrase: Column, many: Column) -> Column:
     return F.call_function("substring_index", phrase, F.lit(" "), many)
 
 
+def _phrases(states: DataFrame) -> DataFrame:
+    """(head, tail, f): each state's phrases; head is all words but the last, a line end and the lang. A phrase has no line end, so the first one parts them.
+
+    A single word is a head without a tail, a shard's words have neither.
+    """
+    each = states.select("lang", "head", "tail", F.explode(F.sequence("least", "size")).alias("k"), "size", "f")
+    own = F.when(F.col("k") <= 1, F.when(F.col("k") == 1, F.col("tail")).otherwise("")).when(F.col("k") == F.col("size"), F.col("head")).otherwise(_words(F.col("head"), 1 - F.col("k")))
+    return each.select(F.concat(own, F.lit("\n"), "lang").alias("head"), F.when(F.col("k") > 1, F.col("tail")).otherwise("").alias("tail"), "f")
+
+
+def common_heads(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[str]:
+    """HEADS heads at most that begin the most different phrases of a sample of documents (SAMPLE of 2^20 by a hash of the text, whole texts).
+
+    They only say which heads' rows are dealt to many tasks; no count depends on them.
+    """
+    some = docs.where(F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(1 << 20)) < SAMPLE)
+    many = _phrases(phrase_states(some, text_col, lang_col)).groupBy("head").agg(F.count("*").alias("n")).where("n > 32")
+    return [r["head"] for r in many.orderBy(F.desc("n"), "head").limit(HEADS).collect()]
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, size, phrase, f): phrases of LONGEST words at most with at least `least` occurrences, and of each lang all its words as size 0."""
-    states = phrase_states(docs, text_col, lang_col)
-    each = states.select("lang", "phrase", F.explode(F.sequence("least", "size")).alias("k"), "size", "f")
-    # one text is the key; a phrase has no line end, so the first one parts it from the lang
-    own = F.when(F.col("k") == F.col("size"), F.col("phrase")).otherwise(_words(F.col("phrase"), -F.col("k")))
-    keyed = each.select(F.concat(own, F.lit("\n"), "lang").alias("key"), "f")
-    # a shard has each key once, so nothing is to be gained by adding up before the shuffle
-    total = keyed.repartition("key").groupBy("key").agg(F.sum("f").alias("f"))
-    end = F.instr("key", F.lit("\n"))
-    kept = total.where((F.col("f") >= least) | F.startswith("key", F.lit("\n"))).select(F.substr("key", end + 1).alias("lang"), F.substr("key", F.lit(1), end - 1).alias("phrase"), "f")
+    """(lang, size, phrase, f): phrases of LONGEST words at most with at least `least` occurrences, and of each lang all its words as size 0.
+
+    Phrases with one head go to one task, where they stand side by side (a shuffle packs their heads away), but for the
+    common heads, whose phrases are dealt to SALTS tasks by their last word. A shard has each phrase once, so
+    nothing is to be gained by adding up before the shuffle.
+    """
+    each = _phrases(phrase_states(docs, text_col, lang_col))
+    hot = common_heads(docs, text_col, lang_col)
+    salt = F.when(F.col("head").isin(hot), F.pmod(F.xxhash64("tail"), F.lit(SALTS))).otherwise(0).cast("int") if hot else F.lit(0)
+    dealt = each.withColumn("salt", salt).repartition("head", "salt")
+    total = dealt.groupBy("head", "salt", "tail").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.startswith("head", F.lit("\n")))
+    end = F.instr("head", F.lit("\n"))
+    first = F.substr("head", F.lit(1), end - 1)
+    phrase = F.when(F.col("tail") == "", first).otherwise(F.concat(first, F.lit(" "), "tail"))
+    kept = total.select(F.substr("head", end + 1).alias("lang"), phrase.alias("phrase"), "f")
     return kept.select("lang", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("size"), "phrase", "f")
 
 
