@@ -91,14 +91,13 @@ def jacobi(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             p, q = seats[: pad // 2], seats[: pad // 2 - 1 : -1]
             a, b, c = (u[:, p] ** 2).sum(0), (u[:, q] ** 2).sum(0), (u[:, p] * u[:, q]).sum(0)
             length = np.sqrt(a * b)
-            turn = np.abs(c) > TOLERANCE * length
+            turn = (np.abs(c) > TOLERANCE * length) & (length > 0)
             if not turn.any():
                 ring = np.roll(ring, 1)
                 continue
             worst = max(worst, float((np.abs(c[turn]) / length[turn]).max()))
             p, q, a, b, c = p[turn], q[turn], a[turn], b[turn], c[turn]
-            zeta = (b - a) / (2 * c)
-            t = np.where(zeta >= 0, 1.0, -1.0) / (np.abs(zeta) + np.hypot(1, zeta))
+            t = np.where(b >= a, 1.0, -1.0) * 2 * c / (np.abs(b - a) + np.hypot(b - a, 2 * c))
             cos = 1 / np.hypot(1, t)
             sin = cos * t
             for m in (u, v):
