@@ -1,8 +1,11 @@
 """Every registered query with SQL, against DuckDB on the smallest tables; operators against small models."""
 
+import random
+
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph import schema
 from weftgraph.operators import graph, merge, text
@@ -53,10 +56,23 @@ def test_merge_edges_locations(spark):
     assert (got["occurrence_count"], got["p"], len(got["locations"]), got["locations"][0]) == (39, "v2", 20, "f1")
 
 
+def test_budget_keeps_rows_that_cost_nothing(spark):
+    rnd = random.Random(2)
+    rows = [(g, i, 0 if g == "free" else rnd.choice([0, 0, 1, 2, 7])) for g in ("free", "x", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, i int, c int")
+    for budget in (0, 1, 10, 2_000_000):
+        want = set()
+        for g in ("free", "x", None):
+            used = 0
+            for k, (_, i, c) in enumerate(r for r in rows if r[0] == g):
+                used += c
+                if used <= budget or k == 0:
+                    want.add((g, i, used))
+        assert {tuple(r) for r in text.budget_prefix(df, ["g"], [F.col("i")], F.col("c"), budget).select("g", "i", "used").collect()} == want
+
+
 def test_budget_keeps_first_row(spark):
     df = spark.createDataFrame([(1, 50), (2, 1)], "k int, c int")
-    from pyspark.sql import functions as F
-
     assert [r["k"] for r in text.budget_prefix(df, [], [F.col("k")], F.col("c"), 10).collect()] == [1]
 
 

@@ -87,6 +87,24 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(e).crossJoin(dangling.agg(F.count("*").alias("dangling_edges")))  # one row each
 
 
+def same_file(nodes: DataFrame, edges: DataFrame, centers: list[str], limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, counts) of what lies in the files of the centers: nodes(id, kind, name, path) where the path may be null.
+
+    The centers come first, with a path or without one, then the largest degree, then the id, `limit` in all; edges are
+    those among them, 4 limit (20,000 at most) by id. counts has one row: all nodes, shown nodes, shown edges, and
+    whether more would belong there.
+    """
+    own = F.col("id").isin(centers)
+    paths = nodes.where(own & (F.trim("path") != "")).select("path").distinct()
+    wanted = nodes.where(own).unionByName(nodes.where(~own).join(paths, "path", "left_semi").select(nodes.columns))
+    near = incident(edges).join(wanted.select(F.col("id").alias("center")), "center", "left_semi").groupBy(F.col("center").alias("id")).agg(F.count("*").alias("degree"))
+    eligible = wanted.join(near, "id", "left").withColumns({"degree": F.coalesce("degree", F.lit(0)).cast("long"), "center": own})
+    shown = materialize(eligible.orderBy(F.desc("center"), F.desc("degree"), "id").limit(limit), "same-file")
+    among = materialize(induced(edges, shown).orderBy("edge_id").limit(min(4 * limit, 20000)), "same-file")
+    counts = nodes.agg(F.count("*").alias("total")).crossJoin(wanted.agg(F.count("*").alias("n"))).crossJoin(shown.agg(F.count("*").alias("nodes"))).crossJoin(among.agg(F.count("*").alias("edges")))  # one row each
+    return shown, among, counts.select("total", "nodes", "edges", (F.col("n") > F.col("nodes")).alias("truncated"))
+
+
 def edge_core(edges: DataFrame, priority: Column, nodes_wanted: int, sample: int = 20000) -> DataFrame:
     """Ids of the first edges' ends by priority until nodes_wanted: both ends of an edge or none.
 

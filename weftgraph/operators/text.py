@@ -153,10 +153,13 @@ def search_lines(files: DataFrame, path: str, text: Column, query: str, limit: i
 def budget_prefix(rows: DataFrame, group: list[str], order: list[Column], cost: Column, budget: int) -> DataFrame:
     """Rows of each group until the running cost first passes the budget; the first row always stays.
 
-    Costs of 1 or more mean that no group keeps more than `budget` rows, so each is cut to its first budget + 1 before
-    the running sum, by a top-k that Spark pushes before the shuffle.
+    Only rows of cost 1 or more can pass it, `budget` of them at most. So each group's row at that place, a top-k that
+    Spark pushes before the shuffle, bounds what the running sum has to see; rows that cost nothing are never counted out.
     """
-    if budget < 1_000_000:
-        rows = first_group_rows(rows.withColumn("_g", F.struct(*group) if group else F.lit(0)), "_g", order, budget + 1).drop("_g")
-    w = W.partitionBy(*group).orderBy(*order)
-    return rows.withColumn("used", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w)).where((F.col("used") <= budget) | (F.col("_n") == 1)).drop("_n")
+    g = rows.withColumns({"_g": F.struct(*group) if group else F.lit(0), "_c": cost, "_o": F.struct(*order)})
+    last = first_group_rows(g.where("_c >= 1"), "_g", [F.col("_o")], budget + 1).groupBy("_g").agg(F.count("*").alias("_k"), F.max("_o").alias("_last"))
+    last = last.where(F.col("_k") > budget).select(F.col("_g").alias("_h"), "_last")
+    near = g.join(last, F.col("_g").eqNullSafe(F.col("_h")), "left").where(F.col("_last").isNull() | (F.col("_o") <= F.col("_last")))
+    w = W.partitionBy("_g").orderBy("_o")
+    kept = near.withColumn("used", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
+    return kept.where((F.col("used") <= budget) | (F.col("_n") == 1)).drop("_n", "_g", "_h", "_c", "_o", "_last")

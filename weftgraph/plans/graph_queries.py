@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import edge_id, stable_id
 from ..operators import graph, merge
 from ..schema import BACKBONE, CENTRAL, STRUCTURAL
-from ..storage import GraphStore, scratch_dir
+from ..storage import GraphStore, listing, scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_stores: dict[tuple[str, str], GraphStore] = {}
+_stores: dict[tuple[str, str, str], GraphStore] = {}
 
 
 def derive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -25,36 +25,47 @@ def derive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     The first query of an application builds, validates and promotes it; all others read it, pruned by kind and type.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    return stored(spark, sf_dir).snapshot("star", 1)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The store that derive() reads; a table that has been rewritten since gets a new one."""
+    key = (spark.sparkContext.applicationId, sf_dir, listing(spark, sf_dir))
     if key not in _stores:
         store = GraphStore(spark, f"{scratch_dir(spark)}/{key[0]}/graph-{uuid.uuid4().hex}")
         store.stage("star", 1, *build(spark, sf_dir))
         store.promote("star", 1)
         _stores[key] = store
-    return _stores[key].snapshot("star", 1)
+    return _stores[key]
 
 
 def build(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) derived from the tables."""
     t = lambda n: table(spark, sf_dir, n)
     key = lambda prefix, c: F.concat(F.lit(prefix + ":"), F.col(c).cast("string"))
-    node = lambda name, prefix, k, kind, label: t(name).select(key(prefix, k).alias("id"), F.lit(kind).alias("kind"), F.col(label).cast("string").alias("name"))
+    props = lambda **p: F.to_variant_object(F.struct(*[F.expr(v).alias(k) for k, v in p.items()])) if p else F.parse_json(F.lit(None).cast("string"))
+
+    def node(name: str, prefix: str, k: str, kind: str, label: str, **own: str) -> DataFrame:
+        return t(name).select(key(prefix, k).alias("id"), F.lit(kind).alias("kind"), F.col(label).cast("string").alias("name"), props(**own).alias("properties"))
+
+    def edge(df: DataFrame, type_: str, src: Column, dst: Column, n: Column | None = None, **own: str) -> DataFrame:
+        return df.select(F.lit(type_).alias("type"), src.alias("src"), dst.alias("dst"), (n if n is not None else F.lit(1)).cast("long").alias("occurrence_count"), props(**own).alias("properties"))
+
     nodes = [
         node("region", "region", "r_regionkey", "Database", "r_name"),
-        node("nation", "nation", "n_nationkey", "Namespace", "n_name"),
-        node("customer", "customer", "c_custkey", "MenuItem", "c_name"),
-        node("supplier", "supplier", "s_suppkey", "ApiEndpoint", "s_name"),
-        node("part", "part", "p_partkey", "Type", "p_name"),
-        node("orders", "order", "o_orderkey", "Method", "o_orderstatus"),
+        node("nation", "nation", "n_nationkey", "Namespace", "n_name", qualifiedName="concat('world.', lower(n_name))"),
+        node("customer", "customer", "c_custkey", "MenuItem", "c_name", route="concat('/customers/', c_custkey)", description="lower(c_mktsegment)"),
+        node("supplier", "supplier", "s_suppkey", "ApiEndpoint", "s_name", route="concat('/api/suppliers/', s_suppkey)"),
+        node("part", "part", "p_partkey", "Type", "p_name", filePath="concat('src/', p_brand, '.cs')", objectName="p_brand", signature="concat(lower(p_type), ' ', p_name)", startLine="p_size"),
+        node("orders", "order", "o_orderkey", "Method", "o_orderstatus", filePath="concat('src/', o_orderpriority, '.cs')", startLine="o_custkey % 500 + 1"),
     ]
-    edge = lambda df, type_, src, dst, n=None: df.select(F.lit(type_).alias("type"), src.alias("src"), dst.alias("dst"), (n if n is not None else F.lit(1)).cast("long").alias("occurrence_count"))
     lines = t("lineitem")
     edges = [
         edge(t("nation"), "CONTAINS_PROJECT", key("region", "n_regionkey"), key("nation", "n_nationkey")),
         edge(t("customer"), "DEFINED_IN_PROJECT", key("customer", "c_custkey"), key("nation", "c_nationkey")),
         edge(t("supplier"), "DEFINED_IN_PROJECT", key("supplier", "s_suppkey"), key("nation", "s_nationkey")),
-        edge(t("orders"), "FOREIGN_KEY_TO", key("order", "o_orderkey"), key("customer", "o_custkey")),
-        edge(lines.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n")), "CALLS", key("order", "l_orderkey"), key("part", "l_partkey"), F.col("n")),
+        edge(t("orders"), "FOREIGN_KEY_TO", key("order", "o_orderkey"), key("customer", "o_custkey"), reference="o_orderstatus"),
+        edge(lines.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"), F.min("l_linenumber").alias("line")), "CALLS", key("order", "l_orderkey"), key("part", "l_partkey"), F.col("n"), location="concat('src/', l_orderkey % 100, '.cs')", line="line"),
         edge(lines.select("l_partkey", "l_suppkey").distinct(), "READS", key("part", "l_partkey"), key("supplier", "l_suppkey")),
     ]
     n, e = nodes[0], edges[0]
@@ -167,9 +178,16 @@ def graph_validate(spark, d):
 
 
 def storage_diag(spark, d):
-    n, _ = derive(spark, d)
-    v = n.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2)))).where("version = 2 or kind <> 'Method'")
-    return v.agg(F.count_distinct("version").alias("versions"), F.count_if(F.col("version") == 2).alias("active"), F.count_if(F.col("version") != 2).alias("inactive"))
+    """GR27: how many versions a store holds, and the nodes of the current one and of the others: an older one has no methods."""
+    store = GraphStore(spark, f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/diag-{uuid.uuid4().hex}")
+    nodes, edges = derive(spark, d)
+    old = nodes.where("kind <> 'Method'")
+    store.stage("star", 1, old, graph.induced(edges, old))
+    store.promote("star", 1)
+    store.stage("star", 2, nodes, edges)
+    store.promote("star", 2, instead_of=1)
+    found = store.diagnostics("star")
+    return spark.createDataFrame([tuple(found.values())], "versions long, active long, inactive long")
 
 
 def community_local_move(spark, d):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import attach_queries, catalog_queries, function_queries, graph_queries, issue_queries, record_queries, report_queries, table_queries, text_queries, view_queries
+from . import attach_queries, catalog_queries, function_queries, graph_queries, issue_queries, record_queries, report_queries, search_queries, stream_queries, table_queries, text_queries, view_queries
 
-QUERIES = graph_queries.QUERIES | text_queries.QUERIES | table_queries.QUERIES | attach_queries.QUERIES | function_queries.QUERIES | view_queries.QUERIES | catalog_queries.QUERIES | issue_queries.QUERIES | report_queries.QUERIES | record_queries.QUERIES
-ORACLE: dict[str, str] = graph_queries.ORACLE | text_queries.ORACLE | table_queries.ORACLE | attach_queries.ORACLE | function_queries.ORACLE | view_queries.ORACLE | catalog_queries.ORACLE | issue_queries.ORACLE | report_queries.ORACLE | record_queries.ORACLE
+MODULES = (graph_queries, text_queries, table_queries, attach_queries, function_queries, view_queries, catalog_queries, issue_queries, report_queries, record_queries, search_queries, stream_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

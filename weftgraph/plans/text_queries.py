@@ -9,18 +9,18 @@ from pyspark.sql.window import Window as W
 
 from ..functions import paths, strings
 from ..operators import joins, merge, text
-from ..storage import scratch_dir
+from ..storage import listing, scratch_dir
 from .graph_queries import table
 
 TERMS = ["the", "erhe", "de"]
 
 
-_indexes: dict[tuple[str, str, str], text.TextIndex | text.TrigramIndex] = {}
+_indexes: dict[tuple[str, str, str, str], text.TextIndex | text.TrigramIndex] = {}
 
 
 def _indexed(spark, d, kind):
     """The application's index of the documents, built by its first query in the shared folder."""
-    key = (spark.sparkContext.applicationId, d, kind.__name__)
+    key = (spark.sparkContext.applicationId, d, kind.__name__, listing(spark, d))
     if key not in _indexes:
         _indexes[key] = kind(spark, f"{scratch_dir(spark)}/{key[0]}/{key[2]}-{uuid.uuid4().hex}").build(table(spark, d, "documents"), "doc_id", F.col("text"))
     return _indexes[key]

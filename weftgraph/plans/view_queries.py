@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, retrieval, text, views
 from ..schema import BACKBONE
-from ..storage import scratch_dir
+from ..storage import listing, scratch_dir
 from .graph_queries import _PRIORITY, GRAPH, WEIGHT, _in, derive, table
 
-_indexes: dict[tuple[str, str], text.TextIndex] = {}
+_indexes: dict[tuple[str, str, str], text.TextIndex] = {}
 QUESTION, ASKED = "方法 large widget", ["large widget", "Large-Widget", "part widget"]
 
 
 def _node_index(spark, d):
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, d, listing(spark, d))
     if key not in _indexes:
         _indexes[key] = text.TextIndex(spark, f"{scratch_dir(spark)}/{key[0]}/node-index-{uuid.uuid4().hex}").build(derive(spark, d)[0], "id", F.col("name"))
     return _indexes[key]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, VariantType
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -31,8 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-NODES = "id string, kind string, name string"
-EDGES = "type string, src string, dst string, occurrence_count long, edge_id string"
+def listing(spark: SparkSession, folder: str) -> str:
+    """A digest of a folder's tables as they stand: names, sizes and times of what lies in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return hashlib.sha256("|".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found)).encode()).hexdigest()
+
+
+NODES = "id string, kind string, name string, properties variant"
+EDGES = "type string, src string, dst string, occurrence_count long, edge_id string, properties variant"
 LOG = "project_id string, graph_version long, action string, path string, seq long"
 
 
@@ -42,29 +53,80 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Conflict(ValueError):
+    """Another writer has done what a commit rests on not being done."""
+
+
+def property_of(name: str, kind: str = "string") -> Column:
+    """One of a node's or an edge's open properties; null where it has none of that name or kind. Only this path is read."""
+    return F.try_variant_get("properties", f"$['{name}']", kind)
+
+
+def _with_properties(rows: DataFrame) -> DataFrame:
+    """rows with their open properties as a variant: from a variant, a struct, a map or a JSON text; null if they have none."""
+    if "properties" not in rows.columns:
+        return rows.withColumn("properties", F.parse_json(F.lit(None).cast("string")))
+    kind = rows.schema["properties"].dataType
+    if isinstance(kind, VariantType):
+        return rows
+    return rows.withColumn("properties", F.parse_json("properties") if isinstance(kind, StringType) else F.to_variant_object("properties"))
+
+
 class GraphStore:
     """Immutable (project, version) snapshots below a root, and a log of what happened to them.
 
     stage() writes a version to a folder of its own and validates it; what isn't valid leaves nothing behind. promote()
     makes a staged version current, rollback() the one that was current before. prune() deletes all but these two,
     delete() one version, which must not be current. A version number is used once. Nodes lie by kind, edges by type,
-    so that filters on them read only those folders. The log is for one writer at a time.
+    so that filters on them read only those folders. Nodes and edges keep open properties as a variant.
+
+    Any number of writers may share a root: an entry of the log is a file named by its number, put in place by a rename
+    that fails if the name is taken. A writer that comes second reads the log again, checks again what its entry rests on,
+    and takes the next number or raises Conflict. That holds where the file system's rename without overwriting does
+    (HDFS; a local one checks the name and then renames).
     """
 
+    tries = 20
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def log(self) -> DataFrame:
         try:
-            return self.spark.read.schema(LOG).parquet(f"{self.root}/log")
+            return self.spark.read.schema(LOG).json(f"{self.root}/log")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return self.spark.createDataFrame([], LOG)
             raise
 
-    def _note(self, project: str, version: int, action: str, path: str | None = None) -> None:
-        seq = self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
-        self.spark.createDataFrame([(project, version, action, path, seq)], LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+    def _put(self, seq: int, entry: dict) -> bool:
+        """Write entry number seq; False if there is one."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        fs = jvm.org.apache.hadoop.fs
+        folder, name = f"{self.root}/log", f"{seq:012d}.json"
+        spare = fs.Path(f"{folder}/.{name}-{uuid.uuid4().hex}")  # hidden from readers
+        files = spare.getFileSystem(conf)
+        out = files.create(spare)
+        out.write(bytearray(json.dumps(entry | {"seq": seq}).encode()))
+        out.close()
+        try:
+            never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            fs.FileContext.getFileContext(files.makeQualified(spare).toUri(), conf).rename(files.makeQualified(spare), files.makeQualified(fs.Path(f"{folder}/{name}")), never)
+            return True
+        except Exception as e:
+            if "FileAlreadyExists" not in str(e):
+                raise
+            files.delete(spare, False)
+            return False
+
+    def _note(self, project: str, version: int, action: str, path: str | None = None, check: Callable[[], None] = lambda: None) -> None:
+        """Add an entry; check() raises Conflict if the log as it stands doesn't allow it."""
+        for _ in range(self.tries):
+            last = self.log().agg(F.max("seq")).first()[0] or 0
+            check()
+            if self._put(last + 1, {"project_id": project, "graph_version": version, "action": action, "path": path}):
+                return
+        raise Conflict(f"{self.tries} other writers came first")
 
     def versions(self, project: str) -> dict[int, str]:
         """The versions that are there, and their folders."""
@@ -88,46 +150,81 @@ class GraphStore:
     def current(self, project: str) -> int | None:
         return (self._promoted(project) or [None])[-1]
 
+    def _unused(self, project: str, version: int) -> None:
+        if self.log().where((F.col("project_id") == project) & (F.col("graph_version") == version)).limit(1).count():
+            raise Conflict(f"version {version} of {project} exists")
+
     def stage(self, project: str, version: int, nodes: DataFrame, edges: DataFrame, expected: tuple[int, int] | None = None) -> dict:
-        """Write and validate a version; expected: the counts of nodes and edges that it must have."""
+        """Write and validate a version; expected: the counts of nodes and edges that it must have.
+
+        nodes (id, kind, name) and edges (type, src, dst, occurrence_count, edge_id) may have properties: a variant, a
+        struct, a map or a JSON text.
+        """
         from .operators.graph import validate
 
-        if self.log().where((F.col("project_id") == project) & (F.col("graph_version") == version)).limit(1).count():
-            raise ValueError(f"version {version} of {project} exists")
+        self._unused(project, version)
         path = f"{self.root}/data/{project}-{version}-{uuid.uuid4().hex}"
-        # rebalanced by kind: a kind with a third of all nodes is split, small ones share files
-        nodes.selectExpr("id", "kind", "name").hint("rebalance", "kind").write.partitionBy("kind").parquet(f"{path}/nodes")
-        edges.selectExpr("type", "src", "dst", "cast(occurrence_count as bigint) as occurrence_count", "edge_id").repartition("type", "src").sortWithinPartitions("type", "src").write.partitionBy("type").parquet(f"{path}/edges")
+        # rebalanced: a kind with a third of all nodes, a type or a hub with a third of all edges is split, small ones share files
+        own = _with_properties(nodes).select("id", "kind", "name", "properties")
+        own.hint("rebalance", "kind").write.partitionBy("kind").parquet(f"{path}/nodes")
+        links = _with_properties(edges).selectExpr("type", "src", "dst", "cast(occurrence_count as bigint) as occurrence_count", "edge_id", "properties")
+        links.hint("rebalance", "type", "src").sortWithinPartitions("type", "src").write.partitionBy("type").parquet(f"{path}/edges")
         found = validate(*self._at(path)).first().asDict()
         if found["repeated_nodes"] or found["dangling_edges"] or (expected and expected != (found["nodes"], found["edges"])):
             remove(self.spark, path)
             raise ValueError(f"snapshot {project}/{version} is not valid: {found}")
-        self._note(project, version, "staged", path)
+        try:
+            self._note(project, version, "staged", path, lambda: self._unused(project, version))
+        except Conflict:
+            remove(self.spark, path)
+            raise
         return found
 
-    def _at(self, path: str) -> tuple[DataFrame, DataFrame]:
+    def _at(self, path: str, properties: bool = False) -> tuple[DataFrame, DataFrame]:
         read = lambda what, schema: self.spark.read.schema(schema).parquet(f"{path}/{what}")
-        return read("nodes", NODES), read("edges", EDGES)
+        nodes, edges = read("nodes", NODES).select("id", "kind", "name", "properties"), read("edges", EDGES).select("type", "src", "dst", "occurrence_count", "edge_id", "properties")
+        return (nodes, edges) if properties else (nodes.drop("properties"), edges.drop("properties"))
 
-    def snapshot(self, project: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """(nodes, edges) of a version, the current one if none is named."""
+    def snapshot(self, project: str, version: int | None = None, properties: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) of a version, the current one if none is named; with `properties` also these and the envelope (project_id, graph_version)."""
         wanted = self.current(project) if version is None else version
         path = self.versions(project).get(wanted)
         if path is None:
             raise ValueError(f"no version {wanted} of {project}")
-        return self._at(path)
+        nodes, edges = self._at(path, properties)
+        if not properties:
+            return nodes, edges
+        envelope = {"project_id": F.lit(project), "graph_version": F.lit(wanted).cast("long")}
+        return nodes.withColumns(envelope), edges.withColumns(envelope)
+
+    def diagnostics(self, project: str) -> dict:
+        """(versions, active, inactive): how many versions are stored, and the nodes of the current one and of all others."""
+        counts = {v: self._at(path)[0].count() for v, path in self.versions(project).items()}
+        now = self.current(project)
+        return {"versions": len(counts), "active": counts.get(now, 0), "inactive": sum(n for v, n in counts.items() if v != now)}
 
-    def promote(self, project: str, version: int) -> None:
-        if version not in self.versions(project):
-            raise ValueError(f"version {version} of {project} isn't staged")
-        self._note(project, version, "promoted")
+    def promote(self, project: str, version: int, instead_of: int | None = None) -> None:
+        """Make a staged version current; with instead_of only if that version is the current one still."""
+
+        def check() -> None:
+            if version not in self.versions(project):
+                raise Conflict(f"version {version} of {project} isn't staged")
+            if instead_of is not None and self.current(project) != instead_of:
+                raise Conflict(f"version {instead_of} of {project} isn't current any more")
+
+        self._note(project, version, "promoted", None, check)
 
     def rollback(self, project: str) -> int:
         """Make the version current that was so before; the failed one stays until it is pruned."""
         order = self._promoted(project)
         if len(order) < 2:
             raise ValueError(f"{project} has no earlier version")
-        self._note(project, order[-2], "promoted")
+
+        def check() -> None:
+            if self._promoted(project) != order:
+                raise Conflict(f"{project} has been changed meanwhile")
+
+        self._note(project, order[-2], "promoted", None, check)
         return order[-2]
 
     def delete(self, project: str, version: int) -> None:
@@ -135,7 +232,12 @@ class GraphStore:
             raise ValueError(f"version {version} of {project} is current")
         path = self.versions(project).get(version)
         if path is not None:
-            self._note(project, version, "deleted")
+
+            def check() -> None:
+                if version == self.current(project):
+                    raise Conflict(f"version {version} of {project} is current")
+
+            self._note(project, version, "deleted", None, check)
             remove(self.spark, path)
 
     def prune(self, project: str) -> list[int]:

@@ -24,7 +24,7 @@ def folder_stream(spark: SparkSession, path: str) -> DataFrame:
 def run_updates(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Run an update-mode stream over all that is there; one row a key, that of the last batch that had it."""
     spark = stream.sparkSession
-    where = f"{scratch_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    where = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/stream-{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/rows/batch={number}")
@@ -36,6 +36,30 @@ def run_updates(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def run_appends(stream: DataFrame, name: str, where: str | None = None, conf: dict[str, str] | None = None) -> DataFrame:
+    """Run an append-mode stream over all that is there and give its rows; with the same `where` a later run goes on from the checkpoint.
+
+    A batch's rows are written under its number, again after a failure, so that each counts once. conf holds for this
+    stream alone.
+    """
+    spark = stream.sparkSession
+    where = where or f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/stream-{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/rows/batch={number}")
+
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        query = stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+    finally:  # a stream takes its settings along when it starts
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{where}/rows").select(*stream.columns)
+
+
 def window_counts(events: DataFrame, time: str, kind: str, length: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Streaming: (start, kind, n) by tumbling window; rows later than `late` behind the newest are dropped by the watermark."""
     rows = events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
