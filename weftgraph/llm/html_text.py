@@ -4,9 +4,11 @@ Each page streams through the standard library's HTML parser. Its events build b
 items, cells); a block is the line of the ratio: characters of text for each tag that bears on it. The ratios are
 smoothed along the page with a Gaussian; lines whose smoothed ratio reaches the page's standard deviation seed
 content clusters. What the page itself marks wins over the curve: a block inside an element that is never
-content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) is out, and
-where seeds lie in an article or main element, that element's blocks are the region; elsewhere a cluster extends
-over neighbouring lines that are not link lists.
+content (menus, headers, footers, sidebars, notices, adverts, scripts, styles) is out. So is one inside an element whose
+class or id names such a part, or inside a form, unless that element holds an article or main element or more than
+MOST of the page's text, in which case its name says something else; and one among reader comments, unless they hold
+the page's main element or first heading. Where most of the seeds' text lies in article or main elements, these elements' blocks are
+the region; elsewhere a cluster extends over neighbouring lines that are not link lists.
 """
 
 from __future__ import annotations
@@ -28,52 +30,114 @@ LEAST_RATIO = 10.0
 LINKED = 0.5
 # fixed values: element names by role
 RAW = {"script", "style"}
-SKIP = {"head", "nav", "footer", "aside", "form", "button", "select", "textarea", "noscript", "template", "iframe", "svg", "object", "canvas", "dialog", "menu", "script", "style", "title"}
+SKIP = {"head", "nav", "footer", "aside", "button", "select", "textarea", "noscript", "template", "iframe", "svg", "object", "canvas", "dialog", "menu", "script", "style", "title"}
 BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "aside", "menu"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES_P = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "alertdialog", "form"}
-MARKS = r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|menu|navbar|nav|navigation|breadcrumbs?|sidebar|side-bar|footer|header|masthead|toolbar|share|sharing|social|related|recommended|comments?|disqus|respond|reply|replies|pagination|pager|login|signup|search)(?:$|[\s_-])"
-_MARK = re.compile(MARKS, re.I)
-# inside an article a header is the article's own
-_INNER_MARK = re.compile(MARKS.replace("|header|masthead", ""), re.I)
+# fixed values: words of a class or id that name a part which is no content, comments, and words that follow them in such names
+COMMENTS = {"comment", "comments", "disqus", "respond", "reply", "replies"}
+PARTS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr",
+    "notice", "popup", "modal", "newsletter", "subscribe", "menu", "navbar", "nav", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "footer", "header", "masthead",
+    "toolbar", "share", "sharing", "social", "related", "recommended", "pagination", "pager", "login", "signup", "search",
+}
+FOLLOW = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "col", "column", "container", "content", "desktop", "fixed", "footer", "form", "group",
+    "header", "icon", "icons", "inner", "item", "items", "label", "left", "link", "links", "list", "main", "media", "mobile", "outer", "overlay", "panel", "posts", "articles",
+    "stories", "primary", "right", "row", "secondary", "section", "site", "slot", "space", "sticky", "text", "thread", "title", "toggle", "top", "tree", "unit", "widget", "widgets", "wrap", "wrapper", "up",
+}
+#: A named part or form with more of the page's unlinked text than this is the page's frame.
+MOST = 0.5
+_JOINT = re.compile(r"[-_]+")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 IN_HEAD = {"html", "head", "title", "meta", "link", "base", "style", "script", "noscript", "template"}
 _SPACE = re.compile(r"\s+")
 _TAG = re.compile(r"<[A-Za-z/!?]")
 
 
+def _named(value: str, inner: bool, every: bool) -> str:
+    """What a class or id names: "part", "comments" or nothing. A name counts if it is such a word, or begins with one and goes on with words that often follow.
+
+    inner: in an article, whose own header is no such part. every: all names must count, not any.
+    """
+    kinds = []
+    for name in value.lower().split():
+        first, *rest = [w for w in _JOINT.split(name) if w] or [""]
+        known = all(w in FOLLOW or w in PARTS or w in COMMENTS or w.isdigit() for w in rest)
+        if first in ("side", "bread", "nav") and rest[:1] in (["bar"], ["crumb"], ["crumbs"]):
+            first = "sidebar"
+        if inner and first in ("header", "masthead"):
+            known = False
+        kinds.append("comments" if known and first in COMMENTS else "part" if known and first in PARTS else "")
+    if every and not all(kinds):
+        return ""
+    return "comments" if "comments" in kinds else "part" if "part" in kinds else ""
+
+
 class _Blocks(HTMLParser):
-    """Collects (text, tags, characters in links, inside an article) for each block that may be content."""
+    """Collects (text, tags, characters in links, inside an article, innermost named part) for each block that may be content."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []
+        self.stack: list[tuple[str, bool, bool]] = []
         self.open: Counter[str] = Counter()
         self.items = [0]  # open list items by list, the innermost list last
         self.dead = self.core = self.links = 0
-        self.blocks: list[tuple[str, int, int, bool]] = []
+        self.blocks: list[tuple[str, int, int, bool, int]] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
+        # named parts and forms by number: the one around it, its kind, and whether it holds what content is made of
+        self.around: list[int] = []
+        self.kinds: list[str] = []
+        self.frames: list[bool] = []
+        self.part = -1
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.blocks.append((text, self.tags, self.linked, self.core > 0))
+            self.blocks.append((text, self.tags, self.linked, self.core > 0, self.part))
             self.tags = 0
         self.text, self.linked = [], 0
 
+    def _kind(self, tag: str, attrs: list) -> str:
+        """The kind of part that an element's name says it is, "form" for a form."""
+        if tag in ("html", "body", "main"):
+            return ""
+        a = {k: v or "" for k, v in attrs}
+        every = tag in HEADINGS | {"p", "blockquote", "pre"}
+        names = [_named(a.get(k, ""), self.core > 0, every) for k in ("class", "id") if a.get(k)]
+        if "comments" in names:
+            return "comments"
+        if "part" in names and tag != "article" and not (self.core and tag in HEADINGS):
+            return "part"
+        return "form" if tag == "form" else ""
+
+    def killed(self) -> list[bool]:
+        """Of each part whether its blocks are out."""
+        own = [0] * len(self.kinds)
+        for text, _, linked, _, part in self.blocks:
+            if part >= 0:
+                own[part] += max(0, len(text) - linked)
+        total = sum(max(0, len(text) - linked) for text, _, linked, _, _ in self.blocks)
+        # a part's number is larger than that of the one around it
+        for i in range(len(own) - 1, -1, -1):
+            if self.around[i] >= 0:
+                own[self.around[i]] += own[i]
+                self.frames[self.around[i]] |= self.frames[i] and (self.kinds[i] != "comments")
+        out: list[bool] = []
+        for i, kind in enumerate(self.kinds):
+            stays = self.frames[i] or (kind != "comments" and own[i] > MOST * total)
+            out.append(not stays or (self.around[i] >= 0 and out[self.around[i]]))
+        return out
+
     def _unwanted(self, tag: str, attrs: list) -> bool:
         if tag in SKIP:
             return True
         if tag == "header":
             return not self.core
         a = {k: v or "" for k, v in attrs}
-        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
-            return True
-        if self.core:
-            return tag not in HEADINGS | {"article", "main"} and bool(_INNER_MARK.search(a.get("class", "")) or (tag != "section" and _INNER_MARK.search(a.get("id", ""))))
-        return tag not in ("html", "body", "article", "main") and bool(_MARK.search(a.get("class", "")) or _MARK.search(a.get("id", "")))
+        return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -94,7 +158,16 @@ class _Blocks(HTMLParser):
         if bad:
             self.flush()
             self.dead += 1
-        self.stack.append((tag, bad))
+        if self.part >= 0 and (tag == "main" or (tag == "h1" and self.kinds[self.part] == "comments") or (tag == "article" and self.kinds[self.part] != "comments")):
+            self.frames[self.part] = True
+        kind = "" if bad or self.dead else self._kind(tag, attrs)
+        if kind:
+            self.flush()
+            self.around.append(self.part)
+            self.kinds.append(kind)
+            self.frames.append(False)
+            self.part = len(self.kinds) - 1
+        self.stack.append((tag, bad, bool(kind)))
         self.open[tag] += 1
         if tag in ("ul", "ol"):
             self.items.append(0)
@@ -110,10 +183,12 @@ class _Blocks(HTMLParser):
     def _close(self, tag: str) -> None:
         t = ""
         while self.open[tag] and t != tag:
-            t, bad = self.stack.pop()
-            if t in BLOCKS or bad:
+            t, bad, named = self.stack.pop()
+            if t in BLOCKS or bad or named:
                 self.flush()
             self.dead -= bad
+            if named:
+                self.part = self.around[self.part]
             self.core -= t in ("article", "main")
             self.links -= t == "a"
             self.open[t] -= 1
@@ -171,13 +246,16 @@ def main_text(html: str | None) -> str:
     parser.feed(html[: cut.start()] if cut else html)
     parser.close()
     parser.flush()
-    blocks = parser.blocks
+    out = parser.killed()
+    blocks = [b[:4] for b in parser.blocks if b[4] < 0 or not out[b[4]]]
     if not blocks:
         return ""
     ratio = _smoothed(np.array([len(t) / max(1, n) for t, n, _, _ in blocks], float))
     seed = ratio >= max(min(float(ratio.std()), float(ratio.max())), min(LEAST_RATIO, float(ratio.max())))
     core = np.array([c for _, _, _, c in blocks])
-    if (seed & core).any():
+    long = np.array([len(t) for t, _, _, _ in blocks])
+    # a teaser's article beside a story that lies in none is not the region
+    if (seed & core).any() and 2 * long[seed & core].sum() >= long[seed].sum():
         keep = core
     else:
         listy = np.array([k > LINKED * len(t) for t, _, k, _ in blocks])
