@@ -4,7 +4,7 @@ A text is cut at line and sentence ends. Runs of adjoining pieces that have enou
 it in DIFFERENT of them are candidate blocks, so a notice may stand inside a line of prose or be wrapped over lines. A
 text goes to this step if it has a key word of some template: one more of its longest words than it may differ in, so
 that no text within DIFFERENT of the template is without one. Each is compressed with zstandard alone and with each template as a raw-content
-dictionary; the size reduction says how much of the block the template already holds, and must reach LEAST_REDUCTION
+dictionary, both in lower case; the size reduction says how much of the block the template already holds, and must reach LEAST_REDUCTION
 of what the template saves on its own text. The BEST templates by reduction are confirmed by exact wording: the words that have to
 be changed, added or left out for the block to hold the template, DIFFERENT of its words at most.
 """
@@ -42,6 +42,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 )
+# fixed values: words that tell licences apart
+TELLING = {
+    "apache", "mit", "gnu", "gpl", "lgpl", "agpl", "lesser", "library", "affero", "bsd", "mozilla", "mpl", "eclipse", "creative", "commons", "cc", "by", "nc", "sa", "nd", "cc0",
+    "attribution", "noncommercial", "sharealike", "noderivatives", "noderivs", "artistic", "boost", "unlicense", "isc", "zlib",
+}
+_VERSION = re.compile(r"v?\d+(?:\.\d+)*")
 _TOKEN = re.compile(r"\w+(?:[.-]\w+)*")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 
@@ -57,6 +63,18 @@ def pieces(text: str) -> Iterator[tuple[int, int, int]]:
         at += len(line) + 1
 
 
+def telling(words: list[str]) -> Counter:
+    """The words, or parts of hyphenated ones, that tell licences apart; versions without a leading v or trailing zeros."""
+    out: Counter = Counter()
+    for w in words:
+        for part in w.split("-"):
+            if _VERSION.fullmatch(part):
+                out[re.sub(r"(?:\.0)+$", "", part.lstrip("v"))] += 1
+            elif part in TELLING and (part != "by" or "-" in w):
+                out[part] += 1
+    return out
+
+
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         import zstandard
@@ -74,30 +92,35 @@ class Scanner:
         self.key = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(keys))) + r")(?!\w)", re.I)
         self.memo: dict[str, tuple | None] = {}
         self.plain = zstandard.ZstdCompressor(level=9)
-        self.given = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
-        sizes = [(len(self.plain.compress(t.encode())), len(c.compress(t.encode()))) for c, (_, t) in zip(self.given, templates, strict=True)]
+        self.given = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
+        sizes = [(len(self.plain.compress(t.lower().encode())), len(c.compress(t.lower().encode()))) for c, (_, t) in zip(self.given, templates, strict=True)]
         self.saves = [max(1, alone - given) for alone, given in sizes]
 
-    def differences(self, block: list[str], template: list[str]) -> int:
-        """Words to change for the best window of the block to read as the template."""
+    def differences(self, block: list[str], template: list[str]) -> int | None:
+        """Words to change for the best window of the block to read as the template; None if one of them tells licences apart."""
         match = difflib.SequenceMatcher(None, block, template, autojunk=False)
         pieces = [m for m in match.get_matching_blocks() if m.size]
         if not pieces:
-            return len(template)
-        inside = pieces[-1].a + pieces[-1].size - pieces[0].a
+            return None
+        first, last = pieces[0], pieces[-1]
+        # what stands in place of the template's first and last words belongs to the window too
+        window = block[max(0, first.a - first.b) : last.a + len(template) - last.b]
+        if telling(window) != telling(template):
+            return None
+        inside = last.a + last.size - first.a
         same = sum(m.size for m in pieces)
         return max(len(template), inside) - same
 
     def match(self, block: str) -> tuple[str, float, int, int] | None:
         """(licence, reduction, differing words, words of the template) of the confirmed template with fewest differences for its length."""
-        raw = block.encode("utf-8", "surrogatepass")
+        raw = block.lower().encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
         ranked = sorted((((alone - len(c.compress(raw))) / alone, -i) for i, c in enumerate(self.given)), reverse=True)[:BEST]
         words, found = _TOKEN.findall(block.lower()), []
         for reduction, i in ranked:
             name, _, template = self.templates[-i]
             wrong = self.differences(words, template)
-            if reduction * alone >= LEAST_REDUCTION * self.saves[-i] and wrong <= DIFFERENT * len(template):
+            if wrong is not None and reduction * alone >= LEAST_REDUCTION * self.saves[-i] and wrong <= DIFFERENT * len(template):
                 found.append((wrong / len(template), -len(template), name, round(reduction, 6), wrong, len(template)))
         return min(found)[2:] if found else None
 
