@@ -312,8 +312,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents link when the Jaccard similarity of their shingle sets is 0.8 or more. A null or empty
     text has no shingles and links with nothing (its component is its own id). Repeated rows stay, each with
-    its class; a null doc_id never names a component, and a text that only rows without an id have links with
-    nothing (its component_id is null). Other columns are ignored, whatever their names.
+    its class; a null doc_id never names a component, but a text that only rows without an id have links like any
+    other (where no text of a component has an id, component_id is null). Other columns are ignored, whatever their names.
     """
     rows = materialize(_classes(docs, id_col, text_col), "shingled")
     total, largest = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.max("n_shingles"), F.lit(1))).first()
@@ -339,8 +339,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Links (a, b) that span those within each group (r, i, j) of rows (r, i, j, blk, m), blk telling the sides where i <> j."""
         light = placed.join(classes.select("m", "cls", "n", "sketch"), "m").select("r", "i", "j", "blk", "cls", "n", "sketch")
         left = materialize(grouped(light).mapInPandas(_sift, "r long, i int, j int, blk int, cls binary"), "sifted")
-        wanted = materialize(classes.join(left.select("cls").distinct(), "cls", "left_semi").select(F.col("first_id").alias("doc_id")).where("doc_id is not null"), "wanted")
-        sets = bodies.join(small_side(wanted), "doc_id", "left_semi").mapInPandas(features, "cls binary, hashes binary").dropDuplicates(["cls"])
+        wanted = materialize(classes.join(left.select("cls").distinct(), "cls", "left_semi").select(F.col("first_id").alias("doc_id"), "cls"), "wanted")
+        named = small_side(wanted.select("doc_id").where("doc_id is not null"))
+        sets = bodies.join(named, "doc_id", "left_semi").mapInPandas(features, "cls binary, hashes binary")
+        nameless = wanted.where("doc_id is null").select("cls")
+        if nameless.limit(1).count():
+            # texts that only rows without an id have: found by what they hold
+            unnamed = bodies.where("doc_id is null").mapInPandas(features, "cls binary, hashes binary")
+            sets = sets.union(unnamed.join(small_side(nameless), "cls", "left_semi"))
+        sets = sets.dropDuplicates(["cls"])
         return materialize(grouped(left.join(sets, "cls").select("r", "i", "j", "blk", "cls", "hashes")).mapInPandas(_compare, "a binary, b binary").select(F.hex("a").alias("a"), F.hex("b").alias("b")), "near")
 
     large = materialize(pairs.groupBy("r").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "large")
