@@ -22,25 +22,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, which tells rows apart by all their columns, so that a null or repeated id takes no other row out."""
+    # a null passes a hash on unchanged, so where the nulls are is hashed too
+    return docs.withColumn("_key", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+
+
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that link, directly or by others, the one with the smallest id stays.
 
-    Rows are told apart by all their columns, so a null or repeated id takes no row out; null ids come last, rows
-    of one id in the order of their texts' hashes. Rows equal in all columns count once.
+    Null ids come last, rows of one id in the order of their texts' hashes. Rows equal in all columns count once.
     """
-    # a null passes a hash on unchanged, so where the nulls are is hashed too
-    key = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
-    keyed = docs.withColumn("_key", key)
-    found = ngram_join.near_duplicates(keyed, id_col="_key").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
-    order = keyed.select(F.col("_key").alias("_row"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("text"), F.col("_key").alias("row")).alias("_place"))
+    rows = keyed(docs)
+    found = ngram_join.near_duplicates(rows, id_col="_key").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
+    order = rows.select(F.col("_key").alias("_row"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("text"), F.col("_key").alias("row")).alias("_place"))
     lead = order.join(found, "_row").groupBy("_group").agg(F.min("_place").alias("first")).select(F.col("first.row").alias("_key"))
-    return keyed.join(lead, "_key", "left_semi").select(docs.columns).dropDuplicates()
+    return rows.join(lead, "_key", "left_semi").select(docs.columns).dropDuplicates()
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Rows whose text holds a benchmark item go, those without an id too; a row that shares its id with one stays."""
+    rows = keyed(docs)
+    leaks = decontamination.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key").select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(leaks, "_key", "left_anti").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
