@@ -2,14 +2,14 @@
 
 A shard is the words of some documents of one language in one task. Its generalised suffix automaton is bounded to
 phrases of LONGEST words: phrases that end at the same places are one state, whose endpos count they share, and a
-state's suffix link leads to the longest of its phrases' suffixes that ends at more places. As all phrases of a state
-are suffixes of its longest, a state goes out as that phrase, the number of words of its shortest and its count; the
-shortest one's length tells where the suffix link leads. The states are made level by level in numpy: the phrases of
-k + 1 words that end at a place are numbered by the number of the phrase of k words before it and the word.
-
-Spark takes each state apart into its phrases and adds up their counts over all shards. A state of the whole corpus
-is then a phrase and its suffix (the suffix link) or prefix (the transition's source) of equal count. A link or
-transition from a phrase to a longer one tells which phrases a longer one subsumes, and by how much.
+state's suffix link leads to the longest of its phrases' suffixes that ends at more places. All phrases of a state
+are suffixes of its longest. The states are made level by level in numpy: the phrases of k + 1 words that end at a place
+are numbered by the number of the phrase of k words before it and the word, so a phrase also knows its prefix, the source
+of the transition that makes it.
+
+A shard enumerates its phrases with their states' counts, as lists by prefix; Spark adds them up over all shards. In
+the whole corpus a candidate's suffix (the suffix link) and prefix (the transition's source) lie inside it, and
+their counts against its own tell what it subsumes.
 """
 
 from __future__ import annotations
@@ -37,13 +37,13 @@ SEGMENT = 1 << 20
 CODED = 1 << 16
 GIVEN = 1 << 16
 SALTS = 16
-HEADS, SAMPLE = 1000, 1 << 12
+SHARE, SAMPLE = 4096, 1 << 12
 
 # fixed values: what ends a piece, and what parts words
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _END = b"."
 _MARKS = bytes.maketrans(_ENDS, _END * len(_ENDS))
-STATES = "lang string, head binary, tail binary, least int, size int, f long"
+PHRASES = "lang string, head binary, tails binary"
 
 
 def tokens(text: bytes) -> Iterator[list[bytes]]:
@@ -81,63 +81,78 @@ class Shard:
         """An empty shard that goes on inside the document where this one ends."""
         return Shard((getattr(self, "tail", []) + self.held)[-(LONGEST - 1) :])
 
-    def states(self) -> tuple[list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, int]], int]:
-        """(for each number of words: the states whose longest phrase has so many (all words but the last, the last), their counts and shortest phrases' words; all words)."""
+    def levels(self) -> None:
+        """Number all phrases: by level k, at[k] has at each place the number of the phrase of k + 1 words that ends there (-1: none);
+        of each phrase, place[k] has a place where it ends, count[k] its endpos count, suffix[k] its suffix's number in the level below."""
         if self.held or not self.parts:
             self._code()
         coded = pa.chunked_array(self.parts).unify_dictionaries()
-        names, word = coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int64)
-        mark = pc.index(names, pa.scalar(_END, pa.binary())).as_py()
+        self.names, self.word = coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int64)
+        word, mark = self.word, pc.index(self.names, pa.scalar(_END, pa.binary())).as_py()
         inside, fresh = word != mark, np.arange(len(word)) >= len(self.before)
-        # by level k: at each place the number of the phrase of k + 1 words that ends there (-1: none); of each phrase
-        # a place, its endpos count, and the number of words of the shortest phrase of its state
-        at, place, count, least = [], [], [], []
+        self.total = int((inside & fresh).sum())
+        self.at, self.place, self.count, self.suffix = [], [], [], []
         for k in range(LONGEST):
             if k == 0:
                 ends = np.flatnonzero(inside)
                 key = word[ends]
             else:
-                ends = ends[(ends > 0) & (at[-1][ends - 1] >= 0)]
-                key = at[-1][ends - 1].astype(np.int64) * len(names) + word[ends]
+                ends = ends[(ends > 0) & (self.at[-1][ends - 1] >= 0)]
+                key = self.at[-1][ends - 1].astype(np.int64) * len(self.names) + word[ends]
             # numbers run by first place, so that a phrase's first is where the highest number so far grows
             number = pa.array(key).dictionary_encode().indices.to_numpy()
             first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1)) if len(number) else number
             here = np.full(len(word), -1, np.int32)
             here[ends] = number
-            at.append(here)
-            place.append(ends[first])
-            count.append(np.bincount(number[fresh[ends]], minlength=len(first)))
-            least.append(np.full(len(first), k + 1))
-        longest = [c > 0 for c in count]
+            self.suffix.append(self.at[-1][ends[first]] if k else None)
+            self.at.append(here)
+            self.place.append(ends[first])
+            self.count.append(np.bincount(number[fresh[ends]], minlength=len(first)))
+
+    def states(self) -> list[tuple[list[str], int, int]]:
+        """(longest phrase, words of the shortest, endpos count) of each state; its suffix link leads to the phrase of one word less than the shortest."""
+        self.levels()
+        least, longest = [np.full(len(c), k + 1) for k, c in enumerate(self.count)], [c > 0 for c in self.count]
         for k in range(1, LONGEST):
-            suffix = at[k - 1][place[k]]
-            # a phrase that ends wherever its suffix does is in one state with it; else the suffix link leads there
-            same = count[k] == count[k - 1][suffix]
-            least[k][same] = least[k - 1][suffix[same]]
-            longest[k - 1][suffix[same]] = False
-        out = []
+            # a phrase that ends wherever its suffix does is in one state with it
+            same = self.count[k] == self.count[k - 1][self.suffix[k]]
+            least[k][same] = least[k - 1][self.suffix[k][same]]
+            longest[k - 1][self.suffix[k][same]] = False
+        words = lambda k, p: [self.names[self.word[self.place[k][p] - j]].as_py().decode() for j in range(k, -1, -1)]
+        return [(words(k, p), int(least[k][p]), int(self.count[k][p])) for k in range(LONGEST) for p in np.flatnonzero(longest[k]).tolist()]
+
+    def phrases(self) -> Iterator[tuple[pa.Array, pa.Array]]:
+        """(heads, tails): each head (all words but the last) once a level, with its last words, parted by spaces, each followed by a tab and its count if that is not 1."""
+        self.levels()
         for k in range(LONGEST):
-            own = np.flatnonzero(longest[k])
-            if k:  # phrases with one prefix side by side, which a shuffle then packs well
-                own = own[np.argsort(at[k - 1][place[k][own] - 1], kind="stable")]
-            parts = [names.take(pa.array(word[place[k][own] - j])) for j in range(k, -1, -1)]
-            head = pc.binary_join_element_wise(*parts[:-1], b" ") if k > 1 else parts[0] if k else pa.array([b""] * len(own), pa.binary())
-            out.append((head, parts[-1], count[k][own], least[k][own], k + 1))
-        return out, int((inside & fresh).sum())
+            own = np.flatnonzero(self.count[k])
+            if not len(own):
+                continue
+            places, counts = self.place[k][own], self.count[k][own]
+            many = pc.if_else(pa.array(counts != 1), pc.binary_join_element_wise(pa.scalar(b"\t"), pa.array(counts).cast(pa.string()).cast(pa.binary()), b""), pa.scalar(b""))
+            if k == 0:
+                yield self.names.take(pa.array(self.word[places])), many
+                continue
+            prefix = self.at[k - 1][places - 1]
+            order = np.argsort(prefix, kind="stable")
+            start = np.flatnonzero(np.diff(prefix[order], prepend=-1))
+            last = pc.binary_join_element_wise(self.names.take(pa.array(self.word[places])), many, b"").take(pa.array(order))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), last)
+            ends = places[order[start]]
+            parts = [self.names.take(pa.array(self.word[ends - j])) for j in range(k, 0, -1)]
+            yield pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0], pc.binary_join(lists, b" ")
 
 
 def _given_out(shards: dict[str, Shard]) -> Iterator[dict]:
     for lang, shard in shards.items():
-        levels, words = shard.states()
-        yield {"lang": [lang], "head": [b""], "tail": [b""], "least": [0], "size": [0], "f": [words]}
-        for heads, tails, counts, least, size in levels:
+        for heads, tails in shard.phrases():
             for s in range(0, len(heads), GIVEN):
-                part, n = slice(s, s + GIVEN), len(heads[s : s + GIVEN])
-                yield {"lang": pa.array([lang] * n), "head": heads[part], "tail": tails[part], "least": pa.array(least[part], pa.int32()), "size": pa.array([size] * n, pa.int32()), "f": pa.array(counts[part])}
+                yield {"lang": pa.array([lang] * len(heads[s : s + GIVEN])), "head": heads[s : s + GIVEN], "tails": tails[s : s + GIVEN]}
+        yield {"lang": [lang], "head": [b""], "tails": [b"\t%d" % shard.total]}
 
 
-def shard_states(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows (lang, x: a text's bytes) of one task to the states of its shards, a shard for each language at a time."""
+def shard_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows (lang, x: a text's bytes) of one task to the phrases of its shards, a shard for each language at a time; of each its words as an empty phrase."""
     shards: dict[str, Shard] = {}
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("x"), strict=True):
@@ -152,10 +167,10 @@ def shard_states(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     yield from _given_out(shards)
 
 
-def phrase_states(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, head, tail, least, size, f): the states of all shards' automata (the longest phrase as its last word and those before it), and of each shard a row of size 0 with its words."""
+def phrase_lists(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(head, tails) of all shards: head is all words but the last, a line end and the lang, tails as phrases() gives them. A phrase has no line end, so the first one parts them."""
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("x"))
-    return map_batches(rows, shard_states, STATES).withColumns({c: F.col(c).cast("string") for c in ("head", "tail")})
+    return map_batches(rows, shard_phrases, PHRASES).select(F.concat(F.col("head").cast("string"), F.lit("\n"), "lang").alias("head"), F.col("tails").cast("string").alias("tails"))
 
 
 def _words(phrase: Column, many: Column) -> Column:
@@ -163,38 +178,33 @@ def _words(phrase: Column, many: Column) -> Column:
     return F.call_function("substring_index", phrase, F.lit(" "), many)
 
 
-def _phrases(states: DataFrame) -> DataFrame:
-    """(head, tail, f): each state's phrases; head is all words but the last, a line end and the lang. A phrase has no line end, so the first one parts them.
-
-    A single word is a head without a tail, a shard's words have neither.
-    """
-    each = states.select("lang", "head", "tail", F.explode(F.sequence("least", "size")).alias("k"), "size", "f")
-    own = F.when(F.col("k") <= 1, F.when(F.col("k") == 1, F.col("tail")).otherwise("")).when(F.col("k") == F.col("size"), F.col("head")).otherwise(_words(F.col("head"), 1 - F.col("k")))
-    return each.select(F.concat(own, F.lit("\n"), "lang").alias("head"), F.when(F.col("k") > 1, F.col("tail")).otherwise("").alias("tail"), "f")
-
-
-def common_heads(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[str]:
-    """HEADS heads at most that begin the most different phrases of a sample of documents (SAMPLE of 2^20 by a hash of the text, whole texts).
+def common_heads(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(head): those that begin one in SHARE or more of the phrases of a sample of documents (SAMPLE of 2^20 by a hash of the text, whole texts), so SHARE at most.
 
-    They only say which heads' rows are dealt to many tasks; no count depends on them.
+    They only say which heads' phrases are dealt to many tasks; no count depends on them.
     """
     some = docs.where(F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(1 << 20)) < SAMPLE)
-    many = _phrases(phrase_states(some, text_col, lang_col)).groupBy("head").agg(F.count("*").alias("n")).where("n > 32")
-    return [r["head"] for r in many.orderBy(F.desc("n"), "head").limit(HEADS).collect()]
+    many = materialize(phrase_lists(some, text_col, lang_col).groupBy("head").agg(F.sum(F.size(F.split("tails", " "))).alias("n")), "heads")
+    total = many.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return many.where((F.col("n") * SHARE >= total) & (F.col("n") > 1)).select("head")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, size, phrase, f): phrases of LONGEST words at most with at least `least` occurrences, and of each lang all its words as size 0.
 
-    Phrases with one head go to one task, where they stand side by side (a shuffle packs their heads away), but for the
-    common heads, whose phrases are dealt to SALTS tasks by their last word. A shard has each phrase once, so
-    nothing is to be gained by adding up before the shuffle.
+    Phrases with one head go to one task, as lists, but for the common heads, whose phrases are dealt to SALTS tasks by
+    their last word. A shard has each phrase once, so nothing is to be gained by adding up before the shuffle.
     """
-    each = _phrases(phrase_states(docs, text_col, lang_col))
-    hot = common_heads(docs, text_col, lang_col)
-    salt = F.when(F.col("head").isin(hot), F.pmod(F.xxhash64("tail"), F.lit(SALTS))).otherwise(0).cast("int") if hot else F.lit(0)
-    dealt = each.withColumn("salt", salt).repartition("head", "salt")
-    total = dealt.groupBy("head", "salt", "tail").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.startswith("head", F.lit("\n")))
+    entries, word = F.split("tails", " "), lambda e: F.substring_index(e, "\t", 1)
+    common = F.broadcast(common_heads(docs, text_col, lang_col).withColumn("common", F.lit(True)))  # SHARE rows at most
+    alone = F.transform(entries, lambda e: F.struct(F.pmod(F.xxhash64(word(e)), F.lit(SALTS)).cast("int").alias("salt"), e.alias("tails")))
+    together = F.array(F.struct(F.lit(0).alias("salt"), F.col("tails")))
+    dealt = phrase_lists(docs, text_col, lang_col).join(common, "head", "left").select("head", F.explode(F.when(F.col("common"), alone).otherwise(together)).alias("x"))
+    dealt = dealt.select("head", "x.salt", "x.tails").repartition("head", "salt")
+    each = dealt.select("head", "salt", F.explode(entries).alias("e"))
+    f = F.when(F.contains("e", F.lit("\t")), F.substring_index("e", "\t", -1).cast("long")).otherwise(1)
+    total = each.select("head", "salt", word(F.col("e")).alias("tail"), f.alias("f")).groupBy("head", "salt", "tail").agg(F.sum("f").alias("f"))
+    total = total.where((F.col("f") >= least) | F.startswith("head", F.lit("\n")))
     end = F.instr("head", F.lit("\n"))
     first = F.substr("head", F.lit(1), end - 1)
     phrase = F.when(F.col("tail") == "", first).otherwise(F.concat(first, F.lit(" "), "tail"))
