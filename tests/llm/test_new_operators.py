@@ -133,28 +133,25 @@ def test_collocations_are_brute_force(spark, talk, monkeypatch, shard, segment):
     monkeypatch.setattr(collocations, "SHARD_WORDS", shard)
     monkeypatch.setattr(collocations, "SEGMENT", segment)
     monkeypatch.setattr(collocations, "CODED", 5)
-    # workers of a shell of their own would not see the small shards
-    shards = list(_states(talk))
-    states = spark.createDataFrame(shards, collocations.STATES).withColumns({c: F.col(c).cast("string") for c in ("head", "tail")})
-    monkeypatch.setattr(collocations, "phrase_states", lambda *a: states)
+    # run here, as workers would not see the small shards
+    lists = spark.createDataFrame(list(_lists(talk)), "head string, tails string")
+    monkeypatch.setattr(collocations, "phrase_lists", lambda *a: lists)
     if shard == 50:  # as if these were common
-        monkeypatch.setattr(collocations, "common_heads", lambda *a: ["a\nen", "b c\nen", "\nen", "x\nde"])
+        common = spark.createDataFrame([("a\nen",), ("b c\nen",), ("\nen",), ("x\nde",)], "head string")
+        monkeypatch.setattr(collocations, "common_heads", lambda *a: common)
     got = collections.defaultdict(list)
     for r in collocations.collocations(spark.createDataFrame(talk, DOC), top=40, least=3).orderBy("lang", "rank").collect():
         got[r["lang"]].append(r[1:])
     assert dict(got) == {k: v for k, v in phrases_of(talk, 3, 40).items() if v}
 
 
-def _states(rows):
+def _lists(rows):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([r[2] or "und" for r in rows]), pa.array([(r[1] or "").encode() for r in rows], pa.binary())], ["lang", "x"])
-    for c in collocations.shard_states(iter([batch])):
-        yield from zip(c["lang"] if isinstance(c["lang"], list) else c["lang"].to_pylist(), bytes_list(c["head"]), bytes_list(c["tail"]), *[c[k] if isinstance(c[k], list) else c[k].to_pylist() for k in ("least", "size", "f")], strict=True)
-
-
-def bytes_list(column):
-    return [bytearray(x) for x in (column if isinstance(column, list) else column.to_pylist())]
+    plain = lambda c: c if isinstance(c, list) else c.to_pylist()
+    for c in collocations.shard_phrases(iter([batch])):
+        yield from ((f"{h.decode()}\n{lang}", t.decode()) for lang, h, t in zip(*[plain(c[k]) for k in ("lang", "head", "tails")], strict=True))
 
 
 def automaton(pieces):
@@ -200,7 +197,7 @@ def test_shards_have_the_states_of_an_automaton():
     for p in pieces:
         shard.add([w.encode() for w in p])
         shard.add([b"."])
-    got = {((h.as_py() + b" " + t.as_py()).decode().strip(), int(low), size): int(n) for heads, tails, counts, least, size in shard.states()[0] for h, t, n, low in zip(heads, tails, counts, least, strict=True)}
+    got = {(" ".join(words), least, len(words)): n for words, least, n in shard.states()}
     # of the unbounded automaton each state's phrases of three words at most; a state's suffix link tells its shortest
     size, link, count, label = automaton(pieces)
     want = collections.defaultdict(int)
