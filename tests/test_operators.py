@@ -98,16 +98,45 @@ def test_ad_hoc_selects(spark):
     n = spark.createDataFrame([("a", "File", "x")], "id string, kind string, name string")
     e = spark.createDataFrame([("CALLS", "a", "a", 1, "e")], "type string, src string, dst string, occurrence_count int, edge_id string")
     assert views.select_graph(n, e, "SELECT name FROM graph_nodes WHERE name <> 'drop; it'", 5).collect()[0]["name"] == "x"
-    for bad in ("DROP TABLE x", "SELECT 1; SELECT 2", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "", "SET x = 1"):
+    n.createOrReplaceTempView("other")
+    for bad in (
+        "DROP TABLE x", "SELECT 1; SELECT 2", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "", "SET x = 1", "CACHE TABLE graph_nodes", "EXPLAIN SELECT 1", "SHOW TABLES", "nonsense",
+        "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`", "SELECT * FROM other", "SELECT * FROM default.graph_nodes", "SELECT (SELECT max(id) FROM other) AS m FROM graph_nodes",
+        "SELECT * FROM graph_nodes WHERE id IN (SELECT id FROM other)", "WITH other2 AS (SELECT * FROM other) SELECT * FROM other2", "SELECT * FROM (WITH a AS (SELECT 1 AS x) SELECT * FROM a) JOIN a", "SELECT * FROM range(9)",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT reflect('java.lang.System', 'exit', 1) FROM graph_nodes", "SELECT transform(array(1), x -> reflect('a', 'b')) AS t FROM graph_nodes",
+    ):
         with pytest.raises(ValueError):
             views.select_graph(n, e, bad, 5)
+    for good, rows in (
+        ("SELECT name AS `set`, id AS `use`, kind AS `drop` FROM graph_nodes;", 1), ("WITH a AS (SELECT * FROM graph_nodes), b AS (SELECT * FROM a) SELECT * FROM b JOIN a USING (id)", 1), ("SELECT 1 AS x UNION ALL SELECT 2", 2),
+        ("SELECT kind, count(*) OVER (PARTITION BY kind) AS n FROM Graph_Nodes n WHERE EXISTS (SELECT 1 FROM graph_edges e WHERE e.src = n.id) ORDER BY 1", 1), ("VALUES (1), (2)", 2),
+        ("SELECT kind, count(*) AS n FROM graph_nodes GROUP BY kind HAVING n > 0", 1), ("WITH RECURSIVE r AS (SELECT 1 AS x UNION ALL SELECT x + 1 FROM r WHERE x < 3) SELECT * FROM r", 3),
+    ):
+        assert views.select_graph(n, e, good, 5).count() == rows
     with pytest.raises(ValueError):
         views.canonical(["File", "Nothing"], ["File"])
-    assert views.canonical([" file", "FILE"], ["File"]) == ["File"] and views.facet_filters(["Code"])[0] == ["Type", "Method"]
+    assert views.canonical([" file", "FILE"], ["File"]) == ["File"] and views.facet_filters([("Node-Category", ["type", "METHOD", " "]), ("edge-type", ["calls"]), ("", ["x"]), ("edge-type", None)]) == (["Type", "Method"], ["CALLS"])
+    for bad in ([("code", [])], [("edge-type", ["File"])]):
+        with pytest.raises(ValueError):
+            views.facet_filters(bad)
     with pytest.raises(ValueError):
         records.choose_one(["a", "b"], None)
 
 
+def test_selected_subgraph(spark):
+    n = spark.createDataFrame([(i, "File", i) for i in "abcdef"], "id string, kind string, name string")
+    e = spark.createDataFrame([("CALLS", "a", "b", 1, "1"), ("CALLS", "c", "d", 1, "2"), ("CALLS", "e", "e", 1, "3")], "type string, src string, dst string, occurrence_count int, edge_id string")
+
+    def of(rows, limit):
+        shown, links = views.selected_subgraph(spark.createDataFrame(rows, "x string, y string, z int"), n, e, limit)
+        return "".join(sorted(r["id"] for r in shown.collect())), "".join(r["edge_id"] for r in links.collect())
+
+    assert of([("a", "1", 1), ("f", None, 2)], 9) == ("abf", "1")  # b is added as an end
+    assert of([("a", "1", 1), ("f", "2", 2)], 3) == ("abf", "1")  # no room for the second edge's ends
+    assert of([("a", "b", 1), ("1", "f", 2)], 2) == ("ab", "1")
+    assert of([("3", "zz", 1)], 9) == ("e", "3") and of([(None, None, 1)], 9) == ("", "")
+
+
 def test_references_in_sql(spark):
     o = spark.createDataFrame([("dbo", "T", "Table"), ("x", "T", "View"), ("dbo", "P", "StoredProcedure")], "space string, name string, type string")
     t = spark.createDataFrame([(1, "select * from [x].[t] -- dbo.P\n/* T */ exec p; insert into nope.T values"), (2, None), (3, "")], "id int, q string")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EDGE_TYPES, NODE_KINDS
+from ..storage import materialize
 from .graph import central_nodes, edge_between, one_hop, trails
 
 
@@ -24,18 +23,26 @@ def canonical(wanted: list[str], vocabulary: list[str]) -> list[str]:
     return list(dict.fromkeys(by_name[w.strip().lower()] for w in wanted))
 
 
-# fixed values: facets of the viewer and what they show
-FACETS = {
-    "structure": (("Solution", "Project", "File"), ("CONTAINS_PROJECT", "CONTAINS_FILE", "REFERENCES_PROJECT")),
-    "code": (("Type", "Method"), ("CALLS", "INSTANTIATES", "DERIVES_FROM", "IMPLEMENTS")),
-    "data": (("Database", "DatabaseObject", "DatabaseColumn"), ("READS", "WRITES", "FOREIGN_KEY_TO")),
-}
+# fixed values: the viewer's facets, by what their tokens name
+FACETS = {"node-category": NODE_KINDS, "edge-type": EDGE_TYPES}
+
+
+def facet_filters(filters: list[tuple[str, list[str] | None]]) -> tuple[list[str], list[str]]:
+    """(kinds, types) that (facet, tokens) filters ask for, whatever their case; a blank facet or one without tokens counts for nothing, an unknown facet or token is an error."""
+    wanted: dict[str, list[str]] = {f: [] for f in FACETS}
+    for facet, tokens in filters:
+        if facet and facet.strip() and tokens is not None:
+            wanted[canonical([facet], list(FACETS))[0]] += [t for t in tokens if t and t.strip()]
+    return canonical(wanted["node-category"], NODE_KINDS), canonical(wanted["edge-type"], EDGE_TYPES)
 
 
-def facet_filters(names: list[str], facets: dict = FACETS) -> tuple[list[str], list[str]]:
-    """(kinds, types) of the named facets; an unknown facet is an error."""
-    chosen = [facets[n] for n in canonical(names, list(facets))]
-    return canonical([k for kinds, _ in chosen for k in kinds], NODE_KINDS), canonical([t for _, types in chosen for t in types], EDGE_TYPES)
+def faceted(nodes: DataFrame, edges: DataFrame, filters: list[tuple[str, list[str] | None]]) -> tuple[DataFrame, DataFrame]:
+    """The view of some kinds and types: all kinds or types where no filter names any; edges that lose an end go."""
+    kinds, types = facet_filters(filters)
+    shown = nodes.where(F.col("kind").isin(kinds)) if kinds else nodes
+    ids = shown.select("id")
+    links = edges.where(F.col("type").isin(types)) if types else edges
+    return shown, links.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
 def merge_views(base: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -91,20 +98,85 @@ def look_ahead(rows: DataFrame, order: list[Column], limit: int) -> tuple[DataFr
     return top.limit(limit), top.count() > limit
 
 
-_WRITES = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncate|load|set|reset|cache|uncache|refresh|add|use|call|grant|revoke|explain)\b", re.I)
+# fixed values: the parser's names of what only reads
+_READS = {
+    "Project", "Filter", "Join", "LateralJoin", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Tail", "Distinct", "Deduplicate", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedRelation",
+    "UnresolvedWith", "UnresolvedHint", "UnresolvedHaving", "Union", "UnionLoop", "Except", "Intersect", "OneRowRelation", "UnresolvedInlineTable", "WithWindowDefinition", "Window", "Generate", "Pivot", "Unpivot", "Sample",
+    "UnresolvedOrdinal", "LocalRelation",
+}
+# fixed values: functions that run code by name or tell what lies outside the views
+_REFUSED = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "session_user", "user", "raise_error", "assert_true"}
+
+
+def _seq(items) -> list:
+    return [items.apply(i) for i in range(items.size())]
+
+
+def _check_plan(plan, allowed: set[str]) -> None:
+    """Raise unless a parsed plan, with all plans inside it, only reads relations of these names."""
+    kind = plan.getClass().getSimpleName()
+    if kind not in _READS:
+        raise ValueError(f"only a SELECT is allowed, not {kind}")
+    if kind == "UnresolvedRelation":
+        name = _seq(plan.multipartIdentifier())
+        if len(name) != 1 or name[0].lower() not in allowed:
+            raise ValueError(f"no such relation: {'.'.join(name)}")
+    if kind == "UnresolvedWith":
+        for named in _seq(plan.cteRelations()):
+            # a name holds for the tables after it and for the query; in a recursive one for itself too
+            if plan.allowRecursion():
+                allowed = allowed | {named._1().lower()}
+            _check_plan(named._2(), allowed)
+            allowed = allowed | {named._1().lower()}
+    left = _seq(plan.expressions())
+    while left:
+        e = left.pop()
+        if e.getClass().getSimpleName() == "UnresolvedFunction" and _seq(e.nameParts())[-1].lower() in _REFUSED:
+            raise ValueError(f"no such function: {_seq(e.nameParts())[-1]}")
+        left += _seq(e.children())
+    for inner in [*_seq(plan.children()), *_seq(plan.subqueries())]:
+        _check_plan(inner, allowed)
 
 
 def select_graph(nodes: DataFrame, edges: DataFrame, query: str, limit: int) -> DataFrame:
-    """An ad-hoc SELECT over graph_nodes and graph_edges, which hold one version alone; at most `limit` rows.
+    """An ad-hoc SELECT over graph_nodes and graph_edges, which hold one version alone; at most `limit` rows (1 to 5000).
 
-    One statement that begins with SELECT or WITH and has no word that changes anything; Spark parses and plans it.
+    What Spark's parser makes of it is walked before anything is planned or run: every part must be one that only reads,
+    and every relation one of the two or a table that the query itself defines, so that no command, file, catalog table or
+    table function passes, whatever its columns are called.
     """
-    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", query).strip().rstrip(";").strip()
-    if not re.match(r"(?i)(select|with)\b", bare) or ";" in bare or _WRITES.search(bare):
-        raise ValueError("only one SELECT is allowed")
+    spark, bare = nodes.sparkSession, query.strip().rstrip(";").strip()
+    if not bare:
+        raise ValueError("only a SELECT is allowed")
+    try:
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(bare)
+    except Exception as e:
+        raise ValueError(f"no SELECT can be read: {str(e).splitlines()[0]}") from None
+    _check_plan(parsed, {"graph_nodes", "graph_edges"})
     nodes.createOrReplaceTempView("graph_nodes")
     edges.createOrReplaceTempView("graph_edges")
-    return nodes.sparkSession.sql(query.strip().rstrip(";")).limit(clamp(limit, 1, 5000))
+    return spark.sql(bare).limit(clamp(limit, 1, 5000))
+
+
+def selected_subgraph(rows: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that an ad-hoc query's rows name in any of their text columns, by node or edge id.
+
+    At most `limit` nodes: of more, the ends of the edges by edge id first, then by id. Ends that are missing
+    are added in that order while there is room; edges that lack one go, and 4 limit (20,000 at most) by id stay.
+    """
+    texts = [F.col(f"`{c}`") for c, kind in rows.dtypes if kind == "string"]
+    if not texts:
+        return nodes.limit(0), edges.limit(0)
+    named = materialize(rows.select(F.explode(F.array(*texts)).alias("id")).where("id is not null").distinct(), "named")
+    own, links = nodes.join(named, "id", "left_semi").select("id"), edges.join(named.withColumnRenamed("id", "edge_id"), "edge_id", "left_semi")
+    # a node's place: as an end of the first edge that has it, or after all edges; those that rows name before those that don't
+    ends = links.select("edge_id", F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.min("edge_id").alias("first"))
+    placed = own.withColumn("named", F.lit(True)).join(ends, "id", "full").select("id", F.coalesce("named", F.lit(False)).alias("named"), "first")
+    kept = placed.orderBy(F.desc("named"), F.col("first").isNull(), "first", "id").limit(limit).select("id")
+    shown = materialize(nodes.join(kept, "id", "left_semi"), "subgraph")
+    ids = shown.select("id")
+    whole = links.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return shown, whole.orderBy("edge_id").limit(min(4 * limit, 20000))
 
 
 #: The four ready-made queries, by name.

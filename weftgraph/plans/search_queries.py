@@ -86,7 +86,23 @@ def same_file_edges(spark, d):
     return counts.join(edges.select("edge_id"), how="left", on=F.lit(True))  # one row
 
 
-QUERIES = {f.__name__: f for f in (phrase_search, prefix_search, fielded_search, node_properties, edge_evidence, same_file_nodes, same_file_edges)}
+_SELECT = "SELECT e.edge_id AS relation, e.src AS `from`, n.name FROM graph_edges e JOIN graph_nodes n ON n.id = e.src WHERE e.type = 'CONTAINS_PROJECT' ORDER BY e.edge_id"
+
+
+def selected_subgraph(spark, d):
+    """GR16: the nodes and edges that an ad-hoc query names: edges from regions, whose other ends are added while there is room."""
+    nodes, edges = stored(spark, d).snapshot("star", 1)
+    shown, links = views.selected_subgraph(views.select_graph(nodes, edges, _SELECT, 5000), nodes, edges, 15)
+    return shown.select(F.lit("node").alias("part"), "id").unionByName(links.select(F.lit("edge").alias("part"), F.col("edge_id").alias("id")))
+
+
+def faceted_view(spark, d):
+    """PF5, PF6: the view of two node categories and one edge type."""
+    shown, links = views.faceted(*stored(spark, d).snapshot("star", 1), [("node-category", ["namespace", "ApiEndpoint"]), ("Edge-Type", ["defined_in_project"])])
+    return shown.select(F.lit("node").alias("part"), "id").unionByName(links.select(F.lit("edge").alias("part"), F.col("edge_id").alias("id")))
+
+
+QUERIES = {f.__name__: f for f in (phrase_search, prefix_search, fielded_search, node_properties, edge_evidence, same_file_nodes, same_file_edges, selected_subgraph, faceted_view)}
 
 _TOK = r"'[\p{L}\p{N}_./:-]{2,}'"
 _MET = """lens AS (SELECT id, field, w, len(w) AS len FROM f WHERE len(w) > 0),
@@ -130,4 +146,10 @@ SELECT edge_id, type || '；' || location || CASE WHEN line > 0 THEN ':' || line
 UNION ALL SELECT edge_id, 'FOREIGN_KEY_TO；extractor；' || o_orderstatus FROM edges JOIN orders ON src = 'order:' || o_orderkey WHERE type = 'FOREIGN_KEY_TO' UNION ALL SELECT edge_id, NULL FROM edges WHERE type = 'READS'""",
     "same_file_nodes": f"WITH {_PROPS} SELECT id, path, degree, center FROM shown",
     "same_file_edges": f"WITH {_PROPS} SELECT (SELECT count(*) FROM nodes) AS total, (SELECT count(*) FROM shown) AS nodes, (SELECT count(*) FROM among) AS edges, (SELECT count(*) FROM wanted) > (SELECT count(*) FROM shown) AS truncated, edge_id FROM (SELECT 1) LEFT JOIN among ON true",
+    "selected_subgraph": f"""WITH {GRAPH}, links AS (SELECT * FROM edges WHERE type = 'CONTAINS_PROJECT'), named AS (SELECT DISTINCT src AS id FROM links),
+ends AS (SELECT id, min(edge_id) AS first FROM (SELECT src AS id, edge_id FROM links UNION ALL SELECT dst, edge_id FROM links) GROUP BY id),
+shown AS (SELECT id FROM ends ORDER BY id IN (SELECT id FROM named) DESC, first, id LIMIT 15)
+SELECT 'node' AS part, id FROM shown UNION ALL SELECT 'edge', edge_id FROM links WHERE src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown)""",
+    "faceted_view": f"""WITH {GRAPH}, shown AS (SELECT id FROM nodes WHERE kind IN ('Namespace', 'ApiEndpoint'))
+SELECT 'node' AS part, id FROM shown UNION ALL SELECT 'edge', edge_id FROM edges WHERE type = 'DEFINED_IN_PROJECT' AND src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown)""",
 }
