@@ -14,6 +14,7 @@ their counts against its own tell what it subsumes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ SHARE, SAMPLE = 4096, 1 << 12
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _END = b"."
 _MARKS = bytes.maketrans(_ENDS, _END * len(_ENDS))
-PHRASES = "lang string, head binary, tails binary"
+PHRASES = "lang string, head binary, salt int, tails binary"
 
 
 def tokens(text: bytes) -> Iterator[list[bytes]]:
@@ -121,9 +122,13 @@ class Shard:
         words = lambda k, p: [self.names[self.word[self.place[k][p] - j]].as_py().decode() for j in range(k, -1, -1)]
         return [(words(k, p), int(least[k][p]), int(self.count[k][p])) for k in range(LONGEST) for p in np.flatnonzero(longest[k]).tolist()]
 
-    def phrases(self) -> Iterator[tuple[pa.Array, pa.Array]]:
-        """(heads, tails): each head (all words but the last) once a level, with its last words, parted by spaces, each followed by a tab and its count if that is not 1."""
+    def phrases(self, common: pa.Array | None = None) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+        """(heads, salts, tails): each head (all words but the last) once a level, with its last words, parted by spaces, each followed by a tab and its count if that is not 1.
+
+        A head among `common` comes up to SALTS times, with the words of one salt each time.
+        """
         self.levels()
+        salt_of = np.fromiter((zlib.crc32(w) % SALTS for w in self.names.to_pylist()), np.int64, len(self.names)) if common is not None and len(common) else None
         for k in range(LONGEST):
             own = np.flatnonzero(self.count[k])
             if not len(own):
@@ -131,28 +136,43 @@ class Shard:
             places, counts = self.place[k][own], self.count[k][own]
             many = pc.if_else(pa.array(counts != 1), pc.binary_join_element_wise(pa.scalar(b"\t"), pa.array(counts).cast(pa.string()).cast(pa.binary()), b""), pa.scalar(b""))
             if k == 0:
-                yield self.names.take(pa.array(self.word[places])), many
+                yield self.names.take(pa.array(self.word[places])), np.zeros(len(own), np.int64), many
                 continue
-            prefix = self.at[k - 1][places - 1]
+            prefix = self.at[k - 1][places - 1].astype(np.int64)
+            if salt_of is not None:
+                heads = self._joined(self.place[k - 1], k)
+                often = pc.is_in(heads, value_set=common).to_numpy(zero_copy_only=False)
+                prefix = prefix * SALTS + np.where(often[prefix], salt_of[self.word[places]], 0)
             order = np.argsort(prefix, kind="stable")
             start = np.flatnonzero(np.diff(prefix[order], prepend=-1))
             last = pc.binary_join_element_wise(self.names.take(pa.array(self.word[places])), many, b"").take(pa.array(order))
             lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), last)
-            ends = places[order[start]]
-            parts = [self.names.take(pa.array(self.word[ends - j])) for j in range(k, 0, -1)]
-            yield pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0], pc.binary_join(lists, b" ")
+            salts = prefix[order[start]] % SALTS if salt_of is not None else np.zeros(len(start), np.int64)
+            yield self._joined(places[order[start]] - 1, k), salts, pc.binary_join(lists, b" ")
+
+    def _joined(self, ends: np.ndarray, size: int) -> pa.Array:
+        """The phrases of so many words that end at these places."""
+        parts = [self.names.take(pa.array(self.word[ends - j])) for j in range(size - 1, -1, -1)]
+        return pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0]
 
 
-def _given_out(shards: dict[str, Shard]) -> Iterator[dict]:
+def _given_out(shards: dict[str, Shard], common: dict[str, pa.Array]) -> Iterator[dict]:
     for lang, shard in shards.items():
-        for heads, tails in shard.phrases():
+        for heads, salts, tails in shard.phrases(common.get(lang)):
             for s in range(0, len(heads), GIVEN):
-                yield {"lang": pa.array([lang] * len(heads[s : s + GIVEN])), "head": heads[s : s + GIVEN], "tails": tails[s : s + GIVEN]}
-        yield {"lang": [lang], "head": [b""], "tails": [b"\t%d" % shard.total]}
+                yield {"lang": pa.array([lang] * len(heads[s : s + GIVEN])), "head": heads[s : s + GIVEN], "salt": pa.array(salts[s : s + GIVEN], pa.int32()), "tails": tails[s : s + GIVEN]}
+        yield {"lang": [lang], "head": [b""], "salt": [0], "tails": [b"\t%d" % shard.total]}
 
 
-def shard_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows (lang, x: a text's bytes) of one task to the phrases of its shards, a shard for each language at a time; of each its words as an empty phrase."""
+def shard_phrases(batches: Iterator[pa.RecordBatch], common: list[tuple[str, str]] = ()) -> Iterator[dict]:
+    """Rows (lang, x: a text's bytes) of one task to the phrases of its shards, a shard for each language at a time; of each its words as an empty phrase.
+
+    common: the (lang, head) whose phrases are dealt by their last words.
+    """
+    often: dict[str, list[bytes]] = {}
+    for lang, head in common:
+        often.setdefault(lang, []).append(head.encode())
+    sets = {lang: pa.array(heads, pa.binary()) for lang, heads in often.items()}
     shards: dict[str, Shard] = {}
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("x"), strict=True):
@@ -160,17 +180,18 @@ def shard_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                 shard = shards.setdefault(lang, Shard())
                 shard.add(words, sum(map(len, words)))
                 if sum(s.words for s in shards.values()) >= SHARD_WORDS or sum(s.bytes for s in shards.values()) >= SHARD_BYTES:
-                    yield from _given_out(shards)
+                    yield from _given_out(shards, sets)
                     shards = {lang: shard.after()}
             if lang in shards:
                 shards[lang].add([_END])
-    yield from _given_out(shards)
+    yield from _given_out(shards, sets)
 
 
-def phrase_lists(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(head, tails) of all shards: head is all words but the last, a line end and the lang, tails as phrases() gives them. A phrase has no line end, so the first one parts them."""
+def phrase_lists(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: list[tuple[str, str]] = ()) -> DataFrame:
+    """(head, salt, tails) of all shards: head is all words but the last, a line end and the lang, salt and tails as phrases() gives them. A phrase has no line end, so the first one parts them."""
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("x"))
-    return map_batches(rows, shard_phrases, PHRASES).select(F.concat(F.col("head").cast("string"), F.lit("\n"), "lang").alias("head"), F.col("tails").cast("string").alias("tails"))
+    lists = map_batches(rows, lambda batches: shard_phrases(batches, common), PHRASES)
+    return lists.select(F.concat(F.col("head").cast("string"), F.lit("\n"), "lang").alias("head"), "salt", F.col("tails").cast("string").alias("tails"))
 
 
 def _words(phrase: Column, many: Column) -> Column:
@@ -178,15 +199,16 @@ def _words(phrase: Column, many: Column) -> Column:
     return F.call_function("substring_index", phrase, F.lit(" "), many)
 
 
-def common_heads(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(head): those that begin one in SHARE or more of the phrases of a sample of documents (SAMPLE of 2^20 by a hash of the text, whole texts), so SHARE at most.
+def common_heads(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """The (lang, head) that begin one in SHARE or more of the phrases of a sample of documents (SAMPLE of 2^20 by a hash of the text, whole texts), so SHARE at most.
 
     They only say which heads' phrases are dealt to many tasks; no count depends on them.
     """
     some = docs.where(F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(1 << 20)) < SAMPLE)
     many = materialize(phrase_lists(some, text_col, lang_col).groupBy("head").agg(F.sum(F.size(F.split("tails", " "))).alias("n")), "heads")
     total = many.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return many.where((F.col("n") * SHARE >= total) & (F.col("n") > 1)).select("head")
+    found = [r["head"].split("\n", 1) for r in many.where((F.col("n") * SHARE >= total) & (F.col("n") > 1)).select("head").collect()]
+    return [(lang, head) for head, lang in found if head]
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -195,13 +217,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", l
     Phrases with one head go to one task, as lists, but for the common heads, whose phrases are dealt to SALTS tasks by
     their last word. A shard has each phrase once, so nothing is to be gained by adding up before the shuffle.
     """
-    entries, word = F.split("tails", " "), lambda e: F.substring_index(e, "\t", 1)
-    common = F.broadcast(common_heads(docs, text_col, lang_col).withColumn("common", F.lit(True)))  # SHARE rows at most
-    alone = F.transform(entries, lambda e: F.struct(F.pmod(F.xxhash64(word(e)), F.lit(SALTS)).cast("int").alias("salt"), e.alias("tails")))
-    together = F.array(F.struct(F.lit(0).alias("salt"), F.col("tails")))
-    dealt = phrase_lists(docs, text_col, lang_col).join(common, "head", "left").select("head", F.explode(F.when(F.col("common"), alone).otherwise(together)).alias("x"))
-    dealt = dealt.select("head", "x.salt", "x.tails").repartition("head", "salt")
-    each = dealt.select("head", "salt", F.explode(entries).alias("e"))
+    word = lambda e: F.substring_index(e, "\t", 1)
+    dealt = phrase_lists(docs, text_col, lang_col, common_heads(docs, text_col, lang_col)).repartition("head", "salt")
+    each = dealt.select("head", "salt", F.explode(F.split("tails", " ")).alias("e"))
     f = F.when(F.contains("e", F.lit("\t")), F.substring_index("e", "\t", -1).cast("long")).otherwise(1)
     total = each.select("head", "salt", word(F.col("e")).alias("tail"), f.alias("f")).groupBy("head", "salt", "tail").agg(F.sum("f").alias("f"))
     total = total.where((F.col("f") >= least) | F.startswith("head", F.lit("\n")))
