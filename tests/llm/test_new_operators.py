@@ -134,24 +134,23 @@ def test_collocations_are_brute_force(spark, talk, monkeypatch, shard, segment):
     monkeypatch.setattr(collocations, "SEGMENT", segment)
     monkeypatch.setattr(collocations, "CODED", 5)
     # run here, as workers would not see the small shards
-    lists = spark.createDataFrame(list(_lists(talk)), "head string, tails string")
+    common = [("en", "a"), ("en", "b c"), ("de", "x")] if shard == 50 else []
+    lists = spark.createDataFrame(list(_lists(talk, common)), "head string, salt int, tails string")
+    assert lists.where("salt > 0").count() > 0 or not common
     monkeypatch.setattr(collocations, "phrase_lists", lambda *a: lists)
-    if shard == 50:  # as if these were common
-        common = spark.createDataFrame([("a\nen",), ("b c\nen",), ("\nen",), ("x\nde",)], "head string")
-        monkeypatch.setattr(collocations, "common_heads", lambda *a: common)
     got = collections.defaultdict(list)
     for r in collocations.collocations(spark.createDataFrame(talk, DOC), top=40, least=3).orderBy("lang", "rank").collect():
         got[r["lang"]].append(r[1:])
     assert dict(got) == {k: v for k, v in phrases_of(talk, 3, 40).items() if v}
 
 
-def _lists(rows):
+def _lists(rows, common):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([r[2] or "und" for r in rows]), pa.array([(r[1] or "").encode() for r in rows], pa.binary())], ["lang", "x"])
     plain = lambda c: c if isinstance(c, list) else c.to_pylist()
-    for c in collocations.shard_phrases(iter([batch])):
-        yield from ((f"{h.decode()}\n{lang}", t.decode()) for lang, h, t in zip(*[plain(c[k]) for k in ("lang", "head", "tails")], strict=True))
+    for c in collocations.shard_phrases(iter([batch]), common):
+        yield from ((f"{h.decode()}\n{lang}", salt, t.decode()) for lang, h, salt, t in zip(*[plain(c[k]) for k in ("lang", "head", "salt", "tails")], strict=True))
 
 
 def automaton(pieces):
