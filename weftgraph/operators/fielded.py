@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.search import search_terms
+from ..storage import Conflict, materialize, put_entry, read_entries, remove
 from .text import TOKEN
 
 #: The fields of a node that a question is searched in.
@@ -33,6 +37,12 @@ def clauses(queries: DataFrame, id_col: str, text: Column, most: int = 12) -> Da
     return every.select("query", "clause", "c.kind", "c.terms")
 
 
+def field_tokens(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
+    """(id, field, t, len): the terms of each document's fields that have any."""
+    one = F.array(*[F.struct(F.lit(name).alias("field"), tokens(text).alias("t")) for name, text in fields.items()])
+    return docs.select(F.col(id_col).alias("id"), F.explode(one).alias("f")).select("id", "f.field", "f.t", F.size("f.t").alias("len")).where("len > 0")
+
+
 class FieldedIndex:
     """Postings (term, field, id, tf, len, positions) below a folder, the dictionary of its terms and each field's statistics.
 
@@ -51,15 +61,22 @@ class FieldedIndex:
 
     def build(self, docs: DataFrame, id_col: str, fields: dict[str, Column]) -> FieldedIndex:
         """Index each document's fields; ids are unique, a null or empty field has no postings and no part in its statistics."""
-        one = F.array(*[F.struct(F.lit(name).alias("field"), tokens(text).alias("t")) for name, text in fields.items()])
-        each = docs.select(F.col(id_col).alias("id"), F.explode(one).alias("f")).select("id", "f.field", "f.t", F.size("f.t").alias("len")).where("len > 0")
+        each = field_tokens(docs, id_col, fields)
+        self._write(each, self.path)
+        each.groupBy("field").agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean")).write.parquet(f"{self.path}/fields")
+        return self
+
+    def _write(self, each: DataFrame, path: str) -> None:
+        """The postings and the dictionary of field_tokens() below a folder."""
         placed = each.select("id", "field", "len", F.posexplode("t").alias("at", "term"))
         post = placed.groupBy("term", "field", "id", "len").agg(F.sort_array(F.collect_list("at")).alias("positions"))
         post = post.select(self._bucket(F.col("term")).alias("bucket"), "term", "field", "id", F.size("positions").alias("tf"), "len", "positions")
-        post.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings")
-        self._read("postings").groupBy("term").agg(F.count("*").alias("postings")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/terms")
-        each.groupBy("field").agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean")).write.parquet(f"{self.path}/fields")
-        return self
+        self._sorted(post, path)
+
+    def _sorted(self, post: DataFrame, path: str) -> None:
+        post.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+        found = self.spark.read.schema(post.schema).parquet(f"{path}/postings")
+        found.groupBy("term").agg(F.count("*").alias("postings")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
 
     def _read(self, what: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{what}")
@@ -114,3 +131,117 @@ class FieldedIndex:
         phrases = met.where(F.col("kind") == PHRASE).join(df, ["query", "clause", "field"]).join(fields, "field").select("query", "id", (weight * part).alias("part"))
         prefixes = met.where(F.col("kind") == PREFIX).select("query", "id", weight.alias("part"))
         return phrases.unionByName(prefixes).groupBy("query", "id").agg(F.sum("part").alias("score"))
+
+
+ENTRIES = "seq long, base boolean, changed long, gone long"
+
+
+class IncrementalIndex(FieldedIndex):
+    """A fielded index that follows its documents: each update writes what differs as a segment, reads put segments together.
+
+    A segment has the postings of documents that are new or have changed, what is known of them (digest of the fields,
+    lengths), the ids that its update has taken out of earlier segments, and the statistics of all live documents.
+    Entries of a log name the segments, a base entry those that a compaction has replaced. An update that finds
+    nothing writes nothing. Of two updates at a time the second to finish raises Conflict.
+    """
+
+    def _entries(self) -> list[int]:
+        """The live segments' numbers, from the last base on."""
+        rows = read_entries(self.spark, f"{self.path}/log", ENTRIES).orderBy("seq").collect()  # an entry an update since the last ones
+        first = max((r["seq"] for r in rows if r["base"]), default=0)
+        return [r["seq"] for r in rows if r["seq"] >= first]
+
+    def _segments(self, what: str) -> DataFrame | None:
+        """A table of all live segments, with the number of each."""
+        every = None
+        for n in self._entries():
+            one = self._table(f"{self.path}/{self._folder(n)}", what).withColumn("segment", F.lit(n))
+            every = one if every is None else every.unionByName(one)
+        return every
+
+    def _table(self, path: str, what: str) -> DataFrame:
+        """A segment's table; the shape of the postings is given, as an update that only takes documents out leaves none."""
+        if what != "postings":
+            return self.spark.read.parquet(f"{path}/{what}")
+        kind = self.spark.read.parquet(f"{path}/docs").schema["id"].dataType.simpleString()
+        return self.spark.read.schema(f"term string, field string, id {kind}, tf int, len int, positions array<int>, bucket int").parquet(f"{path}/postings")
+
+    def _folder(self, n: int) -> str:
+        return read_entries(self.spark, f"{self.path}/log", "seq long, folder string").where(F.col("seq") == n).first()["folder"]
+
+    def _live(self, what: str) -> DataFrame | None:
+        """The rows of live documents: those that no later segment has taken out."""
+        rows, gone = self._segments(what), self._segments("gone")
+        if rows is None:
+            return None
+        later = gone.groupBy("id").agg(F.max("segment").alias("_out"))
+        return rows.join(later, (rows["id"] == later["id"]) & (F.col("_out") > rows["segment"]), "left_anti")
+
+    def _read(self, what: str) -> DataFrame:
+        now = self._entries()
+        if what == "fields":
+            return self.spark.read.parquet(f"{self.path}/{self._folder(now[-1])}/fields")
+        if what == "terms":
+            return self._segments("terms").groupBy("term").agg(F.sum("postings").alias("postings"))
+        return self._live(what).drop("segment")
+
+    def _put_segment(self, seq: int, write: Callable[[str], None], base: bool, changed: int, gone: int) -> None:
+        folder = f"segments/{seq}-{uuid.uuid4().hex}"
+        write(f"{self.path}/{folder}")
+        if not put_entry(self.spark, f"{self.path}/log", seq, {"base": base, "folder": folder, "changed": changed, "gone": gone}):
+            remove(self.spark, f"{self.path}/{folder}")
+            raise Conflict(f"another update of {self.path} came first")
+
+    def build(self, docs: DataFrame, id_col: str, fields: dict[str, Column]) -> IncrementalIndex:
+        self.update(docs, id_col, fields)
+        return self
+
+    def update(self, docs: DataFrame, id_col: str, fields: dict[str, Column]) -> tuple[int, int]:
+        """Make the index that of docs, which are all its documents now; (new or changed, gone or changed) documents."""
+        texts = [F.coalesce(text.cast("string"), F.lit("")) for text in fields.values()]
+        digest = F.xxhash64(*texts, *[F.length(t) for t in texts])
+        known = docs.select(F.col(id_col).alias("id"), digest.alias("digest"))
+        now, before = self._entries(), self._live("docs")
+        if before is None:
+            before = known.select("id", "digest").limit(0)
+        before = before.select("id", F.col("digest").alias("old"))
+        diff = known.join(before, "id", "full").where(~F.col("digest").eqNullSafe(F.col("old")))
+        diff = materialize(diff.select("id", F.col("digest").isNotNull().alias("there"), F.col("old").isNotNull().alias("was"), "digest"), "difference")
+        changed, gone = diff.agg(F.count_if("there"), F.count_if("was")).first()
+        if now and not changed and not gone:
+            return 0, 0
+
+        def write(path: str) -> None:
+            fresh = docs.join(diff.where("there").select(F.col("id").alias("_id")), F.col(id_col) == F.col("_id"), "left_semi")
+            each = field_tokens(fresh, id_col, fields)
+            self._write(each, path)
+            diff.where("there").select("id", "digest").write.parquet(f"{path}/docs")
+            diff.where("was").select("id").write.parquet(f"{path}/gone")
+            each.select("id", "field", "len").write.parquet(f"{path}/lengths")
+            self._write_fields(path, diff.where("was").select("id"))
+
+        self._put_segment((now[-1] if now else 0) + 1, write, not now, changed, gone)
+        return changed, gone
+
+    def _write_fields(self, path: str, out: DataFrame) -> None:
+        """The statistics of all live documents, of which `out` are being replaced by those of the new segment."""
+        lengths = self.spark.read.parquet(f"{path}/lengths")
+        before = self._live("lengths")
+        if before is not None:
+            lengths = before.join(out, "id", "left_anti").select("id", "field", "len").unionByName(lengths)
+        lengths.groupBy("field").agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean")).write.parquet(f"{path}/fields")
+
+    def compact(self) -> None:
+        """Put all live segments together as one, which replaces them; their folders can go once no reader has them open."""
+        now = self._entries()
+        if len(now) < 2:
+            return
+
+        def write(path: str) -> None:
+            self._sorted(self._live("postings").drop("segment"), path)
+            for what in ("docs", "lengths"):
+                self._live(what).drop("segment").write.parquet(f"{path}/{what}")
+            self._segments("gone").drop("segment").limit(0).write.parquet(f"{path}/gone")
+            self._read("fields").write.parquet(f"{path}/fields")
+
+        self._put_segment(now[-1] + 1, write, True, 0, 0)

@@ -42,12 +42,15 @@ def phrase_search(spark, d):
     return _scored(_index(spark, d, "documents").search(asked), "item_id").withColumnRenamed("id", "doc_id")
 
 
-def prefix_search(spark, d):
-    """FT3, FT5: the documents with a term that begins with the first four characters of a benchmark item's first or second term."""
+def _prefixes(spark, d):
     terms = F.transform(F.slice(fielded.tokens(F.col("text")), 1, 2), lambda t: F.left(t, F.lit(4)))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.posexplode(terms).alias("clause", "p"))
-    asked = asked.select("query", "clause", F.lit(fielded.PREFIX).alias("kind"), F.array("p").alias("terms"))
-    return _scored(_index(spark, d, "documents").search(asked), "item_id").withColumnRenamed("id", "doc_id")
+    return asked.select("query", "clause", F.lit(fielded.PREFIX).alias("kind"), F.array("p").alias("terms"))
+
+
+def prefix_search(spark, d):
+    """FT3, FT5: the documents with a term that begins with the first four characters of a benchmark item's first or second term."""
+    return _scored(_index(spark, d, "documents").search(_prefixes(spark, d)), "item_id").withColumnRenamed("id", "doc_id")
 
 
 def fielded_search(spark, d):
@@ -86,6 +89,20 @@ def same_file_edges(spark, d):
     return counts.join(edges.select("edge_id"), how="left", on=F.lit(True))  # one row
 
 
+def incremental_search(spark, d):
+    """SK16, FT13, FT18: prefix_search's clauses over an index that was built from an earlier state of the documents and then brought up to date.
+
+    Earlier, each third document was not there, each fourth had another text, and some were there that have gone.
+    """
+    docs, k = table(spark, d, "documents").select("doc_id", "text", "source"), F.col("doc_id")
+    gone = docs.where(k % 5 == 0).withColumn("doc_id", -1 - k)
+    before = docs.where(k % 3 != 0).withColumn("text", F.when(k % 4 == 0, F.upper("source")).otherwise(F.col("text"))).unionByName(gone)
+    fields = {"text": F.col("text"), "source": F.col("source")}
+    index = fielded.IncrementalIndex(spark, f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/incremental-{uuid.uuid4().hex}")
+    index.build(before, "doc_id", fields).update(docs, "doc_id", fields)
+    return _scored(index.search(_prefixes(spark, d)), "item_id").withColumnRenamed("id", "doc_id")
+
+
 _SELECT = "SELECT e.edge_id AS relation, e.src AS `from`, n.name FROM graph_edges e JOIN graph_nodes n ON n.id = e.src WHERE e.type = 'CONTAINS_PROJECT' ORDER BY e.edge_id"
 
 
@@ -102,7 +119,7 @@ def faceted_view(spark, d):
     return shown.select(F.lit("node").alias("part"), "id").unionByName(links.select(F.lit("edge").alias("part"), F.col("edge_id").alias("id")))
 
 
-QUERIES = {f.__name__: f for f in (phrase_search, prefix_search, fielded_search, node_properties, edge_evidence, same_file_nodes, same_file_edges, selected_subgraph, faceted_view)}
+QUERIES = {f.__name__: f for f in (phrase_search, prefix_search, fielded_search, node_properties, edge_evidence, same_file_nodes, same_file_edges, selected_subgraph, faceted_view, incremental_search)}
 
 _TOK = r"'[\p{L}\p{N}_./:-]{2,}'"
 _MET = """lens AS (SELECT id, field, w, len(w) AS len FROM f WHERE len(w) > 0),
@@ -153,3 +170,4 @@ SELECT 'node' AS part, id FROM shown UNION ALL SELECT 'edge', edge_id FROM links
     "faceted_view": f"""WITH {GRAPH}, shown AS (SELECT id FROM nodes WHERE kind IN ('Namespace', 'ApiEndpoint'))
 SELECT 'node' AS part, id FROM shown UNION ALL SELECT 'edge', edge_id FROM edges WHERE type = 'DEFINED_IN_PROJECT' AND src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown)""",
 }
+ORACLE["incremental_search"] = ORACLE["prefix_search"]

@@ -53,6 +53,37 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def put_entry(spark: SparkSession, folder: str, seq: int, entry: dict) -> bool:
+    """Write entry number seq of a log of JSON files, whole or not at all; False if there is one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    name = f"{seq:012d}.json"
+    spare = fs.Path(f"{folder}/.{name}-{uuid.uuid4().hex}")  # hidden from readers
+    files = spare.getFileSystem(conf)
+    out = files.create(spare)
+    out.write(bytearray(json.dumps(entry | {"seq": seq}).encode()))
+    out.close()
+    try:
+        never = spark.sparkContext._gateway.new_array(fs.Options.Rename, 0)
+        fs.FileContext.getFileContext(files.makeQualified(spare).toUri(), conf).rename(files.makeQualified(spare), files.makeQualified(fs.Path(f"{folder}/{name}")), never)
+        return True
+    except Exception as e:
+        if "FileAlreadyExists" not in str(e):
+            raise
+        files.delete(spare, False)
+        return False
+
+
+def read_entries(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The entries of such a log; none if there is no log."""
+    try:
+        return spark.read.schema(schema).json(folder)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
+
+
 class Conflict(ValueError):
     """Another writer has done what a commit rests on not being done."""
 
@@ -92,32 +123,10 @@ class GraphStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(LOG).json(f"{self.root}/log")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], LOG)
-            raise
+        return read_entries(self.spark, f"{self.root}/log", LOG)
 
     def _put(self, seq: int, entry: dict) -> bool:
-        """Write entry number seq; False if there is one."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        fs = jvm.org.apache.hadoop.fs
-        folder, name = f"{self.root}/log", f"{seq:012d}.json"
-        spare = fs.Path(f"{folder}/.{name}-{uuid.uuid4().hex}")  # hidden from readers
-        files = spare.getFileSystem(conf)
-        out = files.create(spare)
-        out.write(bytearray(json.dumps(entry | {"seq": seq}).encode()))
-        out.close()
-        try:
-            never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-            fs.FileContext.getFileContext(files.makeQualified(spare).toUri(), conf).rename(files.makeQualified(spare), files.makeQualified(fs.Path(f"{folder}/{name}")), never)
-            return True
-        except Exception as e:
-            if "FileAlreadyExists" not in str(e):
-                raise
-            files.delete(spare, False)
-            return False
+        return put_entry(self.spark, f"{self.root}/log", seq, entry)
 
     def _note(self, project: str, version: int, action: str, path: str | None = None, check: Callable[[], None] = lambda: None) -> None:
         """Add an entry; check() raises Conflict if the log as it stands doesn't allow it."""
