@@ -187,26 +187,37 @@ def community_reports(members: DataFrame, nodes: DataFrame, entry_kinds: list[st
     return out.select("community", community_id(F.col("ids")).alias("community_id"), "members", "kinds", "title", F.coalesce("tables", F.lit("")).alias("tables"), F.coalesce("entries", F.lit("")).alias("entries"))
 
 
-def expand(edges: DataFrame, seeds: DataFrame, depth: int = 3, budget: int = 80, per_node: int = 20, decay: float = 0.85, types: list[str] | None = None) -> DataFrame:
-    """(id, depth, score): nodes around scored seeds (id, score), best first, at most `budget` of them.
+def expansion(edges: DataFrame, seeds: DataFrame, depth: int = 3, budget: int = 80, per_node: int = 20, decay: float = 0.85, types: list[str] | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """(nodes (id, depth, score), edges (edge_id, type) seen, truncated) around scored seeds (id, score), best first, at most `budget` nodes.
 
     Layer by layer, each node offers its per_node strongest neighbours its own score times decay. New nodes are
     taken by the best center's score, then that center's id and the neighbour's rank, while the budget lasts. A
-    seed keeps its score. With types given, only such edges are walked (the backbone chase).
+    seed keeps its score. With types given, only such edges are walked (the backbone chase). The edges seen are those
+    of all offers, whether or not their other ends are taken; truncated tells that the budget is used up. A layer's
+    offers, budget times per_node at most, are written once for both.
     """
     best = seeds.where("id is not null").groupBy("id").agg(F.max("score").cast("double").alias("score"))
     seen = materialize(best.orderBy(F.desc("score"), "id").limit(budget).select("id", F.lit(0).alias("depth"), "score"), "expand")
-    layer = seen
+    layer, count, walked = seen, seen.count(), edges.select("edge_id", "type").limit(0)
     for step in range(1, depth + 1):
-        left = budget - seen.count()
-        if left <= 0:
+        if count >= budget:
             break
-        offers = neighbors(edges, layer, per_node, types).join(F.broadcast(layer.select(F.col("id").alias("center"), "score")), "center")
+        scores = F.broadcast(layer.select(F.col("id").alias("center"), "score"))  # `budget` rows at most
+        offers = materialize(neighbors(edges, layer, per_node, types).join(scores, "center").select("center", "neighbor", "rank", "score", "edge_id", "type"), "offers")
         place = F.struct((-F.col("score")).alias("low"), F.col("center"), F.col("rank"))
         new = offers.groupBy(F.col("neighbor").alias("id")).agg(F.min(place).alias("at")).join(F.broadcast(seen.select("id")), "id", "left_anti")
-        layer = materialize(new.orderBy("at", "id").limit(left).select("id", F.lit(step).alias("depth"), (-F.col("at.low") * decay).alias("score")), "expand")
-        seen = seen.unionByName(layer)
-    return seen
+        layer = materialize(new.orderBy("at", "id").limit(budget - count).select("id", F.lit(step).alias("depth"), (-F.col("at.low") * decay).alias("score")), "expand")
+        seen, walked = seen.unionByName(layer), walked.unionByName(offers.select("edge_id", "type"))
+        more = layer.count()
+        count += more
+        if not more:
+            break
+    return seen, walked.distinct(), count >= budget
+
+
+def expand(edges: DataFrame, seeds: DataFrame, depth: int = 3, budget: int = 80, per_node: int = 20, decay: float = 0.85, types: list[str] | None = None) -> DataFrame:
+    """(id, depth, score): the nodes of expansion()."""
+    return expansion(edges, seeds, depth, budget, per_node, decay, types)[0]
 
 
 def visual_neighbors(nodes: DataFrame, edges: DataFrame, seeds: Iterable[str], depth: int, limit: int, mode: str = "all", kinds: list[str] | None = None, types: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, retrieval, text, views
 from ..schema import BACKBONE
-from ..storage import listing, scratch_dir
+from ..storage import listing, materialize, scratch_dir
 from .graph_queries import _PRIORITY, GRAPH, WEIGHT, _in, derive, table
 
 _indexes: dict[tuple[str, str, str], text.TextIndex] = {}
@@ -23,8 +23,9 @@ def _node_index(spark, d):
 
 
 def _found(spark, d, limit=12):
+    """The planned search's nodes, written once for whatever reads them several times."""
     nodes, _ = derive(spark, d)
-    return retrieval.search_plan(_node_index(spark, d), nodes, QUESTION, ASKED, limit)
+    return materialize(retrieval.search_plan(_node_index(spark, d), nodes, QUESTION, ASKED, limit), "found")
 
 
 def search_plan(spark, d):
@@ -39,16 +40,22 @@ def seed_union(spark, d):
 
 
 def local_search(spark, d):
-    """GR6, GR9: what lies one step around the seeds, best first, within a budget of 40 nodes."""
+    """GR6, GR9: what lies within three steps of the seeds, best first, within a budget of 80 nodes."""
     _, edges = derive(spark, d)
-    return retrieval.local_search(edges, _found(spark, d, 6), 1, 40, 5).select("id", "depth", F.round("score", 6).alias("score"))
+    return retrieval.local_search(edges, _found(spark, d)).select("id", "depth", F.round("score", 6).alias("score"))
+
+
+def local_edges(spark, d):
+    """GR6: the edges seen on the way, and whether the budget was used up."""
+    _, edges = derive(spark, d)
+    _, walked, truncated = graph.expansion(edges, _found(spark, d).select("id", "score"))
+    return walked.withColumn("truncated", F.lit(truncated))
 
 
 def backbone_chase(spark, d):
-    """GR7: as local_search, along edges of the heaviest class."""
+    """GR7: as local_search from the best seed, eight steps along edges of the heaviest class."""
     _, edges = derive(spark, d)
-    seed = _found(spark, d, 1)
-    return retrieval.chase_backbone(edges, seed, 1, 60, 8).select("id", "depth", F.round("score", 6).alias("score"))
+    return retrieval.chase_backbone(edges, _found(spark, d, 1)).select("id", "depth", F.round("score", 6).alias("score"))
 
 
 def _hits(spark, d):
@@ -76,7 +83,7 @@ def context_pack(spark, d):
     """BG7: the pack of a question: seeds, relationships among what lies around them, evidence."""
     nodes, edges = derive(spark, d)
     found = _found(spark, d, 4)
-    within = retrieval.local_search(edges, found, 1, 12, 4)
+    within = materialize(retrieval.local_search(edges, found), "within")
     return retrieval.context_pack(QUESTION, found, nodes, edges, within, 4000, 500)
 
 
@@ -179,7 +186,7 @@ def traced_paths(spark, d):
     return graph.trace_paths(edges, "supplier:2", 2, 12, 60)
 
 
-QUERIES = {f.__name__: f for f in (traced_paths, search_plan, seed_union, local_search, backbone_chase, visual_search, agent_search, community_search, context_pack, visual_neighbors, visual_graph, node_details, edge_lookup, endpoint_completion, view_merge, hidden_kinds, export_graph, open_properties, select_graph, query_templates, community_reports, community_tiers, symbol_search)}
+QUERIES = {f.__name__: f for f in (local_edges, traced_paths, search_plan, seed_union, local_search, backbone_chase, visual_search, agent_search, community_search, context_pack, visual_neighbors, visual_graph, node_details, edge_lookup, endpoint_completion, view_merge, hidden_kinds, export_graph, open_properties, select_graph, query_templates, community_reports, community_tiers, symbol_search)}
 
 _TOK = r"'[\p{L}\p{N}_./:-]{2,}'"
 
@@ -206,12 +213,15 @@ def _plan(limit: int, name: str) -> str:
     return f"{name} AS (SELECT id, kind, name, score, exact, intent FROM (SELECT * FROM exact ORDER BY score DESC, id LIMIT {min(100, max(20, 4 * limit))}) ORDER BY exact DESC, intent DESC, score DESC, id LIMIT {limit})"
 
 
-def _expand_sql(seed: str, per_node: int, budget: int, types: str) -> str:
-    return f"""s0 AS (SELECT id, score FROM {seed} ORDER BY score DESC, id LIMIT {budget}),
-nb AS (SELECT center, neighbor, row_number() OVER (PARTITION BY center ORDER BY {WEIGHT} DESC, neighbor, edge_id) AS rank FROM incident WHERE center IN (SELECT id FROM s0) {types}),
-nw AS (SELECT neighbor AS id, arg_min(score, (-score, center, rank)) AS score, min((-score, center, rank)) AS pos FROM nb JOIN s0 ON center = s0.id WHERE rank <= {per_node} AND neighbor NOT IN (SELECT id FROM s0) GROUP BY neighbor),
-n1 AS (SELECT id, 1 AS depth, score * 0.85::DOUBLE AS score FROM nw ORDER BY pos, id LIMIT (SELECT {budget} - count(*) FROM s0)),
-ex AS (SELECT id, 0 AS depth, score FROM s0 UNION ALL SELECT * FROM n1)"""
+def _expand_sql(seed: str, per_node: int, budget: int, types: str, depth: int) -> str:
+    out = [f"n0 AS MATERIALIZED (SELECT id, 0 AS depth, score FROM {seed} ORDER BY score DESC, id LIMIT {budget}), x0 AS MATERIALIZED (SELECT * FROM n0)"]
+    for k in range(1, depth + 1):
+        out.append(f"""b{k} AS MATERIALIZED (SELECT * FROM (SELECT center, neighbor, edge_id, type, row_number() OVER (PARTITION BY center ORDER BY {WEIGHT} DESC, neighbor, edge_id) AS rank FROM incident WHERE center IN (SELECT id FROM n{k - 1}) {types}) WHERE rank <= {per_node} AND (SELECT count(*) FROM x{k - 1}) < {budget}),
+w{k} AS (SELECT neighbor AS id, arg_min(score, (-score, center, rank)) AS score, min((-score, center, rank)) AS pos FROM b{k} JOIN n{k - 1} ON center = id WHERE neighbor NOT IN (SELECT id FROM x{k - 1}) GROUP BY neighbor),
+n{k} AS MATERIALIZED (SELECT id, {k} AS depth, score * 0.85::DOUBLE AS score FROM w{k} ORDER BY pos, id LIMIT (SELECT {budget} - count(*) FROM x{k - 1})),
+x{k} AS MATERIALIZED (SELECT * FROM x{k - 1} UNION ALL SELECT * FROM n{k})""")
+    out.append(f"ex AS MATERIALIZED (SELECT * FROM x{depth}), walked AS (" + " UNION ".join(f"SELECT edge_id, type FROM b{k}" for k in range(1, depth + 1)) + ")")
+    return ",\n".join(out)
 
 
 _CORE = """ranked AS (SELECT src, dst, row_number() OVER (ORDER BY {priority}, edge_id) AS pos FROM edges ORDER BY pos LIMIT {sample}),
@@ -224,12 +234,13 @@ _SEED_LINE = "'- [' || kind || '] ' || name || ' (nodeId: ' || id || ', score: '
 ORACLE = {
     "search_plan": f"{_PLAN}, {_plan(12, 'p')} SELECT * FROM p",
     "seed_union": f"{_PLAN}, {_plan(40, 'p')} SELECT id, kind, score, intent FROM p ORDER BY intent DESC, score DESC, id LIMIT 12",
-    "local_search": f"{_PLAN}, {_plan(6, 'p')}, {_expand_sql('p', 5, 40, '')} SELECT id, depth, round(score, 6) AS score FROM ex",
-    "backbone_chase": f"{_PLAN}, {_plan(1, 'p')}, {_expand_sql('p', 8, 61, f'AND type IN ({_in(BACKBONE)})')} SELECT id, depth, round(score, 6) AS score FROM ex",
+    "local_search": f"{_PLAN}, {_plan(12, 'p')}, {_expand_sql('p', 20, 80, '', 3)} SELECT id, depth, round(score, 6) AS score FROM ex",
+    "local_edges": f"{_PLAN}, {_plan(12, 'p')}, {_expand_sql('p', 20, 80, '', 3)} SELECT edge_id, type, (SELECT count(*) FROM ex) >= 80 AS truncated FROM walked",
+    "backbone_chase": f"{_PLAN}, {_plan(1, 'p')}, {_expand_sql('p', 8, 61, f'AND type IN ({_in(BACKBONE)})', 8)} SELECT id, depth, round(score, 6) AS score FROM ex",
     "visual_search": f"WITH {GRAPH}, {_bm25(['large', 'part', 'widget'])}, t AS (SELECT * FROM hits WHERE kind IN ('Type', 'MenuItem') ORDER BY score DESC, id LIMIT 30), k AS (SELECT * FROM t WHERE id IN (SELECT src FROM edges WHERE type = 'CALLS' UNION SELECT dst FROM edges WHERE type = 'CALLS')) SELECT id, kind, score, (SELECT count(*) > 10 FROM k) AS has_more FROM k ORDER BY score DESC, id LIMIT 10",
     "agent_search": f"WITH {GRAPH}, {_bm25(['large', 'part', 'widget'])}, t AS (SELECT * FROM hits ORDER BY score DESC, id LIMIT 60) SELECT id, {_boost('large widget', 1000, 900, 500)} AS boost, score FROM t ORDER BY boost DESC, score DESC, id LIMIT 15",
     "community_search": "SELECT 'c' || s_suppkey AS id, 'C1' AS tier, 'p1' AS parent, round(s_acctbal / 1000, 3) AS score FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 2 = 1 ORDER BY score DESC, id LIMIT 12",
-    "context_pack": f"""{_PLAN}, {_plan(4, 'p')}, {_expand_sql('p', 4, 12, '')},
+    "context_pack": f"""{_PLAN}, {_plan(4, 'p')}, {_expand_sql('p', 20, 80, '', 3)},
 top0 AS (SELECT 0 AS place, '{QUESTION}' AS line UNION ALL SELECT row_number() OVER (ORDER BY score DESC, id), {_SEED_LINE} FROM p),
 bud AS (SELECT greatest(0, 3500 - sum(length(line) + 1))::BIGINT AS r, trunc(greatest(0, 3500 - sum(length(line) + 1)) * 0.35::DOUBLE)::BIGINT AS e FROM top0),
 am AS (SELECT e.type, e.edge_id, e.occurrence_count, -({WEIGHT}) AS w, '- [' || a.kind || '] ' || a.name || ' (nodeId: ' || a.id || ') -(' || e.type || ')-> [' || b.kind || '] ' || b.name || ' (nodeId: ' || b.id || ')' AS line FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id WHERE a.id IN (SELECT id FROM ex) AND b.id IN (SELECT id FROM ex)),
