@@ -65,11 +65,11 @@ def asset_kinds(spark, d):
 
 def search_clauses(spark, d):
     """FT5, FT6, FT7: the search text of each benchmark item."""
-    return table(spark, d, "benchmark").select("item_id", search.search_clauses(F.concat(F.col("text"), F.lit(" a/b:c x*y")), 12).alias("clauses"), search.normalize_query_text(F.left("text", F.lit(60))).alias("normal"))
+    return table(spark, d, "benchmark").select("item_id", search.search_clauses(F.concat(F.col("text"), F.lit(" a/b:c x*y")), 12).alias("clauses"), search.normalize_query_text(F.col("text")).alias("normal"))
 
 
 def _questions(spark, d):
-    a = table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(80)).alias("t"))
+    a = table(spark, d, "benchmark").select("item_id", F.col("text").alias("t"))
     return a.select("item_id", F.concat("t", F.lit(" BondTradeService"), (F.col("item_id") % 7).cast("string"), F.lit(" in menu "), (F.col("item_id") * 37 + 100).cast("string"), F.lit(" of user_Login.Controller")).alias("question"))
 
 
@@ -119,7 +119,7 @@ QUERIES = {f.__name__: f for f in (path_forms, object_names, reference_forms, co
 _TOK = r"'[\p{L}\p{N}_./:-]{2,}'"
 _CONTROL = r"""'([+!(){}\[\]^"~*?:/|&-])'"""
 _FIRSTS = "list_filter({w}, lambda x, i: NOT list_contains(list_transform(list_slice({w}, 1, i - 1), lambda y: lower(y)), lower(x)))"
-_QUESTION = "left(text, 80) || ' BondTradeService' || (item_id % 7) || ' in menu ' || (item_id * 37 + 100) || ' of user_Login.Controller'"
+_QUESTION = "text || ' BondTradeService' || (item_id % 7) || ' in menu ' || (item_id * 37 + 100) || ' of user_Login.Controller'"
 
 ORACLE = {
     "path_forms": r"""WITH p AS (SELECT page_id, 'C:\Src\' || replace(url, '/', '\') || '.Min.JS\' AS p, 'c:/src/' || url || '/x.' || (page_id % 3) || 'TXT' AS f, replace(url, '\', '/') AS u FROM pages)
@@ -136,7 +136,7 @@ SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'bundle' WHEN 1 THEN 'bundle' WHEN
 regexp_matches(lower(p), '(^|/)(node_modules|bower_components|vendor|packages|lib|libs)/') OR page_id % 7 = 5 AS library, regexp_matches(p, '(?i)^(/|~/|https?://)|(/|\\)(api|ajax|service|controller|data)(/|\\)|/([A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+$') AS endpoint FROM p""",
     "search_clauses": f"""WITH w AS (SELECT item_id, text, list_filter(regexp_extract_all(text || ' a/b:c x*y', {_TOK}), lambda x: length(x) <= 100) AS w0 FROM benchmark),
 t AS (SELECT item_id, text, list_transform(list_slice({_FIRSTS.format(w="w0")}, 1, 12), lambda x: regexp_replace(x, {_CONTROL}, '\\\\\\1', 'g')) AS t FROM w),
-n AS (SELECT item_id, array_to_string(list_filter(regexp_extract_all(left(text, 60), {_TOK}), lambda x: length(x) <= 100), ' ') AS n FROM benchmark)
+n AS (SELECT item_id, array_to_string(list_filter(regexp_extract_all(text, {_TOK}), lambda x: length(x) <= 100), ' ') AS n FROM benchmark)
 SELECT item_id, array_to_string(list_concat(CASE WHEN len(t) > 1 THEN ['"' || array_to_string(t, ' ') || '"'] ELSE [] END, flatten(list_transform(t, lambda x: ['"' || x || '"', x || '*']))), ' OR ') AS clauses, CASE WHEN length(n) BETWEEN 2 AND 100 THEN n END AS normal FROM t JOIN n USING (item_id)""",
     "split_words": "SELECT p_partkey, 'HTTP Server Brand ' || CASE WHEN length(regexp_replace(p_brand, '[^0-9]', '', 'g')) >= 2 THEN regexp_replace(p_brand, '[^0-9]', '', 'g') || ' ' ELSE '' END || CASE WHEN p_size >= 10 AND NOT (regexp_replace(p_brand, '[^0-9]', '', 'g') = p_size::VARCHAR) THEN p_size || ' ' ELSE '' END || 'get' AS words FROM part",
     "budget_plans": "SELECT o_orderkey, greatest(p - e, 0)::INTEGER AS structural, greatest(e, 0)::INTEGER AS evidence, CASE WHEN o_orderkey % 3 > 0 OR (o_orderkey % 2 = 0 AND o_orderkey % 50 > 0) OR o_orderkey % 5 = 0 THEN 'READS；' || coalesce(CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 50 > 0 THEN coalesce(loc, 'source') || ':' || (o_orderkey % 50) ELSE loc END, 'extractor') || CASE WHEN o_orderkey % 5 = 0 THEN '；EXACT' ELSE '' END END AS line FROM (SELECT *, trunc(o_totalprice)::INTEGER AS p, trunc(trunc(o_totalprice)::INTEGER * CASE WHEN o_orderstatus = 'F' THEN 0.55::DOUBLE ELSE 0.35::DOUBLE END)::INTEGER AS e, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS loc FROM orders)",

@@ -121,12 +121,11 @@ def neighbors_directed(spark, d):
     return graph.directed_neighbors(derive(spark, d)[1], "nation:3", False, 50)
 
 
-_SHALLOW = ["CONTAINS_PROJECT", "DEFINED_IN_PROJECT", "FOREIGN_KEY_TO"]
 
 
 def _reach(spark, d):
     edges = derive(spark, d)[1]
-    return graph.breadth_first(edges.where(F.col("type").isin(_SHALLOW)), ["region:0"], 3)
+    return graph.breadth_first(edges, ["region:0"], 3)
 
 
 def bfs_depth3(spark, d):
@@ -208,7 +207,7 @@ def digest_stable(spark, d):
 QUERIES = {f.__name__: f for f in (edge_merge_counts, node_merge_last_wins, neighbors_topk, neighbors_directed, bfs_depth3, shortest_paths, var_length_paths, central_nodes, facet_counts, induced_subgraph, edge_sample_core, same_group_subgraph, list_nodes_filter, graph_validate, storage_diag, community_local_move, community_diag, digest_stable)}
 
 _BFS = f"""
-WITH {GRAPH}, near AS (SELECT * FROM incident WHERE type IN ({_in(_SHALLOW)})),
+WITH {GRAPH}, near AS (SELECT * FROM incident),
 l0 AS (SELECT 'region:0' AS id, 0 AS depth, 'region:0' AS path),
 c1 AS (SELECT neighbor AS id, 1 AS depth, path || '>' || neighbor AS path, row_number() OVER (PARTITION BY neighbor ORDER BY center, edge_id, path) AS k FROM l0 JOIN near ON center = id),
 l1 AS (SELECT id, depth, path FROM c1 WHERE k = 1 AND id NOT IN (SELECT id FROM l0)), s1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1),

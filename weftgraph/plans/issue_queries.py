@@ -29,12 +29,12 @@ def issue_records(spark, d):
 def wiki_to_markdown(spark, d):
     """SF16: conversations' texts with markup put around their words."""
     c = table(spark, d, "conversations")
-    body = F.concat(F.lit("h2. Title "), "role", F.lit("\n* one\n** two _it_\n# num\n||a||b||\n|x|*y*|\n[x|http://y] and [http://z] !p.png|w! {{m}} -gone- +u+\n{quote}"), F.left("text", F.lit(40)), F.lit("\nmore{quote}\n{code:sql}\nselect 1\n{code}{color:red}red{color}\n{panel:title=T}in\nside{panel}\n{info}  tip {info}"))
+    body = F.concat(F.lit("h2. Title "), "role", F.lit("\n* one\n** two _it_\n# num\n||a||b||\n|x|*y*|\n[x|http://y] and [http://z] !p.png|w! {{m}} -gone- +u+\n{quote}"), F.coalesce("text", F.lit("")), F.lit("\nmore{quote}\n{code:sql}\nselect 1\n{code}{color:red}red{color}\n{panel:title=T}in\nside{panel}\n{info}  tip {info}"))
     return c.select("conv_id", "turn", "role", markup.wiki_to_markdown(body).alias("body"))
 
 
 def _texts(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, d, "orders")
     code = (F.col("o_orderkey") % 5000 + 900).cast("string")
     source = F.element_at(F.array(*map(F.lit, issues.SOURCES)), (F.col("o_orderkey") % len(issues.SOURCES) + 1).cast("int"))
     text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("the menu "), code, F.lit(" - Orders_"), F.col("o_orderstatus"), F.lit(" opens; far away from it all, feature 4711 too, and key ABC-5555"))).otherwise(F.concat(F.lit("報表 "), code, F.lit(" and then in a long way off we see version 7001 of "), F.lit("it on 2024-12-31 with "), code))
@@ -60,7 +60,7 @@ def merged_identifiers(spark, d):
 
 def issue_searches(spark, d):
     """SF21: the search texts of issues from their summaries and identifiers."""
-    i = table(spark, d, "customer").where("c_custkey < 40").select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit(" the Bug in -order- 報表 "), "c_name").alias("summary"))
+    i = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit(" the Bug in -order- 報表 "), "c_name").alias("summary"))
     return issues.issue_queries(i, issues.merge_identifiers(_candidates(spark, d), "seq"))
 
 
@@ -97,7 +97,7 @@ ORACLE = {
     "issue_records": """SELECT 'HD-' || o_orderkey AS key, 's ' || o_orderpriority AS summary, o_orderstatus AS status, '' AS type, NULL AS priority, CASE WHEN o_orderkey % 2 = 0 THEN 'a' END AS assignee, 'P' AS project, 'c' || o_orderkey % 3 AS components, 'K' || o_orderkey % 5 || ' Blocks (inward), O R (outward)' AS links, 'f.txt' AS attachments,
 CASE o_orderkey % 4 WHEN 0 THEN '是' WHEN 1 THEN '12.5' WHEN 2 THEN 'x, y, z' ELSE 'w' END AS first, CASE WHEN o_orderkey % 3 > 0 THEN 'te"xt' END AS second, CASE WHEN o_orderkey % 3 > 0 THEN 2 ELSE 1 END AS n FROM orders WHERE o_orderkey % 9 <> 0""",
     "merged_identifiers": f"WITH {_MERGED} SELECT * FROM mg",
-    "issue_searches": f"""WITH {_MERGED}, iss AS (SELECT c_custkey AS id, c_mktsegment || ' the Bug in -order- 報表 ' || c_name AS summary FROM customer WHERE c_custkey < 40),
+    "issue_searches": f"""WITH {_MERGED}, iss AS (SELECT c_custkey AS id, c_mktsegment || ' the Bug in -order- 報表 ' || c_name AS summary FROM customer),
 tp AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, n DESC, coalesce(code, ''), coalesce(name, '')) AS r FROM mg WHERE confirmed OR confidence >= 0.72), t6 AS (SELECT * FROM tp WHERE r <= 6),
 cd AS (SELECT id, list(code ORDER BY r) AS c, list(lower(name) ORDER BY r) FILTER (name IS NOT NULL) AS nm, flatten(list({_TOKENS.format(t="evidence")} ORDER BY r)) AS ev FROM t6 GROUP BY id),
 cl AS (SELECT iss.id, summary, {_ONCE.format(w="coalesce(c, [])")} AS c, {_ONCE.format(w="coalesce(nm, [])")} AS nm, list_slice({_ONCE.format(w="coalesce(ev, [])")}, 1, 6) AS ev, {_TOKENS.format(t="summary")} AS sw FROM iss LEFT JOIN cd ON cd.id = iss.id),

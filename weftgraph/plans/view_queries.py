@@ -176,7 +176,7 @@ def community_tiers(spark, d):
 
 def symbol_search(spark, d):
     """FT15, FT16: the identifiers of the documents, and one of them."""
-    index = text.symbols(table(spark, d, "documents").select("doc_id", F.concat(F.left("text", F.lit(300)), F.lit("\ncall a.b.Widget and Widget")).alias("text")), "doc_id", F.col("text"))
+    index = text.symbols(table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\ncall a.b.Widget and Widget")).alias("text")), "doc_id", F.col("text"))
     return index.where("identifier in ('Widget', 'The', 'b')").unionByName(text.search_symbols(index, "b.Widget", 0))
 
 
@@ -265,7 +265,7 @@ k AS (SELECT community, kind, count(*) AS c FROM m GROUP BY ALL), r AS (SELECT *
 SELECT community, 'community:' || left(sha256(string_agg(id, chr(10) ORDER BY id)), 24) AS community_id, count(*) AS members, (SELECT string_agg(kind || ':' || c, ',' ORDER BY c DESC, kind) FROM k WHERE k.community = m.community) AS kinds, arg_min(name, id) AS title,
 coalesce((SELECT string_agg(name, ',' ORDER BY p) FROM r WHERE r.community = m.community AND kind = 'ApiEndpoint' AND p <= 3), '') AS tables, coalesce((SELECT string_agg(name, ',' ORDER BY p) FROM r WHERE r.community = m.community AND kind = 'MenuItem' AND p <= 3), '') AS entries FROM m GROUP BY community""",
     "community_tiers": "WITH c AS (SELECT count(*) AS members FROM customer GROUP BY c_nationkey, c_mktsegment) SELECT CASE WHEN members > 2 THEN 'C0' ELSE 'C1' END AS tier, count(*) AS n, min(members) AS least, max(members) AS most, count(*) FILTER (members % 2 = 0) AS even FROM c GROUP BY 1",
-    "symbol_search": r"""WITH l AS (SELECT doc_id, unnest(string_split(left(text, 300) || chr(10) || 'call a.b.Widget and Widget', chr(10))) AS row, generate_subscripts(string_split(left(text, 300) || chr(10) || 'call a.b.Widget and Widget', chr(10)), 1) AS line FROM documents),
+    "symbol_search": r"""WITH l AS (SELECT doc_id, unnest(string_split(text || chr(10) || 'call a.b.Widget and Widget', chr(10))) AS row, generate_subscripts(string_split(text || chr(10) || 'call a.b.Widget and Widget', chr(10)), 1) AS line FROM documents),
 w AS (SELECT doc_id, line, row, unnest(list_distinct(regexp_extract_all(row, '[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*'))) AS whole FROM l),
 s AS (SELECT regexp_extract(whole, '([^.]+)$', 1) AS identifier, doc_id, line, instr(row, whole) AS "column", regexp_extract(whole, '^(.*)\.[^.]+$', 1) AS container FROM w)
 SELECT * FROM s WHERE identifier IN ('Widget', 'The', 'b') UNION ALL SELECT * FROM s WHERE identifier = 'Widget' AND (container = 'b' OR ends_with(container, '.b'))""",
