@@ -17,7 +17,7 @@ def search_plan(index: TextIndex, nodes: DataFrame, question: str, queries: list
 
     Order: exact names of any query, what the question asks for, the score, the id. A node counts once, with its best.
     """
-    terms = sorted({t.lower() for q in queries for t in _terms(nodes, q)})
+    terms = _terms(nodes, queries)
     if not terms:
         return nodes.select("id", "kind", "name", F.lit(0.0).alias("score"), F.lit(0).alias("exact"), F.lit(0).alias("intent")).limit(0)
     hits = index.search(terms).join(nodes, "id").withColumn("score", F.round("score", 6))
@@ -28,8 +28,10 @@ def search_plan(index: TextIndex, nodes: DataFrame, question: str, queries: list
     return ranked.orderBy(F.desc("exact"), F.desc("intent"), F.desc("score"), "id").limit(limit).select("id", "kind", "name", "score", "exact", "intent")
 
 
-def _terms(nodes: DataFrame, text: str) -> list[str]:
-    return nodes.sparkSession.range(1).select(search.search_terms(F.lit(text), 20).alias("t")).first()["t"]
+def _terms(nodes: DataFrame, texts: list[str]) -> list[str]:
+    """The lower-cased terms of all of a plan's texts, 20 a text at most, in one job."""
+    rows = nodes.sparkSession.createDataFrame([(t,) for t in texts], "t string")
+    return sorted(r["t"] for r in rows.select(F.explode(search.search_terms(F.col("t"), 20)).alias("t")).select(F.lower("t").alias("t")).distinct().collect())
 
 
 def seeds(first: DataFrame, second: DataFrame | None, queries: int, limit: int = 12) -> DataFrame:
@@ -84,7 +86,7 @@ def evidence_order(rows: DataFrame, text: str, group: str, order: Column, most:
     first = rows.withColumn("_o", order).groupBy(F.lower(F.regexp_replace(F.trim(text), r"\s+", " ")).alias("_t")).agg(F.min_by(F.struct(*[c for c in rows.columns], "_o"), "_o").alias("x")).select("x.*")
     start = first.groupBy(group).agg(F.min("_o").alias("_s"))
     ranked = first.withColumn("turn", F.row_number().over(W.partitionBy(group).orderBy("_o"))).where(F.col("turn") <= most)
-    return ranked.join(F.broadcast(start), group).orderBy("turn", "_s").limit(most).drop("_s", "_o")
+    return ranked.join(start, group).orderBy("turn", "_s").limit(most).drop("_s", "_o")
 
 
 def running_cut(lines: DataFrame, order: list[str], budget: int) -> DataFrame:

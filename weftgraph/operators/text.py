@@ -43,7 +43,7 @@ def diversify(hits: DataFrame, kind: str, limit: int) -> DataFrame:
 
     A kind's first `limit` hits are all that can be shown, so no more of it is ranked (a bounded top-k by kind).
     """
-    best = hits.join(F.broadcast(hits.groupBy(kind).agg(F.max("score").alias("best"))), kind)
+    best = hits.join(hits.groupBy(kind).agg(F.max("score").alias("best")), kind)
     return round_robin(first_group_rows(best, kind, [F.desc("score"), F.col("id")], limit), kind, [F.desc("score"), F.col("id")], [F.desc("best"), F.col(kind)]).limit(limit)
 
 
@@ -61,7 +61,8 @@ class _Index:
 
     def _write(self, postings: DataFrame, word: str) -> None:
         rows = postings.withColumn("bucket", _bucket(F.col(word), self.buckets))
-        rows.repartition("bucket", word).sortWithinPartitions("bucket", word).write.partitionBy("bucket").parquet(f"{self.path}/postings")
+        # rebalanced: the postings of a word that a third of all texts hold are split
+        rows.hint("rebalance", "bucket", word).sortWithinPartitions("bucket", word).write.partitionBy("bucket").parquet(f"{self.path}/postings")
 
     def _postings(self, word: str, words: list[str]) -> DataFrame:
         places = sorted({zlib.crc32(w.encode()) % self.buckets for w in words})

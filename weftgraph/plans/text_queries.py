@@ -64,7 +64,7 @@ def budget_prefix(spark, d):
 
 def evidence_roundrobin(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
-    rows = text.first_group_rows(docs.join(F.broadcast(docs.groupBy("source").agg(F.min("doc_id").alias("first"))), "source"), "source", [F.col("doc_id")], 200)
+    rows = text.first_group_rows(docs.join(docs.groupBy("source").agg(F.min("doc_id").alias("first")), "source"), "source", [F.col("doc_id")], 200)
     return merge.round_robin(rows, "source", [F.col("doc_id")], [F.col("first")]).limit(200).select("doc_id", "source", "turn")
 
 
