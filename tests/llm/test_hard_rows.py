@@ -1,5 +1,6 @@
 """Hard rows for every training-data operator: large ids beside nulls, empty tables, texts that must not crash or take square time."""
 
+import collections
 import itertools
 import random
 import time
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weftgraph.llm import ann, decontamination, html_text, language_id, license_scan, lm_scoring, mixing, ngram_join, pii, toxicity
 
 BIG = (1 << 53) + 1
@@ -223,3 +225,23 @@ def test_decontamination_of_short_items_and_repeats(spark):
     b = spark.createDataFrame([(4, "Who wrote Hamlet?"), (5, "Yes"), (6, None), (7, "")], "item_id long, text string")
     d = spark.createDataFrame([(5, "I ask who wrote Hamlet, said he. Yes"), (6, "yes!"), (7, None), (None, "Who wrote Hamlet?"), (8, "who wrote Macbeth"), (6, "yes!"), (9, "x " * 200_000)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b).collect()) == [(5, 4), (6, 5)]
+
+
+def test_texts_without_an_id_bridge(spark):
+    """1 and 3 differ, but both link with a text that only a row without an id has."""
+    one = [f"w{i}" for i in range(60)]
+    two = ["odd" if i == 8 else w for i, w in enumerate(one)]
+    three = ["strange" if i == 50 else w for i, w in enumerate(two)]
+    rows = [(1, " ".join(one)), (None, " ".join(two)), (3, " ".join(three)), (None, " ".join(two)), (4, "on its own"), (None, "alone too"), (None, None)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["component_id"]) for r in got) == collections.Counter([(1, 1), (None, 1), (3, 1), (None, 1), (4, 4), (None, None), (None, None)])
+
+
+def test_contaminated_rows_go_by_row(spark):
+    """A row without an id that holds an item goes, a clean one that shares its id with such a row stays."""
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(None, f"Before it. {item} And after."), (5, item), (5, "a clean text of its own"), (6, "another clean text"), (None, "clean without an id"), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.remove_benchmark(spark, docs, "/root/testdata/sf0.001")
+    assert got.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == collections.Counter(rows[2:])
