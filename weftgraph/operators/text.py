@@ -90,20 +90,25 @@ class TextIndex(_Index):
 
 
 class TrigramIndex(_Index):
-    """Which texts have which three characters in a row (upper-cased)."""
-
-    def build(self, files: DataFrame, path: str, text: Column) -> "TrigramIndex":
-        self._write(trigram_index(files.select(F.col(path).alias("path"), text.alias("text")), "path", F.col("text")), "trigram")
-        files.select(F.col(path).alias("path")).write.parquet(f"{self.path}/files")
+    """Which texts have which three characters in a row (upper-cased). What can't be indexed stays a candidate of every search."""
+
+    def build(self, files: DataFrame, path: str, text: Column, most: int | None = None) -> "TrigramIndex":
+        """Index the texts of up to `most` bytes; longer ones, and those that can't be read (null), are listed."""
+        rows = files.select(F.col(path).alias("path"), text.alias("text"))
+        readable = F.col("text").isNotNull() & (F.lit(True) if most is None else F.octet_length("text") <= most)
+        self._write(trigram_index(rows.where(readable), "path", F.col("text")), "trigram")
+        rows.select("path", readable.alias("indexed")).write.parquet(f"{self.path}/files")
         return self
 
     def candidates(self, query: str) -> DataFrame:
-        """(path) of the texts with all trigrams of the query; all of them for a query of under three characters."""
+        """(path) of the texts with all trigrams of the query and of those that aren't indexed; all texts for a query of under three characters."""
         q = query.upper()
         grams = sorted({q[i : i + 3] for i in range(len(q) - 2)})
+        files = self.spark.read.parquet(f"{self.path}/files")
         if not grams:
-            return self.spark.read.parquet(f"{self.path}/files")
-        return self._postings("trigram", grams).groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("path")
+            return files.select("path")
+        found = self._postings("trigram", grams).groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("path")
+        return found.unionByName(files.where(~F.col("indexed")).select("path"))
 
 
 def symbols(files: DataFrame, path: str, text: Column) -> DataFrame:

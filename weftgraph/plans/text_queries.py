@@ -53,6 +53,13 @@ def trigram_candidates(spark, d):
     return _indexed(spark, d, text.TrigramIndex).candidates("License, Version").select(F.col("path").alias("doc_id"))
 
 
+def trigram_unindexed(spark, d):
+    """FT12, FT13: as trigram_candidates, over an index that takes texts of 2,000 bytes at most; longer ones are candidates too."""
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/TrigramIndex-{uuid.uuid4().hex}"
+    index = text.TrigramIndex(spark, path).build(table(spark, d, "documents"), "doc_id", F.col("text"), 2000)
+    return index.candidates("License, Version").select(F.col("path").alias("doc_id"))
+
+
 def text_line_search(spark, d):
     return text.search_lines(table(spark, d, "documents"), "doc_id", F.col("text"), "licensed under", 1001)
 
@@ -120,7 +127,7 @@ def category_classify(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(strings.categories(F.concat(text_, F.when(F.col("p_partkey") % 3 == 0, " sql api test").when(F.col("p_partkey") % 3 == 1, " agent chat").otherwise(""))), ",").alias("categories"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_search, search_diversify, exact_name_boost, query_plan_tokens, trigram_candidates, text_line_search, budget_prefix, evidence_roundrobin, longest_prefix_join, suffix_lookup, cross_contains, link_classify, script_tag_scan, redact_secrets, identifier_extract_merge, category_classify)}
+QUERIES = {f.__name__: f for f in (bm25_search, search_diversify, exact_name_boost, query_plan_tokens, trigram_candidates, trigram_unindexed, text_line_search, budget_prefix, evidence_roundrobin, longest_prefix_join, suffix_lookup, cross_contains, link_classify, script_tag_scan, redact_secrets, identifier_extract_merge, category_classify)}
 
 _TOK = r"'[\p{L}\p{N}_./:-]{2,}'"
 _BM25 = f"""
@@ -136,7 +143,8 @@ ORACLE = {
     "search_diversify": _BM25 + ", r AS (SELECT *, max(score) OVER (PARTITION BY lang) AS best, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS turn FROM hits) SELECT doc_id, lang, turn FROM r ORDER BY turn, best DESC, lang LIMIT 100",
     "exact_name_boost": "SELECT p_partkey, CASE WHEN lower(p_name) = 'part 1' THEN 400 WHEN regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') = 'part1' THEN 300 WHEN contains(lower(p_name), 'part 1') THEN 100 ELSE 0 END AS boost FROM part",
     "query_plan_tokens": f"WITH q AS (SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (SELECT item_id, regexp_extract_all(text, {_TOK}) AS w FROM benchmark)), f AS (SELECT item_id, lower(token) AS term, min(pos) AS pos FROM q WHERE length(token) <= 100 GROUP BY ALL) SELECT item_id, k, term FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS k FROM f) WHERE k <= 10",
-    "trigram_candidates": "SELECT doc_id FROM documents WHERE " + " AND ".join(f"contains(upper(text), '{g}')" for g in sorted({"LICENSE, VERSION"[i : i + 3] for i in range(14)})),
+    "trigram_candidates": "SELECT doc_id FROM documents WHERE " + " AND ".join(f"contains(upper(text), '{g}')" for g in sorted({"LICENSE, VERSION"[i : i + 3] for i in range(14)})) + " OR text IS NULL",
+    "trigram_unindexed": "SELECT doc_id FROM documents WHERE text IS NULL OR strlen(text) > 2000 OR (" + " AND ".join(f"contains(upper(text), '{g}')" for g in sorted({"LICENSE, VERSION"[i : i + 3] for i in range(14)})) + ")",
     "text_line_search": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT doc_id, line, instr(upper(row), 'LICENSED UNDER') AS \"column\", left(row, 500) AS preview FROM l WHERE instr(upper(row), 'LICENSED UNDER') > 0 ORDER BY doc_id, line LIMIT 1001",
     "budget_prefix": "WITH r AS (SELECT doc_id, source, sum(greatest(1, n_chars // 4)) OVER w AS used, row_number() OVER w AS k FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT doc_id, source, used::BIGINT AS used FROM r WHERE used <= 12000 OR k = 1",
     "evidence_roundrobin": "WITH r AS (SELECT doc_id, coalesce(source, '') AS source, min(doc_id) OVER (PARTITION BY source) AS f, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) SELECT doc_id, source, turn FROM r ORDER BY turn, f LIMIT 200",
