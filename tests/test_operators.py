@@ -83,8 +83,9 @@ def test_issue_identifiers(spark):
 def test_run_states(spark):
     allowed = {"": ("new",), "new": ("run", "stop"), "run": ("done", "new")}
     log = [("a", 1, "new"), ("a", 2, "done"), ("a", 3, "run"), ("a", 4, "done"), ("b", 1, "run"), ("c", 2, "new"), ("c", 1, "stop")]
-    got = {r["k"]: (r["state"], r["rejected"]) for r in records.latest_state(spark.createDataFrame(log, "k string, n int, state string"), "k", "n", allowed).collect()}
-    assert got == {"a": ("done", 1), "b": ("", 1), "c": ("new", 1)}
+    for stretch in (1, 2, 100_000):
+        got = {r["k"]: (r["state"], r["rejected"]) for r in records.latest_state(spark.createDataFrame(log, "k string, n int, state string"), "k", "n", allowed, stretch).collect()}
+        assert got == {"a": ("done", 1), "b": ("", 1), "c": ("new", 1)}
 
 
 def test_redaction_cases(spark):

@@ -54,21 +54,32 @@ def prune_manifests(manifests: DataFrame, previous: DataFrame) -> DataFrame:
     return manifests.join(kept, ["project", "version"], "left").where(F.col("is_current") | F.col("_kept").isNotNull()).drop("_kept")
 
 
-def latest_state(log: DataFrame, key: str, order: str, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
+def latest_state(log: DataFrame, key: str, order: str, allowed: dict[str, tuple[str, ...]], stretch: int = 100_000) -> DataFrame:
     """(key, state, rejected): the last state of each key in an append-only log, steps that `allowed` doesn't have counted and passed over.
 
-    allowed[None-like ""] names the first states. A step is judged by the last state that was taken, so a log is
-    folded in its order; a key's log is short (its life's steps).
+    allowed[None-like ""] names the first states. A step is judged by the last state that was taken. order is a whole
+    number, of which no two steps of a key have the same: the steps of each `stretch` of it are folded by themselves from every state there is,
+    and a key's stretches then one after the other, so that no group holds more than `stretch` steps, however long a log is.
     """
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(order, "state"))), lambda x: x["state"])
     pairs = F.array(*[F.lit(f"{a}>{b}") for a, to in allowed.items() for b in to])
-    start = F.struct(F.lit("").alias("state"), F.lit(0).alias("rejected"))
+    states = sorted({"", *allowed, *(t for to in allowed.values() for t in to)})
 
     def fold(s: Column, x: Column) -> Column:
         ok = F.array_contains(pairs, F.concat(s["state"], F.lit(">"), x))
         return F.struct(F.when(ok, x).otherwise(s["state"]).alias("state"), (s["rejected"] + F.when(ok, 0).otherwise(1)).alias("rejected"))
 
-    return log.groupBy(key).agg(F.aggregate(steps, start, fold).alias("r")).select(key, "r.state", "r.rejected")
+    steps = F.transform(F.array_sort(F.collect_list(F.struct(order, "state"))), lambda x: x["state"])
+    each = log.withColumn("_at", F.floor(F.col(order) / stretch)).groupBy(key, "_at").agg(steps.alias("steps"))
+    # where a stretch leads from each state, and how many steps it rejects on the way
+    ways = [F.struct(F.lit(s).alias("start"), F.aggregate("steps", F.struct(F.lit(s).alias("state"), F.lit(0).alias("rejected")), fold).alias("end")) for s in states]
+    ends = each.select(key, F.struct("_at", F.array(*ways).alias("ways")).alias("way"))
+
+    def follow(s: Column, x: Column) -> Column:
+        end = F.get(F.filter(x["ways"], lambda w: w["start"] == s["state"]), F.lit(0))["end"]
+        return F.struct(end["state"].alias("state"), (s["rejected"] + end["rejected"]).alias("rejected"))
+
+    start = F.struct(F.lit("").alias("state"), F.lit(0).alias("rejected"))
+    return ends.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list("way")), start, follow).alias("r")).select(key, "r.state", "r.rejected")
 
 
 def cascade_delete(tables: dict[str, DataFrame], keys: dict[str, str], gone: DataFrame, via: dict[str, tuple[str, str, str]]) -> dict[str, DataFrame]:

@@ -199,6 +199,12 @@ _MAN = "m0 AS (SELECT o_custkey AS project, o_orderkey AS version, o_orderstatus
 _PICK = "SELECT o_custkey AS project, max(o_orderkey) AS version FROM orders WHERE o_orderkey % 10 = {m} GROUP BY 1"
 
 ORACLE = {
+    "run_states": """WITH RECURSIVE o AS (SELECT user_id, event_type AS st, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS k, '' AS state, 0 AS rejected FROM o
+  UNION ALL SELECT f.user_id, o.k, CASE WHEN ok THEN st ELSE state END, rejected + (NOT ok)::INTEGER
+  FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1, LATERAL (SELECT (f.state, o.st) IN (('', 'view'), ('', 'click'), ('view', 'click'), ('view', 'purchase'), ('click', 'purchase'), ('click', 'error'), ('click', 'view'), ('error', 'click')) AS ok) t
+) SELECT user_id, arg_max(state, k) AS state, max(rejected) AS rejected FROM f GROUP BY user_id""",
     "manifest_save": f"""WITH {_MAN}, a AS ({_PICK.format(m=3)}), b AS ({_PICK.format(m=4)}),
 m1 AS (SELECT coalesce(m0.project, a.project) AS project, coalesce(m0.version, a.version) AS version, CASE WHEN a.version IS NOT NULL THEN 'new3' ELSE m0.status END AS status, CASE WHEN a.version IS NOT NULL THEN true WHEN coalesce(m0.project, a.project) IN (SELECT project FROM a) THEN false ELSE m0.is_current END AS is_current FROM m0 FULL JOIN a ON m0.project = a.project AND m0.version = a.version)
 SELECT coalesce(m1.project, b.project) AS project, coalesce(m1.version, b.version) AS version, CASE WHEN b.version IS NOT NULL AND NOT coalesce(m1.is_current, false) THEN 'new4' ELSE m1.status END AS status, coalesce(m1.is_current, false) AS is_current FROM m1 FULL JOIN b ON m1.project = b.project AND m1.version = b.version""",
