@@ -30,12 +30,12 @@ def stream_retained(spark, d):
 
 
 def stream_joined_spans(spark, d):
-    """SM1, SM2: each view with the first purchase or error of its user within six hours, or none once none can come."""
+    """SM1, SM2: each view with the first purchase or error of its user within six hours, or none (-1) once none can come."""
     e = _events(spark, d)
     ends = _events(spark, d).where("status in ('purchase', 'error')").withColumn("status", F.when(F.col("status") == "error", "failed").otherwise("completed"))
     got = runs.run_appends(state.joined_spans(e.where("status = 'view'"), ends, limit="6 hours"), "joined")
     first = state.first_ends(got, ["id", "start_seq", "started"])
-    return first.select("id", "start_seq", ((F.unix_micros("ended") - F.unix_micros("started")) / 1000).cast("long").alias("elapsed_ms"), "status")
+    return first.select("id", "start_seq", F.coalesce(((F.unix_micros("ended") - F.unix_micros("started")) / 1000).cast("long"), F.lit(-1)).alias("elapsed_ms"), "status")
 
 
 QUERIES = {f.__name__: f for f in (stream_job_attempts, stream_retained, stream_joined_spans)}
@@ -64,5 +64,5 @@ SELECT id, began, ended, n, status FROM s WHERE part < newest OR ended + {6 * HO
     "stream_joined_spans": f"""WITH e AS (SELECT user_id::VARCHAR AS id, epoch_us(ts) AS us, event_id AS seq, event_type AS kind FROM events),
 mark AS (SELECT least(max(us) FILTER (kind = 'view'), max(us) FILTER (kind IN ('purchase', 'error'))) - 600000000 AS mark FROM e),
 j AS (SELECT s.id, s.seq, s.us, min((f.us, CASE f.kind WHEN 'error' THEN 'failed' ELSE 'completed' END)) FILTER (f.us IS NOT NULL) AS x FROM e s LEFT JOIN e f ON f.id = s.id AND f.kind IN ('purchase', 'error') AND f.us BETWEEN s.us AND s.us + {6 * HOUR * 1_000_000} WHERE s.kind = 'view' GROUP BY ALL)
-SELECT id, seq AS start_seq, (x[1] - us) // 1000 AS elapsed_ms, x[2] AS status FROM j, mark WHERE x[1] IS NOT NULL OR us + {6 * HOUR * 1_000_000} < mark""",
+SELECT id, seq AS start_seq, coalesce((x[1] - us) // 1000, -1) AS elapsed_ms, x[2] AS status FROM j, mark WHERE x[1] IS NOT NULL OR us + {6 * HOUR * 1_000_000} < mark""",
 }
