@@ -32,7 +32,7 @@ SUBSUMED = 50
 TOP = 2000
 SCALE = 1_000_000
 #: Words of a task's shards together; then they are given out and new ones begin.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 5 << 19
 SHARD_BYTES = 1 << 26
 SEGMENT = 1 << 20
 CODED = 1 << 16
@@ -84,15 +84,16 @@ class Shard:
 
     def levels(self) -> None:
         """Number all phrases: by level k, at[k] has at each place the number of the phrase of k + 1 words that ends there (-1: none);
-        of each phrase, place[k] has a place where it ends, count[k] its endpos count, suffix[k] its suffix's number in the level below."""
+        of each phrase, place[k] has a place where it ends and count[k] its endpos count. All of 32 bits."""
         if self.held or not self.parts:
             self._code()
         coded = pa.chunked_array(self.parts).unify_dictionaries()
-        self.names, self.word = coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int64)
+        self.names, self.word = coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in coded.chunks])
         word, mark = self.word, pc.index(self.names, pa.scalar(_END, pa.binary())).as_py()
         inside, fresh = word != mark, np.arange(len(word)) >= len(self.before)
         self.total = int((inside & fresh).sum())
-        self.at, self.place, self.count, self.suffix = [], [], [], []
+        self.parts = []
+        self.at, self.place, self.count = [], [], []
         for k in range(LONGEST):
             if k == 0:
                 ends = np.flatnonzero(inside)
@@ -105,20 +106,20 @@ class Shard:
             first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1)) if len(number) else number
             here = np.full(len(word), -1, np.int32)
             here[ends] = number
-            self.suffix.append(self.at[-1][ends[first]] if k else None)
             self.at.append(here)
-            self.place.append(ends[first])
-            self.count.append(np.bincount(number[fresh[ends]], minlength=len(first)))
+            self.place.append(ends[first].astype(np.int32))
+            self.count.append(np.bincount(number[fresh[ends]], minlength=len(first)).astype(np.int32))
 
     def states(self) -> list[tuple[list[str], int, int]]:
         """(longest phrase, words of the shortest, endpos count) of each state; its suffix link leads to the phrase of one word less than the shortest."""
         self.levels()
         least, longest = [np.full(len(c), k + 1) for k, c in enumerate(self.count)], [c > 0 for c in self.count]
         for k in range(1, LONGEST):
-            # a phrase that ends wherever its suffix does is in one state with it
-            same = self.count[k] == self.count[k - 1][self.suffix[k]]
-            least[k][same] = least[k - 1][self.suffix[k][same]]
-            longest[k - 1][self.suffix[k][same]] = False
+            # the suffix of one word less ends at the same place; a phrase that ends wherever it does is in one state with it
+            suffix = self.at[k - 1][self.place[k]]
+            same = self.count[k] == self.count[k - 1][suffix]
+            least[k][same] = least[k - 1][suffix[same]]
+            longest[k - 1][suffix[same]] = False
         words = lambda k, p: [self.names[self.word[self.place[k][p] - j]].as_py().decode() for j in range(k, -1, -1)]
         return [(words(k, p), int(least[k][p]), int(self.count[k][p])) for k in range(LONGEST) for p in np.flatnonzero(longest[k]).tolist()]
 
@@ -157,11 +158,14 @@ class Shard:
 
 
 def _given_out(shards: dict[str, Shard], common: dict[str, pa.Array]) -> Iterator[dict]:
-    for lang, shard in shards.items():
+    while shards:  # each goes once it has been given out
+        lang, shard = shards.popitem()
         for heads, salts, tails in shard.phrases(common.get(lang)):
             for s in range(0, len(heads), GIVEN):
                 yield {"lang": pa.array([lang] * len(heads[s : s + GIVEN])), "head": heads[s : s + GIVEN], "salt": pa.array(salts[s : s + GIVEN], pa.int32()), "tails": tails[s : s + GIVEN]}
         yield {"lang": [lang], "head": [b""], "salt": [0], "tails": [b"\t%d" % shard.total]}
+        del shard
+        pa.default_memory_pool().release_unused()
 
 
 def shard_phrases(batches: Iterator[pa.RecordBatch], common: list[tuple[str, str]] = ()) -> Iterator[dict]:
@@ -180,8 +184,9 @@ def shard_phrases(batches: Iterator[pa.RecordBatch], common: list[tuple[str, str
                 shard = shards.setdefault(lang, Shard())
                 shard.add(words, sum(map(len, words)))
                 if sum(s.words for s in shards.values()) >= SHARD_WORDS or sum(s.bytes for s in shards.values()) >= SHARD_BYTES:
-                    yield from _given_out(shards, sets)
-                    shards = {lang: shard.after()}
+                    shards, full = {lang: shard.after()}, shards
+                    del shard
+                    yield from _given_out(full, sets)
             if lang in shards:
                 shards[lang].add([_END])
     yield from _given_out(shards, sets)
