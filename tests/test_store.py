@@ -1,10 +1,12 @@
 """The graph store: properties that come back as they were, and writers that meet."""
 
+import random
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.functions import ids
 from weftgraph.operators import graph
 from weftgraph.storage import Conflict, GraphStore, property_of
 
@@ -86,3 +88,49 @@ def test_same_file(spark):
     assert counts.first()[:] == (5, 3, 2, False)
     assert graph.same_file(nodes, edges, ["a", "d"], 2)[2].first()[:] == (5, 2, 0, True)
     assert graph.same_file(nodes, edges, ["e"], 5)[2].first()[:] == (5, 1, 0, False)
+
+
+def test_edge_ids_are_made_on_reading(spark, tmp_path):
+    """Ids that follow the rule aren't written; all others, empty and null ones too, stay as they are."""
+    store = GraphStore(spark, f"file://{tmp_path}")
+    nodes = spark.createDataFrame([(x, "File", x) for x in "abc"], "id string, kind string, name string")
+    rule = ids.edge_id(F.col("type"), F.col("src"), F.col("dst"))
+    bare = spark.createDataFrame([("CALLS", "a", "b", 1), ("READS", "a", "c", 1)], "type string, src string, dst string, occurrence_count int")
+    want = {tuple(r) for r in bare.select("type", "dst", rule).collect()}
+    store.stage("p", 1, nodes, bare)
+    store.stage("p", 2, nodes, bare.withColumn("edge_id", rule))
+    for v in (1, 2):
+        assert {tuple(r) for r in store.snapshot("p", v)[1].select("type", "dst", "edge_id").collect()} == want
+        assert spark.read.parquet(store.versions("p")[v] + "/edges").where("edge_id is not null").count() == 0
+    own = spark.createDataFrame([("CALLS", "a", "b", 1, "e"), ("CALLS", "b", "b", 1, ""), ("CALLS", "c", "b", 1, None)], "type string, src string, dst string, occurrence_count int, edge_id string")
+    store.stage("p", 3, nodes, own)
+    assert {tuple(r) for r in store.snapshot("p", 3)[1].select("src", "edge_id").collect()} == {("a", "e"), ("b", ""), ("c", None)}
+
+
+def test_validate_counts(spark):
+    nodes = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "id string")
+    rows = [("T", "a", "b", "1"), ("T", "a", "x", "2"), ("T", "y", "z", "3"), ("U", None, "b", "4")]
+    edges = spark.createDataFrame(rows, "type string, src string, dst string, edge_id string")
+    assert graph.validate(nodes, edges).first().asDict() == {"nodes": 4, "repeated_nodes": 2, "edges": 4, "types": "T,U", "dangling_edges": 3}
+    assert graph.validate(nodes, edges.where("edge_id = '1'")).first().asDict() == {"nodes": 4, "repeated_nodes": 2, "edges": 1, "types": "T", "dangling_edges": 0}
+
+
+def test_neighbors_without_ids(spark):
+    """Edges between the same two nodes, ties at the limit among them, come as with their ids."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["CALLS", "READS", "HAS_CHUNK"]), f"n{rnd.randrange(6)}", f"n{rnd.randrange(6)}") for _ in range(80)]
+    bare = spark.createDataFrame(sorted(set(rows)), "type string, src string, dst string")
+    full = bare.withColumn("edge_id", ids.edge_id(F.col("type"), F.col("src"), F.col("dst")))
+    for k in (1, 3, 7):
+        a, b = ({tuple(r) for r in graph.neighbors(e, None, k).select("center", "neighbor", "direction", "type", "edge_id", "rank").collect()} for e in (bare, full))
+        assert a == b and a
+
+
+def test_seeds_leave_edges_where_they_are(spark, monkeypatch):
+    """A walk from a few seeds joins them to the edges without dealing out the edges."""
+    plans, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or write(df, name))
+    edges = spark.range(100).selectExpr("'CALLS' as type", "concat('n', id) as src", "concat('n', id + 1) as dst", "cast(id as string) as edge_id")
+    assert {r["id"] for r in graph.breadth_first(edges, ["n5"], 1).collect()} == {"n4", "n5", "n6"}
+    graph.visual_neighbors(edges, edges, ["n5"], 1, 10)
+    assert len(plans) == 2 and all("BroadcastHashJoin" in p for p in plans)
