@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import markup, strings
-from weftgraph.operators import catalog, issues, records, views
+from weftgraph.operators import catalog, issues, joins, records, reports, views
 from weftgraph.sources import archives
 
 
@@ -169,3 +169,12 @@ def test_paged_source(spark):
         return [(i, f"r{i}") for i in range(page * 10, min(page * 10 + 10, 25))]
 
     assert sorted(tuple(r) for r in archives.paged_source(spark, "fixture", fetch, "id long, name string", 25, 10).collect()) == [(i, f"r{i}") for i in range(25)]
+
+
+def test_words_meet_each_text_once(spark):
+    """Repeated texts and words count as often as they come; neither the exploded texts nor the rows are broadcast."""
+    texts = spark.createDataFrame([(1, "Blue Ring"), (1, "blue ring"), (2, "x"), (3, ""), (4, None)], "id int, t string")
+    words = spark.createDataFrame([(7, "RING"), (8, "ring"), (8, "ring"), (9, "x"), (9, "e r"), (10, ""), (11, None)], "w int, word string")
+    got = joins.containing(texts, "id", "t", words, "w", "word")
+    assert sorted(tuple(r) for r in got.collect()) == sorted([(1, 7), (1, 8), (1, 8), (1, 9)] * 2 + [(2, 9)])
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()

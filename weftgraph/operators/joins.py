@@ -39,10 +39,12 @@ def containing(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, w
     """(id, word id): the texts that hold each word, whatever the case; null and empty words are in none.
 
     A text that holds a word has the word's first three characters (all of a shorter one) in a row, so both meet by an
-    equi-join on these and only such pairs are compared.
+    equi-join on these and only such pairs are compared. Each different text is compared once. Neither join may be a
+    broadcast: Spark takes the exploded side for as small as the column that it comes from.
     """
     w = words.select(F.col(word_id), F.lower(word_col).alias("_w")).where("_w <> ''").withColumn("_g", F.left("_w", F.lit(3)))
     low = texts.select(F.col(id_col), F.lower(text_col).alias("_t")).where("_t <> ''")
     grams = F.array_distinct(F.concat(*[F.when(F.length("_t") >= n, _grams_of(F.col("_t"), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
-    each = low.select(id_col, "_t", F.explode(grams).alias("_g"))
-    return each.join(w, "_g").where(F.contains("_t", F.col("_w"))).select(id_col, word_id)
+    each = low.select("_t").distinct().select("_t", F.explode(grams).alias("_g"))
+    pairs = each.hint("merge").join(w, "_g").where(F.contains("_t", F.col("_w"))).select("_t", word_id)
+    return low.hint("merge").join(pairs, "_t").select(id_col, word_id)
