@@ -178,3 +178,12 @@ def test_words_meet_each_text_once(spark):
     got = joins.containing(texts, "id", "t", words, "w", "word")
     assert sorted(tuple(r) for r in got.collect()) == sorted([(1, 7), (1, 8), (1, 8), (1, 9)] * 2 + [(2, 9)])
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bindings_meet_once(spark):
+    """A thousand bindings and a thousand parameters of one name make a thousand rows, not a million, before they are told apart."""
+    bound = spark.range(1000).selectExpr("id as method", "'DBO' as space", "'P' as object", "'@A' as name")
+    parameters = spark.range(1000).selectExpr("'dbo' as space", "'p' as object", "if(id % 2 = 0, '@a', '@A') as parameter")
+    got = reports.parameter_bindings(bound, parameters)
+    assert got.count() == 2000 and {r["parameter"] for r in got.collect()} == {"@a", "@A"}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3  # both sides and the result

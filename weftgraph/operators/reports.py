@@ -94,10 +94,13 @@ def header_mappings(files: DataFrame, types: DataFrame, objects: DataFrame) -> D
 
 
 def parameter_bindings(bound: DataFrame, parameters: DataFrame) -> DataFrame:
-    """(method, parameter): bindings(method, space, object, name) to parameters(space, object, parameter) by all three, whatever their case."""
-    low = lambda df, *c: [F.lower(df[x]) for x in c]
-    on = [a == b for a, b in zip(low(bound, "space", "object", "name"), low(parameters, "space", "object", "parameter"), strict=True)]
-    return bound.join(parameters, on).select("method", "parameter").distinct()
+    """(method, parameter): bindings(method, space, object, name) to parameters(space, object, parameter) by all three, whatever their case.
+
+    Parameters and bindings that say the same count once before they meet.
+    """
+    low = lambda *c: [F.lower(x).alias(f"_{i}") for i, x in enumerate(c)]
+    known = parameters.select(*low("space", "object", "parameter"), "parameter").distinct()
+    return bound.select("method", *low("space", "object", "name")).distinct().join(known, ["_0", "_1", "_2"]).select("method", "parameter").distinct()
 
 
 def returned_views(returns: DataFrame, views: DataFrame) -> DataFrame:
