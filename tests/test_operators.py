@@ -187,3 +187,12 @@ def test_bindings_meet_once(spark):
     got = reports.parameter_bindings(bound, parameters)
     assert got.count() == 2000 and {r["parameter"] for r in got.collect()} == {"@a", "@A"}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3  # both sides and the result
+
+
+def test_owner_among_methods_of_the_same_lines(spark):
+    """Many methods with the same lines are one before the lines are spread; the spread side is not broadcast."""
+    calls = spark.createDataFrame([("F", 5), ("f", 70), ("g", 1)], "path string, line int")
+    methods = spark.range(300).selectExpr("'f' as path", "1 as first", "100 as last", "lpad(cast(id as string), 3, '0') as method").unionByName(spark.createDataFrame([("F", 60, 80, "inner")], "path string, first int, last int, method string"))
+    got = reports.method_at(calls, methods)
+    assert {tuple(r) for r in got.collect()} == {("F", 5, "000", "METHOD"), ("f", 70, "inner", "METHOD"), ("g", 1, "g", "FILE")}
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()

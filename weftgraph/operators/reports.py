@@ -143,10 +143,13 @@ def code_index(methods: DataFrame, types: DataFrame) -> dict[str, DataFrame]:
 def method_at(calls: DataFrame, methods: DataFrame) -> DataFrame:
     """(path, line, owner, how): each call(path, line) with the method(path, first, last, method) whose lines hold it, the innermost; else its file.
 
-    Methods are spread over blocks of 64 lines, so that the range is an equi-join on path and block.
+    Methods are spread over blocks of 64 lines, so that the range is an equi-join on path and block. Of methods with the
+    same lines only the first can be an owner. The join may not be a broadcast: Spark takes the spread side for as small
+    as the columns that it comes from.
     """
-    spread = methods.select(F.lower("path").alias("_p"), "first", "last", "method", F.explode(F.sequence(F.floor(F.col("first") / 64), F.floor(F.col("last") / 64))).alias("_b"))
-    rows = calls.join(spread, (F.lower("path") == F.col("_p")) & (F.floor(F.col("line") / 64) == F.col("_b")) & F.col("line").between(F.col("first"), F.col("last")), "left")
+    one = methods.groupBy(F.lower("path").alias("_p"), "first", "last").agg(F.min("method").alias("method"))
+    spread = one.select("_p", "first", "last", "method", F.explode(F.sequence(F.floor(F.col("first") / 64), F.floor(F.col("last") / 64))).alias("_b"))
+    rows = calls.join(spread.hint("merge"), (F.lower("path") == F.col("_p")) & (F.floor(F.col("line") / 64) == F.col("_b")) & F.col("line").between(F.col("first"), F.col("last")), "left")
     best = rows.groupBy("path", "line").agg(F.min_by("method", F.when(F.col("method").isNotNull(), F.struct(F.col("last") - F.col("first"), "method"))).alias("method"))
     return best.select("path", "line", F.coalesce("method", "path").alias("owner"), F.when(F.col("method").isNull(), "FILE").otherwise("METHOD").alias("how"))
 
