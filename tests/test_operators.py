@@ -196,3 +196,11 @@ def test_owner_among_methods_of_the_same_lines(spark):
     got = reports.method_at(calls, methods)
     assert {tuple(r) for r in got.collect()} == {("F", 5, "000", "METHOD"), ("f", 70, "inner", "METHOD"), ("g", 1, "g", "FILE")}
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_constants_of_one_place(spark):
+    """Of constants with the same place the smallest, in whatever order they come."""
+    formats = spark.createDataFrame([(1, "x")], "format int, category string")
+    for order in (["c", "a", "b"], ["b", "c", "a"], ["a", "b", "c"]):
+        rows = spark.createDataFrame([("x", c, 5) for c in order] + [("x", "0", 6)], "value string, constant string, seq int").coalesce(1)
+        assert reports.category_constants(formats, rows).first()["constant"] == "a"

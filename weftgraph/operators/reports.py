@@ -44,8 +44,8 @@ def schedule_tasks(schedules: DataFrame, tasks: DataFrame, definitions: DataFram
 
 
 def category_constants(formats: DataFrame, constants: DataFrame) -> DataFrame:
-    """(format, constant): the first constant(value, constant, seq) with the category's value of each format(format, category)."""
-    first = constants.groupBy("value").agg(F.min_by("constant", "seq").alias("constant"))
+    """(format, constant): the first constant(value, constant, seq) with the category's value of each format(format, category); the smallest of those of one seq."""
+    first = constants.groupBy("value").agg(F.min_by("constant", F.struct("seq", "constant")).alias("constant"))
     return formats.join(first, F.col("category") == F.col("value")).select("format", "constant")
 
 

@@ -165,7 +165,7 @@ s AS (SELECT 's' || c_custkey AS source FROM customer)
 SELECT k::VARCHAR AS template, e.o AS ordinal, {_sid("report-document", "k::VARCHAR", "e.o::VARCHAR", "coalesce(e.s, '')")} AS document, source FROM t LEFT JOIN s ON lower(e.s) = source""",
     "schedule_procedures": "WITH k AS (SELECT 's.proc' || n_nationkey % 8 AS procedure, count(*) AS n FROM nation GROUP BY 1), c AS (SELECT s_suppkey AS task, 's.proc' || s_suppkey % 4 AS procedure, (1 + s_suppkey % 3)::INTEGER AS arguments FROM supplier UNION ALL SELECT s_suppkey, 'dbo.other', 0 FROM supplier) SELECT task, procedure, arguments, coalesce(n, 0) AS expected, arguments <> coalesce(n, 0) AS mismatch FROM c LEFT JOIN k USING (procedure)",
     "schedule_tasks": "SELECT o_custkey AS schedule, o_orderkey AS task, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '3%' THEN 'def:' || lower(o_orderpriority) END AS definition FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0)",
-    "category_constants": "WITH f AS (SELECT p_type, arg_min(p_brand, p_partkey * 37 % 1009) AS constant FROM part WHERE p_type <> 'PROMO' GROUP BY p_type) SELECT p_partkey AS format, constant FROM part JOIN f USING (p_type)",
+    "category_constants": "WITH f AS (SELECT p_type, arg_min(p_brand, (p_partkey * 37 % 1009, p_brand)) AS constant FROM part WHERE p_type <> 'PROMO' GROUP BY p_type) SELECT p_partkey AS format, constant FROM part JOIN f USING (p_type)",
     "menu_routes": f"""WITH t AS (SELECT 't' || p_partkey AS type, p_partkey AS n FROM part), m AS (SELECT 't' || p_partkey AS type, CASE WHEN p_partkey % 2 = 0 THEN 'go' ELSE 'index' END AS name, 'm' || p_partkey AS method FROM part),
 mv AS (SELECT s_suppkey AS id, s_suppkey % 3 AS n, 'go' AS a FROM supplier WHERE s_suppkey % 4 = 2 UNION ALL SELECT s_suppkey, s_suppkey % 5, 'index' FROM supplier WHERE s_suppkey % 4 = 3)
 SELECT s_suppkey AS menu, 'LINKS_TO_CUSTOM_REPORT' AS relation, s_suppkey::VARCHAR AS target FROM supplier WHERE s_suppkey % 8 = 0
