@@ -204,3 +204,12 @@ def test_constants_of_one_place(spark):
     for order in (["c", "a", "b"], ["b", "c", "a"], ["a", "b", "c"]):
         rows = spark.createDataFrame([("x", c, 5) for c in order] + [("x", "0", 6)], "value string, constant string, seq int").coalesce(1)
         assert reports.category_constants(formats, rows).first()["constant"] == "a"
+
+
+def test_menu_actions_reach_all_methods_of_a_type(spark):
+    """Both methods of each controller type that a menu names."""
+    from weftgraph.plans import registry
+
+    got = registry.QUERIES["menu_routes"](spark, "/root/testdata/sf0.001").where("relation = 'NAVIGATES_TO_ACTION'")
+    assert {r["target"] for r in got.where("menu = 6").collect()} == {"m0", "m6"}
+    assert {r["count"] for r in got.groupBy("menu").count().collect()} == {2}

@@ -47,7 +47,7 @@ def menu_routes(spark, d):
     k = F.col("s_suppkey")
     link = F.when(k % 4 == 0, F.concat(F.lit("/CustomReport/MenuIndex/"), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit("/PluginReport/MenuIndex/"), F.base64(F.concat(F.lit("asm/N.Type"), (k % 5).cast("string")).cast("binary")))).when(k % 4 == 2, F.concat(F.lit("\\type"), (k % 3).cast("string"), F.lit("//go/"))).otherwise(F.concat(F.lit("Type"), (k % 5).cast("string")))
     types = p.select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("type"), F.concat(F.lit("Type"), F.col("p_partkey").cast("string"), F.lit("Controller")).alias("name"), F.concat(F.lit("n.type"), F.col("p_partkey").cast("string")).alias("full_name"))
-    methods = p.select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("type"), F.when(F.col("p_partkey") % 2 == 0, "Go").otherwise("index").alias("name"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("method"))
+    methods = p.select(F.concat(F.lit("t"), (F.col("p_partkey") - F.col("p_partkey") % 12 + F.col("p_partkey") % 6).cast("string")).alias("type"), F.when(F.col("p_partkey") % 2 == 0, "Go").otherwise("index").alias("name"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("method"))
     return reports.menu_routes(s.select(k.alias("id"), link.alias("link")), s.where("s_suppkey % 8 = 0").select(k.cast("string").alias("template")), types, methods)
 
 
@@ -166,7 +166,7 @@ SELECT k::VARCHAR AS template, e.o AS ordinal, {_sid("report-document", "k::VARC
     "schedule_procedures": "WITH k AS (SELECT 's.proc' || n_nationkey % 8 AS procedure, count(*) AS n FROM nation GROUP BY 1), c AS (SELECT s_suppkey AS task, 's.proc' || s_suppkey % 4 AS procedure, (1 + s_suppkey % 3)::INTEGER AS arguments FROM supplier UNION ALL SELECT s_suppkey, 'dbo.other', 0 FROM supplier) SELECT task, procedure, arguments, coalesce(n, 0) AS expected, arguments <> coalesce(n, 0) AS mismatch FROM c LEFT JOIN k USING (procedure)",
     "schedule_tasks": "SELECT o_custkey AS schedule, o_orderkey AS task, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '3%' THEN 'def:' || lower(o_orderpriority) END AS definition FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0)",
     "category_constants": "WITH f AS (SELECT p_type, arg_min(p_brand, (p_partkey * 37 % 1009, p_brand)) AS constant FROM part WHERE p_type <> 'PROMO' GROUP BY p_type) SELECT p_partkey AS format, constant FROM part JOIN f USING (p_type)",
-    "menu_routes": f"""WITH t AS (SELECT 't' || p_partkey AS type, p_partkey AS n FROM part), m AS (SELECT 't' || p_partkey AS type, CASE WHEN p_partkey % 2 = 0 THEN 'go' ELSE 'index' END AS name, 'm' || p_partkey AS method FROM part),
+    "menu_routes": f"""WITH t AS (SELECT 't' || p_partkey AS type, p_partkey AS n FROM part), m AS (SELECT 't' || (p_partkey - p_partkey % 12 + p_partkey % 6) AS type, CASE WHEN p_partkey % 2 = 0 THEN 'go' ELSE 'index' END AS name, 'm' || p_partkey AS method FROM part),
 mv AS (SELECT s_suppkey AS id, s_suppkey % 3 AS n, 'go' AS a FROM supplier WHERE s_suppkey % 4 = 2 UNION ALL SELECT s_suppkey, s_suppkey % 5, 'index' FROM supplier WHERE s_suppkey % 4 = 3)
 SELECT s_suppkey AS menu, 'LINKS_TO_CUSTOM_REPORT' AS relation, s_suppkey::VARCHAR AS target FROM supplier WHERE s_suppkey % 8 = 0
 UNION ALL SELECT s_suppkey, 'LINKS_TO_PLUGIN_REPORT', {_sid("plugin-report-target", "'asm'", "'N.Type' || s_suppkey % 5")} FROM supplier WHERE s_suppkey % 4 = 1
