@@ -132,3 +132,24 @@ def test_edge_core_is_greedy(spark):
             if len(taken) == wanted:
                 break
         assert {r["id"] for r in graph.edge_core(e, F.col("p"), wanted).collect()} == taken
+
+
+def test_community_rounds_deal_out_numbers(spark):
+    """Long names are dealt out a few times in all, not in each round; more passes than a number has bits change nothing once nothing moves."""
+    import random
+
+    def shuffled() -> int:
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, *[getattr(store, f"stageList$default${k}")() for k in (2, 3, 4, 5)])
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    rnd = random.Random(5)
+    name = lambda i: f"{i:03d}" + "".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=400))
+    rows = [(name(rnd.randrange(150)), name(150 + rnd.randrange(100)), 1.0) for _ in range(600)]
+    e = spark.createDataFrame(rows, "a string, b string, w double")
+    before = shuffled()
+    got = {r["id"]: r["community"] for r in graph.communities(e, 4).collect()}
+    assert set(got) == {x for r in rows for x in r[:2]} and set(got.values()) <= set(got)
+    assert shuffled() - before < 15 * 600 * 400
+    small = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("x", "y", 1.0)], "a string, b string, w double")
+    assert {tuple(r) for r in graph.communities(small, 70).collect()} == {tuple(r) for r in graph.communities(small, 10).collect()}
