@@ -51,6 +51,33 @@ def _bucket(word: Column, buckets: int) -> Column:
     return (F.crc32(word.cast("binary")) % buckets).cast("int")
 
 
+def term_places(tokens: Column) -> Column:
+    """array<(term, positions, len)> of a text's terms in order: each distinct term once, with the places where it stands, ascending.
+
+    len is the number of all its tokens; null if there are none. Made within the row, from the sorted pairs of term and place: a text's postings need no shuffle.
+    """
+    pairs = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at"))))
+
+    def runs(p: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: (i == 1) | (F.get(p, i - 1)["term"] != F.get(p, i - 2)["term"]))
+        places = lambda b, after: F.transform(F.slice(p, b, F.coalesce(after, F.size(p) + 1) - b), lambda x: x["at"])
+        return F.transform(F.array(starts), lambda s: F.transform(s, lambda b, k: F.struct(F.get(p, b - 1)["term"].alias("term"), places(b, F.get(s, k + 1)).alias("positions"), F.size(p).alias("len"))))
+
+    # arrays of one, so that what a lambda names is made once and not for each element
+    return F.flatten(F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, F.flatten(runs(p)))))
+
+
+def term_counts(tokens: Column) -> Column:
+    """array<(term, tf, len)> of a text's terms in order, by their runs in its sorted tokens; null if there are none."""
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
+        tf = lambda b, after: (F.coalesce(after, F.size(w) + 1) - b).cast("long")
+        return F.transform(F.array(starts), lambda s: F.transform(s, lambda b, k: F.struct(F.get(w, b - 1).alias("term"), tf(b, F.get(s, k + 1)).alias("tf"), F.size(w).alias("len"))))
+
+    return F.flatten(F.transform(F.array(F.sort_array(tokens)), lambda w: F.when(F.size(w) > 0, F.flatten(runs(w)))))
+
+
 class _Index:
     """Postings below a folder, by a hash of the word: a search reads only the folders of its own words."""
 
@@ -61,8 +88,8 @@ class _Index:
 
     def _write(self, postings: DataFrame, word: str) -> None:
         rows = postings.withColumn("bucket", _bucket(F.col(word), self.buckets))
-        # rebalanced: the postings of a word that a third of all texts hold are split
-        rows.hint("rebalance", "bucket", word).sortWithinPartitions("bucket", word).write.partitionBy("bucket").parquet(f"{self.path}/postings")
+        # rebalanced: a task writes few folders, and one that a frequent word fills is split
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", word).write.partitionBy("bucket").parquet(f"{self.path}/postings")
 
     def _postings(self, word: str, words: list[str]) -> DataFrame:
         places = sorted({zlib.crc32(w.encode()) % self.buckets for w in words})
@@ -74,9 +101,9 @@ class TextIndex(_Index):
 
     def build(self, docs: DataFrame, id_col: str, text: Column) -> "TextIndex":
         tokens = docs.select(F.col(id_col).alias("id"), F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>")).alias("t"))
-        sized = tokens.withColumn("len", F.size("t"))
-        self._write(sized.select("id", "len", F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf")), "term")
-        sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).write.parquet(f"{self.path}/stats")
+        each = tokens.select("id", F.explode_outer(term_counts(F.col("t"))).alias("p")).where("p is not null")
+        self._write(each.select("id", "p.len", "p.term", "p.tf"), "term")
+        tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).write.parquet(f"{self.path}/stats")
         return self
 
     def search(self, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
