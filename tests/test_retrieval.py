@@ -42,3 +42,24 @@ def test_planned_search_leaves_nodes_where_they_are(spark, tmp_path):
         assert shuffled(spark) - before < 200_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_agent_search_leaves_nodes_where_they_are(spark, tmp_path):
+    """Exact names first among the first hits; the nodes, far larger than the hits, aren't dealt out."""
+    noise = F.sha2(F.col("id").cast("string"), 512)
+    spark.range(20000).select(F.concat(F.lit("n"), "id").alias("id"), F.lit("Type").alias("kind"), F.when(F.col("id") == 7, "large widget").otherwise(noise).alias("name")).write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"file://{tmp_path}/nodes")
+    spark.range(0, 20000, 7).select(F.concat(F.lit("n"), "id").alias("id"), F.lit(1.0).alias("score")).write.parquet(f"{tmp_path}/hits")
+    hits = spark.read.parquet(f"file://{tmp_path}/hits").withColumn("score", F.when(F.col("id") == "n7", 2.0).otherwise(F.col("score")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # neither side is small
+    try:
+        before = shuffled(spark)
+        got = [(r["id"], r["boost"]) for r in retrieval.agent_search(hits, nodes, "large widget", 5).collect()]
+        rest = sorted(f"n{i}" for i in range(0, 20000, 7) if i != 7)[:4]
+        assert got == [("n7", 1000), *((i, 0) for i in rest)] and shuffled(spark) - before < 200_000
+        few = nodes.where("id in ('n0', 'n21')")
+        touched = spark.createDataFrame([("CALLS", "n21", "x")], "type string, src string, dst string")
+        shown, more = retrieval.visual_search(hits, few, touched, 5, ["Type"], ["CALLS"])
+        assert [r["id"] for r in shown.collect()] == ["n21"] and not more.first()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

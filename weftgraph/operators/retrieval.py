@@ -72,18 +72,17 @@ def chase_backbone(edges: DataFrame, seed: DataFrame, depth: int = 8, budget: in
     return expand(edges, seed.select("id", "score"), depth, budget + 1, per_node, types=list(BACKBONE))
 
 
-def visual_search(hits: DataFrame, edges: DataFrame, take: int, kinds: list[str] | None = None, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(the first `take` hits, one row has_more) of hits (id, kind, score): three times as many are looked at (100 at most), filtered by kind and by edge types that touch them."""
-    top = hits.where(F.col("kind").isin(kinds)) if kinds else hits
-    top = top.orderBy(F.desc("score"), "id").limit(min(100, 3 * take))
+def visual_search(hits: DataFrame, nodes: DataFrame, edges: DataFrame, take: int, kinds: list[str] | None = None, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the first `take` nodes of hits (id, score), one row has_more): three times as many are looked at (100 at most), filtered by kind and by edge types that touch them."""
+    top = best_nodes(hits, nodes.where(F.col("kind").isin(kinds)) if kinds else nodes, min(100, 3 * take))
     if types:
         top = top.join(touching(edges, top, types), "id", "left_semi")
     return top.orderBy(F.desc("score"), "id").limit(take), top.agg((F.count("*") > take).alias("has_more"))
 
 
-def agent_search(hits: DataFrame, query: str, take: int) -> DataFrame:
-    """The first `take` of hits (id, name, score): by exact name, score and id, among four times as many by score."""
-    top = hits.orderBy(F.desc("score"), "id").limit(4 * take)
+def agent_search(hits: DataFrame, nodes: DataFrame, query: str, take: int) -> DataFrame:
+    """The first `take` nodes of hits (id, score): by exact name, score and id, among four times as many by score."""
+    top = best_nodes(hits, nodes, 4 * take)
     return top.withColumn("boost", search.graph_name_boost(F.array("name", "id"), F.lit(query))).orderBy(F.desc("boost"), F.desc("score"), "id").limit(take)
 
 
