@@ -153,3 +153,27 @@ def test_community_rounds_deal_out_numbers(spark):
     assert shuffled() - before < 15 * 600 * 400
     small = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("x", "y", 1.0)], "a string, b string, w double")
     assert {tuple(r) for r in graph.communities(small, 70).collect()} == {tuple(r) for r in graph.communities(small, 10).collect()}
+
+
+def test_central_nodes_of_the_first_kinds(spark, tmp_path):
+    """As all nodes ranked, whatever the limit; nodes of kinds that can't come first aren't dealt out."""
+    rnd = random.Random(6)
+    kinds = ["Method", "MenuItem", "Type", "File", None]
+    rows = [(f"n{i:04d}" + "x" * (i % 3), rnd.choice(kinds), "n") for i in range(300)]
+    links = [("CALLS", rnd.choice(rows)[0], rnd.choice(rows)[0], str(i)) for i in range(500)]
+    n, e = spark.createDataFrame(rows, "id string, kind string, name string"), spark.createDataFrame(links, "type string, src string, dst string, edge_id string")
+    degree = {r[0]: sum(r[0] in x[1:3] for x in links) for r in rows}
+    place = lambda k: schema.CENTRAL.index(k) if k in schema.CENTRAL else len(schema.CENTRAL)
+    want = sorted(((place(r[1]), -degree[r[0]], r[0]) for r in rows))
+    for limit in (1, 60, 130, 1000):
+        assert [(r["priority"], -r["degree"], r["id"]) for r in graph.central_nodes(n, e, limit).collect()] == want[:limit]
+
+    def shuffled() -> int:
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, *[getattr(store, f"stageList$default${k}")() for k in (2, 3, 4, 5)])
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    spark.range(20000).select(F.sha2(F.col("id").cast("string"), 512).alias("id"), F.when(F.col("id") < 50, "MenuItem").otherwise("File").alias("kind"), F.lit("n").alias("name")).write.parquet(f"{tmp_path}/nodes")
+    before = shuffled()
+    assert graph.central_nodes(spark.read.parquet(f"file://{tmp_path}/nodes"), e, 30).count() == 30
+    assert shuffled() - before < 300_000
