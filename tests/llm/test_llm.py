@@ -267,6 +267,24 @@ def test_decontamination_repeated_windows(spark):
     assert got == {(1, 1): False, (2, 2): False, (3, 3): False, (4, 1): True}
 
 
+def test_language_fit_holds_little_on_the_driver(spark, monkeypatch):
+    """What the sample brings to the driver is under three bytes a distinct n-gram, and nothing is lost by it."""
+    held, train = [], language_id._train
+    monkeypatch.setattr(language_id, "_train", lambda rows, *rest: held.extend(rows) or train(rows, *rest))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
+    language_id.fit_language_model(docs)
+    texts = [r["text"] for r in docs.where("text is not null and lang is not null").collect()]
+    want = [np.unique(np.concatenate(p), return_counts=True) for t in texts if (p := list(language_id.subwords(t)))]
+    size = sum(x.nbytes if isinstance(x, np.ndarray) else len(x) for row in held for x in row[1:])
+    assert len(held) == len(want) and size < 3 * sum(len(idx) for idx, _ in want)
+    got = [language_id.unpack_counts(packed) for _, packed in held]
+    pairs = lambda rows: sorted((idx.tolist(), n.tolist()) for idx, n in rows)
+    assert pairs(got) == pairs(want)
+    for most in (1, 255, 256, 65_536, 1 << 33):
+        idx, n = language_id.unpack_counts(language_id.pack_counts(np.array([0, 5, 65_535]), np.array([1, most, 2])))
+        assert idx.tolist() == [0, 5, 65_535] and n.tolist() == [1, most, 2]
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = queries.op10_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").toPandas()

@@ -12,6 +12,7 @@ rejection level: the REJECT quantile of the confidence in right answers, MOST_RE
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,6 +65,18 @@ def subwords(text: str | None) -> Iterator[np.ndarray]:
         yield np.concatenate(out)
 
 
+def pack_counts(idx: np.ndarray, n: np.ndarray) -> bytes:
+    """Rising bucket numbers and how often each occurs, in about a byte and a half each: what a sampled text sends to the driver."""
+    steps, most = np.diff(idx, prepend=0).astype(np.uint16), np.min_scalar_type(int(n.max()))
+    return zlib.compress(steps.tobytes() + n.astype(most).tobytes()) + bytes([most.itemsize])
+
+
+def unpack_counts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw, width = zlib.decompress(packed[:-1]), packed[-1]
+    size = len(raw) // (2 + width)
+    return np.cumsum(np.frombuffer(raw, np.uint16, size), dtype=np.int32), np.frombuffer(raw, f"u{width}", size, 2 * size).astype(np.float64)
+
+
 @dataclass
 class LanguageModel:
     """languages, table (bucket x language logits, temperature included) and the confidence under which to reject."""
@@ -87,7 +100,13 @@ class LanguageModel:
         return self.languages[best], float(p[best]), bool(p[best] < self.reject)
 
 
-def _train(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], seed: int = 7) -> LanguageModel:
+def _train(rows: list[tuple[int, bytes]], languages: list[str], seed: int = 7) -> LanguageModel:
+    """rows: (language, packed counts). They stay packed, so that the driver never holds the sample's n-grams at once."""
+
+    def features(r: int) -> tuple[np.ndarray, np.ndarray]:
+        idx, n = unpack_counts(rows[r][1])
+        return idx, n / n.sum()
+
     rng = np.random.default_rng(seed)
     k = len(languages)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
@@ -98,7 +117,7 @@ def _train(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str],
     steps, step = EPOCHS * max(1, len(used)), 0
     for _ in range(EPOCHS):
         for r in rng.permutation(used):
-            y, idx, w = rows[r]
+            y, (idx, w) = rows[r][0], features(r)
             rate = RATE * (1 - step / steps)
             step += 1
             x = w @ emb[idx]
@@ -110,7 +129,7 @@ def _train(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str],
             soft -= rate * np.outer(x, p)
             emb[idx] -= rate * 30 * w[:, None] * back
     table = emb @ soft
-    z = np.array([rows[r][2] @ table[rows[r][1]] for r in (held if len(held) else used)]).reshape(-1, k)
+    z = np.array([w @ table[idx] for idx, w in map(features, held if len(held) else used)]).reshape(-1, k)
     y = np.array([rows[r][0] for r in (held if len(held) else used)], int)
 
     def confidence(t: float) -> np.ndarray:
@@ -149,17 +168,12 @@ def fit_language_model(docs: DataFrame, trainable: Column | None = None, id_col:
             for lang, at, text in zip(b["lang"], b["at"], b["text"], strict=True):
                 pieces = list(subwords(text))
                 if pieces:
-                    idx, n = np.unique(np.concatenate(pieces), return_counts=True)
-                    out.append((lang, at, idx.astype(np.int32).tobytes(), n.astype(np.int32).tobytes()))
-            yield pd.DataFrame(out, columns=["lang", "at", "idx", "n"])
+                    out.append((lang, at, pack_counts(*np.unique(np.concatenate(pieces), return_counts=True))))
+            yield pd.DataFrame(out, columns=["lang", "at", "counts"])
 
-    got = few.select("lang", "at", "text").mapInPandas(features, "lang string, at long, idx binary, n binary").collect()
+    got = few.select("lang", "at", "text").mapInPandas(features, "lang string, at long, counts binary").collect()
     number = {k: i for i, k in enumerate(languages)}
-    data = []
-    for r in sorted(got, key=lambda r: (r["at"], r["lang"])):
-        n = np.frombuffer(r["n"], np.int32).astype(np.float64)
-        data.append((number[r["lang"]], np.frombuffer(r["idx"], np.int32), n / n.sum()))
-    return _train(data, languages)
+    return _train([(number[r["lang"]], bytes(r["counts"])) for r in sorted(got, key=lambda r: (r["at"], r["lang"]))], languages)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
