@@ -227,6 +227,17 @@ def test_decontamination_of_short_items_and_repeats(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b).collect()) == [(5, 4), (6, 5)]
 
 
+def test_decontamination_of_long_runs(spark):
+    """Names or numbers by the ten thousand in a row are one slot each; they cost no stack, and the item behind them is found."""
+    item = "which old bridge over the wide river was built before the great fire"
+    names, numbers = "we met " + "Anna Bert " * 50_000 + "there. ", "1,2." * 100_000 + "3 "
+    d = spark.createDataFrame([(1, names + item), (2, numbers + item), (3, names + numbers)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, numbers + "apples and Carl Dora " * 30_000 + "said so")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b).collect()) == [(1, 1), (2, 1)]
+    sizes = d.select(F.size(decontamination.template_tokens(F.col("text"))).alias("t"), F.size(decontamination.raw_tokens(F.col("text"))).alias("r"))
+    assert [(r["t"], r["r"]) for r in sizes.collect()] == [(17, 17), (14, 14), (5, 5)]
+
+
 def test_texts_without_an_id_bridge(spark):
     """1 and 3 differ, but both link with a text that only a row without an id has."""
     one = [f"w{i}" for i in range(60)]

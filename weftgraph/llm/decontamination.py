@@ -29,12 +29,16 @@ UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ml|l|s|ms|min|h|hours|hour|minutes|minute|
 
 
 def _tagged(text: Column, raw: bool) -> Column:
-    """The text with its slots marked; raw: their values stand in the marks."""
+    """The text with its slots marked; raw: their values stand in the marks.
+
+    Repeated groups are possessive: nothing follows them, so they match the same, and a long run of numbers or names
+    costs no stack. A greedy one takes a few calls a repeat, and a stack overflow ends the executor.
+    """
     keep = lambda group: f"${group}" if raw else ""
-    t = F.regexp_replace(text, r"[0-9]+(?:[.,][0-9]+)*", f" {NUMBER}{keep(0)}{END} ")
+    t = F.regexp_replace(text, r"[0-9]+(?:[.,][0-9]+)*+", f" {NUMBER}{keep(0)}{END} ")
     t = F.regexp_replace(t, rf"({END} +)({UNITS})([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}{keep(2)}{END} $3")
     t = F.when(text.rlike("[0-9]"), t).otherwise(text)
-    return F.regexp_replace(t, rf"([\p{{Ll}},;:{END}] +)(\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*)", f"$1{NAME}{keep(2)}{END} ")
+    return F.regexp_replace(t, rf"([\p{{Ll}},;:{END}] +)(\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*+)", f"$1{NAME}{keep(2)}{END} ")
 
 
 def template_tokens(text: Column) -> Column:
