@@ -248,6 +248,14 @@ def test_texts_without_an_id_bridge(spark):
     assert collections.Counter((r["doc_id"], r["component_id"]) for r in got) == collections.Counter([(1, 1), (None, 1), (3, 1), (None, 1), (4, 4), (None, None), (None, None)])
 
 
+def test_contaminated_rows_with_long_runs_go(spark):
+    """The pipeline's third stage on a run of names that takes more stack than a task has."""
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").first()["text"]
+    run = "we met " + "Anna Bert " * 20_000 + "there. "
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(1, run + item), (2, run), (3, item)]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.remove_benchmark(spark, docs, "/root/testdata/sf0.001").collect()] == [2]
+
+
 def test_contaminated_rows_go_by_row(spark):
     """A row without an id that holds an item goes, a clean one that shares its id with such a row stays."""
     item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").first()["text"]
