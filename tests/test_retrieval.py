@@ -44,6 +44,20 @@ def test_planned_search_leaves_nodes_where_they_are(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_planned_search_ranks_all_hits(spark, tmp_path):
+    """Names that hold a query, and kinds that the question asks for, come first however low their score is."""
+    rows = [(f"a{i:03}", "Type", "widget widget widget") for i in range(300)]  # short, and the term over and over
+    rows += [(f"n{i}", "Type", "one large widget " + "among so many other words " * (3 + i)) for i in range(3)] + [(f"m{i}", "MenuItem", "a widget " + "at the end of a long menu " * (4 + i)) for i in range(4)]
+    nodes = spark.createDataFrame(rows, "id string, kind string, name string")
+    index = text.TextIndex(spark, f"file://{tmp_path}/index").build(nodes, "id", F.col("name"))
+    score = {r["id"]: r["score"] for r in index.search(["large", "widget"]).withColumn("score", F.round("score", 6)).collect()}
+    boosts = {"a": (0, 0), "n": (100, 0), "m": (0, 10)}
+    want = sorted(score, key=lambda i: (-boosts[i[0]][0], -boosts[i[0]][1], -score[i], i))
+    for limit in (1, 2, 5, 8, 400):
+        got = retrieval.search_plan(index, nodes, "large widget", ["large widget"], limit).collect()
+        assert [(r["id"], r["score"], r["exact"], r["intent"]) for r in got] == [(i, score[i], *boosts[i[0]]) for i in want[:limit]]
+
+
 def test_agent_search_leaves_nodes_where_they_are(spark, tmp_path):
     """Exact names first among the first hits; the nodes, far larger than the hits, aren't dealt out."""
     noise = F.sha2(F.col("id").cast("string"), 512)

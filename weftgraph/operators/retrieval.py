@@ -17,15 +17,27 @@ def search_plan(index: TextIndex, nodes: DataFrame, question: str, queries: list
     """(id, kind, name, score, exact, intent): the nodes that a plan's queries find, best first, `limit` of them.
 
     Order: exact names of any query, what the question asks for, the score, the id. A node counts once, with its best.
+    All hits count: the first by score meet the nodes at once, and of the others only those can come before the last one
+    shown whose name or kind stands above its. These are sought among the nodes, and join the hits if there are any.
     """
     terms = _terms(nodes, queries)
     if not terms:
         return nodes.select("id", "kind", "name", F.lit(0.0).alias("score"), F.lit(0).alias("exact"), F.lit(0).alias("intent")).limit(0)
-    top = best_nodes(index.search(terms).withColumn("score", F.round("score", 6)), nodes, min(100, max(20, 4 * limit)))
     names = F.array("name", "id")
     exact = F.greatest(*[search.exact_name_boost(names, F.lit(q)) for q in queries], F.lit(0))
-    ranked = top.withColumns({"exact": exact, "intent": search.intent_boost(F.lit(question), F.col("kind"))})
-    return ranked.orderBy(F.desc("exact"), F.desc("intent"), F.desc("score"), "id").limit(limit).select("id", "kind", "name", "score", "exact", "intent")
+    ranks = {"exact": exact, "intent": search.intent_boost(F.lit(question), F.col("kind"))}
+    best = lambda rows: rows.select("id", "kind", "name", "score", "exact", "intent").orderBy(F.desc("exact"), F.desc("intent"), F.desc("score"), "id").limit(limit)
+    hits, look = index.search(terms).withColumn("score", F.round("score", 6)), max(20, 4 * limit)
+    top = materialize(best_nodes(hits, nodes, look).withColumns(ranks), "top")
+    shown = best(top)
+    if limit <= 0 or top.count() < look:
+        return shown
+    last = shown.orderBy("exact", "intent").first()
+    above = (F.col("exact") > last["exact"]) | ((F.col("exact") == last["exact"]) & (F.col("intent") > last["intent"]))
+    higher = nodes.withColumns(ranks).where(above)
+    if not higher.limit(1).count():
+        return shown
+    return best(top.where(~above).select("id", "kind", "name", "score", "exact", "intent").unionByName(higher.join(hits.select("id", "score"), "id").select("id", "kind", "name", "score", "exact", "intent")))
 
 
 def best_nodes(hits: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
