@@ -155,6 +155,59 @@ def test_community_rounds_deal_out_numbers(spark):
     assert {tuple(r) for r in graph.communities(small, 70).collect()} == {tuple(r) for r in graph.communities(small, 10).collect()}
 
 
+def test_communities_as_plain_rounds(spark):
+    """As the same rounds in plain Python; edges are dealt out packed, so few rows are, however many rounds there are."""
+    import random
+
+    rnd = random.Random(8)
+    rows = [(f"o{rnd.randrange(900):03d}", f"p{rnd.randrange(300):03d}", float(rnd.randrange(1, 4))) for _ in range(4000)] + [("o001", "o001", 2.0), ("z", "z", 1.0), ("y", None, 1.0)]
+    e = spark.createDataFrame(rows, "a string, b string, w double")
+    passes, near, degree = 6, {}, {}
+    for a, b, w in rows[:-1]:
+        for x, y in {(a, b), (b, a)}:
+            degree[x] = degree.get(x, 0.0) + w
+            near.setdefault(x, {})[y] = near.setdefault(x, {}).get(y, 0.0) + w
+    total = sum(w for *_, w in rows[:-1])
+    bits = F.array(*[F.pmod(F.xxhash64(F.lit(p), "name"), F.lit(2)) for p in range(passes)])
+    half = {r["name"]: r["h"] for r in spark.createDataFrame([(x,) for x in degree], "name string").select("name", bits.alias("h")).collect()}
+    at = {x: x for x in degree}
+    for step in range(2 * passes):
+        moves, size, new = (moves if step % 2 else 0), {}, dict(at)
+        for x, c in at.items():
+            size[c] = size.get(c, 0.0) + degree[x]
+        for x in degree:
+            if half[x][step // 2] != step % 2:
+                continue
+            to = {at[x]: 0.0}
+            for y, w in near[x].items():
+                if y != x:
+                    to[at[y]] = to.get(at[y], 0.0) + w
+            gain = {c: w - degree[x] * (size[c] - (degree[x] if c == at[x] else 0.0)) / (2 * total) for c, w in to.items()}
+            first, best = min((-round(g, 11), c) for c, g in gain.items())[1], max(gain.values())
+            if best > gain[at[x]] + 1e-12 or (best >= gain[at[x]] - 1e-12 and first < at[x]):
+                new[x] = first
+        moves += sum(new[x] != at[x] for x in at)
+        at = new
+        if step % 2 and not moves:
+            break
+    label = {x: x for x in at}
+    changed = True
+    while changed:  # the parts that hang together, by their smallest names
+        changed = False
+        for x in at:
+            low = min([label[x], *(label[y] for y in near[x] if at[y] == at[x])])
+            changed, label[x] = changed or low < label[x], low
+
+    def dealt() -> int:
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, *[getattr(store, f"stageList$default${k}")() for k in (2, 3, 4, 5)])
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = dealt()
+    got = {r["id"]: r["community"] for r in graph.communities(e, passes).collect()}
+    assert got == label and dealt() - before < 15 * len(rows)
+
+
 def test_central_nodes_of_the_first_kinds(spark, tmp_path):
     """As all nodes ranked, whatever the limit; nodes of kinds that can't come first aren't dealt out."""
     rnd = random.Random(6)
